@@ -42,3 +42,47 @@ def q_signal_statistics_ivp(spark, d):
     r = readings_ivp(spark, d)
     out = stats.signal_statistics(r, keys=["l_returnflag", "l_linestatus"])
     return rounded(out, overrides={"power_mean": 4, "power_std": 4, "total_energy": 3})
+
+
+@query("anomaly_iqr", sql="""
+WITH q AS (SELECT event_type, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.75) AS q3
+           FROM events GROUP BY event_type)
+SELECT e.event_id, e.event_type, e.value,
+       COALESCE(e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1), false) AS is_anomaly
+FROM events e JOIN q ON e.event_type = q.event_type""")
+def q_anomaly_iqr(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    return stats.anomaly_iqr(e, "value", keys=["event_type"])
+
+
+@query("anomaly_zscore", sql="""
+WITH m AS (SELECT event_type, AVG(value) AS mu, STDDEV_SAMP(value) AS sd FROM events GROUP BY event_type)
+SELECT e.event_id, e.event_type, e.value,
+       COALESCE(ABS((e.value - mu) / NULLIF(sd, 0)) > 3, false) AS is_anomaly
+FROM events e JOIN m ON e.event_type = m.event_type""")
+def q_anomaly_zscore(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    return stats.anomaly_zscore(e, "value", keys=["event_type"])
+
+
+# fixed values: lineitem columns and their Spark type names, in table order
+LINEITEM_TYPES = [
+    ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+    ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+    ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"),
+]
+
+
+@query("column_profile", sql=" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, COUNT({c}) AS non_null_count, "
+    f"COUNT(DISTINCT {c}) AS distinct_count, COUNT(*) - COUNT({c}) AS null_count FROM lineitem"
+    for i, (c, t) in enumerate(LINEITEM_TYPES)))
+def q_column_profile(spark, d):
+    return stats.column_profile(table(spark, d, "lineitem"))
+
+
+@query("frame_totals", sql="SELECT COUNT(*) AS row_count, 11 AS column_count, CAST("
+       + " + ".join(f"(COUNT(*) - COUNT({c}))" for c, _ in LINEITEM_TYPES)
+       + " AS BIGINT) AS null_cells FROM lineitem")
+def q_frame_totals(spark, d):
+    return stats.frame_totals(table(spark, d, "lineitem"))
