@@ -1,3 +1,108 @@
-"""relate queries."""
+"""Relation queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import relate
+from ..sources.tables import (READINGS_ORDER, devices_customer, experiments_orders, files_documents,
+                              profiles_customer, readings_ivp, readings_lineitem, table)
+from . import roles
+from .registry import query, rounded
+
+ROW_ID = ["experiment_id", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("role_semi_join", sql="WITH " + roles.PROFILES + """
+SELECT * FROM orders WHERE o_custkey IN (SELECT id FROM profiles WHERE role IN ('engineer', 'admin'))""")
+def q_role_semi_join(spark, d):
+    return relate.writers_only(table(spark, d, "orders"), "o_custkey", profiles_customer(spark, d))
+
+
+@query("experiment_detail", sql="WITH " + roles.READINGS_LI + ", " + roles.EXPERIMENTS + ", " + roles.DEVICES + """
+SELECT r.experiment_id, r.l_linenumber, r.l_partkey, r.l_suppkey, r.current,
+       e.experiment_name, e.status, v.device_serial, v.status AS device_status
+FROM rl r LEFT JOIN experiments e ON r.experiment_id = e.id LEFT JOIN devices v ON e.device_id = v.id""")
+def q_experiment_detail(spark, d):
+    r = readings_lineitem(spark, d).select(*ROW_ID, "current")
+    e = experiments_orders(spark, d).select("id", "experiment_name", "status", "device_id")
+    v = devices_customer(spark, d).select("id", "device_serial", "status")
+    j = relate.detail(relate.detail(r, e, "experiment_id", "id", "e_"), v, "e_device_id", "id", "d_")
+    return j.select(*ROW_ID, "current", F.col("e_experiment_name").alias("experiment_name"),
+                    F.col("e_status").alias("status"), F.col("d_device_serial").alias("device_serial"),
+                    F.col("d_status").alias("device_status"))
+
+
+def _tagged_files(df):
+    return df.select(F.lit("files").alias("table_name"), F.col("id").cast("string").alias("row_id"), "experiment_id")
+
+
+def _tagged_readings(df):
+    rid = F.concat_ws("-", *[F.col(c).cast("string") for c in ROW_ID])
+    return df.select(F.lit("experiment_data").alias("table_name"), rid.alias("row_id"), "experiment_id")
+
+
+_TAG_SQL_R = "SELECT 'experiment_data' AS table_name, concat_ws('-', experiment_id, l_linenumber, l_partkey, l_suppkey) AS row_id, experiment_id FROM rl"
+_TAG_SQL_F = "SELECT 'files' AS table_name, CAST(id AS VARCHAR) AS row_id, experiment_id FROM files"
+
+
+@query("orphan_rows", sql="WITH " + roles.READINGS_LI + ", " + roles.FILES + ", " + roles.EXPERIMENTS + " "
+       + _TAG_SQL_F + " WHERE experiment_id IS NOT NULL AND experiment_id NOT IN (SELECT id FROM experiments)"
+       + " UNION ALL " + _TAG_SQL_R
+       + " WHERE experiment_id IS NOT NULL AND experiment_id NOT IN (SELECT id FROM experiments)")
+def q_orphan_rows(spark, d):
+    e = experiments_orders(spark, d)
+    f = relate.orphans(files_documents(spark, d), e, "experiment_id", "id")
+    r = relate.orphans(readings_lineitem(spark, d), e, "experiment_id", "id")
+    return _tagged_files(f).unionByName(_tagged_readings(r))
+
+
+@query("cascade_delete", sql="WITH " + roles.READINGS_LI + ", " + roles.FILES + ", " + roles.EXPERIMENTS + ", "
+       + "gone AS (SELECT id FROM experiments WHERE status = 'cancelled') "
+       + _TAG_SQL_F + " WHERE experiment_id NOT IN (SELECT id FROM gone)"
+       + " UNION ALL " + _TAG_SQL_R + " WHERE experiment_id NOT IN (SELECT id FROM gone)")
+def q_cascade_delete(spark, d):
+    gone = experiments_orders(spark, d).where(F.col("status") == "cancelled")
+    f = relate.cascade_delete(files_documents(spark, d), gone, "experiment_id", "id")
+    r = relate.cascade_delete(readings_lineitem(spark, d), gone, "experiment_id", "id")
+    return _tagged_files(f).unionByName(_tagged_readings(r))
+
+
+@query("verdict", sql="WITH " + roles.EXPERIMENTS + ", " + roles.standards_values() + """,
+crit AS (
+  SELECT standard_code, test_type, TRY_CAST(json_extract_string(pass_criteria, '$.' || k) AS DOUBLE) AS lim
+  FROM (SELECT standard_code, test_type, pass_criteria, UNNEST(json_keys(pass_criteria)) AS k FROM std)
+  WHERE starts_with(k, 'max_')),
+lim AS (SELECT standard_code, test_type, COUNT(*) AS criteria_checked, MIN(lim) AS limit_min
+        FROM crit WHERE lim IS NOT NULL GROUP BY ALL),
+m AS (SELECT l_orderkey AS id, MAX(l_quantity) AS max_current FROM lineitem GROUP BY l_orderkey)
+SELECT e.id, e.experiment_type, lim.standard_code, m.max_current,
+       COALESCE(lim.criteria_checked, 0) AS criteria_checked,
+       CASE WHEN lim.criteria_checked IS NULL OR m.max_current IS NULL THEN NULL
+            WHEN m.max_current <= lim.limit_min THEN 'pass' ELSE 'fail' END AS verdict
+FROM experiments e LEFT JOIN lim ON e.experiment_type = lim.test_type LEFT JOIN m ON e.id = m.id""")
+def q_verdict(spark, d):
+    measured = readings_lineitem(spark, d).groupBy(F.col("experiment_id").alias("id")).agg(
+        F.max("current").alias("max_current"))
+    return relate.verdict(experiments_orders(spark, d), measured, relate.standards_frame(spark))
+
+
+@query("breakdown_point", sql="WITH " + roles.READINGS_LI + """,
+o AS (SELECT experiment_id, l_linenumber, l_partkey, l_suppkey, current,
+             ROW_NUMBER() OVER (PARTITION BY experiment_id ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+      FROM rl WHERE current > 45)
+SELECT experiment_id, l_linenumber, l_partkey, l_suppkey, current FROM o WHERE rn = 1""")
+def q_breakdown_point(spark, d):
+    r = readings_lineitem(spark, d)
+    return relate.breakdown_point(r, "experiment_id", READINGS_ORDER, "current", 45.0)
+
+
+@query("deviation", sql="""
+SELECT l.l_orderkey AS experiment_id, COUNT(*) AS n_points,
+       ROUND(AVG(ABS(l.l_quantity - l.l_extendedprice / p.p_retailprice)), 6) AS mean_abs_deviation,
+       ROUND(MAX(ABS(l.l_quantity - l.l_extendedprice / p.p_retailprice)), 6) AS max_abs_deviation
+FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey""")
+def q_deviation(spark, d):
+    measured = readings_lineitem(spark, d).select(*ROW_ID, "current")
+    sim = readings_ivp(spark, d).select(*ROW_ID, F.try_divide(F.col("power"), F.col("voltage")).alias("current"))
+    return rounded(relate.deviation(measured, sim, ROW_ID, "current", "experiment_id"))

@@ -32,3 +32,19 @@ DEVICES = """devices AS (
          CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'retired' WHEN 'MACHINERY' THEN 'maintenance'
               WHEN 'BUILDING' THEN NULL WHEN 'FURNITURE' THEN 'broken' ELSE 'normal' END AS status
   FROM customer)"""
+
+FILES = """files AS (
+  SELECT doc_id AS id, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name, n_chars AS file_size,
+         source AS file_type, doc_id * 20 AS experiment_id
+  FROM documents)"""
+
+PROFILES = """profiles AS (
+  SELECT c_custkey AS id, c_name AS full_name,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'admin' WHEN 'BUILDING' THEN 'engineer' ELSE 'viewer' END AS role
+  FROM customer)"""
+
+
+def standards_values() -> str:
+    from ..schemas import SEED_STANDARDS
+    rows = ", ".join(f"('{c}', '{t}', '{pc}')" for c, _, t, _, pc in SEED_STANDARDS)
+    return f"std(standard_code, test_type, pass_criteria) AS (VALUES {rows})"

@@ -92,3 +92,22 @@ def devices_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("device_serial"),
                     seg.alias("device_model"), F.col("c_nationkey").alias("device_address"),
                     F.col("c_acctbal").alias("rated_power"), status.alias("status"))
+
+
+def files_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as stored files: size=n_chars, type=source, experiment=doc_id * 20
+    (documents grow 15x slower than orders, so about a quarter point past the
+    last experiment: orphans for the FK check at every scale)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"),
+                    F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
+                    F.col("n_chars").alias("file_size"), F.col("source").alias("file_type"),
+                    (F.col("doc_id") * 20).alias("experiment_id"))
+
+
+def profiles_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as user profiles: AUTOMOBILE -> admin, BUILDING -> engineer, else viewer."""
+    c = table(spark, sf_dir, "customer")
+    seg = F.col("c_mktsegment")
+    role = F.when(seg == "AUTOMOBILE", "admin").when(seg == "BUILDING", "engineer").otherwise("viewer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), role.alias("role"))
