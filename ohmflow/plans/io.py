@@ -1,3 +1,222 @@
-"""io queries."""
+"""Source and sink queries.
+
+Each query first writes files that Spark derives from a test table into a
+fresh folder under the session's checkpoint folder (shared storage on a
+cluster), then runs the source or sink under test and returns what it
+reads back, so the oracle compares the round trip with the table itself.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import strict_double
+from ..operators import quality
+from ..session import scratch_path
+from ..sinks import writers
+from ..sources import files as fsrc
+from ..sources.synth import synth_readings
+from ..sources.tables import devices_customer, readings_lineitem, table
+from . import roles
+from .registry import query, rounded
+
+LABEL_SQL = "CASE l_returnflag WHEN 'A' THEN '验收' WHEN 'N' THEN '正常' ELSE '退回' END"
+
+
+def _label():
+    rf = F.col("l_returnflag")
+    return F.when(rf == "A", "验收").when(rf == "N", "正常").otherwise("退回")
+
+
+EXTS_SQL = "['csv', 'xlsx', 'json', 'txt', 'CSV', 'xls', 'parquet']"
+EXTS = ["csv", "xlsx", "json", "txt", "CSV", "xls", "parquet"]
+
+
+@query("admit_files", sql=f"""
+WITH f AS (SELECT doc_id AS id, 'doc_' || CAST(doc_id AS VARCHAR) || '.' || {EXTS_SQL}[(doc_id % 7) + 1] AS file_name,
+                  n_chars * 2500 AS length FROM documents),
+g AS (SELECT id, file_name, lower(split_part(file_name, '.', -1)) AS extension, length FROM f)
+SELECT id, file_name, extension, length,
+       CASE WHEN extension NOT IN ('xlsx', 'xls', 'csv', 'json') THEN 'unsupported type'
+            WHEN length > 52428800 THEN 'too large' END AS reason,
+       extension IN ('xlsx', 'xls', 'csv', 'json') AND length <= 52428800 AS admitted
+FROM g""")
+def q_admit_files(spark, d):
+    docs = table(spark, d, "documents")
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    listing = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("/files/"), name).alias("path"),
+                          name.alias("file_name"), (F.col("n_chars") * 2500).alias("length"))
+    listing = listing.withColumn("extension", F.lower(F.element_at(F.split("file_name", r"\."), -1)))
+    return fsrc.admit_files(listing).select("id", "file_name", "extension", "length", "reason", "admitted")
+
+
+@query("scan_csv", sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, {LABEL_SQL} AS label FROM lineitem""")
+def q_scan_csv(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                            "l_returnflag", _label().alias("label"))
+    root = scratch_path(spark, "scan-csv")
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "label"]
+    writers.write_csv(li.where(F.col("l_returnflag") != "R").select(*cols), f"{root}/utf8", "UTF-8")
+    writers.write_csv(li.where(F.col("l_returnflag") == "R").select(*cols), f"{root}/gbk", "GBK")
+    back = fsrc.scan_csv(spark, root, glob="*.csv")
+    return back.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"),
+                       F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long"),
+                       strict_double(F.col("l_quantity")).alias("l_quantity"), "label")
+
+
+PREAMBLE_HEADER = ["序号", "电流 (A)", "电压 (V)", "功率 (W)", "时间戳", "设备地址", "设备类型", "order_key", "part_key"]
+
+
+@query("scan_preamble", sql="""
+SELECT l_orderkey AS order_key, l_partkey AS part_key, l_linenumber AS sequence_number, l_quantity AS current,
+       l_extendedprice AS voltage, l_tax AS power, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS timestamp,
+       CAST(l_suppkey AS INTEGER) AS device_address, l_returnflag AS device_type
+FROM lineitem""")
+def q_scan_preamble(spark, d):
+    li = table(spark, d, "lineitem")
+    grp = F.floor(F.col("l_orderkey") / 1000).cast("long")
+    data = li.select(grp.alias("grp"), F.lit(2).alias("_o"),
+                     F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"),
+                     F.col("l_extendedprice").cast("string"), F.col("l_tax").cast("string"),
+                     F.date_format("l_shipdate", "yyyy/M/d"), F.col("l_suppkey").cast("string"),
+                     F.col("l_returnflag"), F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
+    data = data.toDF("grp", "_o", *PREAMBLE_HEADER)
+    # per file: a metadata line (point count derived from the data) and a blank line
+    meta = data.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select(
+        "grp", F.lit(0).alias("_o"), F.lit("数据信息").alias("序号"),
+        F.concat(F.lit("数据点数: "), F.col("n").cast("string")).alias("电流 (A)"),
+        *[F.lit(None).cast("string").alias(c) for c in PREAMBLE_HEADER[2:]])
+    blank = meta.select("grp", F.lit(1).alias("_o"), *[F.lit(None).cast("string").alias(c) for c in PREAMBLE_HEADER])
+    lines = data.unionByName(meta).unionByName(blank)
+    root = scratch_path(spark, "preamble")
+    (lines.repartition("grp").sortWithinPartitions("grp", "_o", "order_key", "序号", "part_key").drop("_o")
+     .write.option("header", "true").option("sep", "\t").partitionBy("grp").csv(root))
+    raw = fsrc.scan_preamble(spark, root)
+    typed = quality.coerce_numeric(raw)
+    return typed.select(F.col("order_key").cast("long"), F.col("part_key").cast("long"),
+                        F.col("sequence_number").cast("int"), "current", "voltage", "power",
+                        F.try_to_timestamp("timestamp", F.lit("yyyy/M/d")).cast("timestamp_ntz").alias("timestamp"),
+                        F.col("device_address").cast("int"), "device_type")
+
+
+def _batch_dir(spark, d):
+    root = scratch_path(spark, "batch")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    writers.write_csv(li, f"{root}/lines")
+    writers.write_json(table(spark, d, "orders"), f"{root}/orders")
+    return root
+
+
+@query("scan_batch", sql="SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem")
+def q_scan_batch(spark, d):
+    rows, _ = fsrc.scan_batch(spark, _batch_dir(spark, d))
+    return rows.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"),
+                       F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long"),
+                       strict_double(F.col("l_quantity")).alias("l_quantity"))
+
+
+@query("scan_rejects")      # file names are chosen by the writer: rows-only check
+def q_scan_rejects(spark, d):
+    _, rejected = fsrc.scan_batch(spark, _batch_dir(spark, d))
+    return rejected
+
+
+@query("synth_readings", sql="""
+WITH p AS (SELECT c_custkey, 1 + c_nationkey / 10 AS i_n, k, k * 20.0 / 19 AS t FROM customer, range(0, 20) r(k)),
+v AS (SELECT c_custkey, k, t, i_n * (1 + 0.5 * sin(2 * pi() * 0.05 * t)) AS current,
+             20.0 * (1 + 0.1 * sin(2 * pi() * 0.1 * t)) AS voltage FROM p)
+SELECT c_custkey AS series_id, CAST(k + 1 AS INTEGER) AS sequence_number, ROUND(current, 6) AS current,
+       ROUND(voltage, 6) AS voltage, ROUND(current * voltage, 6) AS power,
+       TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(k * 1000000) AS timestamp,
+       1 AS device_address, '测试设备' AS device_type
+FROM v""")
+def q_synth_readings(spark, d):
+    c = table(spark, d, "customer")
+    out = synth_readings(c, "c_custkey", "2024-01-01 00:00:00", duration=20, rate=1, voltage_nominal=20.0,
+                         current_nominal=F.lit(1.0) + F.col("c_nationkey") / 10, noise=0.0)
+    return rounded(out)
+
+
+EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@query("scan_json", sql="SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_scan_json(spark, d):
+    root = scratch_path(spark, "json")
+    writers.write_json(table(spark, d, "events"), root)
+    return fsrc.scan_json(spark, root, EVENTS_SCHEMA).drop("source_file")
+
+
+@query("sink_csv", sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, {LABEL_SQL} AS label FROM lineitem""")
+def q_sink_csv(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                            "l_shipdate", _label().alias("label"))
+    path = writers.write_csv(li, scratch_path(spark, "sink-csv"), encoding="GBK")
+    schema = ("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+              "l_shipdate timestamp_ntz, label string")
+    return spark.read.option("header", "true").option("encoding", "GBK").schema(schema).csv(path)
+
+
+@query("sink_json", sql="SELECT * FROM orders")
+def q_sink_json(spark, d):
+    o = table(spark, d, "orders")
+    path = writers.write_json(o, scratch_path(spark, "sink-json"))
+    return spark.read.schema(o.schema).json(path)
+
+
+@query("sink_multi", sql="""
+SELECT 'customer' AS sheet, c_custkey AS k, c_name AS name FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""")
+def q_sink_multi(spark, d):
+    frames = {"customer": table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")),
+              "supplier": table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))}
+    paths = writers.write_multi(frames, scratch_path(spark, "multi"))
+    parts = [spark.read.parquet(p).select(F.lit(n).alias("sheet"), "k", "name") for n, p in paths.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("append_readings", sql="WITH " + roles.READINGS_LI + """
+SELECT experiment_id, l_linenumber, l_partkey, l_suppkey, current, voltage, timestamp,
+       CAST(date_trunc('month', timestamp) AS DATE) AS reading_month FROM rl""")
+def q_append_readings(spark, d):
+    r = readings_lineitem(spark, d).select("experiment_id", "l_linenumber", "l_partkey", "l_suppkey", "current",
+                                           "voltage", "timestamp")
+    path = scratch_path(spark, "readings")
+    writers.append_readings(r.where(F.col("l_linenumber") <= 3), path)     # two appends: all rows in total
+    writers.append_readings(r.where(~(F.col("l_linenumber") <= 3) | F.col("l_linenumber").isNull()), path)
+    back = spark.read.parquet(path)
+    return back.select("experiment_id", "l_linenumber", "l_partkey", "l_suppkey", "current", "voltage", "timestamp",
+                       "reading_month")
+
+
+@query("append_defaults", sql="WITH " + roles.DEVICES + """
+SELECT id, device_serial, device_model, COALESCE(status, 'normal') AS status,
+       TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM devices""")
+def q_append_defaults(spark, d):
+    dev = devices_customer(spark, d).select("id", "device_serial", "device_model", "status",
+                                            F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    filled = writers.apply_defaults(dev, "devices", now=F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    path = writers.append_rows(filled, scratch_path(spark, "devices"))
+    return spark.read.parquet(path)
+
+
+@query("upsert_devices", sql="WITH " + roles.DEVICES + """,
+ch AS (SELECT c_custkey AS id, 'maintenance' AS status FROM customer WHERE c_acctbal < 0)
+SELECT d.id, d.device_serial, d.device_model, COALESCE(ch.status, d.status) AS status,
+       TIMESTAMP '2024-01-01 00:00:00' AS created_at,
+       CASE WHEN ch.id IS NOT NULL AND COALESCE(ch.status, d.status) IS DISTINCT FROM d.status
+            THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at
+FROM devices d LEFT JOIN ch ON d.id = ch.id""")
+def q_upsert_devices(spark, d):
+    t0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    base = devices_customer(spark, d).select("id", "device_serial", "device_model", "status",
+                                             t0.alias("created_at"), t0.alias("updated_at"))
+    changes = table(spark, d, "customer").where(F.col("c_acctbal") < 0).select(
+        F.col("c_custkey").alias("id"), F.lit("maintenance").alias("status"))
+    new = writers.upsert(base, changes, "id", now=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    path = scratch_path(spark, "devices-v2")
+    new.write.parquet(path)
+    return spark.read.parquet(path)
