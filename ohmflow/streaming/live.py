@@ -4,8 +4,9 @@ tumbling-window means with a watermark (D9).
 Event time must be a TIMESTAMP for ``withWatermark``; wall-clock
 TIMESTAMP_NTZ input is cast on the way in and back on the way out.  State is
 bounded by the watermark: duplicates are remembered only within the delay,
-and a window's partial mean is dropped once the watermark passes its end
-(rows arriving later than that are not counted).
+and a window's state is emitted and dropped once the watermark passes its
+end.  Rows are never dropped while newer than the watermark; a row older than
+the watermark of the previous micro-batch is dropped as late.
 
 With ``trigger(availableNow=True)`` the last window(s) within ``delay`` of
 the newest event are not emitted: the watermark never passes their end.
