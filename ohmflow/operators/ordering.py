@@ -32,12 +32,32 @@ IDX = "_g"
 BLK = "_blk"
 HOME = "_home"
 DEFAULT_BLOCK_ROWS = 1 << 20
+# A key with at most this many rows is sorted, windowed or kept as a value map
+# inside one task; a hotter key takes the blocked / distributed-sort path.
+PLAIN_KEY_ROWS = 2_000_000
 
 
 def _cols(names) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the biggest key (one partial aggregate; keys=[] -> all rows)."""
+    if not keys:
+        return df.count()
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0]
+    return int(r or 0)
+
+
+def choose(df: DataFrame, keys: list[str], strategy: str = "auto", limit: int = PLAIN_KEY_ROWS) -> str:
+    """'plain' when every key fits one task (measured), else 'blocked'."""
+    if strategy in ("plain", "blocked"):
+        return strategy
+    if strategy != "auto":
+        raise ValueError(f"unknown strategy {strategy!r} (auto, plain, blocked)")
+    return "plain" if largest_group(df, keys) <= limit else "blocked"
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL keys match each other (group semantics)."""
     if not keys:
@@ -82,7 +102,8 @@ SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 100_000
 
 
-def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets: int | None = None) -> DataFrame:
+def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets: int | None = None,
+                 weight: str | None = None) -> DataFrame:
     """Add a dense 0-based row index ``name`` following ``order`` (ascending, nulls first).
 
     Rows go to order-preserving buckets whose bounds come from a bounded
@@ -94,6 +115,9 @@ def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets:
     shuffle) and shifted by the row count of earlier buckets (a table of at
     most ``num_buckets`` rows, broadcast).  Ties in ``order`` get distinct but
     arbitrary indexes; pass a unique order for a deterministic answer.
+
+    With ``weight`` the result is the exclusive prefix sum of that column
+    (the index is the special case of weight 1).
     """
     spark = df.sparkSession
     n = num_buckets or shuffle_partitions(spark)
@@ -115,8 +139,13 @@ def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets:
     bucketed = df.withColumn("_bkt", _bucket_expr(order, types, bounds) if bounds else F.lit(0))
     bucketed = bucketed.repartition(nb, "_bkt")
     w = Window.partitionBy("_bkt").orderBy(*order)
-    local = bucketed.withColumn("_rn", F.row_number().over(w))
-    counts = bucketed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    if weight is None:
+        local = bucketed.withColumn("_rn", F.row_number().over(w))
+        counts = bucketed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        before = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        local = bucketed.withColumn("_rn", before + 1)
+        counts = bucketed.groupBy("_bkt").agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_n"))
     # one row per bucket: the only single-task window here is bounded by nb
     wo = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))

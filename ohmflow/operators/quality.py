@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import missing_required, normalize_columns, strict_double
-from .ordering import IDX, global_index, row_number_in_key
+from .ordering import IDX, choose, global_index, row_number_in_key
 
 __all__ = ["normalize_columns", "coerce_numeric", "power_mismatch", "rule_counters", "validation_report",
            "range_violations", "drop_empty_rows", "shape_records", "filter_eq", "check_constraints",
@@ -68,13 +68,14 @@ def validation_report(df: DataFrame, keys: list[str] | None = None, strict_names
     coerced = coerce_numeric(norm)
     rules = [(f"missing_{m}", F.lit(1).cast("long")) for m in missing] + rule_counters(coerced)
     wide = coerced.groupBy(*keys).agg(*[expr.alias(f"_r{i}") for i, (_, expr) in enumerate(rules)])
+    total = F.lit(0).cast("long")
+    for i in range(len(rules)):
+        total = total + F.col(f"_r{i}").cast("long")
     entries = F.array(*[F.struct(F.lit(i + 1).alias("rule_no"), F.lit(name).alias("rule"),
                                  F.col(f"_r{i}").cast("long").alias("violations"))
                         for i, (name, _) in enumerate(rules)])
-    long = wide.select(*keys, F.inline(entries))
-    # the window runs over the aggregated report (rules x keys), not over readings
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return long.withColumn("valid", F.sum("violations").over(w) == 0)
+    # valid is decided on the wide per-key row, before unpivoting: no window, no sort
+    return wide.select(*keys, F.inline(entries), (total == 0).alias("valid"))
 
 
 def range_violations(coerced: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -92,8 +93,15 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
-def sequence_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "sequence_number") -> DataFrame:
-    """1-based contiguous position per key in ``order`` (skew-safe global index)."""
+def sequence_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "sequence_number",
+                     strategy: str = "auto") -> DataFrame:
+    """1-based contiguous position per key in ``order``.
+
+    ``row_number`` over the key when every key fits one task, else the
+    skew-safe global index (see ``ordering.choose``)."""
+    if choose(df, keys, strategy) == "plain":
+        w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("int"))
     ix = global_index(df, keys + order)
     return row_number_in_key(ix, keys, name).withColumn(name, F.col(name).cast("int")).drop(IDX)
 

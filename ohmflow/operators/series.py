@@ -1,22 +1,31 @@
 """Time series: resampling, centred / exponential filters, thinning.
 
-Ordered work uses the skew-safe primitives of ``ordering``: a global index
-over (keys, order) and windows over bounded (key, block) partitions with halo
-rows, so a key holding a third of all rows is still spread over many tasks.
+Ordered work first measures the largest key (``ordering.choose``).  When
+every key fits one task (``PLAIN_KEY_ROWS``) a plain ``partitionBy(keys)``
+window is used: one shuffle, one sort.  Otherwise the skew-safe primitives of
+``ordering`` take over: a global index over (keys, order) and windows over
+bounded (key, block) partitions with halo rows, so a key holding a third of
+all rows is still spread over many tasks.  ``strategy`` forces either path.
 """
 
+
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, parse_timestamp
-from .ordering import (DEFAULT_BLOCK_ROWS, IDX, blocked, forward_fill, global_index, join_on_keys,
+from .ordering import (DEFAULT_BLOCK_ROWS, IDX, blocked, choose, forward_fill, global_index, join_on_keys,
                        row_number_in_key)
 
 US = 1_000_000
+
+
+def _w(keys, order):
+    return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+
 SPINE_CHUNK = 4096
 
 __all__ = ["resample_mean", "parse_timestamps", "filter_data", "moving_average", "moving_median",
@@ -84,8 +93,8 @@ def parse_timestamps(df: DataFrame, column: str, out: str | None = None, formats
     return df.withColumn(out or column, parse_timestamp(F.col(column), formats))
 
 
-def interval_seconds(indexed: DataFrame, keys: list[str], ts: str, out: str = "_dt",
-                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def interval_seconds(df: DataFrame, keys: list[str], order: list[str], ts: str, out: str = "_dt",
+                     strategy: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Seconds since the previous reading of the key (the first reading takes
     the interval to the next one; a lone reading counts 1 s)."""
     def compute(frame, w):
@@ -94,15 +103,16 @@ def interval_seconds(indexed: DataFrame, keys: list[str], ts: str, out: str = "_
         back = F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(float(US))
         fwd = F.timestamp_diff("MICROSECOND", F.col(ts), nxt) / F.lit(float(US))
         return frame.withColumn(out, F.coalesce(back, fwd, F.lit(1.0)))
-    return blocked(indexed, keys, 1, 1, compute, block_rows)
+    if choose(df, keys, strategy) == "plain":
+        return compute(df, _w(keys, order))
+    return blocked(global_index(df, keys + order), keys, 1, 1, compute, block_rows).drop(IDX)
 
 
 def _centred(df: DataFrame, keys: list[str], order: list[str], column: str, window_size: int, out: str,
-             agg: str, block_rows: int) -> DataFrame:
+             agg: str, block_rows: int, strategy: str = "auto") -> DataFrame:
     if window_size < 1:
         raise ValueError("window_size must be >= 1")
     before, after = window_size // 2, (window_size - 1) // 2
-    ix = global_index(df, keys + order)
 
     def compute(frame, w):
         f = w.rowsBetween(-before, after)
@@ -110,17 +120,24 @@ def _centred(df: DataFrame, keys: list[str], order: list[str], column: str, wind
         full = F.count(x).over(f) == F.lit(window_size)
         stat = F.avg(x).over(f) if agg == "mean" else F.percentile(x, F.lit(0.5)).over(f)
         return frame.withColumn(out, F.when(full, stat).otherwise(x))
+    if choose(df, keys, strategy) == "plain":
+        return compute(df, _w(keys, order))
+    ix = global_index(df, keys + order)
     return blocked(ix, keys, before, after, compute, block_rows).drop(IDX)
 
 
-def moving_average(df, keys, order, column, window_size=5, out=None, block_rows=DEFAULT_BLOCK_ROWS):
+def moving_average(df, keys, order, column, window_size=5, out=None, block_rows=DEFAULT_BLOCK_ROWS,
+                   strategy="auto"):
     """Centred mean over ``window_size`` rows, full window required, else raw value."""
-    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "mean", block_rows)
+    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "mean", block_rows,
+                    strategy)
 
 
-def moving_median(df, keys, order, column, window_size=5, out=None, block_rows=DEFAULT_BLOCK_ROWS):
+def moving_median(df, keys, order, column, window_size=5, out=None, block_rows=DEFAULT_BLOCK_ROWS,
+                  strategy="auto"):
     """Centred median, same frame and edge rule as W1."""
-    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "median", block_rows)
+    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "median", block_rows,
+                    strategy)
 
 
 def ewm_horizon(span: float, eps: float = 1e-16) -> int:
@@ -130,8 +147,38 @@ def ewm_horizon(span: float, eps: float = 1e-16) -> int:
     return int(math.ceil(math.log(eps) / math.log(1.0 - alpha)))
 
 
+def _ewm_fold(arr, alpha: float, k: int):
+    """y of the last element of ``arr`` (structs g, x in order), starting from its first element."""
+    first = F.try_element_at(arr, F.lit(1))
+    init = F.struct(first["x"].alias("y"), first["g"].alias("g"))
+
+    def merge(acc, e):
+        r = F.pow(F.lit(1.0 - alpha), (e["g"] - acc["g"]).cast("double"))
+        y = (r * acc["y"] + F.lit(alpha) * e["x"]) / (r + F.lit(alpha))
+        return F.struct(y.alias("y"), e["g"].alias("g"))
+    return F.aggregate(F.slice(arr, 2, k + 1), init, merge, lambda acc: acc["y"])
+
+
+def _exponential_plain(df, keys, order, column, span, out):
+    """One keyed window pass: for every row, fold the last K+1 valid rows up to it.
+
+    ``_cv`` (running count of valid rows) orders a RANGE frame of K+1 valid
+    rows; missing rows see the same frame as the valid row before them, which
+    is exactly the carried value, and leading missing rows see none."""
+    alpha, k = 2.0 / (span + 1.0), ewm_horizon(span)
+    w = _w(keys, order)
+    d = df.withColumn("_x", nan_to_null(F.col(column).cast("double")))
+    d = d.withColumn("_rn", F.row_number().over(w))
+    d = d.withColumn("_cv", F.count("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    wr = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_cv").rangeBetween(-k, 0)
+    arr = F.collect_list(F.when(F.col("_x").isNotNull(),
+                                F.struct(F.col("_rn").alias("g"), F.col("_x").alias("x")))).over(wr)
+    d = d.withColumn("_y", _ewm_fold(arr, alpha, k))
+    return d.withColumn(out, F.coalesce(F.col("_y"), F.col("_x"))).drop("_x", "_rn", "_cv", "_y")
+
+
 def exponential(df: DataFrame, keys: list[str], order: list[str], column: str, span: float = 5,
-                out: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                out: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS, strategy: str = "auto") -> DataFrame:
     """y0 = x0, y = ((1-a)^g y' + a x) / ((1-a)^g + a), a = 2/(span+1).
 
     g is the row distance to the previous valid value (1 when adjacent);
@@ -142,6 +189,8 @@ def exponential(df: DataFrame, keys: list[str], order: list[str], column: str, s
     fill.
     """
     out = out or f"{column}_filtered"
+    if choose(df, keys, strategy) == "plain":
+        return _exponential_plain(df, keys, order, column, span, out)
     alpha = 2.0 / (span + 1.0)
     k = ewm_horizon(span)
     x = nan_to_null(F.col(column).cast("double"))
@@ -152,15 +201,7 @@ def exponential(df: DataFrame, keys: list[str], order: list[str], column: str, s
     def compute(frame, w):
         arr = F.collect_list(F.struct(F.col("_gall").alias("g"), F.col("_x").alias("x"))).over(
             w.rowsBetween(-k, 0))
-        first = arr[0]
-        init = F.struct(first["x"].alias("y"), first["g"].alias("g"))
-
-        def merge(acc, e):
-            r = F.pow(F.lit(1.0 - alpha), (e["g"] - acc["g"]).cast("double"))
-            y = (r * acc["y"] + F.lit(alpha) * e["x"]) / (r + F.lit(alpha))
-            return F.struct(y.alias("y"), e["g"].alias("g"))
-        folded = F.aggregate(F.slice(arr, 2, k + 1), init, merge, lambda acc: acc["y"])
-        return frame.withColumn("_y", folded)
+        return frame.withColumn("_y", _ewm_fold(arr, alpha, k))
     ys = blocked(vix, keys, k, 0, compute, block_rows).select(F.col("_gall").alias(IDX), "_y")
     allrows = ix.join(ys, IDX, "left")   # the index is unique: no key skew on this join
     filled = forward_fill(allrows, keys, "_y", "_yf", block_rows)
@@ -168,27 +209,33 @@ def exponential(df: DataFrame, keys: list[str], order: list[str], column: str, s
 
 
 def filter_data(df: DataFrame, column: str, method: str = "moving_average", window_size: int = 5,
-                keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+                keys: list[str] | None = None, order: list[str] | None = None, strategy: str = "auto",
+                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """W1-W3 entry point: ``{column}_filtered`` with edge fill from the raw value."""
     keys, order = list(keys or []), list(order or [])
     if method == "moving_average":
-        return moving_average(df, keys, order, column, window_size)
+        return moving_average(df, keys, order, column, window_size, block_rows=block_rows, strategy=strategy)
     if method == "median":
-        return moving_median(df, keys, order, column, window_size)
+        return moving_median(df, keys, order, column, window_size, block_rows=block_rows, strategy=strategy)
     if method == "exponential":
-        return exponential(df, keys, order, column, span=window_size)
+        return exponential(df, keys, order, column, span=window_size, block_rows=block_rows, strategy=strategy)
     raise ValueError(f"unknown filter method {method!r} (moving_average, median, exponential)")
 
 
 def downsample_minmax(df: DataFrame, keys: list[str], order: list[str], ts: str, column: str,
-                      buckets: int = 1000) -> DataFrame:
+                      buckets: int = 1000, strategy: str = "auto") -> DataFrame:
     """Thin each key to ``buckets`` buckets of consecutive readings,
     keeping first/last time and the minimum and maximum readings with their
     times (earliest reading wins ties)."""
-    ix = global_index(df, keys + order)
-    rn = row_number_in_key(ix, keys, "_rn")
-    sizes = rn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nk"))
-    rn = join_on_keys(rn, sizes, keys, "inner")
+    if choose(df, keys, strategy) == "plain":
+        w = _w(keys, order)
+        wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        rn = df.withColumn("_rn", F.row_number().over(w)).withColumn("_nk", F.count(F.lit(1)).over(wk))
+    else:
+        ix = global_index(df, keys + order)
+        rn = row_number_in_key(ix, keys, "_rn")
+        sizes = rn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nk"))
+        rn = join_on_keys(rn, sizes, keys, "inner")
     b = F.floor((F.col("_rn") - 1) * F.lit(buckets) / F.col("_nk")).cast("long")
     x = nan_to_null(F.col(column).cast("double"))
     t = rn.select(*keys, b.alias("bucket"), F.col(ts).alias("_ts"), x.alias("_v"), F.col("_rn"))

@@ -3,21 +3,23 @@
 Every function takes ``keys``: with ``keys=[]`` the whole frame is one group,
 which is the original behaviour; with keys each group gets its own answer.
 
-Exact quantiles (median, quartiles) come from a distributed sort: rows are
-ranked by ``global_index`` on (keys, variable, value) and the two ranks
-around ``p * (n - 1)`` are fetched by an equi-join on the rank.  No group is
-ever held in one task, unlike a per-group value->count map.  ``method='hash'``
-uses Spark's ``percentile`` aggregate instead (fine for small groups).
+Exact quantiles (median, quartiles): when the largest group is within
+``PLAIN_KEY_ROWS`` (measured by one partial aggregate), Spark's exact
+``percentile`` keeps a bounded value map per group.  A hotter group takes a
+distributed sort: rows are ranked by ``global_index`` on (keys, variable,
+value) and the two ranks around ``p * (n - 1)`` are fetched by an equi-join
+on the rank, so no group is ever held in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import nan_to_null
-from .ordering import IDX, global_index, join_on_keys
+from ..session import materialize
+from .ordering import IDX, choose, global_index, join_on_keys
 
 SIGNALS = ["current", "voltage", "power"]
 
@@ -27,11 +29,16 @@ def _label(p: float) -> str:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: list[float],
-                    method: str = "sort") -> DataFrame:
+                    method: str = "auto") -> DataFrame:
     """One row per key with ``{value}_{label}`` columns (linear interpolation).
 
-    NULL and NaN are ignored; a group without values gets NULL.
+    NULL and NaN are ignored; a group without values gets NULL.  ``auto``
+    measures the largest group: within ``PLAIN_KEY_ROWS`` the per-group value
+    map of ``percentile`` is bounded and one pass suffices ('hash'); a hotter
+    group takes the distributed sort ('sort').
     """
+    if method == "auto":
+        method = "hash" if choose(df, keys) == "plain" else "sort"
     if method == "hash":
         aggs = []
         for v in values:
@@ -47,8 +54,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: li
         F.struct(F.lit(i).alias("_v"), nan_to_null(F.col(v).cast("double")).alias("_x"))
         for i, v in enumerate(values)])).alias("_s"))
     long = long.select(*keys, "_s._v", "_s._x").where(F.col("_x").isNotNull())
+    # the sort, its sample, the bucket counts and the group sizes all read this
+    # input: one written copy instead of recomputing the upstream plan each time
+    long = materialize(long, "quantile-input")
     ranked = global_index(long, keys + ["_v", "_x"])
-    sizes = ranked.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), F.min(IDX).alias("_g0"))
+    # group sizes from a partial aggregate of the unsorted rows; a group's first
+    # rank is the prefix sum of the sizes of the groups ordered before it
+    sizes = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = global_index(sizes, keys + ["_v"], name="_g0", weight="_n")
     want = []
     for j, p in enumerate(probs):
         pos = F.lit(p) * (F.col("_n") - 1)
@@ -75,7 +88,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: li
 
 
 def signal_statistics(df: DataFrame, keys: list[str] | None = None, signals: list[str] | None = None,
-                      quantile_method: str = "sort") -> DataFrame:
+                      quantile_method: str = "auto") -> DataFrame:
     """A1-A3: mean, max, min, sample std, median per signal; energy and power factor.
 
     Signals absent from ``df`` are skipped.  ``total_energy`` = sum(power) * 0.001
@@ -111,7 +124,7 @@ def signal_statistics(df: DataFrame, keys: list[str] | None = None, signals: lis
 
 
 def anomaly_iqr(df: DataFrame, column: str, keys: list[str] | None = None,
-                quantile_method: str = "sort", flag: str = schemas.ANOMALY_FLAG) -> DataFrame:
+                quantile_method: str = "auto", flag: str = schemas.ANOMALY_FLAG) -> DataFrame:
     """A4: flag x < Q1 - 1.5 IQR or x > Q3 + 1.5 IQR; missing values never flagged."""
     keys = list(keys or [])
     q = exact_quantiles(df, keys, [column], [0.25, 0.75], method=quantile_method)
@@ -145,24 +158,64 @@ def _is_float(dtype: str) -> bool:
     return dtype in ("double", "float")
 
 
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint", "boolean")
+_TIME = ("timestamp", "timestamp_ntz", "date")
+
+
+def _slot(c: str, t: str) -> tuple[int, Column]:
+    """Typed slot for the distinct count: 0 long, 1 double, 2 timestamp, 3 string (exact in each)."""
+    x = F.col(c)
+    if t in _INTEGRAL:
+        return 0, x.cast("long")
+    if _is_float(t):
+        return 1, nan_to_null(x.cast("double"))
+    if t in _TIME:
+        return 2, x.cast("timestamp_ntz")
+    return 3, x.cast("string")
+
+
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column dtype, non-null count, distinct count (nulls excluded), null count.
 
-    One aggregate over the frame; NaN counts as missing.  ``approx=True``
-    swaps the exact distinct count for HyperLogLog.
+    Counts come from one plain aggregate.  Exact distinct counts unpivot the
+    values into four typed slots (long / double / timestamp / string, so no
+    value changes identity), deduplicate (position, value) with a partial
+    aggregate - each column's values spread over all tasks - and count per
+    position.  ``approx=True`` uses HyperLogLog in the plain aggregate instead.
     """
     dtypes = df.dtypes
     aggs = []
     for i, (c, t) in enumerate(dtypes):
         x = nan_to_null(F.col(c)) if _is_float(t) else F.col(c)
-        dc = F.approx_count_distinct(x) if approx else F.count_distinct(x)
-        aggs += [F.count(x).alias(f"_nn{i}"), dc.alias(f"_d{i}"), F.count_if(x.isNull()).alias(f"_nul{i}")]
+        aggs += [F.count(x).alias(f"_nn{i}"), F.count_if(x.isNull()).alias(f"_nul{i}")]
+        if approx:
+            aggs.append(F.approx_count_distinct(x).alias(f"_d{i}"))
     wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                              F.lit(t).alias("dtype"), F.col(f"_nn{i}").alias("non_null_count"),
-                              F.col(f"_d{i}").alias("distinct_count"), F.col(f"_nul{i}").alias("null_count"))
-                     for i, (c, t) in enumerate(dtypes)])
-    return wide.select(F.inline(rows))
+    counts = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.col(f"_nn{i}").alias("non_null_count"),
+                 F.col(f"_nul{i}").alias("null_count"),
+                 (F.col(f"_d{i}") if approx else F.lit(None).cast("long")).alias("_dc"))
+        for i in range(len(dtypes))])))
+    meta = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(dtypes)],
+                                           "position int, column_name string, dtype string")
+    if approx:
+        out = counts.withColumnRenamed("_dc", "distinct_count")
+    else:
+        slots = []
+        for i, (c, t) in enumerate(dtypes):
+            k, v = _slot(c, t)
+            vals = [F.lit(None).cast(ty) for ty in ("long", "double", "timestamp_ntz", "string")]
+            vals[k] = v
+            slots.append(F.struct(F.lit(i).alias("position"), vals[0].alias("l"), vals[1].alias("d"),
+                                  vals[2].alias("t"), vals[3].alias("s"), v.isNotNull().alias("nn")))
+        long = df.select(F.inline(F.array(*slots))).where("nn").drop("nn")
+        distinct = long.distinct().groupBy("position").agg(
+            F.count(F.lit(1)).alias("distinct_count"))
+        # both sides have one row per column: bounded by the column count
+        out = counts.drop("_dc").join(F.broadcast(distinct), "position", "left")
+        out = out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
+    out = out.join(F.broadcast(meta), "position")
+    return out.select("position", "column_name", "dtype", "non_null_count", "distinct_count", "null_count")
 
 
 def frame_totals(df: DataFrame) -> DataFrame:

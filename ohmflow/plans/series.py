@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series, stats
-from ..operators.ordering import global_index
 from ..sources.tables import series_events, table
 from .registry import query, rounded
 
@@ -114,6 +113,5 @@ SELECT user_id, ROUND(SUM(value * COALESCE(back, fwd, 1.0)) / 3.6e6, 6) AS energ
 FROM r GROUP BY user_id""")
 def q_energy_kwh(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    ix = global_index(e, ["user_id", "ts", "event_id"])
-    dt = series.interval_seconds(ix, ["user_id"], "ts")
+    dt = series.interval_seconds(e, ["user_id"], ["ts", "event_id"], "ts")
     return rounded(stats.energy_kwh(dt, ["user_id"], power="value"))

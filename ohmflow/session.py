@@ -79,3 +79,16 @@ def local_path(uri: str) -> str:
         while uri.startswith("//"):
             uri = uri[1:]
     return os.path.abspath(uri)
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the files instead of
+    recomputing the plan) and lets several branches of a plan share one
+    columnar copy instead of recomputing their common input.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

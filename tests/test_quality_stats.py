@@ -105,7 +105,7 @@ def test_statistics_edge_cases(spark):
     assert stats.signal_statistics(z).collect()[0].power_factor is None
 
 
-@pytest.mark.parametrize("method", ["sort", "hash"])
+@pytest.mark.parametrize("method", ["sort", "hash", "auto"])
 def test_quantiles_match_pandas(spark, method):
     import numpy as np
     rng = np.random.default_rng(1)
@@ -126,3 +126,11 @@ def test_column_profile_and_totals(spark):
     assert prof == {"a": (2, 1, 1), "b": (2, 2, 1), "c": (2, 1, 1)}
     t = stats.frame_totals(df).collect()[0]
     assert (t.row_count, t.column_count, t.null_cells) == (3, 3, 3)
+
+
+@pytest.mark.parametrize("strategy", ["plain", "blocked"])
+def test_sequence_numbers_both_paths(spark, strategy):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 5), ("a", 2)], "k string, t int")
+    got = sorted((r.k, r.t, r.sequence_number) for r in quality.sequence_numbers(df, ["k"], ["t"],
+                                                                                  strategy=strategy).collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 5, 1)]

@@ -18,8 +18,9 @@ def frame(spark, values, key="a"):
     return spark.createDataFrame(data, "key string, seq int, x double")
 
 
-def filtered(df, method, w):
-    out = series.filter_data(df, "x", method, w, keys=["key"], order=["seq"])
+def filtered(df, method, w, strategy="auto"):
+    out = series.filter_data(df, "x", method, w, keys=["key"], order=["seq"], strategy=strategy,
+                             block_rows=100)
     return [r.x_filtered for r in out.orderBy("key", "seq").collect()]
 
 
@@ -32,8 +33,9 @@ def filtered(df, method, w):
     ("exponential", 5, [1, None, 3, 4], [1, 1, 1.8571428571428572, 2.5714285714285716]),
     ("exponential", 5, [None, 1, 3], [None, 1, 1.6666666666666667]),
 ])
-def test_filters(spark, method, w, inp, exp):
-    got = filtered(frame(spark, inp), method, w)
+@pytest.mark.parametrize("strategy", ["plain", "blocked"])
+def test_filters(spark, method, w, inp, exp, strategy):
+    got = filtered(frame(spark, inp), method, w, strategy)
     assert all(approx(g, e) for g, e in zip(got, exp)), got
 
 
@@ -42,19 +44,21 @@ def test_unknown_filter_method(spark):
         series.filter_data(frame(spark, [1, 2]), "x", "kalman", 3, keys=["key"], order=["seq"])
 
 
-def test_filters_per_key_and_input_order(spark):
+@pytest.mark.parametrize("strategy", ["plain", "blocked"])
+def test_filters_per_key_and_input_order(spark, strategy):
     a = frame(spark, [1, 2, 6, 4], "a")
     b = frame(spark, [9, 1, 5, 7], "b")
     one = frame(spark, [7], "c")
     df = a.unionByName(b).unionByName(one).orderBy(F.rand(3))
-    got = series.filter_data(df, "x", "moving_average", 3, keys=["key"], order=["seq"])
+    got = series.filter_data(df, "x", "moving_average", 3, keys=["key"], order=["seq"], strategy=strategy)
     res = {(r.key, r.seq): r.x_filtered for r in got.collect()}
     assert [res[("a", i)] for i in range(1, 5)] == [1, 3, 4, 4]
     assert all(approx(g, e) for g, e in zip([res[("b", i)] for i in range(1, 5)], [9, 5, 13 / 3, 7]))
     assert res[("c", 1)] == 7
 
 
-def test_exponential_matches_pandas_with_gaps(spark):
+@pytest.mark.parametrize("strategy", ["plain", "blocked"])
+def test_exponential_matches_pandas_with_gaps(spark, strategy):
     pd = pytest.importorskip("pandas")
     import numpy as np
     rng = np.random.default_rng(7)
@@ -65,7 +69,7 @@ def test_exponential_matches_pandas_with_gaps(spark):
     exp = exp.fillna(pd.Series(x))
     df = spark.createDataFrame([("k", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)],
                                "key string, seq int, x double")
-    got = series.exponential(df, ["key"], ["seq"], "x", span=5, block_rows=100)
+    got = series.exponential(df, ["key"], ["seq"], "x", span=5, block_rows=100, strategy=strategy)
     got = [r.x_filtered for r in got.orderBy("seq").collect()]
     for g, e in zip(got, exp):
         assert (g is None and np.isnan(e)) or approx(g, e, 1e-9)
@@ -129,10 +133,11 @@ def test_forward_fill_across_blocks(spark):
     assert [r.f for r in out] == [None, None, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0]
 
 
-def test_downsample_keeps_extremes(spark):
+@pytest.mark.parametrize("strategy", ["plain", "blocked"])
+def test_downsample_keeps_extremes(spark, strategy):
     df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([5, 1, 9, 3, 3, 8])],
                                "key string, seq int, x double").withColumn("ts", F.col("seq").cast("timestamp"))
-    out = series.downsample_minmax(df, ["key"], ["seq"], "ts", "x", buckets=2).orderBy("bucket").collect()
+    out = series.downsample_minmax(df, ["key"], ["seq"], "ts", "x", buckets=2, strategy=strategy).orderBy("bucket").collect()
     assert [(r.n_points, r.x_min, r.x_max) for r in out] == [(3, 1.0, 9.0), (3, 3.0, 8.0)]
 
 
@@ -140,3 +145,12 @@ def test_parse_timestamps(spark):
     df = spark.createDataFrame([("2025/5/2",), ("2024-01-02 03:04:05",), ("abc",)], "t string")
     got = [r.t for r in series.parse_timestamps(df, "t").collect()]
     assert got == [dt.datetime(2025, 5, 2), dt.datetime(2024, 1, 2, 3, 4, 5), None]
+
+
+def test_strategy_choice_measures_largest_key(spark):
+    from ohmflow.operators.ordering import choose
+    df = spark.range(0, 100).select((F.col("id") % 2).alias("k"))
+    assert choose(df, ["k"], limit=50) == "plain"
+    assert choose(df, ["k"], limit=49) == "blocked"
+    with pytest.raises(ValueError):
+        choose(df, ["k"], "fast")
