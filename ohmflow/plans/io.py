@@ -220,3 +220,31 @@ def q_upsert_devices(spark, d):
     path = scratch_path(spark, "devices-v2")
     new.write.parquet(path)
     return spark.read.parquet(path)
+
+
+@query("log_operation", sql="""
+SELECT CAST(o_custkey AS VARCHAR) AS user_id, 'create_experiment' AS operation_type,
+       'experiment ' || CAST(o_orderkey AS VARCHAR) AS operation_detail, o_orderdate AS created_at
+FROM orders""")
+def q_log_operation(spark, d):
+    """K7: audit rows appended with the given user id kept (never dropped when no one is signed in)."""
+    o = table(spark, d, "orders")
+    logs = o.select(F.col("o_custkey").cast("string").alias("user_id"), F.lit("create_experiment").alias("operation_type"),
+                    F.concat(F.lit("experiment "), F.col("o_orderkey").cast("string")).alias("operation_detail"),
+                    F.col("o_orderdate").alias("created_at"))
+    path = scratch_path(spark, "oplog")
+    writers.append_rows(logs.where(F.col("o_orderstatus") == "F"), path)
+    writers.append_rows(logs.where(~(F.col("o_orderstatus") == "F") | F.col("o_orderstatus").isNull()), path)
+    return spark.read.parquet(path)
+
+
+@query("history_export", sql="""
+SELECT event_id, ts, user_id, event_type, value FROM events
+WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 23:59:59.999999'""")
+def q_history_export(spark, d):
+    """D11 export: the range query written as CSV (pushed-down scan) and read back."""
+    from ..operators import browse
+    h = browse.history_range(table(spark, d, "events"), "ts", "2024-01-10 00:00:00", "2024-01-12 23:59:59.999999")
+    path = writers.write_csv(h.select("event_id", "ts", "user_id", "event_type", "value"), scratch_path(spark, "hist"))
+    return (spark.read.option("header", "true")
+            .schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double").csv(path))

@@ -67,7 +67,7 @@ def q_filter_median(spark, d):
 
 
 # span 5 -> alpha = 1/3; error events are missing values
-@query("filter_exponential", sql="""
+ORACLE_EXP = """
 WITH RECURSIVE s AS (
   SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS x,
          ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
@@ -82,7 +82,10 @@ r AS (
          CASE WHEN s.x IS NULL THEN r.gap + 1 ELSE 0 END
   FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.rn + 1)
 SELECT s.user_id AS key, s.event_id AS seq, s.ts, s.x, ROUND(COALESCE(r.y, s.x), 6) AS x_filtered
-FROM s JOIN r ON s.user_id = r.user_id AND s.rn = r.rn""")
+FROM s JOIN r ON s.user_id = r.user_id AND s.rn = r.rn"""
+
+
+@query("filter_exponential", sql=ORACLE_EXP)
 def q_filter_exponential(spark, d):
     s = series_events(spark, d)
     s = s.select("key", "seq", "ts", F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
@@ -115,3 +118,34 @@ def q_energy_kwh(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
     dt = series.interval_seconds(e, ["user_id"], ["ts", "event_id"], "ts")
     return rounded(stats.energy_kwh(dt, ["user_id"], power="value"))
+
+
+@query("filter_moving_average_unkeyed", sql="""
+SELECT event_id AS seq, ts, value AS x,
+       ROUND(CASE WHEN COUNT(value) OVER w = 5 THEN AVG(value) OVER w ELSE value END, 6) AS x_filtered
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def q_filter_moving_average_unkeyed(spark, d):
+    """W1 over one series holding the whole table (no key): the case of one giant experiment."""
+    s = series_events(spark, d).select("seq", "ts", "x")
+    return rounded(series.filter_data(s, "x", "moving_average", 5, keys=[], order=["ts", "seq"]))
+
+
+@query("filter_moving_average_blocked", sql=f"""
+SELECT user_id AS key, event_id AS seq, ts, value AS x,
+       ROUND(CASE WHEN COUNT(value) OVER w = 5 THEN AVG(value) OVER w ELSE value END, 6) AS x_filtered
+FROM events {_WIN}""")
+def q_filter_moving_average_blocked(spark, d):
+    """W1 forced onto the hot-key path (global index + halo blocks), whole table."""
+    s = series_events(spark, d).select(*SERIES_COLS)
+    return rounded(series.filter_data(s, "x", "moving_average", 5, keys=["key"], order=["ts", "seq"],
+                                      strategy="blocked", block_rows=64))
+
+
+@query("filter_exponential_blocked", sql=ORACLE_EXP)
+def q_filter_exponential_blocked(spark, d):
+    """W3 forced onto the hot-key path (valid-row index, blocked fold, blocked carry)."""
+    s = series_events(spark, d)
+    s = s.select("key", "seq", "ts", F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
+                 .otherwise(F.col("x")).alias("x"))
+    return rounded(series.filter_data(s, "x", "exponential", 5, keys=["key"], order=["ts", "seq"],
+                                      strategy="blocked", block_rows=128))

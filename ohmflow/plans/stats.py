@@ -86,3 +86,17 @@ def q_column_profile(spark, d):
        + " AS BIGINT) AS null_cells FROM lineitem")
 def q_frame_totals(spark, d):
     return stats.frame_totals(table(spark, d, "lineitem"))
+
+
+@query("signal_statistics_sorted", sql="""
+SELECT event_type,
+       ROUND(AVG(value), 6) AS power_mean, ROUND(MAX(value), 6) AS power_max,
+       ROUND(MIN(value), 6) AS power_min, ROUND(STDDEV_SAMP(value), 6) AS power_std,
+       ROUND(QUANTILE_CONT(value, 0.5), 6) AS power_median,
+       ROUND(SUM(value) * 0.001, 6) AS total_energy, CAST(0.0 AS DOUBLE) AS power_factor
+FROM events GROUP BY event_type
+""")
+def q_signal_statistics_sorted(spark, d):
+    """A1 with medians from the distributed sort (the path taken for a hot group)."""
+    e = series_events(spark, d).select("event_type", F.col("x").alias("power"))
+    return rounded(stats.signal_statistics(e, keys=["event_type"], quantile_method="sort"))
