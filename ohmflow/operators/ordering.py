@@ -100,6 +100,9 @@ def _bucket_expr(order: list[str], types: dict, bounds: list[tuple]) -> Column:
 
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 100_000
+# the bucket id is a balanced tree of struct comparisons (depth log2(buckets));
+# beyond this many buckets the expression itself would grow too large
+MAX_BUCKETS = 4096
 
 
 def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets: int | None = None,
@@ -120,7 +123,7 @@ def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets:
     (the index is the special case of weight 1).
     """
     spark = df.sparkSession
-    n = num_buckets or shuffle_partitions(spark)
+    n = min(num_buckets or shuffle_partitions(spark), MAX_BUCKETS)
     order = list(order)
     types = dict(df.dtypes)
     bounds: list[tuple] = []
