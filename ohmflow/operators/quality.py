@@ -14,6 +14,7 @@ from ..functions.columns import missing_required, normalize_columns, strict_doub
 from .ordering import IDX, choose, global_index, row_number_in_key
 
 __all__ = ["normalize_columns", "coerce_numeric", "power_mismatch", "rule_counters", "validation_report",
+           "validation_messages",
            "range_violations", "drop_empty_rows", "shape_records", "filter_eq", "check_constraints",
            "duplicate_keys", "sequence_numbers"]
 
@@ -78,6 +79,31 @@ def validation_report(df: DataFrame, keys: list[str] | None = None, strict_names
     return wide.select(*keys, F.inline(entries), (total == 0).alias("valid"))
 
 
+def _message(rule: str) -> str:
+    if rule.startswith("missing_"):
+        return schemas.MSG_MISSING.format(cols=schemas.ORIGINAL_NAMES.get(rule[8:], rule[8:]))
+    if rule.endswith("_not_numeric"):
+        return schemas.MSG_NOT_NUMERIC.format(col=schemas.ORIGINAL_NAMES[rule[:-12]])
+    return {"current_negative": schemas.MSG_CURRENT_NEGATIVE, "current_above_max": schemas.MSG_CURRENT_ABOVE_MAX,
+            "voltage_negative": schemas.MSG_VOLTAGE_NEGATIVE, "voltage_above_max": schemas.MSG_VOLTAGE_ABOVE_MAX,
+            "power_mismatch": schemas.MSG_POWER_MISMATCH}[rule]
+
+
+def validation_messages(report: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """P6 in its original shape: per key (valid, messages of violated rules in report order).
+
+    Missing columns give one message each.  Messages are joined by '; '.
+    """
+    keys = list(keys or [])
+    names = ([f"missing_{c}" for c in schemas.REQUIRED] + [f"{c}_not_numeric" for c in schemas.REQUIRED]
+             + ["current_negative", "current_above_max", "voltage_negative", "voltage_above_max", "power_mismatch"])
+    msg = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(_message(n)))])
+    bad = F.when(F.col("violations") > 0, F.struct(F.col("rule_no"), msg[F.col("rule")].alias("m")))
+    agg = report.groupBy(*keys).agg(F.min("valid").alias("valid"), F.collect_list(bad).alias("_m"))
+    text = F.array_join(F.transform(F.array_sort(F.col("_m")), lambda e: e["m"]), "; ")
+    return agg.select(*keys, "valid", text.alias("messages"))
+
+
 def range_violations(coerced: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """P4 counters per key (bounds themselves pass)."""
     keys = list(keys or [])

@@ -48,7 +48,7 @@ def _freq_us(freq: str | int | float) -> int:
 
 def resample_mean(df: DataFrame, ts: str = "timestamp", freq: str | int | float = "1S",
                   keys: list[str] | None = None, values: list[str] | None = None,
-                  ts_out: str | None = None) -> DataFrame:
+                  ts_out: str | None = None, max_bins: int | None = None) -> DataFrame:
     """Mean of every numeric column per fixed bin; empty bins kept as NULL.
 
     Bins start at midnight of the first day of each key, are left-closed and
@@ -76,6 +76,11 @@ def resample_mean(df: DataFrame, ts: str = "timestamp", freq: str | int | float
     last_bin = F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_hi")) / F.lit(step)).cast("long")
     first_bin = F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_lo")) / F.lit(step)).cast("long")
     sp = spans.select(*keys, "_origin", first_bin.alias("_b0"), last_bin.alias("_b1"))
+    if max_bins is not None:
+        # optional guard: estimate the spine (one aggregate over the per-key spans) before building it
+        total = sp.agg(F.sum(F.col("_b1") - F.col("_b0") + 1)).collect()[0][0] or 0
+        if total > max_bins:
+            raise ValueError(f"resampling would produce {total} bins (> max_bins={max_bins})")
     nchunks = F.floor((F.col("_b1") - F.col("_b0")) / F.lit(SPINE_CHUNK)).cast("long")
     chunks = sp.select(*keys, "_origin", "_b0", "_b1",
                        F.explode(F.sequence(F.lit(0).cast("long"), nchunks)).alias("_c"))

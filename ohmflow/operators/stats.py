@@ -22,6 +22,7 @@ from ..session import materialize
 from .ordering import IDX, choose, global_index, join_on_keys
 
 SIGNALS = ["current", "voltage", "power"]
+APPROX_ACCURACY = 100_000
 
 
 def _label(p: float) -> str:
@@ -39,6 +40,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: li
     """
     if method == "auto":
         method = "hash" if choose(df, keys) == "plain" else "sort"
+    if method == "approx":
+        # scale option: a bounded sketch per group (relative rank error 1 / APPROX_ACCURACY)
+        aggs = []
+        for v in values:
+            x = nan_to_null(F.col(v).cast("double"))
+            arr = F.percentile_approx(x, [float(p) for p in probs], APPROX_ACCURACY)
+            for i, p in enumerate(probs):
+                aggs.append(arr[i].alias(f"{v}_{_label(p)}"))
+        return df.groupBy(*keys).agg(*aggs)
     if method == "hash":
         aggs = []
         for v in values:

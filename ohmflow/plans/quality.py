@@ -156,3 +156,21 @@ WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
 GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""")
 def q_duplicate_keys(spark, d):
     return quality.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+_MSG_SQL = {
+    "current_not_numeric": "列 ''电流'' 包含非数值数据", "voltage_not_numeric": "列 ''电压'' 包含非数值数据",
+    "power_not_numeric": "列 ''功率'' 包含非数值数据", "current_negative": "电流值不能为负数",
+    "current_above_max": "电流值超出合理范围 (>1000A)", "voltage_negative": "电压值不能为负数",
+    "voltage_above_max": "电压值超出合理范围 (>10000V)", "power_mismatch": "功率值与电流电压计算值偏差过大",
+}
+
+
+@query("validation_messages", sql="WITH v AS (" + _VALIDATE_SQL + "), m AS (SELECT * FROM (VALUES "
+       + ", ".join(f"('{k}', '{t}')" for k, t in _MSG_SQL.items()) + """) AS t(rule, message))
+SELECT experiment_id, BOOL_AND(valid) AS valid,
+       COALESCE(STRING_AGG(CASE WHEN violations > 0 THEN message END, '; ' ORDER BY rule_no), '') AS messages
+FROM v JOIN m ON v.rule = m.rule GROUP BY experiment_id""")
+def q_validation_messages(spark, d):
+    r = readings_dirty(spark, d).select(*KEY, "current", "voltage", "power")
+    return quality.validation_messages(quality.validation_report(r, keys=KEY), keys=KEY)

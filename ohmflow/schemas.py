@@ -27,6 +27,19 @@ REQUIRED = ["current", "voltage", "power"]
 HEADER_MARKER = "序号"          # marks the real header line of a raw file
 ANOMALY_FLAG = "is_anomaly"     # originally 异常
 
+# ---------------------------------------------------------------------------
+# fixed values: validation messages of the original report, in report order
+# ({cols} = missing column names joined by ', ', {col} = the original column name)
+# ---------------------------------------------------------------------------
+MSG_MISSING = "缺少必需列: {cols}"
+MSG_NOT_NUMERIC = "列 '{col}' 包含非数值数据"
+MSG_CURRENT_NEGATIVE = "电流值不能为负数"
+MSG_CURRENT_ABOVE_MAX = "电流值超出合理范围 (>1000A)"
+MSG_VOLTAGE_NEGATIVE = "电压值不能为负数"
+MSG_VOLTAGE_ABOVE_MAX = "电压值超出合理范围 (>10000V)"
+MSG_POWER_MISMATCH = "功率值与电流电压计算值偏差过大"
+ORIGINAL_NAMES = {"current": "电流", "voltage": "电压", "power": "功率"}
+
 # ---------------------------------------------------------------------------
 # fixed values: validation limits and defaults
 # ---------------------------------------------------------------------------

@@ -134,3 +134,18 @@ def test_sequence_numbers_both_paths(spark, strategy):
     got = sorted((r.k, r.t, r.sequence_number) for r in quality.sequence_numbers(df, ["k"], ["t"],
                                                                                   strategy=strategy).collect())
     assert got == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 5, 1)]
+
+
+def test_approx_quantiles_close(spark):
+    df = spark.range(0, 10001).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"))
+    got = {r.k: r.x_median for r in stats.exact_quantiles(df, ["k"], ["x"], [0.5], method="approx").collect()}
+    assert abs(got[0] - 5000) <= 2 and abs(got[1] - 5000) <= 2
+
+
+def test_validation_messages_original_text(spark):
+    df = spark.createDataFrame([("e", "abc", "10", "20"), ("e", "-1", "10", "-10"), ("f", "2", "10", "20")],
+                               "k string, current string, voltage string, power string")
+    rep = quality.validation_report(df, keys=["k"])
+    got = {r.k: (r.valid, r.messages) for r in quality.validation_messages(rep, ["k"]).collect()}
+    assert got["f"] == (True, "")
+    assert got["e"] == (False, "列 '电流' 包含非数值数据; 电流值不能为负数; 功率值与电流电压计算值偏差过大")

@@ -154,3 +154,10 @@ def test_strategy_choice_measures_largest_key(spark):
     assert choose(df, ["k"], limit=49) == "blocked"
     with pytest.raises(ValueError):
         choose(df, ["k"], "fast")
+
+
+def test_resample_guard(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1.0), (dt.datetime(2024, 1, 2), 2.0)],
+                               "timestamp timestamp_ntz, x double")
+    with pytest.raises(ValueError):
+        series.resample_mean(df, "timestamp", "1S", max_bins=1000)
