@@ -83,15 +83,21 @@ def scan_csv(spark: SparkSession, path: str, glob: str | None = "*.csv", fallbac
 
 
 def scan_preamble(spark: SparkSession, path: str, marker: str = schemas.HEADER_MARKER, sep: str = "\t",
-                  glob: str | None = None, strict_names: bool = False) -> DataFrame:
+                  glob: str | None = None, strict_names: bool = False,
+                  max_bytes: int = schemas.MAX_FILE_BYTES) -> DataFrame:
     """Delimited text whose real header is the first line containing ``marker``.
 
     Lines before it are skipped; after it, blank lines and lines whose first
     cell is not an integer sequence number (metadata lines) are dropped.  One
     row per file is read whole (files are capped at 50 MB by admission), its
     lines exploded and spread over tasks.  Columns: normalised header names
-    (strings), plus ``source_file`` and ``line_no``.
+    (strings), plus ``source_file`` and ``line_no``.  Files above ``max_bytes``
+    are refused with an error (the whole-file row must stay bounded).
     """
+    listing = list_files(spark, path, glob)
+    big = listing.where(F.col("length") > F.lit(max_bytes)).select("path").limit(5).collect()
+    if big:
+        raise ValueError(f"files above {max_bytes} bytes cannot be read whole: {[b.path for b in big]}")
     r = spark.read
     if glob:
         r = r.option("pathGlobFilter", glob)

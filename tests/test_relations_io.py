@@ -99,6 +99,8 @@ def test_preamble_and_gbk_csv(spark):
     got = fsrc.scan_preamble(spark, root + "/pre").orderBy("line_no").collect()
     assert [(r.sequence_number, r.current, r.timestamp) for r in got] == [("1", "0.11000", "2025/5/2"),
                                                                          ("2", "0.26000", "2025/5/2")]
+    with pytest.raises(ValueError):
+        fsrc.scan_preamble(spark, root + "/pre", max_bytes=10)
     os.makedirs(root + "/csv", exist_ok=True)
     with open(root + "/csv/u.csv", "w", encoding="utf-8") as f:
         f.write("name,v\n正常,1\n")
