@@ -109,17 +109,18 @@ def _batch_dir(spark, d):
     return root
 
 
+BATCH_SCHEMA = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+
+
 @query("scan_batch", sql="SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem")
 def q_scan_batch(spark, d):
-    rows, _ = fsrc.scan_batch(spark, _batch_dir(spark, d))
-    return rows.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"),
-                       F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long"),
-                       strict_double(F.col("l_quantity")).alias("l_quantity"))
+    rows, _ = fsrc.scan_batch(spark, _batch_dir(spark, d), schema=BATCH_SCHEMA)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
 @query("scan_rejects")      # file names are chosen by the writer: rows-only check
 def q_scan_rejects(spark, d):
-    _, rejected = fsrc.scan_batch(spark, _batch_dir(spark, d))
+    _, rejected = fsrc.scan_batch(spark, _batch_dir(spark, d), schema=BATCH_SCHEMA)
     return rejected
 
 

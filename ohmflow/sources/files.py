@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.columns import canonical_names
-from ..session import enable_legacy_charsets
+from ..session import enable_legacy_charsets, materialize
 
 __all__ = ["list_files", "admit_files", "split_by_encoding", "scan_csv", "scan_preamble", "scan_batch",
            "scan_json"]
@@ -126,11 +126,14 @@ def scan_preamble(spark: SparkSession, path: str, marker: str = schemas.HEADER_M
     return body.select("source_file", "line_no", *cols)
 
 
-def scan_batch(spark: SparkSession, path: str, accept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def scan_batch(spark: SparkSession, path: str, accept: list[str] | None = None,
+               schema: T.StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
     """S3: (rows of accepted CSV files tagged with file_name, rejected files with reason).
 
-    Batch loading accepts CSV only (JSON and workbooks are refused here); a
-    file whose rows are all malformed is rejected too.
+    Batch loading accepts CSV only (JSON and workbooks are refused here).
+    With a typed ``schema``, rows that do not parse are malformed; a file
+    whose rows are all malformed is rejected, other malformed rows are
+    dropped.  Without a schema every column is read as text.
     """
     accept = accept or ["csv"]
     listing = list_files(spark, path)
@@ -140,9 +143,15 @@ def scan_batch(spark: SparkSession, path: str, accept: list[str] | None = None)
     if not csv_paths:
         empty = spark.createDataFrame([], "file_name string")
         return empty, rejected
-    rows = (spark.read.option("header", "true").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").csv(csv_paths)
-            .withColumn("file_name", F.col("_metadata.file_name")))
+    rd = spark.read.option("header", "true").option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_corrupt_record")
+    if schema is not None:
+        st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        rd = rd.schema(T.StructType(list(st.fields) + [T.StructField("_corrupt_record", T.StringType())]))
+    rows = rd.csv(csv_paths).withColumn("file_name", F.col("_metadata.file_name"))
+    if schema is not None:
+        # parse once and keep the result: later plans may then use the corrupt-record column alone
+        rows = materialize(rows, "batch-parsed")
     if "_corrupt_record" in rows.columns:
         per = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("_n"),
                                             F.count("_corrupt_record").alias("_bad"))

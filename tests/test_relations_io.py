@@ -159,3 +159,18 @@ def test_queries_stable_across_partitions(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_batch_rejects_types_and_malformed(spark):
+    root = local_path(scratch_path(spark, "t-batch"))
+    os.makedirs(root, exist_ok=True)
+    with open(root + "/good.csv", "w") as f:
+        f.write("a,b\n1,2.5\n2,x\n")
+    with open(root + "/bad.csv", "w") as f:
+        f.write("a,b\nfoo,bar\nbaz,qux\n")
+    with open(root + "/r.json", "w") as f:
+        f.write('{"a": 1}\n')
+    rows, rej = fsrc.scan_batch(spark, root, schema="a int, b double")
+    assert sorted((r.a, r.b) for r in rows.collect()) == [(1, 2.5)]
+    assert sorted((r.file_name, r.reason) for r in rej.collect()) == [("bad.csv", "malformed"),
+                                                                      ("r.json", "not accepted in batch: .json")]
