@@ -43,14 +43,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset."""
-    sc = spark.sparkContext
-    cur = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:            # sessions without a local context (e.g. Connect)
+        sc = None
+    cur = sc.getCheckpointDir() if sc is not None else None
     if not cur:
         cur = spark.conf.get("spark.checkpoint.dir", None)
         if not cur:
             cur = tempfile.mkdtemp(prefix="ohmflow-ckpt-")
-        sc.setCheckpointDir(cur)
-        cur = sc.getCheckpointDir()
+            if sc is None:
+                spark.conf.set("spark.checkpoint.dir", cur)
+        if sc is not None:
+            sc.setCheckpointDir(cur)
+            cur = sc.getCheckpointDir()
     return cur
 
 
