@@ -2,7 +2,10 @@
 tumbling-window means with a watermark (D9).
 
 Event time must be a TIMESTAMP for ``withWatermark``; wall-clock
-TIMESTAMP_NTZ input is cast on the way in and back on the way out.  State is
+TIMESTAMP_NTZ input is turned into the instant it names in UTC by
+microsecond arithmetic (not a cast, which would depend on the session time
+zone) and back the same way, so watermarks and window bounds do not depend on
+the session time zone.  State is
 bounded by the watermark: duplicates are remembered only within the delay,
 and a window's state is emitted and dropped once the watermark passes its
 end.  Rows are never dropped while newer than the watermark; a row older than
@@ -19,7 +22,20 @@ from pyspark.sql import functions as F
 
 from ..operators.shapes import threshold_status
 
-__all__ = ["file_stream", "alarms", "tumbling_mean", "run_available_now"]
+__all__ = ["file_stream", "alarms", "tumbling_mean", "run_available_now", "event_time", "wall_clock"]
+
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def event_time(c: Column) -> Column:
+    """Wall-clock TIMESTAMP_NTZ (or TIMESTAMP) -> TIMESTAMP instant, independent of the session zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch_ntz(), c.cast("timestamp_ntz")))
+
+
+def wall_clock(c: Column) -> Column:
+    """Inverse of ``event_time``: TIMESTAMP instant -> TIMESTAMP_NTZ wall clock in UTC."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch_ntz())
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None,
@@ -37,7 +53,7 @@ def alarms(stream: DataFrame, ts: str, dedup_keys: list[str], value: str, thresh
            delay: str = "1 hour") -> DataFrame:
     """Drop duplicates within the watermark, keep readings above the threshold."""
     th = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    s = stream.withColumn("_evt", F.col(ts).cast("timestamp")).withWatermark("_evt", delay)
+    s = stream.withColumn("_evt", event_time(F.col(ts))).withWatermark("_evt", delay)
     s = s.dropDuplicatesWithinWatermark(dedup_keys)
     s = s.withColumn("status", threshold_status(F.col(value), th))
     return s.where(F.col("status") == "danger").drop("_evt")
@@ -46,11 +62,11 @@ def alarms(stream: DataFrame, ts: str, dedup_keys: list[str], value: str, thresh
 def tumbling_mean(stream: DataFrame, ts: str, keys: list[str], value: str, window: str = "1 hour",
                   delay: str = "10 minutes") -> DataFrame:
     """Per key and tumbling window: count and mean; append mode."""
-    s = stream.withColumn("_evt", F.col(ts).cast("timestamp")).withWatermark("_evt", delay)
+    s = stream.withColumn("_evt", event_time(F.col(ts))).withWatermark("_evt", delay)
     agg = s.groupBy(F.window("_evt", window).alias("_w"), *keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias(f"mean_{value}"))
-    return agg.select(*keys, F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("_w.end").cast("timestamp_ntz").alias("window_end"), "n", f"mean_{value}")
+    return agg.select(*keys, wall_clock(F.col("_w.start")).alias("window_start"),
+                      wall_clock(F.col("_w.end")).alias("window_end"), "n", f"mean_{value}")
 
 
 def run_available_now(result: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet") -> str:

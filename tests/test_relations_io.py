@@ -174,3 +174,20 @@ def test_batch_rejects_types_and_malformed(spark):
     assert sorted((r.a, r.b) for r in rows.collect()) == [(1, 2.5)]
     assert sorted((r.file_name, r.reason) for r in rej.collect()) == [("bad.csv", "malformed"),
                                                                       ("r.json", "not accepted in batch: .json")]
+
+
+def test_stream_windows_ignore_session_zone(spark):
+    root = local_path(scratch_path(spark, "t-zone"))
+    schema = "ts timestamp_ntz, k string, value double"
+    t = dt.datetime(2024, 1, 1, 5, 30)
+    spark.createDataFrame([(t, "a", 1.0), (t + dt.timedelta(hours=3), "a", 2.0)], schema).write.parquet(root + "/in")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        s = live.file_stream(spark, root + "/in", schema)
+        m = live.tumbling_mean(s, "ts", ["k"], "value", window="1 hour", delay="10 minutes")
+        live.run_available_now(m, root + "/out", root + "/ckpt")
+        got = [(r.window_start, r.window_end) for r in spark.read.parquet(root + "/out").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [(dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 1, 6))]
