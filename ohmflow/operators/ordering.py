@@ -84,25 +84,47 @@ def _sort_key(t):
     return out
 
 
+TREE_BUCKETS = 1024
+
+
 def _bucket_expr(order: list[str], types: dict, bounds: list[tuple]) -> Column:
-    """Bucket id = number of bounds <= row key, as a balanced tree of struct comparisons."""
+    """Bucket id = number of bounds <= row key.
+
+    Up to ``TREE_BUCKETS`` buckets: a balanced tree of struct comparisons
+    (whole-stage codegen).  Beyond: a binary search over one literal array of
+    bounds, ``aggregate`` over log2(buckets) steps, so the expression size does
+    not grow with the bucket count.
+    """
     row = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(order)])
     lits = [F.struct(*[F.lit(v).cast(types[c]).alias(f"f{i}") for i, (c, v) in enumerate(zip(order, b))])
             for b in bounds]
-
-    def tree(lo: int, hi: int) -> Column:   # bounds[lo:hi] decide buckets lo..hi
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(row < lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(bounds))
+    m = len(bounds)
+    if m < TREE_BUCKETS:
+        def tree(lo: int, hi: int) -> Column:   # bounds[lo:hi] decide buckets lo..hi
+            if lo >= hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(row < lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return tree(0, m)
+    arr = F.array(*lits)
+    steps = max(1, math.ceil(math.log2(m + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        left = row < F.try_element_at(arr, mid + 1)
+        active = lo < hi
+        return F.struct(F.when(active & ~left, mid + 1).otherwise(lo).alias("lo"),
+                        F.when(active & left, mid).otherwise(hi).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 100_000
-# the bucket id is a balanced tree of struct comparisons (depth log2(buckets));
-# beyond this many buckets the expression itself would grow too large
-MAX_BUCKETS = 4096
+# order buckets (each one is numbered inside one task): enough for ~1 GB
+# buckets at 100 TB
+MAX_BUCKETS = 1 << 17
 
 
 def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets: int | None = None,

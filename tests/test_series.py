@@ -111,6 +111,14 @@ def test_global_index_dense_under_one_hot_key(spark):
     assert rn.withColumn("m", F.row_number().over(w2)).where(F.col("m") != F.col("n")).count() == 0
 
 
+def test_global_index_binary_search_buckets(spark):
+    from ohmflow.operators import ordering
+    df = spark.range(0, 6000).select((F.col("id") % 5).alias("key"), (F.col("id") * 7919 % 6000).alias("seq"))
+    ix = global_index(df, ["key", "seq"], num_buckets=ordering.TREE_BUCKETS + 300)
+    w = Window.orderBy("key", "seq")
+    assert ix.withColumn("rn", F.row_number().over(w) - 1).where(F.col("rn") != F.col(IDX)).count() == 0
+
+
 def test_blocked_window_equals_plain_window(spark):
     df = spark.range(0, 3000).select((F.col("id") % 3).alias("key"), F.col("id").alias("seq"),
                                      F.sin(F.col("id")).alias("x"))
