@@ -31,13 +31,18 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def strict_double(c: Column, dtype: T.DataType | None = None) -> Column:
+NUMERIC_NAMES = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def strict_double(c: Column, dtype: T.DataType | str | None = None) -> Column:
     """Parse to double the way a lenient numeric coercion does: unparseable -> NULL.
 
     ``try_cast`` alone accepts Java literal suffixes ('1d', '1f'); those are
     refused here.  NaN (also the text 'nan') becomes NULL.
     """
-    if dtype is not None and isinstance(dtype, NUMERIC_TYPES):
+    numeric = (isinstance(dtype, NUMERIC_TYPES) or
+               (isinstance(dtype, str) and (dtype in NUMERIC_NAMES or dtype.startswith("decimal"))))
+    if numeric:
         return nan_to_null(c.cast("double"))
     s = F.trim(c.cast("string"))
     parsed = F.when(s.rlike(r"[0-9.][dDfF]$"), F.lit(None).cast("double")).otherwise(s.try_cast("double"))

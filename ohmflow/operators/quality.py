@@ -23,8 +23,7 @@ def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """Parse the signal columns to double; unparseable, empty and NaN -> NULL."""
     cols = [c for c in (columns or schemas.REQUIRED) if c in df.columns]
     types = dict(df.dtypes)
-    from pyspark.sql import types as T
-    parsed = {c: strict_double(F.col(c), T._parse_datatype_string(types[c])) for c in cols}
+    parsed = {c: strict_double(F.col(c), types[c]) for c in cols}
     return df.withColumns(parsed)
 
 

@@ -13,7 +13,7 @@ on the rank, so no group is ever held in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -246,4 +246,4 @@ def energy_kwh(indexed_with_dt: DataFrame, keys: list[str], power: str = "power"
 
 
 __all__ = ["exact_quantiles", "signal_statistics", "anomaly_iqr", "anomaly_zscore", "detect_anomalies",
-           "column_profile", "frame_totals", "energy_kwh", "Window"]
+           "column_profile", "frame_totals", "energy_kwh"]

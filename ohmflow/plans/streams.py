@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..session import scratch_path
 from ..streaming import live
 from .registry import query, rounded

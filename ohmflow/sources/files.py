@@ -146,7 +146,7 @@ def scan_batch(spark: SparkSession, path: str, accept: list[str] | None = None,
     rd = spark.read.option("header", "true").option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt_record")
     if schema is not None:
-        st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         rd = rd.schema(T.StructType(list(st.fields) + [T.StructField("_corrupt_record", T.StringType())]))
     rows = rd.csv(csv_paths).withColumn("file_name", F.col("_metadata.file_name"))
     if schema is not None:
