@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import attach_one_row
+
 __all__ = ["daily_tests", "pass_rate", "activity_counts", "fault_distribution", "device_trend"]
 
 
@@ -29,7 +31,7 @@ def activity_counts(experiments: DataFrame, files: DataFrame, device: str = "dev
     e = experiments.agg(F.count_distinct(F.when(F.col(status) == active, F.col(device))).alias("active_devices"),
                         F.count(F.lit(1)).alias("experiments"))
     f = files.agg(F.count(F.lit(1)).alias("files"))
-    return e.join(F.broadcast(f), F.lit(True), "inner")   # two one-row aggregates
+    return attach_one_row(e, f)   # two one-row aggregates
 
 
 def fault_distribution(experiments: DataFrame, kind: str = "experiment_type", result: str = "result") -> DataFrame:
@@ -37,8 +39,7 @@ def fault_distribution(experiments: DataFrame, kind: str = "experiment_type", re
     fails = experiments.where(F.col(result) == "fail")
     per = fails.groupBy(kind).agg(F.count(F.lit(1)).alias("failures"))
     total = fails.agg(F.count(F.lit(1)).alias("_all"))
-    return per.join(F.broadcast(total), F.lit(True), "inner").select(
-        kind, "failures", (F.col("failures") / F.col("_all")).alias("share"))
+    return attach_one_row(per, total).select(kind, "failures", (F.col("failures") / F.col("_all")).alias("share"))
 
 
 def device_trend(experiments: DataFrame, device: str, ts: str, y: str) -> DataFrame:

@@ -58,11 +58,20 @@ def choose(df: DataFrame, keys: list[str], strategy: str = "auto", limit: int =
     return "plain" if largest_group(df, keys) <= limit else "blocked"
 
 
+def attach_one_row(left: DataFrame, one_row: DataFrame, how: str = "inner") -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row.
+
+    Planned as a broadcast hash join on a constant key (the build side is one
+    row, a proven bound), never as a nested-loop or cartesian join.
+    """
+    r = one_row.withColumn("_one", F.lit(1))
+    return left.withColumn("_one", F.lit(1)).join(F.broadcast(r), "_one", how).drop("_one")
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL keys match each other (group semantics)."""
     if not keys:
-        # global (one-row) aggregate: the broadcast side is bounded by one row
-        return left.join(F.broadcast(right), F.lit(True), how)
+        return attach_one_row(left, right, how)
     ren = right.select(*[F.col(k).alias(f"_rk_{i}") for i, k in enumerate(keys)],
                        *[c for c in right.columns if c not in keys])
     cond = None

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import attach_one_row
+
 __all__ = ["series_long", "threshold_status", "matrix_pivot", "bar_totals", "share_of_total",
            "scatter_pairs", "metric_cards"]
 
@@ -40,7 +42,7 @@ def share_of_total(df: DataFrame, label: str, value: str) -> DataFrame:
     """Sum per label and its share of the grand total (the total is one row, broadcast)."""
     per = df.groupBy(label).agg(F.sum(value).alias("total"))
     grand = df.agg(F.sum(value).alias("_grand"))
-    return (per.join(F.broadcast(grand), F.lit(True), "inner")
+    return (attach_one_row(per, grand)
             .select(label, "total", F.try_divide(F.col("total"), F.col("_grand")).alias("share")))
 
 
