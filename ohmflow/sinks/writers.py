@@ -51,12 +51,13 @@ def append_readings(df: DataFrame, path: str, ts: str = "timestamp", key: str =
                     period: str = "month") -> str:
     """K4 / K7: append partitioned by ``reading_{period}`` (first day of the
     month or the day itself), rows sorted by (key, ts) inside each file so
-    that experiment and time filters skip row groups.  The shuffle is on
-    (period, key): a busy month is spread over many tasks and files."""
+    that experiment and time filters skip row groups.  The shuffle is a range
+    partitioning on (period, key, ts): a busy month or a hot experiment is
+    cut into many tasks, and files hold non-overlapping (key, ts) ranges."""
     col = f"reading_{period}"
     part = F.trunc(F.to_date(ts), "month") if period == "month" else F.to_date(ts)
     (df.withColumn(col, part)
-       .repartition(col, key)
+       .repartitionByRange(col, key, ts)
        .sortWithinPartitions(col, key, ts)
        .write.mode("append").partitionBy(col).parquet(path))
     return path

@@ -16,6 +16,8 @@ from .. import schemas
 
 __all__ = ["synth_readings"]
 
+CHUNK = 1 << 16
+
 
 def _num(v) -> Column:
     return v if isinstance(v, Column) else F.lit(float(v))
@@ -34,9 +36,18 @@ def synth_readings(drivers: DataFrame, series_id: str, start, duration: int = 30
     if n < 1:
         raise ValueError("duration * rate must be >= 1")
     step = float(duration) / (n - 1) if n > 1 else 0.0
-    pts = drivers.select(F.col(series_id).alias("series_id"), _num(voltage_nominal).alias("_vn"),
-                         _num(current_nominal).alias("_in"),
-                         F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
+    base = drivers.select(F.col(series_id).alias("series_id"), _num(voltage_nominal).alias("_vn"),
+                          _num(current_nominal).alias("_in"))
+    if n > CHUNK:
+        # long series: explode chunk ids first and spread them, then the points of each chunk
+        nchunks = (n + CHUNK - 1) // CHUNK
+        base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(nchunks - 1))).alias("_c"))
+        base = base.repartition("series_id", "_c")
+        lo = F.col("_c") * F.lit(CHUNK)
+        pts = base.select("series_id", "_vn", "_in",
+                          F.explode(F.sequence(lo, F.least(lo + F.lit(CHUNK - 1), F.lit(n - 1)))).alias("_k"))
+    else:
+        pts = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
     t = F.col("_k") * F.lit(step)
     if noise:
         nv, ni = F.randn(seed) * F.lit(float(noise)), F.randn(seed + 1) * F.lit(float(noise))

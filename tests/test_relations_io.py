@@ -74,6 +74,10 @@ def test_synth_noise_free(spark):
     for rate in (3, 7):
         r = synth_readings(drivers, "sid", "2024-01-01", duration=2, rate=rate, noise=0.0)
         assert r.count() == 2 * rate
+    from ohmflow.sources import synth
+    long = synth_readings(drivers, "sid", "2024-01-01", duration=synth.CHUNK * 2 + 5, rate=1, noise=0.0)
+    agg = long.agg(F.count(F.lit(1)), F.min("sequence_number"), F.max("sequence_number")).collect()[0]
+    assert tuple(agg) == (synth.CHUNK * 2 + 5, 1, synth.CHUNK * 2 + 5)
 
 
 def test_admission_limits(spark):
