@@ -173,7 +173,7 @@ _TIME = ("timestamp", "timestamp_ntz", "date")
 
 
 def _slot(c: str, t: str) -> tuple[int, Column]:
-    """Typed slot for the distinct count: 0 long, 1 double, 2 timestamp, 3 string (exact in each)."""
+    """Value type for the distinct count: 0 long, 1 double, 2 timestamp, 3 string (exact in each)."""
     x = F.col(c)
     if t in _INTEGRAL:
         return 0, x.cast("long")
@@ -188,10 +188,10 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column dtype, non-null count, distinct count (nulls excluded), null count.
 
     Counts come from one plain aggregate.  Exact distinct counts unpivot the
-    values into four typed slots (long / double / timestamp / string, so no
-    value changes identity), deduplicate (position, value) with a partial
-    aggregate - each column's values spread over all tasks - and count per
-    position.  ``approx=True`` uses HyperLogLog in the plain aggregate instead.
+    values into one narrow (position, value) stream per value type (long /
+    double / timestamp / string, so no value changes identity), deduplicate
+    each with a partial aggregate - each column's values spread over all
+    tasks - and count per position.  ``approx=True`` uses HyperLogLog in the plain aggregate instead.
     """
     dtypes = df.dtypes
     aggs = []
@@ -211,16 +211,16 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         out = counts.withColumnRenamed("_dc", "distinct_count")
     else:
-        slots = []
+        groups: dict[int, list] = {}
         for i, (c, t) in enumerate(dtypes):
             k, v = _slot(c, t)
-            vals = [F.lit(None).cast(ty) for ty in ("long", "double", "timestamp_ntz", "string")]
-            vals[k] = v
-            slots.append(F.struct(F.lit(i).alias("position"), vals[0].alias("l"), vals[1].alias("d"),
-                                  vals[2].alias("t"), vals[3].alias("s"), v.isNotNull().alias("nn")))
-        long = df.select(F.inline(F.array(*slots))).where("nn").drop("nn")
-        distinct = long.distinct().groupBy("position").agg(
-            F.count(F.lit(1)).alias("distinct_count"))
+            groups.setdefault(k, []).append(F.struct(F.lit(i).alias("position"), v.alias("v")))
+        distinct = None
+        for k, entries in groups.items():
+            # one narrow (position, value) stream per value type; de-duplicated map-side first
+            part = (df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull()).distinct()
+                    .groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count")))
+            distinct = part if distinct is None else distinct.unionByName(part)
         # both sides have one row per column: bounded by the column count
         out = counts.drop("_dc").join(F.broadcast(distinct), "position", "left")
         out = out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
