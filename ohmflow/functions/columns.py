@@ -45,7 +45,11 @@ def strict_double(c: Column, dtype: T.DataType | str | None = None) -> Column:
     if numeric:
         return nan_to_null(c.cast("double"))
     s = F.trim(c.cast("string"))
-    parsed = F.when(s.rlike(r"[0-9.][dDfF]$"), F.lit(None).cast("double")).otherwise(s.try_cast("double"))
+    # a Java literal suffix: last char d/D/f/F right after a digit or '.' ('inf' stays a number);
+    # two substring tests instead of a regex per cell
+    java_suffix = (F.substring(s, -1, 1).isin("d", "D", "f", "F")
+                   & F.substring(s, -2, 1).isin(*list("0123456789.")))
+    parsed = F.when(java_suffix, F.lit(None).cast("double")).otherwise(s.try_cast("double"))
     return nan_to_null(parsed)
 
 
