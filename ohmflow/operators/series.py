@@ -21,6 +21,7 @@ from .ordering import (DEFAULT_BLOCK_ROWS, IDX, blocked, choose, forward_fill, g
                        row_number_in_key)
 
 US = 1_000_000
+DAY_US = 86_400 * US
 
 
 def _w(keys, order):
@@ -67,15 +68,25 @@ def resample_mean(df: DataFrame, ts: str = "timestamp", freq: str | int | float
     t = F.col(ts).cast("timestamp_ntz")
     base = df.select(*keys, t.alias("_t"), *[nan_to_null(F.col(v).cast("double")).alias(v) for v in values])
     base = base.where(F.col("_t").isNotNull())
-    spans = base.groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    spans = spans.withColumn("_origin", F.to_date("_lo").cast("timestamp_ntz"))
-    binned = join_on_keys(base, spans.select(*keys, "_origin"), keys, "inner")
-    binned = binned.withColumn("_bin", F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_t"))
-                                               / F.lit(step)).cast("long"))
-    agg = binned.groupBy(*keys, "_bin").agg(*[F.avg(v).alias(v) for v in values])
-    last_bin = F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_hi")) / F.lit(step)).cast("long")
-    first_bin = F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_lo")) / F.lit(step)).cast("long")
-    sp = spans.select(*keys, "_origin", first_bin.alias("_b0"), last_bin.alias("_b1"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    if DAY_US % step == 0:
+        # the step divides a day: bins from the first midnight are epoch-aligned bins, so every
+        # reading gets its bin without looking up its key's first day (no join of the readings)
+        binned = base.withColumn("_bin", F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col("_t"))
+                                                 / F.lit(step)).cast("long"))
+        agg = binned.groupBy(*keys, "_bin").agg(*[F.avg(v).alias(v) for v in values])
+        sp = agg.groupBy(*keys).agg(F.min("_bin").alias("_b0"), F.max("_bin").alias("_b1"))
+        sp = sp.withColumn("_origin", epoch)
+    else:
+        spans = base.groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        spans = spans.withColumn("_origin", F.to_date("_lo").cast("timestamp_ntz"))
+        binned = join_on_keys(base, spans.select(*keys, "_origin"), keys, "inner")
+        binned = binned.withColumn("_bin", F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_t"))
+                                                   / F.lit(step)).cast("long"))
+        agg = binned.groupBy(*keys, "_bin").agg(*[F.avg(v).alias(v) for v in values])
+        last_bin = F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_hi")) / F.lit(step))
+        first_bin = F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_lo")) / F.lit(step))
+        sp = spans.select(*keys, "_origin", first_bin.cast("long").alias("_b0"), last_bin.cast("long").alias("_b1"))
     if max_bins is not None:
         # optional guard: estimate the spine (one aggregate over the per-key spans) before building it
         total = sp.agg(F.sum(F.col("_b1") - F.col("_b0") + 1)).collect()[0][0] or 0

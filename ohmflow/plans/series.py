@@ -149,3 +149,19 @@ def q_filter_exponential_blocked(spark, d):
                  .otherwise(F.col("x")).alias("x"))
     return rounded(series.filter_data(s, "x", "exponential", 5, keys=["key"], order=["ts", "seq"],
                                       strategy="blocked", block_rows=128))
+
+
+@query("resample_hourly", sql="""
+WITH g AS (
+  SELECT user_id, CAST(FLOOR(epoch_us(ts) / 3600000000) AS BIGINT) AS bin, AVG(event_id) AS event_id,
+         AVG(value) AS value
+  FROM events WHERE ts IS NOT NULL GROUP BY ALL),
+s AS (SELECT user_id, MIN(bin) AS b0, MAX(bin) AS b1 FROM g GROUP BY user_id),
+sp AS (SELECT user_id, UNNEST(generate_series(b0, b1)) AS bin FROM s)
+SELECT sp.user_id, TIMESTAMP '1970-01-01 00:00:00' + to_microseconds(sp.bin * 3600000000) AS ts,
+       ROUND(g.event_id, 6) AS event_id, ROUND(g.value, 6) AS value
+FROM sp LEFT JOIN g ON sp.user_id = g.user_id AND sp.bin = g.bin""")
+def q_resample_hourly(spark, d):
+    """T1 keyed by user with a step that divides a day (epoch-aligned bins, no per-reading origin join)."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    return rounded(series.resample_mean(e, ts="ts", freq="1h", keys=["user_id"]))
