@@ -174,3 +174,14 @@ FROM v JOIN m ON v.rule = m.rule GROUP BY experiment_id""")
 def q_validation_messages(spark, d):
     r = readings_dirty(spark, d).select(*KEY, "current", "voltage", "power")
     return quality.validation_messages(quality.validation_report(r, keys=KEY), keys=KEY)
+
+
+@query("sequence_number_blocked", sql="""
+SELECT l_orderkey AS experiment_id, l_linenumber, l_partkey, l_suppkey,
+       CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER)
+         AS sequence_number
+FROM lineitem""")
+def q_sequence_number_blocked(spark, d):
+    """P9 forced onto the skew-safe global index (the path taken for a hot experiment)."""
+    r = readings_lineitem(spark, d).select(*ROW_ID)
+    return quality.sequence_numbers(r, KEY, READINGS_ORDER, strategy="blocked")

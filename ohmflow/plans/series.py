@@ -165,3 +165,18 @@ def q_resample_hourly(spark, d):
     """T1 keyed by user with a step that divides a day (epoch-aligned bins, no per-reading origin join)."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
     return rounded(series.resample_mean(e, ts="ts", freq="1h", keys=["user_id"]))
+
+
+@query("downsample_minmax_blocked", sql="""
+WITH r AS (SELECT user_id, ts, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+                  COUNT(*) OVER (PARTITION BY user_id) AS nk FROM events)
+SELECT user_id, CAST(FLOOR((rn - 1) * 10 / nk) AS BIGINT) AS bucket, COUNT(*) AS n_points,
+       MIN(ts) AS ts_first, MAX(ts) AS ts_last,
+       ROUND(MIN(value), 6) AS value_min, FIRST(ts ORDER BY value, rn) AS ts_min,
+       ROUND(MAX(value), 6) AS value_max, FIRST(ts ORDER BY value DESC, rn) AS ts_max
+FROM r GROUP BY ALL""")
+def q_downsample_minmax_blocked(spark, d):
+    """D10 forced onto the global-index path."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    return rounded(series.downsample_minmax(e, ["user_id"], ["ts", "event_id"], "ts", "value", buckets=10,
+                                            strategy="blocked"))

@@ -100,3 +100,15 @@ def q_signal_statistics_sorted(spark, d):
     """A1 with medians from the distributed sort (the path taken for a hot group)."""
     e = series_events(spark, d).select("event_type", F.col("x").alias("power"))
     return rounded(stats.signal_statistics(e, keys=["event_type"], quantile_method="sort"))
+
+
+@query("anomaly_iqr_sorted", sql="""
+WITH q AS (SELECT event_type, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.75) AS q3
+           FROM events GROUP BY event_type)
+SELECT e.event_id, e.event_type, e.value,
+       COALESCE(e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1), false) AS is_anomaly
+FROM events e JOIN q ON e.event_type = q.event_type""")
+def q_anomaly_iqr_sorted(spark, d):
+    """A4 with quartiles from the distributed sort (the path taken for a hot group)."""
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    return stats.anomaly_iqr(e, "value", keys=["event_type"], quantile_method="sort")
