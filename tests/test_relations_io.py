@@ -150,7 +150,8 @@ def test_entry_smoke(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", ["validate_report", "filter_exponential", "resample_mean", "verdict"])
+@pytest.mark.parametrize("name", ["validate_report", "filter_exponential", "resample_mean", "verdict",
+                                  "filter_exponential_blocked", "sequence_number_blocked", "anomaly_iqr_sorted"])
 def test_queries_stable_across_partitions(spark, name):
     import __spark_entry__ as E
     q = E.queries()[name]
