@@ -1,14 +1,18 @@
 """Skew-safe ordering primitives.
 
 A plain ``Window.partitionBy(key)`` sorts one key inside one task; a key that
-holds a third of all rows would then sit in a single task.  The primitives
-here never do that:
+holds a third of all rows would then sit in a single task.  ``choose``
+measures the largest key (one partial aggregate) and callers keep the plain
+window only when every key fits one task; otherwise they use the primitives
+below, which never put a whole key in one task:
 
 ``global_index``
     cut the order into balanced, order-preserving buckets (bounds from a
-    fixed-seed sample), number rows inside each bucket and add the row count
-    of earlier buckets (one small aggregate, bounded by the bucket count,
-    broadcast).  The result is a dense 0-based index in (keys, order) order.
+    bounded, deterministic sample: the rows with the smallest hashes), number
+    rows inside each bucket and add the row count of earlier buckets (one
+    small aggregate, bounded by the bucket count, broadcast).  The result is
+    a dense 0-based index in (keys, order) order, identical in every branch
+    of a plan and on every recomputation after a lost executor.
 
 ``blocked``
     cut the index into blocks of ``block_rows``, copy the ``before`` last rows
