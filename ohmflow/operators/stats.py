@@ -4,8 +4,8 @@ Every function takes ``keys``: with ``keys=[]`` the whole frame is one group,
 which is the original behaviour; with keys each group gets its own answer.
 
 Exact quantiles (median, quartiles): when the largest group is within
-``PLAIN_KEY_ROWS`` (measured by one partial aggregate), Spark's exact
-``percentile`` keeps a bounded value map per group.  A hotter group takes a
+``PLAIN_KEY_ROWS`` (measured by one partial aggregate), each group's values
+are collected and sorted once (bounded by that measure).  A hotter group takes a
 distributed sort: rows are ranked by ``global_index`` on (keys, variable,
 value) and the two ranks around ``p * (n - 1)`` are fetched by an equi-join
 on the rank, so no group is ever held in one task.
@@ -34,12 +34,27 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: li
     """One row per key with ``{value}_{label}`` columns (linear interpolation).
 
     NULL and NaN are ignored; a group without values gets NULL.  ``auto``
-    measures the largest group: within ``PLAIN_KEY_ROWS`` the per-group value
-    map of ``percentile`` is bounded and one pass suffices ('hash'); a hotter
-    group takes the distributed sort ('sort').
+    measures the largest group: within ``PLAIN_KEY_ROWS`` each group's values
+    are collected and sorted once ('list', bounded by that measure); a hotter
+    group takes the distributed sort ('sort').  'hash' (Spark's exact
+    ``percentile``) and 'approx' (``percentile_approx``) are also offered.
     """
     if method == "auto":
-        method = "hash" if choose(df, keys) == "plain" else "sort"
+        method = "list" if choose(df, keys) == "plain" else "sort"
+    if method == "list":
+        # bounded groups (measured): each group's values sorted once, ranks picked by position
+        lists = [F.array_sort(F.collect_list(nan_to_null(F.col(v).cast("double")))).alias(f"_l{i}")
+                 for i, v in enumerate(values)]
+        g = df.groupBy(*keys).agg(*lists)
+        cols = []
+        for i, v in enumerate(values):
+            arr = F.col(f"_l{i}")
+            for p in probs:
+                pos = F.lit(float(p)) * (F.size(arr) - 1)
+                lo = F.try_element_at(arr, (F.floor(pos) + 1).cast("int"))
+                hi = F.try_element_at(arr, (F.ceil(pos) + 1).cast("int"))
+                cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"{v}_{_label(p)}"))
+        return g.select(*keys, *cols)
     if method == "approx":
         # scale option: a bounded sketch per group (relative rank error 1 / APPROX_ACCURACY)
         aggs = []

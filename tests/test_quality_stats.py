@@ -105,7 +105,7 @@ def test_statistics_edge_cases(spark):
     assert stats.signal_statistics(z).collect()[0].power_factor is None
 
 
-@pytest.mark.parametrize("method", ["sort", "hash", "auto"])
+@pytest.mark.parametrize("method", ["sort", "hash", "list", "auto"])
 def test_quantiles_match_pandas(spark, method):
     import numpy as np
     rng = np.random.default_rng(1)
