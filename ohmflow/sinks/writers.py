@@ -18,8 +18,8 @@ from .. import schemas
 TS_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
-__all__ = ["write_csv", "write_json", "write_multi", "append_readings", "apply_defaults", "append_rows",
-           "upsert"]
+__all__ = ["write_csv", "write_json", "write_multi", "default_export_name", "append_readings", "apply_defaults",
+           "append_rows", "upsert"]
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite") -> str:
@@ -37,8 +37,27 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_multi(frames: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
-    """K3: several named frames as one artefact: ``{root}/{name}/`` each."""
+# fixed values: default export name pattern (prefix + local time stamp)
+EXPORT_PREFIX = "export"
+EXPORT_STAMP = "%Y%m%d_%H%M%S"
+
+
+def default_export_name(now=None) -> str:
+    """``export_<yyyyMMdd_HHmmss>`` for an artefact without a given name."""
+    import datetime as _dt
+    return f"{EXPORT_PREFIX}_{(now or _dt.datetime.now()).strftime(EXPORT_STAMP)}"
+
+
+def write_multi(frames: dict[str, DataFrame], root: str | None = None, fmt: str = "parquet",
+                spark=None) -> dict[str, str]:
+    """K3: several named frames as one artefact: ``{root}/{name}/`` each.
+
+    Without ``root`` the artefact goes to ``export_<stamp>`` under the shared
+    checkpoint folder."""
+    if root is None:
+        from ..session import ensure_checkpoint_dir
+        sess = spark or next(iter(frames.values())).sparkSession
+        root = f"{ensure_checkpoint_dir(sess).rstrip('/')}/{default_export_name()}"
     out = {}
     for name, df in frames.items():
         p = f"{root.rstrip('/')}/{name}"

@@ -196,3 +196,7 @@ def test_stream_windows_ignore_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [(dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 1, 6))]
+
+
+def test_default_export_name():
+    assert writers.default_export_name(dt.datetime(2025, 5, 2, 14, 22, 56)) == "export_20250502_142256"
