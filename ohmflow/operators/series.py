@@ -12,6 +12,7 @@ all rows is still spread over many tasks.  ``strategy`` forces either path.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,9 @@ def resample_mean(df: DataFrame, ts: str = "timestamp", freq: str | int | float
     keys = list(keys or [])
     step = _freq_us(freq)
     ts_out = ts_out or ts
+    if ts not in df.columns:
+        warnings.warn(f"no time column {ts!r}: frame returned unchanged", stacklevel=2)
+        return df
     if values is None:
         numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
         values = [c for c, t in df.dtypes if t in numeric and c not in keys and c != ts]

@@ -169,3 +169,9 @@ def test_resample_guard(spark):
                                "timestamp timestamp_ntz, x double")
     with pytest.raises(ValueError):
         series.resample_mean(df, "timestamp", "1S", max_bins=1000)
+
+
+def test_resample_without_time_column_is_unchanged(spark):
+    df = spark.createDataFrame([(1.0,)], "x double")
+    with pytest.warns(UserWarning):
+        assert series.resample_mean(df, "timestamp", "1S") is df
