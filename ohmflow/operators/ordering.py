@@ -65,11 +65,14 @@ def choose(df: DataFrame, keys: list[str], strategy: str = "auto", limit: int =
 def attach_one_row(left: DataFrame, one_row: DataFrame, how: str = "inner") -> DataFrame:
     """Attach the columns of a one-row aggregate to every row.
 
-    Planned as a broadcast hash join on a constant key (the build side is one
-    row, a proven bound), never as a nested-loop or cartesian join.
+    The row is packed into one struct and read as a scalar subquery (computed
+    once, shipped as a value): no join at all, so neither a nested-loop nor a
+    cartesian plan.  A second row would fail the subquery, which is the
+    contract of a global aggregate.
     """
-    r = one_row.withColumn("_one", F.lit(1))
-    return left.withColumn("_one", F.lit(1)).join(F.broadcast(r), "_one", how).drop("_one")
+    packed = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("_s")).scalar()
+    return left.select(*[F.col(c) for c in left.columns],
+                       *[packed[c].alias(c) for c in one_row.columns])
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
