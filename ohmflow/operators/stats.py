@@ -53,7 +53,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: li
                 pos = F.lit(float(p)) * (F.size(arr) - 1)
                 lo = F.try_element_at(arr, (F.floor(pos) + 1).cast("int"))
                 hi = F.try_element_at(arr, (F.ceil(pos) + 1).cast("int"))
-                cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"{v}_{_label(p)}"))
+                q = lo + (hi - lo) * (pos - F.floor(pos))
+                # a group without values (all NULL / NaN) has an empty list: NULL, never index 0
+                cols.append(F.when(F.size(arr) > 0, q).alias(f"{v}_{_label(p)}"))
         return g.select(*keys, *cols)
     if method == "approx":
         # scale option: a bounded sketch per group (relative rank error 1 / APPROX_ACCURACY)

@@ -149,3 +149,10 @@ def test_validation_messages_original_text(spark):
     got = {r.k: (r.valid, r.messages) for r in quality.validation_messages(rep, ["k"]).collect()}
     assert got["f"] == (True, "")
     assert got["e"] == (False, "列 '电流' 包含非数值数据; 电流值不能为负数; 功率值与电流电压计算值偏差过大")
+
+
+@pytest.mark.parametrize("method", ["list", "sort", "hash"])
+def test_quantiles_all_null_group(spark, method):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), ("b", 3.0)], "k string, x double")
+    got = {r.k: r.x_median for r in stats.exact_quantiles(df, ["k"], ["x"], [0.5], method=method).collect()}
+    assert got.get("a") is None and got["b"] == 2.0
