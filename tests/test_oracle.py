@@ -18,9 +18,11 @@ from conftest import SF_SMALL  # noqa: E402
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as E  # noqa: E402
+from ohmflow.plans import registry  # noqa: E402
 from oracle_check import TABLES, canon  # noqa: E402
 
-SQL = E.oracle_sql()
+registry.load_all()
+SQL = dict(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +47,6 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_rows_or_oracle(spark):
-    names = set(E.queries())
+    names = set(registry.QUERIES)
     assert len(names) >= 70
     assert names - set(SQL) == {"scan_rejects"}
