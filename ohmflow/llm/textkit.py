@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,12 +112,12 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64 for i < n (kept for the next chunk)."""
     got = _powers.get(base)
     if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, CHUNK_BYTES)
         c = int(_BASES[base])
         up, down = np.full(size, c, dtype=np.uint64), np.full(size, pow(c, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
         got = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:                        # longer texts are rare: not kept
             _powers[base] = got
     return got
 
