@@ -71,6 +71,14 @@ def _words(arr):
     return data, starts, ends, first
 
 
+def _runs(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal value within one row."""
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    return head, np.diff(np.append(head, len(value)))
+
+
 def _cut(min_words: int, k: int):
     """Phrases of each document: (doc_id, anchor, phrase, start word, windows)."""
     def run(batches):
@@ -84,10 +92,8 @@ def _cut(min_words: int, k: int):
             gram = tk.range_hash(words, at, at + k, 1)
             anchor = _anchors(gram, win, min_words - k + 1)
             rows = tk.rows_of(first)[win]
-            new = np.ones(len(win), dtype=bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1])
-            head = np.flatnonzero(new)
-            count = np.diff(np.append(head, len(win)))
+            # by the anchor's hash, not its place: a word said a thousand times is one phrase
+            head, count = _runs(gram[anchor], rows)
             begin = win[head]
             phrase = tk.range_hash(words, begin, begin + count + min_words - 1, 2)
             row = rows[head]
@@ -100,7 +106,7 @@ def _cut(min_words: int, k: int):
 
 
 def _split(min_words: int):
-    """Windows of the phrases listed in ``todo`` (pos, n, anchor): (doc_id, anchor, win, pos)."""
+    """Windows of the phrases listed in ``todo`` (pos, n, anchor): (doc_id, anchor, win, pos, n equal ones)."""
     def run(batches):
         for batch in tk.chunked(batches, "text"):
             todo = batch.column("todo")
@@ -115,11 +121,13 @@ def _split(min_words: int):
             words = tk.span_hash(data, starts, ends)
             begin = np.repeat(first[row] + pos, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             win = tk.range_hash(words, begin, begin + min_words, 2)
-            rows = np.repeat(row, n)
+            phrase = np.repeat(np.arange(len(n)), n)
+            head, count = _runs(win, phrase)
+            phrase, begin = phrase[head], begin[head]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(rows)), pa.array(np.repeat(anchor, n)),
-                pa.array(win.view(np.int64)), pa.array((begin - first[rows]).astype(np.int32))],
-                names=["doc_id", "anchor", "win", "pos"])
+                batch.column("doc_id").take(pa.array(row[phrase])), pa.array(anchor[phrase]),
+                pa.array(win[head].view(np.int64)), pa.array((begin - first[row[phrase]]).astype(np.int32)),
+                pa.array(count.astype(np.int32))], names=["doc_id", "anchor", "win", "pos", "n"])
     return run
 
 
@@ -152,12 +160,13 @@ def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
     phrases = docs.where("doc_id is not null").mapInArrow(
         _cut(min_words, k), "doc_id long, anchor long, phrase long, pos int, n int")
     phrases = stored(phrases, "rlz-phrases")
-    shared = (phrases.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("anchor"))
+    # the small side of each join below is written first: only then can Spark split a hot key's side
+    shared = stored(phrases.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                    .where("lo < hi").select("anchor"), "rlz-shared")
     block = stored(phrases.join(shared, "anchor", "left_semi"), "rlz-blocks")
-    index = block.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("first_doc"))
-    several = (index.groupBy("anchor").agg(F.min("phrase").alias("a"), F.max("phrase").alias("b"))
-               .where("a <> b").select("anchor", F.lit(True).alias("several")))
+    index = stored(block.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("first_doc")), "rlz-firsts")
+    several = stored(index.groupBy("anchor").agg(F.min("phrase").alias("a"), F.max("phrase").alias("b"))
+                     .where("a <> b").select("anchor", F.lit(True).alias("several")), "rlz-several")
     index = stored(index.join(several, "anchor", "left"), "rlz-index")
     found = block.join(index, ["anchor", "phrase"]).where("first_doc < doc_id or several")
     whole = F.col("first_doc") < F.col("doc_id")
@@ -167,12 +176,12 @@ def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
     found = stored(found, "rlz-factors")
     texts = docs.select("doc_id", "text")
     windows = (texts.join(found.where("size(todo) > 0").select("doc_id", "todo"), "doc_id", "left")
-               .mapInArrow(_split(min_words), "doc_id long, anchor long, win long, pos int"))
+               .mapInArrow(_split(min_words), "doc_id long, anchor long, win long, pos int, n int"))
     windows = stored(windows, "rlz-windows")
-    earliest = (windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                .where("lo < hi"))
+    earliest = stored(windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                      .where("lo < hi"), "rlz-earliest")
     partial = (windows.join(earliest, ["anchor", "win"]).where("doc_id > lo")
-               .groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.lit(1).alias("n"))).alias("more")))
+               .groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("more")))
     empty = F.array().cast("array<struct<pos:int,n:int>>")
     return (found.select("doc_id", "dup").join(partial, "doc_id", "full")
             .select("doc_id", F.concat(F.coalesce("dup", empty), F.coalesce("more", empty)).alias("dup")))
