@@ -21,14 +21,19 @@ Other columns pass through, whatever their names; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import stored, table
 
 MODULUS = 3
 BASE = 31
-_OWN = ("_lines", "_hashes", "_ends", "_chunks")
+
+
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once: a one-element explode, which the optimizer
+    does not repeat inside the lambdas that read the column."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -37,15 +42,15 @@ def _cut(df: DataFrame) -> DataFrame:
     A line's hash is 28 bits of its md5, which every SQL engine has; the line
     before the first counts as 0.
     """
-    return (df.withColumn("_lines", F.split("text", "\n", -1))
-            .withColumn("_hashes", F.expr(
-                "transform(_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"))
-            .withColumn("_ends", F.expr(f"""
-                filter(sequence(1, size(_lines)), i -> i = size(_lines) or
-                    (_hashes[i - 1] + {BASE} * if(i > 1, _hashes[greatest(i - 2, 0)], 0L)) % {MODULUS} = 0)"""))
-            .withColumn("_chunks", F.expr("""
-                transform(_ends, (e, k) -> slice(_lines, if(k = 0, 1, _ends[greatest(k - 1, 0)] + 1),
-                                                 e - if(k = 0, 0, _ends[greatest(k - 1, 0)])))""")))
+    df = _settled(df, "_lines", F.split("text", "\n", -1))
+    df = _settled(df, "_hashes", F.expr(
+        "transform(_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"))
+    df = _settled(df, "_ends", F.expr(f"""
+        filter(sequence(1, size(_lines)), i -> i = size(_lines) or
+            (_hashes[i - 1] + {BASE} * if(i > 1, _hashes[greatest(i - 2, 0)], 0L)) % {MODULUS} = 0)"""))
+    return _settled(df, "_chunks", F.expr("""
+        transform(_ends, (e, k) -> slice(_lines, if(k = 0, 1, _ends[greatest(k - 1, 0)] + 1),
+                                         e - if(k = 0, 0, _ends[greatest(k - 1, 0)])))"""))
 
 
 def removed_chunks(docs: DataFrame) -> DataFrame:
@@ -70,7 +75,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        "text", F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"))
     both = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    kept = _cut(both).withColumn("_kept", F.expr("""
+    kept = _settled(_cut(both), "_kept", F.expr("""
         flatten(transform(filter(transform(_chunks, (c, k) -> struct(k as k, c as c)),
                                  x -> not array_contains(_gone, x.k)), x -> x.c))"""))
     lines = F.coalesce(F.size("_lines"), F.lit(0))

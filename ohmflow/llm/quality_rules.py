@@ -43,7 +43,7 @@ REPEAT_PERCENT = 20
 SUPPORT = 0.75
 STEPS = 3
 LEAST = 50
-CUTOFF = 60.0
+CUTOFF = 50.0
 SCALE = 1000
 FEATURES = ("words", "length", "symbols", "repeats", "upper", "punct")
 #: smallest standard deviation of each feature
