@@ -72,23 +72,20 @@ def strip_unit(name: str) -> str:
 def canonical_names(columns: list[str], strict: bool = False) -> list[str]:
     """Names after alias normalisation (positional, so 'I' and 'i' never collide).
 
-    For each canonical name that is absent, the first alias present is renamed.
-    ``strict=True`` keeps unit suffixes, as the original did; by default a
-    trailing '(unit)' is removed first.
+    For each canonical name the first alias present, in the order of the alias
+    list, gets it; a column that held the name before keeps its values under
+    ``<name>_other``.  ``strict=True`` keeps unit suffixes, as the original did;
+    by default a trailing '(unit)' is removed first.
     """
     names = [c.strip() if strict else strip_unit(c) for c in columns]
-    present = set(names)
     out = list(names)
     for canon, aliases in schemas.ALIASES.items():
-        if canon in present:
+        alias = next((a for a in aliases if a in names), None)
+        if alias is None or alias == canon:
             continue
-        for alias in aliases:
-            if alias in present and alias != canon:
-                idx = out.index(alias)
-                out[idx] = canon
-                present.discard(alias)
-                present.add(canon)
-                break
+        if canon in names:
+            out[names.index(canon)] = f"{canon}_other"
+        out[names.index(alias)] = canon
     return out
 
 

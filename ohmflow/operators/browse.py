@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-__all__ = ["newest", "readings_page", "sorted_list", "single_row", "preview_head", "history_range"]
+__all__ = ["newest", "readings_page", "sorted_list", "single_row", "preview_head", "history_range",
+           "home_cards"]
 
 
 def newest(df: DataFrame, order_col: str, tie: str, n: int = schemas.EXPERIMENTS_PAGE, offset: int = 0) -> DataFrame:
@@ -53,3 +54,11 @@ def history_range(df: DataFrame, ts: str, start, end) -> DataFrame:
     (row-group skipping, and partition pruning on date-partitioned layouts)."""
     c = F.col(ts)
     return df.where((c >= F.lit(start).cast("timestamp_ntz")) & (c <= F.lit(end).cast("timestamp_ntz")))
+
+
+def home_cards(df: DataFrame) -> DataFrame:
+    """The home page's columns; an absent column is empty text, an absent device the fixed label
+    (a device that is there but NULL stays NULL)."""
+    cols = {"experiment_name": "", "experiment_type": "", "status": "", "result": "", "start_time": "",
+            "device_id": schemas.UNKNOWN_DEVICE_LABEL}
+    return df.select(*[F.col(c) if c in df.columns else F.lit(v).alias(c) for c, v in cols.items()])

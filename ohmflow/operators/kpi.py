@@ -13,10 +13,19 @@ __all__ = ["daily_tests", "pass_rate", "activity_counts", "fault_distribution",
 
 
 def daily_tests(experiments: DataFrame, ts: str = "created_at") -> DataFrame:
-    """Experiments per day and the change against the previous day that had tests."""
+    """Experiments per day and the change against the day before.
+
+    Every day from the first to the last has a row (0 tests where there were
+    none); the first day has no change.  Experiments without a time form one
+    row with a NULL day and no change.
+    """
     daily = experiments.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("tests"))
-    w = Window.orderBy("day")
-    return daily.withColumn("change", F.col("tests") - F.lag("tests").over(w))
+    span = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo is not null")
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    known = days.join(daily, "day", "left").select("day", F.coalesce("tests", F.lit(0)).alias("tests"))
+    w = Window.orderBy("day")        # one row per day
+    known = known.withColumn("change", F.col("tests") - F.lag("tests").over(w))
+    return known.unionByName(daily.where("day is null").withColumn("change", F.lit(None).cast("long")))
 
 
 def pass_rate(experiments: DataFrame, keys: list, result: str = "result") -> DataFrame:
@@ -38,8 +47,8 @@ def fault_distribution(experiments: DataFrame, kind: str = "experiment_type", re
     """Failed experiments per kind and their share of all failures."""
     fails = experiments.where(F.col(result) == "fail")
     per = fails.groupBy(kind).agg(F.count(F.lit(1)).alias("failures"))
-    total = fails.agg(F.count(F.lit(1)).alias("_all"))
-    return attach_one_row(per, total).select(kind, "failures", (F.col("failures") / F.col("_all")).alias("share"))
+    everything = F.sum("failures").over(Window.partitionBy())    # over one row per kind
+    return per.select(kind, "failures", (F.col("failures") / everything).alias("share"))
 
 
 def device_trend(experiments: DataFrame, device: str, ts: str, y: str) -> DataFrame:

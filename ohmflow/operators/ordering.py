@@ -1,68 +1,55 @@
-"""Skew-safe ordering primitives.
+"""Ordered work without a task per key.
 
-A plain ``Window.partitionBy(key)`` sorts one key inside one task; a key that
-holds a third of all rows would then sit in a single task.  ``choose``
-measures the largest key (one partial aggregate) and callers keep the plain
-window only when every key fits one task; otherwise they use the primitives
-below, which never put a whole key in one task:
-
-``global_index``
-    cut the order into balanced, order-preserving buckets (bounds from a
-    bounded, deterministic sample: the rows with the smallest hashes), number
-    rows inside each bucket and add the row count of earlier buckets (one
-    small aggregate, bounded by the bucket count, broadcast).  The result is
-    a dense 0-based index in (keys, order) order, identical in every branch
-    of a plan and on every recomputation after a lost executor.
+``ordered``
+    range-partitions the rows on (keys, order, a hash of the row), sorts the
+    ranges, writes them once and gives every row a dense 0-based index in
+    that order: its place in its range plus the sizes of the ranges before it
+    (a table of one row per range).  The hash lets a range end between rows
+    that tie in the order, so neither a hot key nor a repeated value makes a
+    large range; the number of ranges follows the number of rows.
 
 ``blocked``
-    cut the index into blocks of ``block_rows``, copy the ``before`` last rows
-    of each block into the next one and the ``after`` first rows into the
-    previous one, and let a window run over ``partitionBy(keys, block)``.
-    Every window partition is bounded by ``block_rows + before + after``
-    rows whatever the key skew.  Halo copies are dropped afterwards.
+    cuts the index into equal blocks, copies the ``before`` last rows of each
+    block into the next one and the ``after`` first rows into the previous
+    one, and lets a window run over ``partitionBy(keys, block)``.  Halo copies
+    are dropped afterwards.
+
+``attach``
+    joins a table of one row per key back to its rows: broadcast if its
+    counted rows are few, else a join whose hot keys Spark can split.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import materialize, shuffle_partitions
 
 IDX = "_g"
 BLK = "_blk"
 HOME = "_home"
-DEFAULT_BLOCK_ROWS = 1 << 20
-# A key with at most this many rows is sorted, windowed or kept as a value map
-# inside one task; a hotter key takes the blocked / distributed-sort path.
-PLAIN_KEY_ROWS = 2_000_000
-
+RANGE_ROWS = 1 << 20
+BROADCAST_ROWS = 100_000
+_IN_RANGE = (1 << 33) - 1         # monotonically_increasing_id: range number above, place in it below
 
-def _cols(names) -> list[Column]:
-    return [F.col(n) if isinstance(n, str) else n for n in names]
 
+@dataclass
+class Ordered:
+    """Rows with their index ``_g`` and range ``_range``; how many there are of both."""
+    frame: DataFrame
+    rows: int
+    ranges: int
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the biggest key (one partial aggregate; keys=[] -> all rows)."""
-    if not keys:
-        return df.count()
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0]
-    return int(r or 0)
-
+    def block_rows(self, halo: int = 1) -> int:
+        return max(math.ceil(self.rows / self.ranges), halo, 1)
 
-def choose(df: DataFrame, keys: list[str], strategy: str = "auto", limit: int = PLAIN_KEY_ROWS) -> str:
-    """'plain' when every key fits one task (measured), else 'blocked'."""
-    if strategy in ("plain", "blocked"):
-        return strategy
-    if strategy != "auto":
-        raise ValueError(f"unknown strategy {strategy!r} (auto, plain, blocked)")
-    return "plain" if largest_group(df, keys) <= limit else "blocked"
 
-
-def attach_one_row(left: DataFrame, one_row: DataFrame, how: str = "inner") -> DataFrame:
+def attach_one_row(left: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row.
 
     The row is packed into one struct and read as a scalar subquery (computed
@@ -75,190 +62,93 @@ def attach_one_row(left: DataFrame, one_row: DataFrame, how: str = "inner") -> D
                        *[packed[c].alias(c) for c in one_row.columns])
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                 small: bool = False) -> DataFrame:
     """Equi-join on ``keys`` where NULL keys match each other (group semantics)."""
     if not keys:
-        return attach_one_row(left, right, how)
+        return attach_one_row(left, right)
     ren = right.select(*[F.col(k).alias(f"_rk_{i}") for i, k in enumerate(keys)],
                        *[c for c in right.columns if c not in keys])
     cond = None
     for i, k in enumerate(keys):
         c = left[k].eqNullSafe(ren[f"_rk_{i}"])
         cond = c if cond is None else cond & c
-    return left.join(ren, cond, how).drop(*[f"_rk_{i}" for i in range(len(keys))])
-
-
-def _sort_key(t):
-    out = []
-    for v in t:
-        if v is None:
-            out.append((0, 0, 0))
-        elif isinstance(v, float) and math.isnan(v):
-            out.append((1, 1, 0.0))      # Spark orders NaN above every number
-        else:
-            out.append((1, 0, v))
-    return out
-
-
-TREE_BUCKETS = 1024
-
-
-def _bucket_expr(order: list[str], types: dict, bounds: list[tuple]) -> Column:
-    """Bucket id = number of bounds <= row key.
-
-    Up to ``TREE_BUCKETS`` buckets: a balanced tree of struct comparisons
-    (whole-stage codegen).  Beyond: a binary search over one literal array of
-    bounds, ``aggregate`` over log2(buckets) steps, so the expression size does
-    not grow with the bucket count.
-    """
-    row = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(order)])
-    lits = [F.struct(*[F.lit(v).cast(types[c]).alias(f"f{i}") for i, (c, v) in enumerate(zip(order, b))])
-            for b in bounds]
-    m = len(bounds)
-    if m < TREE_BUCKETS:
-        def tree(lo: int, hi: int) -> Column:   # bounds[lo:hi] decide buckets lo..hi
-            if lo >= hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(row < lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-        return tree(0, m)
-    arr = F.array(*lits)
-    steps = max(1, math.ceil(math.log2(m + 1)))
-    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        left = row < F.try_element_at(arr, mid + 1)
-        active = lo < hi
-        return F.struct(F.when(active & ~left, mid + 1).otherwise(lo).alias("lo"),
-                        F.when(active & left, mid).otherwise(hi).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+    return left.join(F.broadcast(ren) if small else ren, cond, how).drop(*[f"_rk_{i}" for i in range(len(keys))])
 
 
-SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 100_000
-# order buckets (each one is numbered inside one task): enough for ~1 GB
-# buckets at 100 TB
-MAX_BUCKETS = 1 << 17
+def attach(left: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``per_key`` (one row per key; one row in all without keys).
 
-
-def global_index(df: DataFrame, order: list[str], name: str = IDX, num_buckets: int | None = None,
-                 weight: str | None = None) -> DataFrame:
-    """Add a dense 0-based row index ``name`` following ``order`` (ascending, nulls first).
-
-    Rows go to order-preserving buckets whose bounds come from a bounded
-    sample (the rows with the smallest hashes, like a range partitioner's
-    sketch but deterministic, so every branch of the plan sees the same
-    buckets).  Each
-    bucket is numbered by ``row_number`` over ``partitionBy(bucket)`` (the
-    hash repartition on the bucket satisfies the window without another
-    shuffle) and shifted by the row count of earlier buckets (a table of at
-    most ``num_buckets`` rows, broadcast).  Ties in ``order`` get distinct but
-    arbitrary indexes; pass a unique order for a deterministic answer.
-
-    With ``weight`` the result is the exclusive prefix sum of that column
-    (the index is the special case of weight 1).
+    The table is written first; its counted rows decide about the broadcast.
+    Beyond ``BROADCAST_ROWS`` it is an ordinary join of a stored table, so that
+    Spark can split the rows of a hot key.
     """
-    spark = df.sparkSession
-    n = min(num_buckets or shuffle_partitions(spark), MAX_BUCKETS)
-    order = list(order)
-    types = dict(df.dtypes)
-    bounds: list[tuple] = []
-    if n > 1:
-        # deterministic uniform sample: the k smallest row hashes (distributed top-k, one job)
-        k = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * n)
-        sample = [tuple(r)[:-1] for r in df.select(*order, F.xxhash64(*order).alias("_h"))
-                  .orderBy("_h").limit(k).collect()]
-        sample.sort(key=_sort_key)
-        if sample:
-            picks = sorted({int(len(sample) * j / n) for j in range(1, n)})
-            for i in picks:
-                if 0 < i < len(sample) and (not bounds or _sort_key(sample[i]) != _sort_key(bounds[-1])):
-                    bounds.append(sample[i])
-    nb = len(bounds) + 1
-    bucketed = df.withColumn("_bkt", _bucket_expr(order, types, bounds) if bounds else F.lit(0))
-    bucketed = bucketed.repartition(nb, "_bkt")
-    w = Window.partitionBy("_bkt").orderBy(*order)
-    if weight is None:
-        local = bucketed.withColumn("_rn", F.row_number().over(w))
-        counts = bucketed.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        before = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        local = bucketed.withColumn("_rn", before + 1)
-        counts = bucketed.groupBy("_bkt").agg(F.coalesce(F.sum(weight), F.lit(0)).alias("_n"))
-    # one row per bucket: the only single-task window here is bounded by nb
-    wo = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    out = local.join(F.broadcast(offsets), "_bkt")
-    out = out.withColumn(name, F.col("_rn") + F.col("_off") - 1)
-    return out.drop("_bkt", "_rn", "_off")
+    if not keys:
+        return attach_one_row(left, per_key)
+    per_key = materialize(per_key, "per-key")
+    return join_on_keys(left, per_key, keys, how, small=per_key.count() <= BROADCAST_ROWS)
+
+
+def ordered(df: DataFrame, keys: list[str], order: list[str], name: str = IDX) -> Ordered:
+    """Rows with a dense 0-based index in (keys, order); ties in ``order`` fall by the rows' hashes."""
+    by = list(dict.fromkeys([*keys, *order]))
+    rows = df.count()
+    ranges = max(shuffle_partitions(df.sparkSession), math.ceil(rows / RANGE_ROWS))
+    placed = materialize(
+        df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(ranges, *by, "_tie")
+        .sortWithinPartitions(*by, "_tie").drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rng = F.shiftright("_at", 33).cast("int")
+    sizes = placed.groupBy(rng.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))
+    # one row per range: bounded by the number of ranges
+    offsets = F.broadcast(sizes.select(F.col("_range").alias("_r"), before.alias("_off")))
+    out = placed.withColumn("_range", rng).join(offsets, F.col("_range") == F.col("_r"))
+    out = out.withColumn(name, F.col("_off") + F.col("_at").bitwiseAND(F.lit(_IN_RANGE)))
+    return Ordered(out.drop("_at", "_off", "_r"), rows, ranges)
+
+
+def global_index(df: DataFrame, keys: list[str], order: list[str], name: str = IDX) -> DataFrame:
+    """``ordered`` as a frame with the index alone."""
+    return ordered(df, keys, order, name).frame.drop("_range")
 
 
 def _halo_copies(before: int, after: int, block_rows: int) -> Column:
     g = F.col(IDX)
     blk = F.floor(g / F.lit(block_rows)).cast("long")
     pos = g - blk * F.lit(block_rows)
-    home = F.struct(blk.alias(BLK), F.lit(True).alias(HOME))
-    parts = [F.array(home)]
+    none = F.array().cast("array<struct<_blk:bigint,_home:boolean>>")
+    parts = [F.array(F.struct(blk.alias(BLK), F.lit(True).alias(HOME)))]
     if before > 0:   # my tail is the next block's look-back
         parts.append(F.when(pos >= F.lit(block_rows - before),
-                            F.array(F.struct((blk + 1).alias(BLK), F.lit(False).alias(HOME))))
-                     .otherwise(F.array().cast("array<struct<_blk:bigint,_home:boolean>>")))
+                            F.array(F.struct((blk + 1).alias(BLK), F.lit(False).alias(HOME)))).otherwise(none))
     if after > 0:    # my head is the previous block's look-ahead
         parts.append(F.when((pos < F.lit(after)) & (blk > 0),
-                            F.array(F.struct((blk - 1).alias(BLK), F.lit(False).alias(HOME))))
-                     .otherwise(F.array().cast("array<struct<_blk:bigint,_home:boolean>>")))
+                            F.array(F.struct((blk - 1).alias(BLK), F.lit(False).alias(HOME)))).otherwise(none))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def blocked(indexed: DataFrame, keys: list[str], before: int, after: int,
-            compute: Callable[[DataFrame, Window], DataFrame],
-            block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def blocked(rows: Ordered, keys: list[str], before: int, after: int,
+            compute: Callable[[DataFrame, Window], DataFrame]) -> DataFrame:
     """Run ``compute(frame, window)`` over bounded (keys, block) window partitions.
 
-    ``indexed`` must carry ``_g`` from :func:`global_index`.  ``window`` is
-    ``partitionBy(keys, _blk).orderBy(_g)``; ``compute`` adds columns using
-    row frames no wider than ``before`` rows back and ``after`` rows ahead.
-    """
-    if before > block_rows or after > block_rows:
-        raise ValueError("halo wider than a block")
-    exploded = indexed.select("*", F.explode(_halo_copies(before, after, block_rows)).alias("_c"))
-    exploded = exploded.select(*[c for c in indexed.columns], F.col("_c." + BLK).alias(BLK),
-                               F.col("_c." + HOME).alias(HOME))
-    w = Window.partitionBy(*keys, BLK).orderBy(IDX)
-    out = compute(exploded, w)
-    return out.where(F.col(HOME)).drop(BLK, HOME)
-
-
-def row_number_in_key(indexed: DataFrame, keys: list[str], name: str = "sequence_number") -> DataFrame:
-    """1-based position inside each key from a global index.
-
-    The first index of each key comes from a partial (map-side combined)
-    aggregate; the join back is an equi-join on the keys that AQE may turn
-    into a broadcast when the key table is small and splits when skewed.
+    ``window`` is ``partitionBy(keys, _blk).orderBy(_g)``; ``compute`` adds columns
+    using row frames no wider than ``before`` rows back and ``after`` ahead.
     """
-    if not keys:
+    size = rows.block_rows(max(before, after))
+    frame = rows.frame.drop("_range")
+    cols = frame.columns
+    copies = frame.select("*", F.explode(_halo_copies(before, after, size)).alias("_c")).select(
+        *cols, F.col("_c." + BLK).alias(BLK), F.col("_c." + HOME).alias(HOME))
+    out = compute(copies, Window.partitionBy(*keys, BLK).orderBy(IDX))
+    return out.where(F.col(HOME)).drop(BLK, HOME, IDX)
+
+
+def row_number_in_key(indexed: DataFrame, keys: list[str], name: str = "sequence_number",
+                      size: str | None = None) -> DataFrame:
+    """1-based position inside each key from an index; with ``size`` also the key's number of rows."""
+    if not keys and size is None:
         return indexed.withColumn(name, F.col(IDX) + 1)
-    first = indexed.groupBy(*keys).agg(F.min(IDX).alias("_g0"))
-    return (join_on_keys(indexed, first, keys, "inner")
-            .withColumn(name, F.col(IDX) - F.col("_g0") + 1).drop("_g0"))
-
-
-def forward_fill(indexed: DataFrame, keys: list[str], value: str, out: str,
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """``out`` = last non-null ``value`` at or before each row within its key.
-
-    Fill inside (keys, block) partitions, then carry the last value of earlier
-    blocks through a table with one row per (key, block).
-    """
-    g = F.col(IDX)
-    df = indexed.withColumn(BLK, F.floor(g / F.lit(block_rows)).cast("long"))
-    w_in = Window.partitionBy(*keys, BLK).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_in", F.last(value, ignorenulls=True).over(w_in))
-    per_block = df.groupBy(*keys, BLK).agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), g)).alias("_blast"))
-    w_b = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(*keys, BLK, F.last("_blast", ignorenulls=True).over(w_b).alias("_carry"))
-    df = join_on_keys(df, carry, keys + [BLK], "left")
-    return df.withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry", BLK)
+    per = indexed.groupBy(*keys).agg(F.min(IDX).alias("_g0"), F.count(F.lit(1)).alias(size or "_nk"))
+    out = attach(indexed, per, keys, "inner").withColumn(name, F.col(IDX) - F.col("_g0") + 1).drop("_g0")
+    return out if size else out.drop("_nk")

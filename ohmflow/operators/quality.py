@@ -6,17 +6,19 @@ Rule counters are one aggregate per key (map-side combined), unpivoted to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import missing_required, normalize_columns, strict_double
-from .ordering import IDX, choose, global_index, row_number_in_key
+from .ordering import IDX, global_index, row_number_in_key
 
 __all__ = ["normalize_columns", "coerce_numeric", "power_mismatch", "rule_counters", "validation_report",
            "validation_messages",
            "range_violations", "drop_empty_rows", "shape_records", "filter_eq", "check_constraints",
-           "duplicate_keys", "sequence_numbers"]
+           "duplicate_keys", "unique_violations", "sequence_numbers"]
 
 
 def coerce_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -59,14 +61,14 @@ def validation_report(df: DataFrame, keys: list[str] | None = None, strict_names
     """One row per (key, rule): rule_no, rule, violations, valid.
 
     ``valid`` is true for a key whose rules all have zero violations.  Missing
-    required columns are reported as rule ``missing_<name>`` with violations 1
-    (a schema fact, known on the driver).
+    required columns are one rule, ``missing: <names>``, whose violations are
+    their number (a schema fact, known on the driver).
     """
     keys = list(keys or [])
     norm = normalize_columns(df, strict=strict_names)
     missing = missing_required(norm.columns)
     coerced = coerce_numeric(norm)
-    rules = [(f"missing_{m}", F.lit(1).cast("long")) for m in missing] + rule_counters(coerced)
+    rules = ([(_missing_rule(missing), F.lit(len(missing)).cast("long"))] if missing else []) + rule_counters(coerced)
     wide = coerced.groupBy(*keys).agg(*[expr.alias(f"_r{i}") for i, (_, expr) in enumerate(rules)])
     total = F.lit(0).cast("long")
     for i in range(len(rules)):
@@ -78,9 +80,13 @@ def validation_report(df: DataFrame, keys: list[str] | None = None, strict_names
     return wide.select(*keys, F.inline(entries), (total == 0).alias("valid"))
 
 
+def _missing_rule(names) -> str:
+    return "missing: " + ", ".join(names)
+
+
 def _message(rule: str) -> str:
-    if rule.startswith("missing_"):
-        return schemas.MSG_MISSING.format(cols=schemas.ORIGINAL_NAMES.get(rule[8:], rule[8:]))
+    if rule.startswith("missing: "):
+        return schemas.MSG_MISSING.format(cols=", ".join(schemas.ORIGINAL_NAMES[n] for n in rule[9:].split(", ")))
     if rule.endswith("_not_numeric"):
         return schemas.MSG_NOT_NUMERIC.format(col=schemas.ORIGINAL_NAMES[rule[:-12]])
     return {"current_negative": schemas.MSG_CURRENT_NEGATIVE, "current_above_max": schemas.MSG_CURRENT_ABOVE_MAX,
@@ -91,10 +97,11 @@ def _message(rule: str) -> str:
 def validation_messages(report: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """P6 in its original shape: per key (valid, messages of violated rules in report order).
 
-    Missing columns give one message each.  Messages are joined by '; '.
+    Missing columns give one message for all.  Messages are joined by '; '.
     """
     keys = list(keys or [])
-    names = ([f"missing_{c}" for c in schemas.REQUIRED] + [f"{c}_not_numeric" for c in schemas.REQUIRED]
+    names = ([_missing_rule(c) for n in range(1, 4) for c in itertools.combinations(schemas.REQUIRED, n)]
+             + [f"{c}_not_numeric" for c in schemas.REQUIRED]
              + ["current_negative", "current_above_max", "voltage_negative", "voltage_above_max", "power_mismatch"])
     msg = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(_message(n)))])
     bad = F.when(F.col("violations") > 0, F.struct(F.col("rule_no"), msg[F.col("rule")].alias("m")))
@@ -118,17 +125,9 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
-def sequence_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "sequence_number",
-                     strategy: str = "auto") -> DataFrame:
-    """1-based contiguous position per key in ``order``.
-
-    ``row_number`` over the key when every key fits one task, else the
-    skew-safe global index (see ``ordering.choose``)."""
-    if choose(df, keys, strategy) == "plain":
-        w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("int"))
-    ix = global_index(df, keys + order)
-    return row_number_in_key(ix, keys, name).withColumn(name, F.col(name).cast("int")).drop(IDX)
+def sequence_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "sequence_number") -> DataFrame:
+    """1-based contiguous position (long) per key in ``order``."""
+    return row_number_in_key(global_index(df, keys, order), keys, name).drop(IDX)
 
 
 def shape_records(df: DataFrame, experiment_id: Column | str, keys: list[str], order: list[str],
@@ -144,7 +143,8 @@ def shape_records(df: DataFrame, experiment_id: Column | str, keys: list[str], o
     eid = F.col(experiment_id) if isinstance(experiment_id, str) else experiment_id
     seq = sequence_numbers(norm.withColumn("_eid", eid.cast("string")), ["_eid"] + [k for k in keys if k != "_eid"],
                            order)
-    out = [F.col("_eid").alias("experiment_id"), F.col("sequence_number")]
+    # the stored table's column is an INTEGER
+    out = [F.col("_eid").alias("experiment_id"), F.col("sequence_number").cast("int").alias("sequence_number")]
     for c in schemas.REQUIRED:
         out.append((F.col(c).cast("double") if c in cols else F.lit(0.0)).alias(c))
     out.append((F.col("device_address").cast("int") if "device_address" in cols
@@ -195,6 +195,16 @@ def check_constraints(df: DataFrame, table: str, checks: dict[str, list[str]] |
     return wide.select(F.inline(entries))
 
 
+def unique_violations(df: DataFrame, table: str) -> DataFrame:
+    """P15 over the table's unique columns: (table, column, value, row_count) of each value held twice or more."""
+    out = None
+    for c in schemas.UNIQUE_KEYS[table]:
+        part = duplicate_keys(df, [c]).select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
+                                              F.col(c).cast("string").alias("value"), "row_count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key values held by more than one row; NULL keys never collide."""
     nn = None

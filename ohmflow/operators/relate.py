@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.columns import nan_to_null
 
-__all__ = ["writers_only", "detail", "orphans", "cascade_delete", "standards_frame", "verdict",
+__all__ = ["writers_only", "detail", "orphans", "cascade_delete", "standards_frame", "criteria", "verdict",
            "breakdown_point", "deviation"]
 
 
@@ -52,31 +52,46 @@ def standards_frame(spark: SparkSession) -> DataFrame:
                                  "parameters string, pass_criteria string")
 
 
-def verdict(experiments: DataFrame, measured: DataFrame, standards: DataFrame, exp_id: str = "id",
-            exp_type: str = "experiment_type", measure: str = "max_current") -> DataFrame:
-    """Pass when every numeric ``max_*`` criterion of the experiment's
-    standard is >= the measured maximum; no such criterion -> NULL (pending).
+def criteria(standards: DataFrame) -> DataFrame:
+    """One row per pass criterion: standard_code, test_type, measure, upper (limit of a ``max_*``
+    criterion) or wanted (text the measure must equal)."""
+    c = standards.select("standard_code", "test_type",
+                         F.explode(F.from_json("pass_criteria", "map<string,string>")).alias("_k", "_v"))
+    limit = F.when(F.col("_k").startswith("max_"), F.col("_v").try_cast("double"))
+    return c.select("standard_code", "test_type",
+                    F.when(limit.isNotNull(), F.substr("_k", F.lit(5))).otherwise(F.col("_k")).alias("measure"),
+                    limit.alias("upper"), F.when(limit.isNull(), F.col("_v")).alias("wanted"))
+
 
-    ``measured`` holds one row per experiment (``exp_id``, ``measure``).  The
-    standards table is the fixed seed (bounded), so it is broadcast.
+def verdict(experiments: DataFrame, measured: DataFrame, standards: DataFrame, exp_id: str = "id",
+            exp_type: str = "experiment_type") -> DataFrame:
+    """Each criterion of the experiment's standard against the measure of its name.
+
+    ``measured`` has rows (``exp_id``, measure, value as text).  A ``max_x``
+    criterion holds if measure x is at most its limit, any other if the measure
+    equals it.  One criterion that does not hold: fail; else one whose measure
+    is missing, or no criterion at all: NULL (pending); else pass.  A measure
+    given several times counts with its worst outcome.  The criteria are the
+    fixed seed's, at most two a type.
     """
-    crit = standards.select("standard_code", "test_type",
-                            F.explode(F.from_json("pass_criteria", "map<string,string>")).alias("_k", "_v"))
-    crit = crit.where(F.col("_k").startswith("max_")).select(
-        "standard_code", "test_type", F.col("_k").alias("criterion"), F.col("_v").try_cast("double").alias("_limit"))
-    crit = crit.where(F.col("_limit").isNotNull())
-    limits = crit.groupBy("standard_code", "test_type").agg(F.count(F.lit(1)).alias("criteria_checked"),
-                                                            F.min("_limit").alias("limit_min"))
     e = experiments.select(F.col(exp_id).alias("_eid"), F.col(exp_type).alias("_etype"))
-    j = e.join(F.broadcast(limits), F.col("_etype") == F.col("test_type"), "left")
-    j = j.join(measured.select(F.col(exp_id).alias("_mid"), F.col(measure).alias("_m")),
-               F.col("_eid") == F.col("_mid"), "left")
-    ok = F.col("_m") <= F.col("limit_min")          # all max_* limits hold <=> the smallest holds
-    result = (F.when(F.col("criteria_checked").isNull() | F.col("_m").isNull(), F.lit(None).cast("string"))
-              .when(ok, F.lit("pass")).otherwise(F.lit("fail")))
-    return j.select(F.col("_eid").alias(exp_id), F.col("_etype").alias(exp_type), "standard_code",
-                    F.col("_m").alias(measure), F.coalesce("criteria_checked", F.lit(0)).alias("criteria_checked"),
-                    result.alias("verdict"))
+    # the fixed seed standards: four rows
+    j = e.join(F.broadcast(criteria(standards)), F.col("_etype") == F.col("test_type"), "left")
+    m = measured.groupBy(F.col(exp_id).alias("_mid"), F.col("measure").alias("_name")).agg(
+        F.collect_set("value").alias("_values"))
+    j = j.join(m, (F.col("_eid") == F.col("_mid")) & (F.col("measure") == F.col("_name")), "left")
+    ok = F.when(F.col("upper").isNotNull(),
+                F.forall("_values", lambda v: F.coalesce(v.try_cast("double") <= F.col("upper"), F.lit(False)))
+                ).otherwise(F.forall("_values", lambda v: v == F.col("wanted")))
+    ok = F.when(F.size("_values") > 0, ok)
+    j = j.select("_eid", "_etype", "standard_code", "measure", ok.alias("_ok"))
+    agg = j.groupBy("_eid", "_etype").agg(
+        F.max("standard_code").alias("standard_code"), F.count("measure").alias("criteria"),
+        F.count("_ok").alias("criteria_checked"), F.bool_and("_ok").alias("_all"))
+    result = (F.when(~F.col("_all"), F.lit("fail"))
+              .when((F.col("criteria") > 0) & (F.col("criteria") == F.col("criteria_checked")), F.lit("pass")))
+    return agg.select(F.col("_eid").alias(exp_id), F.col("_etype").alias(exp_type), "standard_code", "criteria",
+                      "criteria_checked", result.alias("verdict"))
 
 
 def breakdown_point(df: DataFrame, key: str, order: list[str], column: str, limit: float) -> DataFrame:

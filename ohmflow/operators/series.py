@@ -1,37 +1,31 @@
 """Time series: resampling, centred / exponential filters, thinning.
 
-Ordered work first measures the largest key (``ordering.choose``).  When
-every key fits one task (``PLAIN_KEY_ROWS``) a plain ``partitionBy(keys)``
-window is used: one shuffle, one sort.  Otherwise the skew-safe primitives of
-``ordering`` take over: a global index over (keys, order) and windows over
-bounded (key, block) partitions with halo rows, so a key holding a third of
-all rows is still spread over many tasks.  ``strategy`` forces either path.
+Ordered work goes through ``ordering``: rows get a dense index from one range
+partitioning, and windows run over bounded blocks of it with halo rows, so a
+key holding a third of all rows, or a table that is one series, is spread
+over as many tasks as any other.
 """
 
-
 from __future__ import annotations
 
 import math
 import warnings
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, parse_timestamp
-from .ordering import (DEFAULT_BLOCK_ROWS, IDX, blocked, choose, forward_fill, global_index, join_on_keys,
-                       row_number_in_key)
+from ..session import materialize
+from .ordering import BLK, IDX, attach, blocked, global_index, join_on_keys, ordered, row_number_in_key
 
 US = 1_000_000
 DAY_US = 86_400 * US
 
 
-def _w(keys, order):
-    return Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-
 SPINE_CHUNK = 4096
 
 __all__ = ["resample_mean", "parse_timestamps", "filter_data", "moving_average", "moving_median",
-           "exponential", "downsample_minmax", "interval_seconds", "ewm_horizon", "parse_timestamp"]
+           "exponential", "downsample_minmax", "interval_seconds", "parse_timestamp"]
 
 
 def _freq_us(freq: str | int | float) -> int:
@@ -84,7 +78,7 @@ def resample_mean(df: DataFrame, ts: str = "timestamp", freq: str | int | float
     else:
         spans = base.groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         spans = spans.withColumn("_origin", F.to_date("_lo").cast("timestamp_ntz"))
-        binned = join_on_keys(base, spans.select(*keys, "_origin"), keys, "inner")
+        binned = attach(base, spans.select(*keys, "_origin"), keys, "inner")
         binned = binned.withColumn("_bin", F.floor(F.timestamp_diff("MICROSECOND", F.col("_origin"), F.col("_t"))
                                                    / F.lit(step)).cast("long"))
         agg = binned.groupBy(*keys, "_bin").agg(*[F.avg(v).alias(v) for v in values])
@@ -113,8 +107,7 @@ def parse_timestamps(df: DataFrame, column: str, out: str | None = None, formats
     return df.withColumn(out or column, parse_timestamp(F.col(column), formats))
 
 
-def interval_seconds(df: DataFrame, keys: list[str], order: list[str], ts: str, out: str = "_dt",
-                     strategy: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def interval_seconds(df: DataFrame, keys: list[str], order: list[str], ts: str, out: str = "_dt") -> DataFrame:
     """Seconds since the previous reading of the key (the first reading takes
     the interval to the next one; a lone reading counts 1 s)."""
     def compute(frame, w):
@@ -123,13 +116,11 @@ def interval_seconds(df: DataFrame, keys: list[str], order: list[str], ts: str,
         back = F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(float(US))
         fwd = F.timestamp_diff("MICROSECOND", F.col(ts), nxt) / F.lit(float(US))
         return frame.withColumn(out, F.coalesce(back, fwd, F.lit(1.0)))
-    if choose(df, keys, strategy) == "plain":
-        return compute(df, _w(keys, order))
-    return blocked(global_index(df, keys + order), keys, 1, 1, compute, block_rows).drop(IDX)
+    return blocked(ordered(df, keys, order), keys, 1, 1, compute)
 
 
 def _centred(df: DataFrame, keys: list[str], order: list[str], column: str, window_size: int, out: str,
-             agg: str, block_rows: int, strategy: str = "auto") -> DataFrame:
+             agg: str) -> DataFrame:
     if window_size < 1:
         raise ValueError("window_size must be >= 1")
     before, after = window_size // 2, (window_size - 1) // 2
@@ -140,125 +131,109 @@ def _centred(df: DataFrame, keys: list[str], order: list[str], column: str, wind
         full = F.count(x).over(f) == F.lit(window_size)
         stat = F.avg(x).over(f) if agg == "mean" else F.percentile(x, F.lit(0.5)).over(f)
         return frame.withColumn(out, F.when(full, stat).otherwise(x))
-    if choose(df, keys, strategy) == "plain":
-        return compute(df, _w(keys, order))
-    ix = global_index(df, keys + order)
-    return blocked(ix, keys, before, after, compute, block_rows).drop(IDX)
+    return blocked(ordered(df, keys, order), keys, before, after, compute)
 
 
-def moving_average(df, keys, order, column, window_size=5, out=None, block_rows=DEFAULT_BLOCK_ROWS,
-                   strategy="auto"):
+def moving_average(df, keys, order, column, window_size=5, out=None):
     """Centred mean over ``window_size`` rows, full window required, else raw value."""
-    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "mean", block_rows,
-                    strategy)
+    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "mean")
 
 
-def moving_median(df, keys, order, column, window_size=5, out=None, block_rows=DEFAULT_BLOCK_ROWS,
-                  strategy="auto"):
+def moving_median(df, keys, order, column, window_size=5, out=None):
     """Centred median, same frame and edge rule as W1."""
-    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "median", block_rows,
-                    strategy)
-
-
-def ewm_horizon(span: float, eps: float = 1e-16) -> int:
-    alpha = 2.0 / (span + 1.0)
-    if alpha >= 1.0:
-        return 1
-    return int(math.ceil(math.log(eps) / math.log(1.0 - alpha)))
-
-
-def _ewm_fold(arr, alpha: float, k: int):
-    """y of the last element of ``arr`` (structs g, x in order), starting from its first element."""
-    first = F.try_element_at(arr, F.lit(1))
-    init = F.struct(first["x"].alias("y"), first["g"].alias("g"))
+    return _centred(df, keys, order, column, window_size, out or f"{column}_filtered", "median")
 
-    def merge(acc, e):
-        r = F.pow(F.lit(1.0 - alpha), (e["g"] - acc["g"]).cast("double"))
-        y = (r * acc["y"] + F.lit(alpha) * e["x"]) / (r + F.lit(alpha))
-        return F.struct(y.alias("y"), e["g"].alias("g"))
-    return F.aggregate(F.slice(arr, 2, k + 1), init, merge, lambda acc: acc["y"])
 
+SCAN_ROWS = 1 << 10
 
-def _exponential_plain(df, keys, order, column, span, out):
-    """One keyed window pass: for every row, fold the last K+1 valid rows up to it.
 
-    ``_cv`` (running count of valid rows) orders a RANGE frame of K+1 valid
-    rows; missing rows see the same frame as the valid row before them, which
-    is exactly the carried value, and leading missing rows see none."""
-    alpha, k = 2.0 / (span + 1.0), ewm_horizon(span)
-    w = _w(keys, order)
-    d = df.withColumn("_x", nan_to_null(F.col(column).cast("double")))
-    d = d.withColumn("_rn", F.row_number().over(w))
-    d = d.withColumn("_cv", F.count("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wr = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_cv").rangeBetween(-k, 0)
-    arr = F.collect_list(F.when(F.col("_x").isNotNull(),
-                                F.struct(F.col("_rn").alias("g"), F.col("_x").alias("x")))).over(wr)
-    d = d.withColumn("_y", _ewm_fold(arr, alpha, k))
-    return d.withColumn(out, F.coalesce(F.col("_y"), F.col("_x"))).drop("_x", "_rn", "_cv", "_y")
+def _composed(df: DataFrame, w: Window, rows: int) -> DataFrame:
+    """Compose the maps y -> _a y + _b of all rows up to each row of a window partition of
+    at most ``rows`` rows: at distances 1, 2, 4, ... a row takes in the rows before it."""
+    reach = 1
+    while reach < rows:
+        df = df.withColumns({"_pa": F.lag("_a", reach, 1.0).over(w), "_pb": F.lag("_b", reach, 0.0).over(w)})
+        df = df.withColumns({"_b": F.col("_a") * F.col("_pb") + F.col("_b"), "_a": F.col("_a") * F.col("_pa")})
+        reach *= 2
+    return df.drop("_pa", "_pb") if rows > 1 else df
 
 
 def exponential(df: DataFrame, keys: list[str], order: list[str], column: str, span: float = 5,
-                out: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS, strategy: str = "auto") -> DataFrame:
+                out: str | None = None) -> DataFrame:
     """y0 = x0, y = ((1-a)^g y' + a x) / ((1-a)^g + a), a = 2/(span+1).
 
     g is the row distance to the previous valid value (1 when adjacent);
-    missing rows carry the last y; leading missing rows stay missing.  The
-    recursion is evaluated over the last K+1 valid rows (K = ewm_horizon,
-    the weight of older rows is below 1e-16) with ``aggregate`` over a
-    bounded row frame, then carried over missing rows by a blocked forward
-    fill.
+    missing rows carry the last y; leading missing rows stay missing.
+
+    Every row is a map y -> A y + B of the value before it (missing rows: the
+    identity), and maps compose, so any span is exact: blocks of ``SCAN_ROWS``
+    rows are composed in log2 steps relative to their first valid value, then
+    the blocks of a key, one row each, in the same way, and each block's rows
+    apply their map to the value that enters it.
     """
     out = out or f"{column}_filtered"
-    if choose(df, keys, strategy) == "plain":
-        return _exponential_plain(df, keys, order, column, span, out)
     alpha = 2.0 / (span + 1.0)
-    k = ewm_horizon(span)
-    x = nan_to_null(F.col(column).cast("double"))
-    ix = global_index(df.withColumn("_x", x), keys + order)
-    valid = ix.where(F.col("_x").isNotNull()).select(*keys, F.col(IDX).alias("_gall"), "_x")
-    vix = global_index(valid, keys + ["_gall"])
-
-    def compute(frame, w):
-        arr = F.collect_list(F.struct(F.col("_gall").alias("g"), F.col("_x").alias("x"))).over(
-            w.rowsBetween(-k, 0))
-        return frame.withColumn("_y", _ewm_fold(arr, alpha, k))
-    ys = blocked(vix, keys, k, 0, compute, block_rows).select(F.col("_gall").alias(IDX), "_y")
-    allrows = ix.join(ys, IDX, "left")   # the index is unique: no key skew on this join
-    filled = forward_fill(allrows, keys, "_y", "_yf", block_rows)
-    return filled.withColumn(out, F.coalesce(F.col("_yf"), F.col("_x"))).drop("_y", "_yf", "_x", IDX)
+    rows = ordered(df.withColumn("_x", nan_to_null(F.col(column).cast("double"))), keys, order)
+    g, x, a = F.col(IDX), F.col("_x"), F.lit(alpha)
+
+    def decay(distance: Column) -> Column:
+        return F.pow(F.lit(1.0 - alpha), distance.cast("double"))
+
+    w = Window.partitionBy(*keys, BLK).orderBy(IDX)
+    upto, past = (w.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
+    d = rows.frame.drop("_range").withColumn(BLK, F.floor(g / F.lit(SCAN_ROWS)).cast("long"))
+    d = d.withColumns({"_prev": F.last(F.when(x.isNotNull(), g), ignorenulls=True).over(past),
+                       "_started": F.count("_x").over(upto) > 0})
+    r = decay(g - F.col("_prev"))
+    own = x.isNotNull() & F.col("_prev").isNotNull()        # a block's first valid value is its y
+    d = d.withColumns({"_a": F.when(own, r / (r + a)).otherwise(1.0), "_b": F.when(own, a * x / (r + a)).otherwise(0.0)})
+    d = materialize(_composed(d, w, SCAN_ROWS), "ewm-rows")
+
+    valid = F.when(x.isNotNull(), g)
+    b = d.groupBy(*keys, BLK).agg(
+        F.min_by("_x", valid).alias("_fx"), F.min(valid).alias("_fg"), F.max(valid).alias("_lg"),
+        F.max_by("_a", IDX).alias("_ea"), F.max_by("_b", IDX).alias("_eb")).where("_fg is not null")
+    wb = Window.partitionBy(*keys).orderBy(BLK)
+    b = b.withColumn("_r", decay(F.col("_fg") - F.lag("_lg").over(wb)))
+    enter_a = F.coalesce(F.col("_r") / (F.col("_r") + a), F.lit(0.0))
+    enter_b = F.coalesce(a * F.col("_fx") / (F.col("_r") + a), F.col("_fx"))
+    b = b.withColumns({"_ia": enter_a, "_ib": enter_b})
+    b = b.withColumns({"_a": F.col("_ea") * F.col("_ia"), "_b": F.col("_ea") * F.col("_ib") + F.col("_eb")})
+    b = _composed(b, wb, math.ceil(rows.rows / SCAN_ROWS) + 1)
+    b = b.withColumn("_before", F.lag("_b").over(wb))        # y at the end of the last block with a value
+    b = b.select(*keys, BLK, "_before", (F.col("_ia") * F.coalesce("_before", F.lit(0.0)) + F.col("_ib")).alias("_y1"),
+                 F.col("_b").alias("_end"))
+    # blocks without a value carry what entered them
+    blocks = d.select(*keys, BLK).distinct()
+    carry = F.last("_end", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
+    b = join_on_keys(blocks, b, [*keys, BLK], "left").select(*keys, BLK, "_y1", carry.alias("_in"))
+    y = F.when(F.col("_started"), F.col("_a") * F.col("_y1") + F.col("_b")).otherwise(F.col("_in"))
+    return (attach(d, b, [*keys, BLK]).withColumn(out, F.coalesce(y, x))
+            .drop("_x", "_prev", "_started", "_a", "_b", "_y1", "_in", BLK, IDX))
 
 
 def filter_data(df: DataFrame, column: str, method: str = "moving_average", window_size: int = 5,
-                keys: list[str] | None = None, order: list[str] | None = None, strategy: str = "auto",
-                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """W1-W3 entry point: ``{column}_filtered`` with edge fill from the raw value."""
     keys, order = list(keys or []), list(order or [])
     if method == "moving_average":
-        return moving_average(df, keys, order, column, window_size, block_rows=block_rows, strategy=strategy)
+        return moving_average(df, keys, order, column, window_size)
     if method == "median":
-        return moving_median(df, keys, order, column, window_size, block_rows=block_rows, strategy=strategy)
+        return moving_median(df, keys, order, column, window_size)
     if method == "exponential":
-        return exponential(df, keys, order, column, span=window_size, block_rows=block_rows, strategy=strategy)
+        return exponential(df, keys, order, column, span=window_size)
     raise ValueError(f"unknown filter method {method!r} (moving_average, median, exponential)")
 
 
 def downsample_minmax(df: DataFrame, keys: list[str], order: list[str], ts: str, column: str,
-                      buckets: int = 1000, strategy: str = "auto") -> DataFrame:
+                      buckets: int = 1000) -> DataFrame:
     """Thin each key to ``buckets`` buckets of consecutive readings,
     keeping first/last time and the minimum and maximum readings with their
     times (earliest reading wins ties)."""
-    if choose(df, keys, strategy) == "plain":
-        w = _w(keys, order)
-        wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
-        rn = df.withColumn("_rn", F.row_number().over(w)).withColumn("_nk", F.count(F.lit(1)).over(wk))
-    else:
-        ix = global_index(df, keys + order)
-        rn = row_number_in_key(ix, keys, "_rn")
-        sizes = rn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nk"))
-        rn = join_on_keys(rn, sizes, keys, "inner")
-    b = F.floor((F.col("_rn") - 1) * F.lit(buckets) / F.col("_nk")).cast("long")
+    rn = row_number_in_key(global_index(df, keys, order), keys, "_rn", size="_nk")
     x = nan_to_null(F.col(column).cast("double"))
-    t = rn.select(*keys, b.alias("bucket"), F.col(ts).alias("_ts"), x.alias("_v"), F.col("_rn"))
+    t = rn.select(*keys, F.expr(f"((_rn - 1) * {int(buckets)}L) div _nk").alias("bucket"), F.col(ts).alias("_ts"),
+                  x.alias("_v"), F.col("_rn"))
     lo = F.min(F.when(F.col("_v").isNotNull(), F.struct(F.col("_v"), F.col("_rn"), F.col("_ts"))))
     hi = F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col("_v"), (-F.col("_rn")).alias("_nrn"), F.col("_ts"))))
     agg = t.groupBy(*keys, "bucket").agg(
@@ -267,4 +242,3 @@ def downsample_minmax(df: DataFrame, keys: list[str], order: list[str], ts: str,
     return agg.select(*keys, "bucket", "n_points", "ts_first", "ts_last",
                       F.col("_lo._v").alias(f"{column}_min"), F.col("_lo._ts").alias("ts_min"),
                       F.col("_hi._v").alias(f"{column}_max"), F.col("_hi._ts").alias("ts_max"))
-

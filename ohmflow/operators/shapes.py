@@ -6,10 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import attach_one_row
-
 __all__ = ["series_long", "threshold_status", "matrix_pivot", "bar_totals", "share_of_total",
-           "scatter_pairs", "metric_cards"]
+           "scatter_pairs", "count_text", "amount_text", "metric_cards"]
 
 
 def series_long(df: DataFrame, ids: list[str], y1: list[str], y2: list[str] | None = None) -> DataFrame:
@@ -39,11 +37,10 @@ def bar_totals(df: DataFrame, x: str, y: str, color: str | None = None) -> DataF
 
 
 def share_of_total(df: DataFrame, label: str, value: str) -> DataFrame:
-    """Sum per label and its share of the grand total (the total is one row, broadcast)."""
+    """Sum per label and its share of the grand total (summed over the labels: one scan)."""
     per = df.groupBy(label).agg(F.sum(value).alias("total"))
-    grand = df.agg(F.sum(value).alias("_grand"))
-    return (attach_one_row(per, grand)
-            .select(label, "total", F.try_divide(F.col("total"), F.col("_grand")).alias("share")))
+    grand = F.sum("total").over(Window.partitionBy())            # over one row per label
+    return per.select(label, "total", F.try_divide(F.col("total"), grand).alias("share"))
 
 
 def scatter_pairs(df: DataFrame, ids: list[str], dims: list[str]) -> DataFrame:
@@ -55,9 +52,22 @@ def scatter_pairs(df: DataFrame, ids: list[str], dims: list[str]) -> DataFrame:
     return df.select(*ids, F.inline(entries))
 
 
+def count_text(value: Column) -> Column:
+    """Whole number with thousands separators; NULL stays NULL."""
+    return F.format_number(value, 0)
+
+
+def amount_text(value: Column, unit: Column) -> Column:
+    """Number with two decimals and its unit; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.format_string("%.2f %s", value, unit))
+
+
 def metric_cards(periodic: DataFrame, period: str, metrics: dict[str, str]) -> DataFrame:
-    """Per period and metric: value to 2 decimals with unit, delta vs the
-    previous period (NULL when zero or first), 'normal' if delta >= 0 else 'inverse'.
+    """Per period and metric: value to 2 decimals with its unit, and the change
+    against the previous period with its colour, as numbers and as displayed text.
+
+    The colour is 'normal' for a change above zero, else 'inverse' (also
+    without a change); a change of zero or none has no text.
 
     ``periodic`` is already aggregated per period (small); ``metrics`` maps a
     column to its unit.
@@ -70,7 +80,8 @@ def metric_cards(periodic: DataFrame, period: str, metrics: dict[str, str]) -> D
                                  F.col(f"_d{i}").alias("_d"))
                         for i, (m, u) in enumerate(metrics.items())])
     long = with_delta.select(period, F.inline(entries))
-    delta = F.nullif(F.round("_d", 2), F.lit(0.0))
-    return long.select(period, "metric", F.round("_v", 2).alias("value"), "unit", delta.alias("delta"),
-                       F.when(delta.isNull(), F.lit(None).cast("string"))
-                       .when(delta >= 0, F.lit("normal")).otherwise(F.lit("inverse")).alias("delta_color"))
+    return long.select(
+        period, "metric", F.round("_v", 2).alias("value"), "unit", F.round("_d", 2).alias("delta"),
+        F.when(F.col("_d") > 0, F.lit("normal")).otherwise(F.lit("inverse")).alias("delta_color"),
+        amount_text(F.col("_v"), F.col("unit")).alias("value_text"),
+        F.when(F.col("_d") != 0, amount_text(F.col("_d"), F.col("unit"))).alias("delta_text"))

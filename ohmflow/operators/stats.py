@@ -3,23 +3,21 @@
 Every function takes ``keys``: with ``keys=[]`` the whole frame is one group,
 which is the original behaviour; with keys each group gets its own answer.
 
-Exact quantiles (median, quartiles): when the largest group is within
-``PLAIN_KEY_ROWS`` (measured by one partial aggregate), each group's values
-are collected and sorted once (bounded by that measure).  A hotter group takes a
-distributed sort: rows are ranked by ``global_index`` on (keys, variable,
-value) and the two ranks around ``p * (n - 1)`` are fetched by an equi-join
-on the rank, so no group is ever held in one task.
+Exact quantiles (median, quartiles) come from value counts: equal values are
+counted map-side, the counts are range-partitioned in order (``ordering``), and
+a count per (group, range) tells which range holds a wanted rank, so only
+those ranges are looked at row by row.  No group is held in one task and no
+value list is built, whatever the number of rows or equal values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import nan_to_null
-from ..session import materialize
-from .ordering import IDX, choose, global_index, join_on_keys
+from .ordering import attach, join_on_keys, ordered
 
 SIGNALS = ["current", "voltage", "power"]
 APPROX_ACCURACY = 100_000
@@ -29,129 +27,103 @@ def _label(p: float) -> str:
     return {0.25: "q1", 0.5: "median", 0.75: "q3"}.get(p, f"p{int(round(p * 100)):02d}")
 
 
+def value_counts(df: DataFrame, keys: list[str], values: list[str]):
+    """Rows (keys, _v number of the column, _x value, _n count), ordered; NULL and NaN left out."""
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_v"), nan_to_null(F.col(v).cast("double")).alias("_x"))
+        for i, v in enumerate(values)])).alias("_s"))
+    counted = (long.select(*keys, "_s._v", "_s._x").where(F.col("_x").isNotNull())
+               .groupBy(*keys, "_v", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    return ordered(counted, [*keys, "_v"], ["_x"], name="_place")
+
+
+def _picked(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """(keys, _v, _p number of the probability, _q quantile) from ordered value counts."""
+    group = [*keys, "_v"]
+    in_range = counts.groupBy(*group, "_range").agg(F.sum("_n").alias("_m"))
+    every = Window.partitionBy(*group)                      # at most one row per range
+    before = F.coalesce(F.sum("_m").over(every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+                        F.lit(0))
+    in_range = in_range.select("*", before.alias("_before"), F.sum("_m").over(every).alias("_total"))
+    want = []
+    for j, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        want += [F.struct(F.lit(j).alias("_p"), (pos - F.floor(pos)).alias("_frac"), F.lit(i).alias("_side"),
+                          at.cast("long").alias("_at")) for i, at in enumerate((F.floor(pos), F.ceil(pos)))]
+    wanted = in_range.select(*group, "_range", "_before", "_m", F.inline(F.array(*want)))
+    wanted = wanted.where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_m")))
+    near = join_on_keys(counts.select(*group, "_range", "_x", "_n"), wanted.drop("_m"), [*group, "_range"])
+    upto = Window.partitionBy(*group, "_p", "_side").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_cum", F.col("_before") + F.sum("_n").over(upto))
+    found = near.where("_cum > _at").groupBy(*group, "_p", "_side").agg(F.min("_x").alias("_x"),
+                                                                       F.max("_frac").alias("_frac"))
+    lo, hi = (F.max(F.when(F.col("_side") == i, F.col("_x"))) for i in (0, 1))
+    return found.groupBy(*group, "_p").agg((lo + (hi - lo) * F.max("_frac")).alias("_q"))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: list[float],
-                    method: str = "auto") -> DataFrame:
+                    method: str = "exact") -> DataFrame:
     """One row per key with ``{value}_{label}`` columns (linear interpolation).
 
-    NULL and NaN are ignored; a group without values gets NULL.  ``auto``
-    measures the largest group: within ``PLAIN_KEY_ROWS`` each group's values
-    are collected and sorted once ('list', bounded by that measure); a hotter
-    group takes the distributed sort ('sort').  'hash' (Spark's exact
-    ``percentile``) and 'approx' (``percentile_approx``) are also offered.
+    NULL and NaN are ignored; a group without values gets NULL.  ``approx`` is
+    Spark's bounded sketch (relative rank error 1 / APPROX_ACCURACY).
     """
-    if method == "auto":
-        method = "list" if choose(df, keys) == "plain" else "sort"
-    if method == "list":
-        # bounded groups (measured): each group's values sorted once, ranks picked by position
-        lists = [F.array_sort(F.collect_list(nan_to_null(F.col(v).cast("double")))).alias(f"_l{i}")
-                 for i, v in enumerate(values)]
-        g = df.groupBy(*keys).agg(*lists)
-        cols = []
-        for i, v in enumerate(values):
-            arr = F.col(f"_l{i}")
-            for p in probs:
-                pos = F.lit(float(p)) * (F.size(arr) - 1)
-                lo = F.try_element_at(arr, (F.floor(pos) + 1).cast("int"))
-                hi = F.try_element_at(arr, (F.ceil(pos) + 1).cast("int"))
-                q = lo + (hi - lo) * (pos - F.floor(pos))
-                # a group without values (all NULL / NaN) has an empty list: NULL, never index 0
-                cols.append(F.when(F.size(arr) > 0, q).alias(f"{v}_{_label(p)}"))
-        return g.select(*keys, *cols)
     if method == "approx":
-        # scale option: a bounded sketch per group (relative rank error 1 / APPROX_ACCURACY)
         aggs = []
         for v in values:
-            x = nan_to_null(F.col(v).cast("double"))
-            arr = F.percentile_approx(x, [float(p) for p in probs], APPROX_ACCURACY)
-            for i, p in enumerate(probs):
-                aggs.append(arr[i].alias(f"{v}_{_label(p)}"))
+            arr = F.percentile_approx(nan_to_null(F.col(v).cast("double")), [float(p) for p in probs], APPROX_ACCURACY)
+            aggs += [arr[i].alias(f"{v}_{_label(p)}") for i, p in enumerate(probs)]
         return df.groupBy(*keys).agg(*aggs)
-    if method == "hash":
-        aggs = []
-        for v in values:
-            x = nan_to_null(F.col(v).cast("double"))
-            arr = F.percentile(x, F.array(*[F.lit(p) for p in probs]))
-            for i, p in enumerate(probs):
-                aggs.append(arr[i].alias(f"{v}_{_label(p)}"))
-        return df.groupBy(*keys).agg(*aggs)
-    if method != "sort":
-        raise ValueError(f"unknown quantile method {method!r}")
+    if method != "exact":
+        raise ValueError(f"unknown quantile method {method!r} (exact, approx)")
+    picked = _picked(value_counts(df, keys, values).frame, keys, probs)
+    cols = [F.max(F.when((F.col("_v") == i) & (F.col("_p") == j), F.col("_q"))).alias(f"{v}_{_label(p)}")
+            for i, v in enumerate(values) for j, p in enumerate(probs)]
+    return picked.groupBy(*keys).agg(*cols)
 
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_v"), nan_to_null(F.col(v).cast("double")).alias("_x"))
-        for i, v in enumerate(values)])).alias("_s"))
-    long = long.select(*keys, "_s._v", "_s._x").where(F.col("_x").isNotNull())
-    # the sort, its sample, the bucket counts and the group sizes all read this
-    # input: one written copy instead of recomputing the upstream plan each time
-    long = materialize(long, "quantile-input")
-    ranked = global_index(long, keys + ["_v", "_x"])
-    # group sizes from a partial aggregate of the unsorted rows; a group's first
-    # rank is the prefix sum of the sizes of the groups ordered before it
-    sizes = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = global_index(sizes, keys + ["_v"], name="_g0", weight="_n")
-    want = []
-    for j, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        want.append(F.struct(F.lit(j).alias("_p"), F.lit(0).alias("_side"), (F.col("_g0") + lo).alias("_at")))
-        want.append(F.struct(F.lit(j).alias("_p"), F.lit(1).alias("_side"), (F.col("_g0") + hi).alias("_at")))
-    wanted = sizes.select(*keys, "_v", "_n", F.explode(F.array(*want)).alias("_w"))
-    wanted = wanted.select(*keys, "_v", "_n", "_w._p", "_w._side", "_w._at")
-    picked = wanted.join(ranked.select(F.col(IDX).alias("_at"), "_x"), "_at")
-    aggs = [F.max("_n").alias("_n")]
-    cols = []
-    for i, v in enumerate(values):
-        for j, p in enumerate(probs):
-            lo = F.max(F.when((F.col("_v") == i) & (F.col("_p") == j) & (F.col("_side") == 0), F.col("_x")))
-            hi = F.max(F.when((F.col("_v") == i) & (F.col("_p") == j) & (F.col("_side") == 1), F.col("_x")))
-            n = F.max(F.when(F.col("_v") == i, F.col("_n")))
-            aggs += [lo.alias(f"_lo{i}_{j}"), hi.alias(f"_hi{i}_{j}"), n.alias(f"_n{i}_{j}")]
-            pos = F.lit(p) * (F.col(f"_n{i}_{j}") - 1)
-            frac = pos - F.floor(pos)
-            cols.append((F.col(f"_lo{i}_{j}") + (F.col(f"_hi{i}_{j}") - F.col(f"_lo{i}_{j}")) * frac)
-                        .alias(f"{v}_{_label(p)}"))
-    res = picked.groupBy(*keys).agg(*aggs)
-    return res.select(*keys, *cols)
-
-
-def signal_statistics(df: DataFrame, keys: list[str] | None = None, signals: list[str] | None = None,
-                      quantile_method: str = "auto") -> DataFrame:
+
+def signal_statistics(df: DataFrame, keys: list[str] | None = None, signals: list[str] | None = None) -> DataFrame:
     """A1-A3: mean, max, min, sample std, median per signal; energy and power factor.
 
     Signals absent from ``df`` are skipped.  ``total_energy`` = sum(power) * 0.001
     (the original's factor); ``power_factor`` = mean(P) / (mean(I) * mean(V)),
     NULL where the denominator is 0 and 0.0 when current or voltage is absent.
+    All figures come from one pass over the input: its value counts.  A group
+    without any value has no row there and gets NULLs from the groups' list.
     """
     keys = list(keys or [])
     present = [s for s in (signals or SIGNALS) if s in df.columns]
-    base = df.select(*keys, *[nan_to_null(F.col(s).cast("double")).alias(s) for s in present])
-    aggs = []
-    for s in present:
-        aggs += [F.avg(s).alias(f"{s}_mean"), F.max(s).alias(f"{s}_max"), F.min(s).alias(f"{s}_min"),
-                 F.stddev_samp(s).alias(f"{s}_std")]
+    if not present:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    # a column that is always there keeps groups whose signals are all missing
+    base = df.select(*keys, *present, F.lit(0.0).alias("_one"))
+    counts = value_counts(base, keys, [*present, "_one"]).frame
+    real = counts.where(F.col("_v") < len(present))
+    mean = real.groupBy(*keys, "_v").agg((F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("_mu"))
+    n, mu = F.col("_n"), F.col("_mu")
+    d = F.col("_x") - mu
+    aggs = attach(counts, mean, [*keys, "_v"]).groupBy(*keys, "_v").agg(
+        F.max(mu).alias("mean"), F.max("_x").alias("max"), F.min("_x").alias("min"),
+        F.sum(F.col("_x") * n).alias("sum"),
+        F.when(F.sum(n) > 1, F.sqrt(F.sum(d * d * n) / (F.sum(n) - 1))).alias("std"))
+    med = _picked(real, keys, [0.5]).select(*keys, "_v", F.col("_q").alias("median"))
+    per = join_on_keys(aggs, med, [*keys, "_v"], "left")
+
+    def of(s: str, what: str) -> Column:
+        return F.max(F.when(F.col("_v") == present.index(s), F.col(what)))
+    cols = [of(s, w).alias(f"{s}_{w}") for s in present for w in ("mean", "max", "min", "std", "median")]
     if "power" in present:
-        aggs.append((F.sum("power") * F.lit(schemas.ENERGY_FACTOR)).alias("total_energy"))
+        cols.append((of("power", "sum") * F.lit(schemas.ENERGY_FACTOR)).alias("total_energy"))
         if "current" in present and "voltage" in present:
-            aggs.append(F.try_divide(F.avg("power"), F.avg("current") * F.avg("voltage")).alias("power_factor"))
+            cols.append(F.try_divide(of("power", "mean"), of("current", "mean") * of("voltage", "mean"))
+                        .alias("power_factor"))
         else:
-            aggs.append(F.lit(0.0).alias("power_factor"))
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-    main = base.groupBy(*keys).agg(*aggs)
-    if not present:
-        return main.drop("_rows")
-    med = exact_quantiles(base, keys, present, [0.5], method=quantile_method)
-    out = join_on_keys(main, med, keys, "left")
-    order = list(keys)
-    for s in present:
-        order += [f"{s}_mean", f"{s}_max", f"{s}_min", f"{s}_std", f"{s}_median"]
-    if "power" in present:
-        order += ["total_energy", "power_factor"]
-    return out.select(*order)
+            cols.append(F.lit(0.0).alias("power_factor"))
+    return per.groupBy(*keys).agg(*cols)
 
 
 def anomaly_iqr(df: DataFrame, column: str, keys: list[str] | None = None,
-                quantile_method: str = "auto", flag: str = schemas.ANOMALY_FLAG) -> DataFrame:
+                quantile_method: str = "exact", flag: str = schemas.ANOMALY_FLAG) -> DataFrame:
     """A4: flag x < Q1 - 1.5 IQR or x > Q3 + 1.5 IQR; missing values never flagged."""
     keys = list(keys or [])
     q = exact_quantiles(df, keys, [column], [0.25, 0.75], method=quantile_method)
@@ -159,7 +131,7 @@ def anomaly_iqr(df: DataFrame, column: str, keys: list[str] | None = None,
     x = nan_to_null(F.col(column).cast("double"))
     iqr = F.col("_q3") - F.col("_q1")
     cond = (x < F.col("_q1") - F.lit(schemas.IQR_FENCE) * iqr) | (x > F.col("_q3") + F.lit(schemas.IQR_FENCE) * iqr)
-    return join_on_keys(df, q, keys, "left").withColumn(flag, F.coalesce(cond, F.lit(False))).drop("_q1", "_q3")
+    return attach(df, q, keys).withColumn(flag, F.coalesce(cond, F.lit(False))).drop("_q1", "_q3")
 
 
 def anomaly_zscore(df: DataFrame, column: str, keys: list[str] | None = None,
@@ -169,7 +141,7 @@ def anomaly_zscore(df: DataFrame, column: str, keys: list[str] | None = None,
     x = nan_to_null(F.col(column).cast("double"))
     m = df.groupBy(*keys).agg(F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd"))
     z = F.abs(F.try_divide(x - F.col("_mu"), F.col("_sd")))
-    return (join_on_keys(df, m, keys, "left")
+    return (attach(df, m, keys)
             .withColumn(flag, F.coalesce(z > F.lit(schemas.ZSCORE_LIMIT), F.lit(False))).drop("_mu", "_sd"))
 
 
@@ -204,45 +176,42 @@ def _slot(c: str, t: str) -> tuple[int, Column]:
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column dtype, non-null count, distinct count (nulls excluded), null count.
 
-    Counts come from one plain aggregate.  Exact distinct counts unpivot the
-    values into one narrow (position, value) stream per value type (long /
-    double / timestamp / string, so no value changes identity), deduplicate
-    each with a partial aggregate - each column's values spread over all
-    tasks - and count per position.  ``approx=True`` uses HyperLogLog in the plain aggregate instead.
+    One scan: every cell becomes (position, typed value), equal cells are
+    counted map-side, and the counts of a position give all three numbers.
+    Values keep their type (long / double / timestamp / string), so none
+    changes identity.  Each distinct value is shuffled once, which stays
+    costly for near-unique columns; ``approx=True`` counts with HyperLogLog.
     """
     dtypes = df.dtypes
-    aggs = []
-    for i, (c, t) in enumerate(dtypes):
-        x = nan_to_null(F.col(c)) if _is_float(t) else F.col(c)
-        aggs += [F.count(x).alias(f"_nn{i}"), F.count_if(x.isNull()).alias(f"_nul{i}")]
-        if approx:
-            aggs.append(F.approx_count_distinct(x).alias(f"_d{i}"))
-    wide = df.agg(*aggs)
-    counts = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.col(f"_nn{i}").alias("non_null_count"),
-                 F.col(f"_nul{i}").alias("null_count"),
-                 (F.col(f"_d{i}") if approx else F.lit(None).cast("long")).alias("_dc"))
-        for i in range(len(dtypes))])))
     meta = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(dtypes)],
                                            "position int, column_name string, dtype string")
     if approx:
-        out = counts.withColumnRenamed("_dc", "distinct_count")
+        aggs = []
+        for i, (c, t) in enumerate(dtypes):
+            x = nan_to_null(F.col(c)) if _is_float(t) else F.col(c)
+            aggs.append(F.struct(F.lit(i).alias("position"), F.count(x).alias("non_null_count"),
+                                 F.approx_count_distinct(x).alias("distinct_count"),
+                                 F.count_if(x.isNull()).alias("null_count")))
+        out = df.agg(F.array(*aggs).alias("_a")).select(F.inline("_a"))
     else:
-        groups: dict[int, list] = {}
+        kinds = ("long", "double", "timestamp_ntz", "string")
+        entries = []
         for i, (c, t) in enumerate(dtypes):
             k, v = _slot(c, t)
-            groups.setdefault(k, []).append(F.struct(F.lit(i).alias("position"), v.alias("v")))
-        distinct = None
-        for k, entries in groups.items():
-            # one narrow (position, value) stream per value type; de-duplicated map-side first
-            part = (df.select(F.inline(F.array(*entries))).where(F.col("v").isNotNull()).distinct()
-                    .groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count")))
-            distinct = part if distinct is None else distinct.unionByName(part)
-        # both sides have one row per column: bounded by the column count
-        out = counts.drop("_dc").join(F.broadcast(distinct), "position", "left")
-        out = out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0).cast("long")))
-    out = out.join(F.broadcast(meta), "position")
-    return out.select("position", "column_name", "dtype", "non_null_count", "distinct_count", "null_count")
+            entries.append(F.struct(F.lit(i).alias("position"), *[
+                (v if j == k else F.lit(None).cast(kind)).alias(f"_{kind}") for j, kind in enumerate(kinds)]))
+        slots = [f"_{kind}" for kind in kinds]
+        counted = df.select(F.inline(F.array(*entries))).groupBy("position", *slots).agg(
+            F.count(F.lit(1)).alias("_n"))
+        known = sum((F.col(x).isNotNull().cast("int") for x in slots), F.lit(0))
+        out = counted.groupBy("position").agg(
+            F.sum(F.when(known > 0, F.col("_n")).otherwise(0)).alias("non_null_count"),
+            F.count_if(known > 0).alias("distinct_count"),
+            F.sum(F.when(known > 0, 0).otherwise(F.col("_n"))).alias("null_count"))
+    # one row per column; an empty frame has counts of zero
+    out = F.broadcast(meta).join(out, "position", "left")
+    return out.select("position", "column_name", "dtype", *[
+        F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("non_null_count", "distinct_count", "null_count")])
 
 
 def frame_totals(df: DataFrame) -> DataFrame:

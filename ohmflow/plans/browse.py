@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import browse, quality, relate
 from ..sources.tables import (READINGS_ORDER, devices_customer, experiments_orders, readings_lineitem,
                               table)
 from . import roles
 from .registry import query
 
-CARD = ["id", "experiment_name", "experiment_type", "status", "result", "created_at"]
-
-
 @query("recent_experiments", sql="WITH " + roles.EXPERIMENTS + """
-SELECT id, experiment_name, experiment_type, status, result, created_at FROM experiments
+SELECT experiment_name, experiment_type, status, result, start_time, device_id FROM experiments
 ORDER BY created_at DESC NULLS FIRST, id LIMIT 5""")
 def q_recent_experiments(spark, d):
-    return browse.newest(experiments_orders(spark, d), "created_at", "id", n=5).select(*CARD)
+    return browse.home_cards(browse.newest(experiments_orders(spark, d), "created_at", "id", n=5))
+
+
+@query("recent_experiments_no_device", sql="WITH " + roles.EXPERIMENTS + f"""
+SELECT experiment_name, experiment_type, status, '' AS result, start_time, '{schemas.UNKNOWN_DEVICE_LABEL}' AS device_id
+FROM experiments ORDER BY created_at DESC NULLS FIRST, id LIMIT 5""")
+def q_recent_experiments_no_device(spark, d):
+    """P12 where the table has no device and no result column."""
+    e = experiments_orders(spark, d).drop("device_id", "result")
+    return browse.home_cards(browse.newest(e, "created_at", "id", n=5))
 
 
 @query("recent_experiments_offset", sql="WITH " + roles.EXPERIMENTS + """
-SELECT id, experiment_name, experiment_type, status, result, created_at FROM experiments
-ORDER BY created_at DESC NULLS FIRST, id LIMIT 5 OFFSET 2""")
+SELECT * FROM experiments ORDER BY created_at DESC NULLS FIRST, id LIMIT 5 OFFSET 2""")
 def q_recent_experiments_offset(spark, d):
-    return browse.newest(experiments_orders(spark, d), "created_at", "id", n=5, offset=2).select(*CARD)
+    return browse.newest(experiments_orders(spark, d), "created_at", "id", n=5, offset=2)
 
 
 @query("experiment_readings", sql="WITH " + roles.READINGS_LI + """
@@ -36,6 +42,15 @@ def q_experiment_readings(spark, d):
     return browse.readings_page(r, "experiment_id", 1, READINGS_ORDER, n=1000)
 
 
+@query("event_readings_page", sql="""
+SELECT event_type, ts, event_id, value, CAST(ROW_NUMBER() OVER (ORDER BY ts, event_id) AS INTEGER) AS sequence_number
+FROM events WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 1000""")
+def q_event_readings_page(spark, d):
+    """Q2 where the page is full: a key of more than a thousand readings."""
+    e = table(spark, d, "events").select("event_type", "ts", "event_id", "value")
+    return browse.readings_page(e, "event_type", "click", ["ts", "event_id"])
+
+
 @query("device_list", sql="WITH " + roles.DEVICES + " SELECT * FROM devices ORDER BY device_serial NULLS LAST")
 def q_device_list(spark, d):
     return browse.sorted_list(devices_customer(spark, d), "device_serial")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import strict_double
 from ..operators import quality
-from ..session import scratch_path
+from ..session import enable_legacy_charsets, scratch_path
 from ..sinks import writers
 from ..sources import files as fsrc
 from ..sources.synth import synth_readings
@@ -69,31 +69,39 @@ def q_scan_csv(spark, d):
 PREAMBLE_HEADER = ["序号", "电流 (A)", "电压 (V)", "功率 (W)", "时间戳", "设备地址", "设备类型", "order_key", "part_key"]
 
 
-@query("scan_preamble", sql="""
-SELECT l_orderkey AS order_key, l_partkey AS part_key, l_linenumber AS sequence_number, l_quantity AS current,
+_PREAMBLE_SQL = """
+SELECT l_orderkey AS order_key, l_partkey AS part_key, {seq} AS sequence_number, l_quantity AS current,
        l_extendedprice AS voltage, l_tax AS power, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS timestamp,
        CAST(l_suppkey AS INTEGER) AS device_address, l_returnflag AS device_type
-FROM lineitem""")
-def q_scan_preamble(spark, d):
+FROM lineitem"""
+
+
+def _preamble_lines(spark, d, sequence):
+    """Per thousand orders one file: a line about the data, a blank line, the header, the readings."""
     li = table(spark, d, "lineitem")
-    grp = F.floor(F.col("l_orderkey") / 1000).cast("long")
-    data = li.select(grp.alias("grp"), F.lit(2).alias("_o"),
-                     F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"),
-                     F.col("l_extendedprice").cast("string"), F.col("l_tax").cast("string"),
-                     F.date_format("l_shipdate", "yyyy/M/d"), F.col("l_suppkey").cast("string"),
-                     F.col("l_returnflag"), F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"))
-    data = data.toDF("grp", "_o", *PREAMBLE_HEADER)
-    # per file: a metadata line (point count derived from the data) and a blank line
-    meta = data.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select(
-        "grp", F.lit(0).alias("_o"), F.lit("数据信息").alias("序号"),
-        F.concat(F.lit("数据点数: "), F.col("n").cast("string")).alias("电流 (A)"),
-        *[F.lit(None).cast("string").alias(c) for c in PREAMBLE_HEADER[2:]])
-    blank = meta.select("grp", F.lit(1).alias("_o"), *[F.lit(None).cast("string").alias(c) for c in PREAMBLE_HEADER])
-    lines = data.unionByName(meta).unionByName(blank)
-    root = scratch_path(spark, "preamble")
-    (lines.repartition("grp").sortWithinPartitions("grp", "_o", "order_key", "序号", "part_key").drop("_o")
-     .write.option("header", "true").option("sep", "\t").partitionBy("grp").csv(root))
-    raw = fsrc.scan_preamble(spark, root)
+    data = li.select(F.floor(F.col("l_orderkey") / 1000).cast("long").alias("grp"), F.lit(3).alias("_o"), *[
+        c.cast("string") for c in (sequence, F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_tax"),
+                                   F.date_format("l_shipdate", "yyyy/M/d"), F.col("l_suppkey"),
+                                   F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_partkey"))])
+    cells = [f"c{i}" for i in range(len(PREAMBLE_HEADER))]
+    data = data.toDF("grp", "_o", *cells)
+    per = data.groupBy("grp").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    none = F.lit(None).cast("string")
+    meta = per.select("grp", F.lit(0).alias("_o"), F.lit("数据信息").alias("c0"),
+                      F.concat(F.lit("数据点数: "), F.col("n")).alias("c1"), *[none.alias(c) for c in cells[2:]])
+    blank = per.select("grp", F.lit(1).alias("_o"), *[none.alias(c) for c in cells])
+    head = per.select("grp", F.lit(2).alias("_o"), *[F.lit(h).alias(c) for h, c in zip(PREAMBLE_HEADER, cells)])
+    return data.unionByName(meta).unionByName(blank).unionByName(head), cells
+
+
+def _write_lines(lines, cells, path, encoding="UTF-8"):
+    if encoding != "UTF-8":
+        enable_legacy_charsets(lines.sparkSession)
+    (lines.repartition("grp").sortWithinPartitions("grp", "_o", *cells).drop("_o")
+     .write.option("sep", "\t").option("encoding", encoding).partitionBy("grp").csv(path))
+
+
+def _preamble_typed(raw):
     typed = quality.coerce_numeric(raw)
     return typed.select(F.col("order_key").cast("long"), F.col("part_key").cast("long"),
                         F.col("sequence_number").cast("int"), "current", "voltage", "power",
@@ -101,43 +109,121 @@ def q_scan_preamble(spark, d):
                         F.col("device_address").cast("int"), "device_type")
 
 
-def _batch_dir(spark, d):
-    root = scratch_path(spark, "batch")
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    writers.write_csv(li, f"{root}/lines")
-    writers.write_json(table(spark, d, "orders"), f"{root}/orders")
-    return root
+@query("scan_preamble", sql=_PREAMBLE_SQL.format(seq="l_linenumber"))
+def q_scan_preamble(spark, d):
+    root = scratch_path(spark, "preamble")
+    lines, cells = _preamble_lines(spark, d, F.col("l_linenumber"))
+    _write_lines(lines, cells, root)
+    return _preamble_typed(fsrc.scan_preamble(spark, root))
+
+
+@query("scan_preamble_mixed", sql=_PREAMBLE_SQL.format(
+    seq="CASE WHEN l_orderkey // 1000 % 3 <> 2 AND l_linenumber = 5 THEN NULL ELSE l_linenumber END"))
+def q_scan_preamble_mixed(spark, d):
+    """S2 over UTF-8 files, GBK files and files without the marker (their first line is the header);
+    readings with an empty sequence number stay."""
+    root = scratch_path(spark, "preamble-mixed")
+    third = F.floor(F.col("l_orderkey") / 1000) % 3
+    seq = F.when(~((third != 2) & (F.col("l_linenumber") == 5)), F.col("l_linenumber"))
+    lines, cells = _preamble_lines(spark, d, seq)
+    _write_lines(lines.where("grp % 3 = 0"), cells, f"{root}/utf8")
+    _write_lines(lines.where("grp % 3 = 1"), cells, f"{root}/gbk", "GBK")
+    plain = ["sequence_number", "I", "V", "P", "timestamp", "device_address", "device_type", "order_key", "part_key"]
+    head = F.create_map(*[x for c, n in zip(cells, plain) for x in (F.lit(c), F.lit(n))])
+    named = lines.where("grp % 3 = 2 and _o >= 2").select("grp", "_o", *[
+        F.when(F.col("_o") == 2, head[F.lit(c)]).otherwise(F.col(c)).alias(c) for c in cells])
+    _write_lines(named, cells, f"{root}/plain")
+    return _preamble_typed(fsrc.scan_preamble(spark, root))
+
+
+CSV_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "label"]
+
+
+def _csv_rows(spark, d):
+    return table(spark, d, "lineitem").withColumn("label", _label()).select(*CSV_COLS, "l_returnflag")
+
+
+def _csv_typed(back):
+    return back.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"),
+                       F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long"),
+                       strict_double(F.col("l_quantity")).alias("l_quantity"), "label")
+
+
+@query("scan_csv_layouts", sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS l_quantity,
+       {LABEL_SQL} AS label FROM lineitem""")
+def q_scan_csv_layouts(spark, d):
+    """S1 over files with their columns in different orders, one kind without a column."""
+    rows, root = _csv_rows(spark, d), scratch_path(spark, "layouts")
+    for flag, cols in (("A", CSV_COLS), ("R", CSV_COLS[::-1]), ("N", [c for c in CSV_COLS if c != "l_quantity"])):
+        writers.write_csv(rows.where(F.col("l_returnflag") == flag).select(*cols), f"{root}/{flag}")
+    return _csv_typed(fsrc.scan_csv(spark, root))
 
 
 BATCH_SCHEMA = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+BATCH_COLS = CSV_COLS[:5]
+
+
+def _batch_dir(spark, d):
+    """CSV files; lines of the seventh item with a bad quantity; the nations as JSON."""
+    root = scratch_path(spark, "batch")
+    rows = _csv_rows(spark, d).select(*BATCH_COLS)
+    broken = F.when(F.col("l_linenumber") == 7, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string"))
+    writers.write_csv(rows.withColumn("l_quantity", broken), f"{root}/lines")
+    writers.write_json(table(spark, d, "nation").coalesce(1), f"{root}/nations")     # 25 rows, one file
+    return root
 
 
-@query("scan_batch", sql="SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem")
+@query("scan_batch", sql="""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_linenumber <> 7""")
 def q_scan_batch(spark, d):
     rows, _ = fsrc.scan_batch(spark, _batch_dir(spark, d), schema=BATCH_SCHEMA)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return rows.select(*BATCH_COLS)
 
 
-@query("scan_rejects")      # file names are chosen by the writer: rows-only check
+@query("scan_batch_gbk", sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, {LABEL_SQL} AS label FROM lineitem""")
+def q_scan_batch_gbk(spark, d):
+    """S3 over UTF-8 and GBK files with different column orders."""
+    rows, root = _csv_rows(spark, d), scratch_path(spark, "batch-gbk")
+    writers.write_csv(rows.where("l_returnflag <> 'R'").select(*CSV_COLS), f"{root}/utf8")
+    writers.write_csv(rows.where("l_returnflag = 'R'").select(*CSV_COLS[::-1]), f"{root}/gbk", "GBK")
+    back, _ = fsrc.scan_batch(spark, root, schema=BATCH_SCHEMA + ", label string")
+    return back.select(*CSV_COLS)
+
+
+@query("scan_rejects", sql="""
+SELECT 'lines' AS folder, concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_suppkey, 'n/a') AS line,
+       'unparsable: l_quantity' AS reason FROM lineitem WHERE l_linenumber = 7
+UNION ALL SELECT 'nations', NULL, 'unsupported type'""")
 def q_scan_rejects(spark, d):
+    """S3: one reject for every file and line that was not loaded; the writer names the files, so by folder."""
     _, rejected = fsrc.scan_batch(spark, _batch_dir(spark, d), schema=BATCH_SCHEMA)
-    return rejected
+    return rejected.select(F.element_at(F.split("source_file", "/"), -2).alias("folder"), "line", "reason")
+
+
+_NOISE_SQL = """radius AS (SELECT c_custkey, c_nationkey, k, md5(concat_ws(':', 42, c_custkey, k)) AS h
+               FROM customer, range(0, 300) r(k)),
+u AS (SELECT *, (CAST(('0x' || substr(h, 1, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u1,
+             (CAST(('0x' || substr(h, 9, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u2 FROM radius),
+z AS (SELECT c_custkey, c_nationkey, k, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) AS zv,
+             sqrt(-2 * ln(u1)) * sin(2 * pi() * u2) AS zi, k * 300.0 / 299 AS t FROM u)"""
 
 
-@query("synth_readings", sql="""
-WITH p AS (SELECT c_custkey, 1 + c_nationkey / 10 AS i_n, k, k * 20.0 / 19 AS t FROM customer, range(0, 20) r(k)),
-v AS (SELECT c_custkey, k, t, i_n * (1 + 0.5 * sin(2 * pi() * 0.05 * t)) AS current,
-             20.0 * (1 + 0.1 * sin(2 * pi() * 0.1 * t)) AS voltage FROM p)
+@query("synth_readings", sql=f"""
+WITH {_NOISE_SQL},
+v AS (SELECT c_custkey, k, (1 + c_nationkey / 10) * (1 + 0.5 * sin(2 * pi() * 0.05 * t) + 0.05 * zi) AS current,
+             20.0 * (1 + 0.05 * zv + 0.1 * sin(2 * pi() * 0.1 * t)) AS voltage FROM z)
 SELECT c_custkey AS series_id, CAST(k + 1 AS INTEGER) AS sequence_number, ROUND(current, 6) AS current,
        ROUND(voltage, 6) AS voltage, ROUND(current * voltage, 6) AS power,
        TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(k * 1000000) AS timestamp,
        1 AS device_address, '测试设备' AS device_type
 FROM v""")
 def q_synth_readings(spark, d):
+    """S5 with its defaults: 300 points a series, noise 0.05."""
     c = table(spark, d, "customer")
-    out = synth_readings(c, "c_custkey", "2024-01-01 00:00:00", duration=20, rate=1, voltage_nominal=20.0,
-                         current_nominal=F.lit(1.0) + F.col("c_nationkey") / 10, noise=0.0)
-    return rounded(out)
+    return rounded(synth_readings(c, "c_custkey", "2024-01-01 00:00:00",
+                                  current_nominal=F.lit(1.0) + F.col("c_nationkey") / 10))
 
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -193,36 +279,62 @@ def q_append_readings(spark, d):
                        "reading_month")
 
 
-@query("append_defaults", sql="WITH " + roles.DEVICES + """
-SELECT id, device_serial, device_model, COALESCE(status, 'normal') AS status,
-       TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM devices""")
+@query("append_defaults", sql="WITH " + roles.DEVICES + """,
+h AS (SELECT *, md5('devices' || chr(31) || device_serial) AS m FROM devices)
+SELECT CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE concat_ws('-', substr(m, 1, 8), substr(m, 9, 4),
+            substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)) END AS id, device_serial, device_model, COALESCE(status, 'normal') AS status,
+       TIMESTAMP '2024-01-01 00:00:00' AS created_at, true AS updated_now FROM h""")
 def q_append_defaults(spark, d):
-    dev = devices_customer(spark, d).select("id", "device_serial", "device_model", "status",
-                                            F.lit(None).cast("timestamp_ntz").alias("created_at"))
-    filled = writers.apply_defaults(dev, "devices", now=F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    path = writers.append_rows(filled, scratch_path(spark, "devices"))
-    return spark.read.parquet(path)
+    """K5: every second id and all creation times are given; the rest is filled in, ``updated_at`` by the clock."""
+    dev = devices_customer(spark, d).select(
+        F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("id"), "device_serial", "device_model", "status",
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+        F.lit(None).cast("timestamp").alias("updated_at"))
+    path = writers.append_rows(writers.apply_defaults(dev, "devices"), scratch_path(spark, "devices"))
+    back = spark.read.parquet(path)
+    recent = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("updated_at")) < 3600
+    return back.withColumn("updated_now", F.coalesce(recent, F.lit(False))).drop("updated_at")
 
 
 @query("upsert_devices", sql="WITH " + roles.DEVICES + """,
-ch AS (SELECT c_custkey AS id, 'maintenance' AS status FROM customer WHERE c_acctbal < 0)
-SELECT d.id, d.device_serial, d.device_model, COALESCE(ch.status, d.status) AS status,
+ch AS (SELECT c_custkey AS id, 'maintenance' AS status, 'old model' AS device_model, c_acctbal < 5000 AS twice
+       FROM customer WHERE c_acctbal < 9000)
+SELECT d.id, d.device_serial, CASE WHEN ch.id IS NULL THEN d.device_model ELSE 'old model' END AS device_model,
+       CASE WHEN ch.id IS NULL THEN d.status WHEN twice THEN 'retired' ELSE 'maintenance' END AS status,
        TIMESTAMP '2024-01-01 00:00:00' AS created_at,
-       CASE WHEN ch.id IS NOT NULL AND COALESCE(ch.status, d.status) IS DISTINCT FROM d.status
-            THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at
+       CASE WHEN ch.id IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END
+         AS updated_at
 FROM devices d LEFT JOIN ch ON d.id = ch.id""")
 def q_upsert_devices(spark, d):
+    """K6 with changes that repeat a device, leave a value alone or set what is already there."""
     t0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     base = devices_customer(spark, d).select("id", "device_serial", "device_model", "status",
                                              t0.alias("created_at"), t0.alias("updated_at"))
-    changes = table(spark, d, "customer").where(F.col("c_acctbal") < 0).select(
-        F.col("c_custkey").alias("id"), F.lit("maintenance").alias("status"))
-    new = writers.upsert(base, changes, "id", now=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    one = c.where("c_acctbal < 9000").select("id", F.lit("maintenance").alias("status"),
+                                             F.lit("old model").alias("device_model"), F.lit(1).alias("at"))
+    two = c.where("c_acctbal < 5000").select("id", F.lit("retired").alias("status"),
+                                             F.lit(None).cast("string").alias("device_model"), F.lit(2).alias("at"))
+    new = writers.upsert(base, two.unionByName(one), "id", now=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"),
+                         order="at")
     path = scratch_path(spark, "devices-v2")
     new.write.parquet(path)
     return spark.read.parquet(path)
 
 
+@query("export_names", sql="""
+SELECT o_orderkey, 'export_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') AS name FROM orders""")
+def q_export_names(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", writers.export_name(F.col("o_orderdate")).alias("name"))
+
+
+@query("column_widths", sql=" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, GREATEST(COALESCE(MAX(LENGTH({c})), 0), {len(c)}) + 2 AS width "
+    "FROM customer" for i, c in enumerate(("c_name", "c_mktsegment"))))
+def q_column_widths(spark, d):
+    return writers.column_widths(table(spark, d, "customer").select("c_name", "c_mktsegment"))
+
+
 @query("log_operation", sql="""
 SELECT CAST(o_custkey AS VARCHAR) AS user_id, 'create_experiment' AS operation_type,
        'experiment ' || CAST(o_orderkey AS VARCHAR) AS operation_detail, o_orderdate AS created_at

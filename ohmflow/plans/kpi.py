@@ -11,8 +11,11 @@ from .registry import query, rounded
 
 
 @query("daily_tests", sql="WITH " + roles.EXPERIMENTS + """,
-d AS (SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS tests FROM experiments GROUP BY 1)
-SELECT day, tests, tests - LAG(tests) OVER (ORDER BY day) AS change FROM d""")
+d AS (SELECT CAST(created_at AS DATE) AS day, COUNT(*) AS tests FROM experiments GROUP BY 1),
+s AS (SELECT CAST(UNNEST(generate_series(MIN(day), MAX(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d),
+f AS (SELECT s.day, COALESCE(d.tests, 0) AS tests FROM s LEFT JOIN d ON s.day = d.day)
+SELECT day, tests, tests - LAG(tests) OVER (ORDER BY day) AS change FROM f
+UNION ALL SELECT day, tests, NULL FROM d WHERE day IS NULL""")
 def q_daily_tests(spark, d):
     return kpi.daily_tests(experiments_orders(spark, d), "created_at")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_columns
-from ..operators import quality
-from ..sources.tables import (READINGS_ORDER, devices_customer, experiments_orders, readings_dirty,
-                              readings_ivp, readings_lineitem, series_events, table)
+from .. import schemas
+from ..operators import quality, relate
+from ..sources.tables import (READINGS_ORDER, devices_customer, experiments_orders, files_documents,
+                              profiles_customer, readings_dirty, readings_ivp, readings_lineitem, series_events, table)
 from . import roles
 from .registry import query, rounded
 
@@ -89,8 +90,7 @@ def q_drop_empty_rows(spark, d):
 
 @query("sequence_number", sql="""
 SELECT l_orderkey AS experiment_id, l_linenumber, l_partkey, l_suppkey,
-       CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER)
-         AS sequence_number
+       ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS sequence_number
 FROM lineitem""")
 def q_sequence_number(spark, d):
     r = readings_lineitem(spark, d).select(*ROW_ID)
@@ -113,41 +113,56 @@ def q_filter_eq(spark, d):
     return quality.filter_eq(table(spark, d, "orders"), o_orderstatus="F", o_orderpriority=None)
 
 
-def _checks_sql(tbl: str, cte: str, rules: list[tuple[str, str, str]]) -> str:
-    sel = " UNION ALL ".join(
-        f"SELECT '{tbl}' AS table_name, '{c}' AS column_name, '{r}' AS rule, {e} AS violations FROM {tbl}"
-        for c, r, e in rules)
-    return sel
-
-
-_EXP_RULES = [
-    ("experiment_type", "check_in",
-     "COUNT(*) FILTER (WHERE experiment_type NOT IN ('dielectric', 'leakage', 'normal', 'abnormal', 'simulation'))"),
-    ("status", "check_in", "COUNT(*) FILTER (WHERE status NOT IN ('running', 'completed', 'cancelled'))"),
-    ("result", "check_in", "COUNT(*) FILTER (WHERE result NOT IN ('pass', 'fail', 'pending'))"),
-    ("experiment_name", "not_null", "COUNT(*) FILTER (WHERE experiment_name IS NULL)"),
-    ("experiment_type", "not_null", "COUNT(*) FILTER (WHERE experiment_type IS NULL)"),
-    ("experiment_name", "varchar_100", "COUNT(*) FILTER (WHERE LENGTH(experiment_name) > 100)"),
-    ("experiment_type", "varchar_50", "COUNT(*) FILTER (WHERE LENGTH(experiment_type) > 50)"),
-    ("status", "varchar_20", "COUNT(*) FILTER (WHERE LENGTH(status) > 20)"),
-    ("result", "varchar_20", "COUNT(*) FILTER (WHERE LENGTH(result) > 20)"),
-]
-_DEV_RULES = [
-    ("status", "check_in", "COUNT(*) FILTER (WHERE status NOT IN ('normal', 'maintenance', 'retired'))"),
-    ("device_serial", "not_null", "COUNT(*) FILTER (WHERE device_serial IS NULL)"),
-    ("device_model", "not_null", "COUNT(*) FILTER (WHERE device_model IS NULL)"),
-    ("device_serial", "varchar_50", "COUNT(*) FILTER (WHERE LENGTH(device_serial) > 50)"),
-    ("device_model", "varchar_50", "COUNT(*) FILTER (WHERE LENGTH(device_model) > 50)"),
-    ("status", "varchar_20", "COUNT(*) FILTER (WHERE LENGTH(status) > 20)"),
-]
+def _checks_sql(tbl: str, columns: list[str]) -> str:
+    """The constraints of the fixed lists, for the columns the role has."""
+    rules = [(c, "check_in", f"{c} NOT IN ({', '.join(repr(v) for v in allowed)})")
+             for c, allowed in schemas.CHECKS.get(tbl, {}).items()]
+    rules += [(c, "not_null", f"{c} IS NULL") for c in schemas.NOT_NULL.get(tbl, [])]
+    rules += [(c, f"varchar_{n}", f"LENGTH({c}) > {n}") for c, n in schemas.VARCHAR_LIMITS.get(tbl, {}).items()]
+    return " UNION ALL ".join(
+        f"SELECT '{tbl}' AS table_name, '{c}' AS column_name, '{r}' AS rule, COUNT(*) FILTER (WHERE {e}) AS violations "
+        f"FROM {tbl}" for c, r, e in rules if c in columns)
+
+
+# the stored tables as the test tables give them: (frame, its columns)
+_STORED = {
+    "devices": (lambda s, d: devices_customer(s, d), ["device_serial", "device_model", "status"]),
+    "experiments": (lambda s, d: experiments_orders(s, d), ["experiment_name", "experiment_type", "status", "result"]),
+    "experiment_data": (lambda s, d: readings_lineitem(s, d).withColumn("device_type", F.col("l_returnflag")),
+                        ["device_type"]),
+    "test_standards": (lambda s, d: relate.standards_frame(s), ["standard_code", "standard_name", "test_type"]),
+    "files": (lambda s, d: files_documents(s, d), ["file_name", "file_type"]),
+    "user_profiles": (lambda s, d: profiles_customer(s, d), ["full_name", "role"]),
+    "operation_logs": (lambda s, d: table(s, d, "orders").select(F.col("o_orderstatus").alias("operation_type")),
+                       ["operation_type"]),
+}
+_STD_SQL = "test_standards(standard_code, standard_name, test_type) AS (VALUES " + ", ".join(
+    f"('{c}', '{n}', '{t}')" for c, n, t, _, _ in schemas.SEED_STANDARDS) + ")"
+_STORED_SQL = ("WITH " + roles.EXPERIMENTS + ", " + roles.DEVICES + ", " + roles.FILES + ", "
+               + roles.PROFILES.replace("profiles AS", "user_profiles AS", 1) + ", " + _STD_SQL
+               + ", experiment_data AS (SELECT l_returnflag AS device_type FROM lineitem)"
+               + ", operation_logs AS (SELECT o_orderstatus AS operation_type FROM orders) ")
 
 
-@query("check_constraints", sql="WITH " + roles.EXPERIMENTS + ", " + roles.DEVICES + " "
-       + _checks_sql("experiments", "", _EXP_RULES) + " UNION ALL " + _checks_sql("devices", "", _DEV_RULES))
+@query("check_constraints", sql=_STORED_SQL + " UNION ALL ".join(_checks_sql(t, c) for t, (_, c) in _STORED.items()))
 def q_check_constraints(spark, d):
-    e = quality.check_constraints(experiments_orders(spark, d), "experiments")
-    v = quality.check_constraints(devices_customer(spark, d), "devices")
-    return e.unionByName(v)
+    """P13-P14 over all seven stored tables."""
+    out = None
+    for t, (frame, _) in _STORED.items():
+        part = quality.check_constraints(frame(spark, d), t)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("unique_violations", sql="""
+SELECT 'devices' AS table_name, 'device_serial' AS column_name, c_mktsegment || '-' || c_nationkey AS value,
+       COUNT(*) AS row_count FROM customer
+WHERE c_mktsegment IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY 3 HAVING COUNT(*) > 1""")
+def q_unique_violations(spark, d):
+    """Serial numbers made of segment and nation, which many customers share."""
+    c = table(spark, d, "customer")
+    serial = F.concat("c_mktsegment", F.lit("-"), F.col("c_nationkey").cast("string"))
+    return quality.unique_violations(c.select(serial.alias("device_serial")), "devices")
 
 
 @query("duplicate_keys", sql="""
@@ -158,16 +173,12 @@ def q_duplicate_keys(spark, d):
     return quality.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-_MSG_SQL = {
-    "current_not_numeric": "列 ''电流'' 包含非数值数据", "voltage_not_numeric": "列 ''电压'' 包含非数值数据",
-    "power_not_numeric": "列 ''功率'' 包含非数值数据", "current_negative": "电流值不能为负数",
-    "current_above_max": "电流值超出合理范围 (>1000A)", "voltage_negative": "电压值不能为负数",
-    "voltage_above_max": "电压值超出合理范围 (>10000V)", "power_mismatch": "功率值与电流电压计算值偏差过大",
-}
+def _msg(rule: str) -> str:
+    return quality._message(rule).replace("'", "''")
 
 
 @query("validation_messages", sql="WITH v AS (" + _VALIDATE_SQL + "), m AS (SELECT * FROM (VALUES "
-       + ", ".join(f"('{k}', '{t}')" for k, t in _MSG_SQL.items()) + """) AS t(rule, message))
+       + ", ".join(f"('{k}', '{_msg(k)}')" for k, _ in _RULES_SQL) + """) AS t(rule, message))
 SELECT experiment_id, BOOL_AND(valid) AS valid,
        COALESCE(STRING_AGG(CASE WHEN violations > 0 THEN message END, '; ' ORDER BY rule_no), '') AS messages
 FROM v JOIN m ON v.rule = m.rule GROUP BY experiment_id""")
@@ -176,12 +187,30 @@ def q_validation_messages(spark, d):
     return quality.validation_messages(quality.validation_report(r, keys=KEY), keys=KEY)
 
 
+@query("validation_missing", sql=f"""
+SELECT l_orderkey AS experiment_id, false AS valid,
+       '{schemas.MSG_MISSING.format(cols=', '.join(schemas.ORIGINAL_NAMES[c] for c in ('voltage', 'power')))}'
+       || CASE WHEN COUNT(*) FILTER (WHERE l_quantity > 1000) > 0 THEN '; {schemas.MSG_CURRENT_ABOVE_MAX}' ELSE '' END
+         AS messages
+FROM lineitem GROUP BY l_orderkey""")
+def q_validation_missing(spark, d):
+    """Two of the three required columns are absent: one message names both."""
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("experiment_id"), F.col("l_quantity").alias("I"))
+    return quality.validation_messages(quality.validation_report(r, keys=KEY), keys=KEY)
+
+
 @query("sequence_number_blocked", sql="""
-SELECT l_orderkey AS experiment_id, l_linenumber, l_partkey, l_suppkey,
-       CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER)
+SELECT l_returnflag AS experiment_id, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)
          AS sequence_number
 FROM lineitem""")
 def q_sequence_number_blocked(spark, d):
-    """P9 forced onto the skew-safe global index (the path taken for a hot experiment)."""
-    r = readings_lineitem(spark, d).select(*ROW_ID)
-    return quality.sequence_numbers(r, KEY, READINGS_ORDER, strategy="blocked")
+    """P9 over three hot keys."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("experiment_id"), "l_orderkey", *READINGS_ORDER)
+    return quality.sequence_numbers(li, KEY, ["l_orderkey", *READINGS_ORDER])
+
+
+@query("sequence_number_unkeyed", sql="""
+SELECT event_id, ts, ROW_NUMBER() OVER (ORDER BY ts, event_id) AS sequence_number FROM events""")
+def q_sequence_number_unkeyed(spark, d):
+    return quality.sequence_numbers(table(spark, d, "events").select("event_id", "ts"), [], ["ts", "event_id"])

@@ -66,33 +66,60 @@ def q_filter_median(spark, d):
     return rounded(series.filter_data(s, "x", "median", 5, keys=["key"], order=["ts", "seq"]))
 
 
-# span 5 -> alpha = 1/3; error events are missing values
-ORACLE_EXP = """
+def _exponential_sql(key: str, span: int) -> str:
+    """The recursion row by row; error events are missing values."""
+    a = f"(2.0 / {span + 1})"
+    return f"""
 WITH RECURSIVE s AS (
-  SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS x,
-         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  SELECT {key} AS key, event_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS x,
+         ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn
   FROM events),
 r AS (
-  SELECT user_id, rn, x AS y, CASE WHEN x IS NULL THEN NULL ELSE 0 END AS gap FROM s WHERE rn = 1
+  SELECT key, rn, x AS y, CASE WHEN x IS NULL THEN NULL ELSE 0 END AS gap FROM s WHERE rn = 1
   UNION ALL
-  SELECT s.user_id, s.rn,
+  SELECT s.key, s.rn,
          CASE WHEN s.x IS NULL THEN r.y WHEN r.y IS NULL THEN s.x
-              ELSE (POW(2.0 / 3.0, r.gap + 1) * r.y + (1.0 / 3.0) * s.x) / (POW(2.0 / 3.0, r.gap + 1) + 1.0 / 3.0)
-         END,
+              ELSE (POW(1 - {a}, r.gap + 1) * r.y + {a} * s.x) / (POW(1 - {a}, r.gap + 1) + {a}) END,
          CASE WHEN s.x IS NULL THEN r.gap + 1 ELSE 0 END
-  FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.rn + 1)
-SELECT s.user_id AS key, s.event_id AS seq, s.ts, s.x, ROUND(COALESCE(r.y, s.x), 6) AS x_filtered
-FROM s JOIN r ON s.user_id = r.user_id AND s.rn = r.rn"""
+  FROM r JOIN s ON s.key = r.key AND s.rn = r.rn + 1)
+SELECT s.key, s.event_id AS seq, s.ts, s.x, ROUND(COALESCE(r.y, s.x), 6) AS x_filtered
+FROM s JOIN r ON s.key = r.key AND s.rn = r.rn"""
 
 
-@query("filter_exponential", sql=ORACLE_EXP)
+def _gappy(spark, d, key):
+    s = series_events(spark, d).withColumn("key", key)
+    return s.select("key", "seq", "ts", F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
+                    .otherwise(F.col("x")).alias("x"))
+
+
+@query("filter_exponential", sql=_exponential_sql("user_id", 5))
 def q_filter_exponential(spark, d):
-    s = series_events(spark, d)
-    s = s.select("key", "seq", "ts", F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
-                 .otherwise(F.col("x")).alias("x"))
+    s = _gappy(spark, d, F.col("key"))
     return rounded(series.filter_data(s, "x", "exponential", 5, keys=["key"], order=["ts", "seq"]))
 
 
+@query("filter_exponential_span", sql=_exponential_sql("user_id", 1000))
+def q_filter_exponential_span(spark, d):
+    """W3 with a span far beyond the rows of a key."""
+    s = _gappy(spark, d, F.col("key"))
+    return rounded(series.filter_data(s, "x", "exponential", 1000, keys=["key"], order=["ts", "seq"]))
+
+
+@query("filter_exponential_unkeyed", sql=_exponential_sql("0", 5))
+def q_filter_exponential_unkeyed(spark, d):
+    """W3 over one series holding the whole table."""
+    s = _gappy(spark, d, F.lit(0))
+    out = series.filter_data(s.drop("key"), "x", "exponential", 5, keys=[], order=["ts", "seq"])
+    return rounded(out.withColumn("key", F.lit(0)))
+
+
+@query("filter_exponential_blocked", sql=_exponential_sql("CASE WHEN event_type = 'click' THEN 1 ELSE 2 END", 50))
+def q_filter_exponential_blocked(spark, d):
+    """W3 over two hot keys, each spread over many blocks."""
+    s = _gappy(spark, d, F.when(F.col("event_type") == "click", 1).otherwise(2))
+    return rounded(series.filter_data(s, "x", "exponential", 50, keys=["key"], order=["ts", "seq"]))
+
+
 @query("downsample_minmax", sql="""
 WITH r AS (SELECT user_id, ts, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
                   COUNT(*) OVER (PARTITION BY user_id) AS nk FROM events)
@@ -130,25 +157,23 @@ def q_filter_moving_average_unkeyed(spark, d):
     return rounded(series.filter_data(s, "x", "moving_average", 5, keys=[], order=["ts", "seq"]))
 
 
-@query("filter_moving_average_blocked", sql=f"""
-SELECT user_id AS key, event_id AS seq, ts, value AS x,
-       ROUND(CASE WHEN COUNT(value) OVER w = 5 THEN AVG(value) OVER w ELSE value END, 6) AS x_filtered
-FROM events {_WIN}""")
-def q_filter_moving_average_blocked(spark, d):
-    """W1 forced onto the hot-key path (global index + halo blocks), whole table."""
-    s = series_events(spark, d).select(*SERIES_COLS)
-    return rounded(series.filter_data(s, "x", "moving_average", 5, keys=["key"], order=["ts", "seq"],
-                                      strategy="blocked", block_rows=64))
+@query("filter_median_unkeyed", sql="""
+SELECT event_id AS seq, ts, value AS x,
+       ROUND(CASE WHEN COUNT(value) OVER w = 5 THEN MEDIAN(value) OVER w ELSE value END, 6) AS x_filtered
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def q_filter_median_unkeyed(spark, d):
+    s = series_events(spark, d).select("seq", "ts", "x")
+    return rounded(series.filter_data(s, "x", "median", 5, keys=[], order=["ts", "seq"]))
 
 
-@query("filter_exponential_blocked", sql=ORACLE_EXP)
-def q_filter_exponential_blocked(spark, d):
-    """W3 forced onto the hot-key path (valid-row index, blocked fold, blocked carry)."""
-    s = series_events(spark, d)
-    s = s.select("key", "seq", "ts", F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
-                 .otherwise(F.col("x")).alias("x"))
-    return rounded(series.filter_data(s, "x", "exponential", 5, keys=["key"], order=["ts", "seq"],
-                                      strategy="blocked", block_rows=128))
+@query("filter_moving_average_blocked", sql="""
+SELECT event_type AS key, event_id AS seq, ts, value AS x,
+       ROUND(CASE WHEN COUNT(value) OVER w = 301 THEN AVG(value) OVER w ELSE value END, 6) AS x_filtered
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 150 PRECEDING AND 150 FOLLOWING)""")
+def q_filter_moving_average_blocked(spark, d):
+    """W1 over five hot keys with a frame of 301 rows that reaches over block borders."""
+    s = series_events(spark, d).withColumn("key", F.col("event_type")).select(*SERIES_COLS)
+    return rounded(series.filter_data(s, "x", "moving_average", 301, keys=["key"], order=["ts", "seq"]))
 
 
 @query("resample_hourly", sql="""
@@ -167,16 +192,27 @@ def q_resample_hourly(spark, d):
     return rounded(series.resample_mean(e, ts="ts", freq="1h", keys=["user_id"]))
 
 
-@query("downsample_minmax_blocked", sql="""
-WITH r AS (SELECT user_id, ts, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
-                  COUNT(*) OVER (PARTITION BY user_id) AS nk FROM events)
-SELECT user_id, CAST(FLOOR((rn - 1) * 10 / nk) AS BIGINT) AS bucket, COUNT(*) AS n_points,
+def _downsample_sql(key: str, buckets: int) -> str:
+    return f"""
+WITH r AS (SELECT {key} AS key, ts, value, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn,
+                  COUNT(*) OVER (PARTITION BY {key}) AS nk FROM events)
+SELECT key, CAST((rn - 1) * {buckets} // nk AS BIGINT) AS bucket, COUNT(*) AS n_points,
        MIN(ts) AS ts_first, MAX(ts) AS ts_last,
        ROUND(MIN(value), 6) AS value_min, FIRST(ts ORDER BY value, rn) AS ts_min,
        ROUND(MAX(value), 6) AS value_max, FIRST(ts ORDER BY value DESC, rn) AS ts_max
-FROM r GROUP BY ALL""")
+FROM r GROUP BY ALL"""
+
+
+@query("downsample_minmax_blocked", sql=_downsample_sql("event_type", 1000))
 def q_downsample_minmax_blocked(spark, d):
-    """D10 forced onto the global-index path."""
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    return rounded(series.downsample_minmax(e, ["user_id"], ["ts", "event_id"], "ts", "value", buckets=10,
-                                            strategy="blocked"))
+    """D10 over five hot keys with the default 1000 buckets."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("key"), "ts", "event_id", "value")
+    return rounded(series.downsample_minmax(e, ["key"], ["ts", "event_id"], "ts", "value"))
+
+
+@query("downsample_minmax_100k", sql=_downsample_sql("0", 100_000))
+def q_downsample_minmax_100k(spark, d):
+    """D10 at its target: the whole table as one series, 100,000 buckets."""
+    e = table(spark, d, "events").select("ts", "event_id", "value")
+    out = series.downsample_minmax(e, [], ["ts", "event_id"], "ts", "value", buckets=100_000)
+    return rounded(out.withColumn("key", F.lit(0)))

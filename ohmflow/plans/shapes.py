@@ -75,9 +75,10 @@ l AS (SELECT period, 'revenue' AS metric, 'USD' AS unit, revenue AS v,
              revenue - LAG(revenue) OVER (ORDER BY period) AS d FROM p
       UNION ALL
       SELECT period, 'orders', 'orders', orders, orders - LAG(orders) OVER (ORDER BY period) FROM p)
-SELECT period, metric, ROUND(v, 2) AS value, unit, NULLIF(ROUND(d, 2), 0) AS delta,
-       CASE WHEN NULLIF(ROUND(d, 2), 0) IS NULL THEN NULL WHEN ROUND(d, 2) >= 0 THEN 'normal' ELSE 'inverse' END
-         AS delta_color
+SELECT period, metric, ROUND(v, 2) AS value, unit, ROUND(d, 2) AS delta,
+       CASE WHEN d > 0 THEN 'normal' ELSE 'inverse' END AS delta_color,
+       printf('%.2f', v) || ' ' || unit AS value_text,
+       CASE WHEN d <> 0 THEN printf('%.2f', d) || ' ' || unit END AS delta_text
 FROM l""")
 def q_metric_cards(spark, d):
     o = table(spark, d, "orders")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import shapes, stats
 from ..sources.tables import readings_ivp, series_events, table
 from .registry import query, rounded
 
@@ -83,32 +83,44 @@ def q_column_profile(spark, d):
 
 @query("frame_totals", sql="SELECT COUNT(*) AS row_count, 11 AS column_count, CAST("
        + " + ".join(f"(COUNT(*) - COUNT({c}))" for c, _ in LINEITEM_TYPES)
-       + " AS BIGINT) AS null_cells FROM lineitem")
+       + " AS BIGINT) AS null_cells, format('{:,}', COUNT(*)) AS row_count_text FROM lineitem")
 def q_frame_totals(spark, d):
-    return stats.frame_totals(table(spark, d, "lineitem"))
+    """A7, with the row count as the page shows it."""
+    return stats.frame_totals(table(spark, d, "lineitem")).withColumn(
+        "row_count_text", shapes.count_text(F.col("row_count")))
 
 
-@query("signal_statistics_sorted", sql="""
-SELECT event_type,
-       ROUND(AVG(value), 6) AS power_mean, ROUND(MAX(value), 6) AS power_max,
-       ROUND(MIN(value), 6) AS power_min, ROUND(STDDEV_SAMP(value), 6) AS power_std,
-       ROUND(QUANTILE_CONT(value, 0.5), 6) AS power_median,
-       ROUND(SUM(value) * 0.001, 6) AS total_energy, CAST(0.0 AS DOUBLE) AS power_factor
-FROM events GROUP BY event_type
-""")
+def _power_sql(key: str, value: str, tbl: str) -> str:
+    return f"""
+SELECT {key}, ROUND(AVG({value}), 6) AS power_mean, ROUND(MAX({value}), 6) AS power_max,
+       ROUND(MIN({value}), 6) AS power_min, ROUND(STDDEV_SAMP({value}), 6) AS power_std,
+       ROUND(QUANTILE_CONT({value}, 0.5), 6) AS power_median,
+       ROUND(SUM({value}) * 0.001, 6) AS total_energy, CAST(0.0 AS DOUBLE) AS power_factor
+FROM {tbl} GROUP BY {key}"""
+
+
+@query("signal_statistics_sorted", sql=_power_sql("user_id", "value", "events"))
 def q_signal_statistics_sorted(spark, d):
-    """A1 with medians from the distributed sort (the path taken for a hot group)."""
-    e = series_events(spark, d).select("event_type", F.col("x").alias("power"))
-    return rounded(stats.signal_statistics(e, keys=["event_type"], quantile_method="sort"))
+    """A1 over many small groups of nearly unique values."""
+    e = table(spark, d, "events").select("user_id", F.col("value").alias("power"))
+    return rounded(stats.signal_statistics(e, keys=["user_id"]))
+
+
+@query("signal_statistics_quantity", sql=_power_sql("l_returnflag", "l_quantity", "lineitem"))
+def q_signal_statistics_quantity(spark, d):
+    """A1 over hot groups of few distinct values."""
+    li = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("power"))
+    return rounded(stats.signal_statistics(li, keys=["l_returnflag"]))
 
 
 @query("anomaly_iqr_sorted", sql="""
-WITH q AS (SELECT event_type, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.75) AS q3
-           FROM events GROUP BY event_type)
-SELECT e.event_id, e.event_type, e.value,
-       COALESCE(e.value < q1 - 1.5 * (q3 - q1) OR e.value > q3 + 1.5 * (q3 - q1), false) AS is_anomaly
-FROM events e JOIN q ON e.event_type = q.event_type""")
+WITH q AS (SELECT l_returnflag, QUANTILE_CONT(l_extendedprice, 0.25) AS q1, QUANTILE_CONT(l_extendedprice, 0.75) AS q3
+           FROM lineitem GROUP BY l_returnflag)
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_returnflag, l.l_extendedprice,
+       COALESCE(l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1), false) AS is_anomaly
+FROM lineitem l JOIN q USING (l_returnflag)""")
 def q_anomaly_iqr_sorted(spark, d):
-    """A4 with quartiles from the distributed sort (the path taken for a hot group)."""
-    e = table(spark, d, "events").select("event_id", "event_type", "value")
-    return stats.anomaly_iqr(e, "value", keys=["event_type"], quantile_method="sort")
+    """A4 over three hot groups."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+                                            "l_extendedprice")
+    return stats.anomaly_iqr(li, "l_extendedprice", keys=["l_returnflag"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import scratch_path
+from ..sources.tables import table
 from ..streaming import live
 from .registry import query, rounded
 
@@ -29,10 +32,14 @@ def q_stream_alerts(spark, d):
 WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, COUNT(*) AS n,
                   AVG(value) AS mean_value FROM events GROUP BY ALL)
 SELECT event_type, window_start, window_start + INTERVAL 1 HOUR AS window_end, n, ROUND(mean_value, 6) AS mean_value
-FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""")
+FROM w""")
 def q_stream_resample(spark, d):
-    s = _events_stream(spark, d).select("ts", "event_type", "value")
-    m = live.tumbling_mean(s, "ts", ["event_type"], "value", window="1 hour", delay="10 minutes")
+    """D9 over the whole table: a closing row lets the last windows out."""
     root = scratch_path(spark, "resample")
+    events = table(spark, d, "events")
+    events.write.parquet(f"{root}/in")
+    live.write_closing_row(spark, f"{root}/in", EVENTS_SCHEMA, "ts", "event_type", events.agg(F.max("ts")))
+    s = live.file_stream(spark, f"{root}/in", EVENTS_SCHEMA).select("ts", "event_type", "value")
+    m = live.tumbling_mean(s, "ts", ["event_type"], "value", window="1 hour", delay="10 minutes")
     live.run_available_now(m, f"{root}/out", f"{root}/ckpt")
     return rounded(spark.read.parquet(f"{root}/out"))

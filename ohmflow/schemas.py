@@ -93,6 +93,15 @@ VARCHAR_LIMITS = {
     "operation_logs": {"operation_type": 50, "ip_address": 45},
 }
 UNIQUE_KEYS = {"devices": ["device_serial"], "test_standards": ["standard_code"]}
+# columns that stand for a row when its id is not given
+NATURAL_KEYS = {
+    "devices": ["device_serial"],
+    "experiments": ["experiment_name", "device_id", "start_time"],
+    "experiment_data": ["experiment_id", "sequence_number"],
+    "test_standards": ["standard_code"],
+    "files": ["file_path", "file_name"],
+    "operation_logs": ["user_id", "operation_type", "operation_detail", "created_at"],
+}
 DEFAULTS = {
     "devices": {"status": "normal"},
     "experiments": {"status": "running"},
@@ -118,6 +127,13 @@ SEED_STANDARDS = [
      '{"protection_triggered": true, "no_damage": true}'),
 ]
 
+# ---------------------------------------------------------------------------
+# fixed values: shape of generated readings (share of the nominal value, Hz)
+# ---------------------------------------------------------------------------
+SYNTH_POINTS_SECONDS = 300
+SYNTH_VOLTAGE_WAVE = (0.1, 0.1)
+SYNTH_CURRENT_WAVE = (0.5, 0.05)
+
 # ---------------------------------------------------------------------------
 # StructTypes of the stored tables
 # ---------------------------------------------------------------------------

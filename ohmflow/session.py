@@ -7,14 +7,12 @@ given.  ``build_session`` is for tests, the bench and command-line use.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 # Settings the library relies on when it owns the session.  On a cluster the
-# operator decides; only ``scratch_root`` falls back to a local folder, and
-# only when ``spark.checkpoint.dir`` was left unset (tests, local runs).
+# operator decides.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -42,24 +40,32 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder.
+
+    It is the session's (``spark.checkpoint.dir``).  Where none is set, a session
+    whose executors all live in the driver's process gets a folder of its own;
+    any other session raises, since its executors would not share one.
+    """
     try:
         sc = spark.sparkContext
     except Exception:            # sessions without a local context (e.g. Connect)
         sc = None
-    cur = sc.getCheckpointDir() if sc is not None else None
+    cur = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
-        cur = spark.conf.get("spark.checkpoint.dir", None)
-        if not cur:
-            cur = tempfile.mkdtemp(prefix="ohmflow-ckpt-")
-            if sc is None:
-                spark.conf.set("spark.checkpoint.dir", cur)
-        if sc is not None:
-            sc.setCheckpointDir(cur)
-            cur = sc.getCheckpointDir()
+        if sc is None or not is_single_process(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        cur = f"{sc.getConf().get('spark.local.dir', '/tmp')}/ohmflow-{uuid.uuid4().hex[:12]}"
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(cur)
+        cur = sc.getCheckpointDir()
     return cur
 
 
+def is_single_process(master: str) -> bool:
+    """True for ``local`` and ``local[...]``, where driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never reused)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
@@ -67,11 +73,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def enable_legacy_charsets(spark: SparkSession) -> None:
-    """GBK and other non-standard charsets need this flag in Spark 4."""
-    try:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    except Exception:  # static in some deployments; then it must be set at launch
-        pass
+    """GBK and other non-standard charsets need these flags in Spark 4 (bytes that do
+    not decode become replacement characters); raises where they cannot be set."""
+    for name in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"):
+        if spark.conf.get(name, "false") != "true":
+            spark.conf.set(name, "true")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

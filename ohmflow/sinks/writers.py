@@ -19,7 +19,7 @@ TS_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 __all__ = ["write_csv", "write_json", "write_multi", "default_export_name", "append_readings", "apply_defaults",
-           "append_rows", "upsert"]
+           "append_rows", "upsert", "row_id", "export_name", "column_widths"]
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite") -> str:
@@ -32,8 +32,8 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "ov
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """K2: JSON Lines, UTF-8 kept as is."""
-    df.write.mode(mode).options(**TS_OPTIONS).json(path)
+    """K2: JSON Lines, UTF-8 kept as is, every column in every line (missing ones null)."""
+    df.write.mode(mode).options(**TS_OPTIONS).option("ignoreNullFields", "false").json(path)
     return path
 
 
@@ -48,6 +48,20 @@ def default_export_name(now=None) -> str:
     return f"{EXPORT_PREFIX}_{(now or _dt.datetime.now()).strftime(EXPORT_STAMP)}"
 
 
+def export_name(stamp: Column) -> Column:
+    """The same name as a column, from a time stamp column."""
+    return F.concat(F.lit(f"{EXPORT_PREFIX}_"), F.date_format(stamp, "yyyyMMdd_HHmmss"))
+
+
+def column_widths(df: DataFrame) -> DataFrame:
+    """Per column the width a sheet gives it: its longest cell or its name, and 2 more (empty cells count 0)."""
+    wide = df.agg(*[F.max(F.length(F.col(c).cast("string"))).alias(f"_w{i}") for i, c in enumerate(df.columns)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
+                 (F.greatest(F.coalesce(F.col(f"_w{i}"), F.lit(0)), F.lit(len(c))) + 2).alias("width"))
+        for i, c in enumerate(df.columns)])))
+
+
 def write_multi(frames: dict[str, DataFrame], root: str | None = None, fmt: str = "parquet",
                 spark=None) -> dict[str, str]:
     """K3: several named frames as one artefact: ``{root}/{name}/`` each.
@@ -88,42 +102,59 @@ def append_rows(df: DataFrame, path: str) -> str:
     return path
 
 
+def row_id(table: str) -> Column:
+    """Id of a row from its natural key, in UUID form; the same row gets the same id on every rerun."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in schemas.NATURAL_KEYS[table]]
+    h = F.md5(F.concat_ws("\x1f", F.lit(table), *parts))
+    return F.concat_ws("-", *[F.substring(h, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def apply_defaults(df: DataFrame, table: str, now: Column | None = None) -> DataFrame:
-    """K5: column defaults of the DDL by ``coalesce`` (status, role, timestamps)."""
+    """K5: column defaults of the table by ``coalesce``: id, status, role, time stamps.
+
+    A missing id is the hash of the row's natural key (where its columns are
+    there); time stamps default to ``now``, the time of the query if not given.
+    """
     now = now if now is not None else F.current_timestamp()
+    kinds = dict(df.dtypes)
     cols = {}
+    if "id" in kinds and set(schemas.NATURAL_KEYS.get(table, ["id"])) <= set(kinds) and table in schemas.NATURAL_KEYS:
+        cols["id"] = F.coalesce(F.col("id").cast("string"), row_id(table))
     for c, v in schemas.DEFAULTS.get(table, {}).items():
-        if c in df.columns:
+        if c in kinds:
             cols[c] = F.coalesce(F.col(c), F.lit(v))
     for c in ("created_at", "updated_at", "upload_time", "start_time"):
-        if c in df.columns:
-            cols[c] = F.coalesce(F.col(c), now.cast(dict(df.dtypes)[c]))
+        if c in kinds:
+            cols[c] = F.coalesce(F.col(c), now.cast(kinds[c]))
     return df.withColumns(cols) if cols else df
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, now: Column,
-           stamp: str | None = "updated_at") -> DataFrame:
+           stamp: str | None = "updated_at", order: str | None = None) -> DataFrame:
     """K6: base rows with the non-null values of ``changes`` applied by key.
 
-    ``stamp`` moves to ``now`` only on rows whose values really changed (the
-    BEFORE UPDATE trigger).  Keys absent from ``base`` are not inserted.
+    Every row that a change names gets ``stamp`` = ``now``, whether or not a value
+    differs (the trigger fires on each update).  Several changes of one key
+    apply in ``order``: per column the last non-null value holds; without
+    ``order`` they raise.  Keys absent from ``base`` are not inserted.
     """
-    cols = [c for c in changes.columns if c != key and c in base.columns and c != stamp]
-    ch = changes.select(F.col(key).alias("_ck"), *[F.col(c).alias(f"_new_{c}") for c in cols],
-                        F.lit(True).alias("_hit"))
+    cols = [c for c in changes.columns if c != key and c in base.columns and c not in (stamp, order)]
+    if order is not None:
+        last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_new_{c}") for c in cols]
+        ch = changes.groupBy(F.col(key).alias("_ck")).agg(F.lit(True).alias("_hit"), *last)
+    else:
+        once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(
+            F.lit(f"several changes of one {key} and no order: "), F.first(F.col(key).cast("string")))))
+        ch = changes.groupBy(F.col(key).alias("_ck")).agg(
+            F.coalesce(once.cast("boolean"), F.lit(True)).alias("_hit"),
+            *[F.first(c).alias(f"_new_{c}") for c in cols])
     j = base.join(ch, F.col(key) == F.col("_ck"), "left")
-    changed = F.lit(False)
     out = []
     for c in base.columns:
         if c in cols:
-            newv = F.coalesce(F.col(f"_new_{c}"), F.col(c))
-            changed = changed | ~newv.eqNullSafe(F.col(c))
-            out.append((c, newv))
+            out.append(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c))
+        elif c == stamp:
+            out.append(F.when(F.col("_hit"), now.cast(dict(base.dtypes)[c])).otherwise(F.col(c)).alias(c))
         else:
-            out.append((c, F.col(c)))
-    res = j.select(*[e.alias(c) for c, e in out], F.coalesce("_hit", F.lit(False)).alias("_hit"),
-                   changed.alias("_changed"))
-    if stamp and stamp in base.columns:
-        res = res.withColumn(stamp, F.when(F.col("_hit") & F.col("_changed"),
-                                           now.cast(dict(base.dtypes)[stamp])).otherwise(F.col(stamp)))
-    return res.drop("_hit", "_changed")
+            out.append(F.col(c))
+    return j.select(*out)

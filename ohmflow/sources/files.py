@@ -1,23 +1,27 @@
 """File sources: admission, encoding-aware CSV, preamble files, batch, JSON.
 
-Files are listed with the ``binaryFile`` source; its ``content`` column is
-only read where a decision needs the bytes (UTF-8 validity).  The list of
-paths that reaches the driver is file metadata, as in any multi-path read;
-rows never do.
+Delimited files are read as raw lines, so large files are split over tasks;
+one aggregate per file decides its encoding and finds its header, and every
+line is then parsed by its own file's header.  Only the distinct header lines
+(at most ``MAX_LAYOUTS``) reach the driver, which needs their names.  Quoted cells
+may hold the separator but no line break.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.columns import canonical_names
+from ..functions.columns import canonical_names, strict_double
 from ..session import enable_legacy_charsets, materialize
 
-__all__ = ["list_files", "admit_files", "split_by_encoding", "scan_csv", "scan_preamble", "scan_batch",
-           "scan_json"]
+__all__ = ["list_files", "admit_files", "scan_csv", "scan_preamble", "scan_batch", "scan_json"]
+
+MAX_LAYOUTS = 1000
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -45,121 +49,162 @@ def admit_files(listing: DataFrame, allowed: list[str] | None = None,
     return listing.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
 
 
-def split_by_encoding(spark: SparkSession, path: str, glob: str | None = None) -> tuple[list[str], list[str]]:
-    """(UTF-8 files, other files), decided by ``is_valid_utf8`` over each file's bytes."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+def _text(c: Column, utf8: Column, fallback: str) -> Column:
+    """A raw line as text: its bytes are UTF-8, or else ``fallback``."""
+    return F.when(utf8, c).otherwise(F.decode(c.cast("binary"), fallback))
+
+
+def _raw_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """Every line of every file with its file and its place there.
+
+    The text source keeps a line's bytes as they are and splits large files;
+    places compare in file order (start of the split, then row of the task).
+    """
+    r = spark.read.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    flags = r.load(path).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
-    rows = flags.collect()   # one row per file: metadata only
-    return [x.path for x in rows if x.utf8], [x.path for x in rows if not x.utf8]
+    return r.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("n")).alias("pos"),
+        F.col("value").alias("raw"))
+
+
+def _cells(line: Column, width: int, sep: str) -> Column:
+    """The delimited cells of a line as an array of ``width`` texts (missing ones NULL)."""
+    names = [f"c{i}" for i in range(width)]
+    row = F.from_csv(line, ", ".join(f"{n} string" for n in names), {"sep": sep})
+    return F.array(*[row[n] for n in names])
+
+
+def _delimited(spark: SparkSession, path: str, glob: str | None, sep: str, fallback: str,
+               marker: str | None, rename) -> tuple[DataFrame, list[str]]:
+    """(source_file, line, cells, one column per name) and the names, after ``rename`` of each header.
+
+    Each file is decoded and read by its own header: the first line with
+    ``marker`` (the first line of all where no line has it).  Lines up to the
+    header and blank lines are left out; nothing else is.
+    """
+    raw = _raw_lines(spark, path, glob)
+    here = F.struct("pos", "raw")
+    seen = F.contains(F.col("raw").cast("binary"), F.lit((marker or "").encode("utf-8")))
+    other = F.contains(F.col("raw").cast("binary"), F.lit((marker or "").encode(fallback)))
+    files = raw.groupBy("source_file").agg(
+        F.bool_and(F.is_valid_utf8("raw")).alias("utf8"), F.min(here).alias("first"),
+        F.min(F.when(seen, here)).alias("m_utf8"), F.min(F.when(other, here)).alias("m_other"))
+    found = F.coalesce(F.when(F.col("utf8"), F.col("m_utf8")).otherwise(F.col("m_other")), "first")
+    files = files.select("source_file", "utf8", found.alias("h"))
+    header = F.regexp_replace(_text(F.col("h.raw"), F.col("utf8"), fallback), "^\ufeff", "")
+    files = files.select(F.col("source_file").alias("_f"), "utf8", F.col("h.pos").alias("_hpos"),
+                         header.alias("_header"))
+    # one row per layout, not per file
+    layouts = sorted(r[0] for r in files.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect())
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
+    heads = [rename([c.strip() for c in next(csv.reader([h], delimiter=sep), [])]) for h in layouts]
+    width = max(map(len, heads), default=1)
+    names = list(dict.fromkeys(c for head in heads for c in head if c))
+    known = spark.createDataFrame(list(zip(layouts, heads)), "_layout string, _head array<string>")
+    # at most MAX_LAYOUTS rows
+    files = files.join(F.broadcast(known), F.col("_header") == F.col("_layout")).select(
+        "_f", "utf8", "_hpos", "_head")
+    body = raw.join(files, F.col("source_file") == F.col("_f")).where(F.col("pos") > F.col("_hpos"))
+    line = _text(F.col("raw"), F.col("utf8"), fallback)
+    body = body.select("source_file", line.alias("line"), "_head")
+    body = body.where(F.trim(F.regexp_replace("line", sep, " ")) != "").select(
+        "*", _cells(F.col("line"), width + 1, sep).alias("_cells"))
+    out = [F.try_element_at("_cells", F.nullif(F.array_position("_head", c).cast("int"), F.lit(0))).alias(c)
+           for c in names]
+    return body.select("source_file", "line", "_cells", F.size("_head").alias("_width"), *out), names
+
+
+def _file_name(path: str | Column = "source_file") -> Column:
+    return F.url_decode(F.element_at(F.split(path, "/"), -1))
 
 
 def scan_csv(spark: SparkSession, path: str, glob: str | None = "*.csv", fallback: str = "GBK",
              sep: str = ",", schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header; UTF-8 files read as UTF-8, the others as ``fallback``.
+    """CSV with header; files that are not UTF-8 are read as ``fallback``.
 
-    Both reads are unioned by name; ``source_file`` tags each row.  Without a
-    schema every column is a string (coerce afterwards with strict parsing).
+    Columns are matched by name, whatever their order in each file; a column
+    that a file lacks is NULL there.  Without a schema every column is text;
+    with one, cells that do not parse are NULL (``scan_batch`` reports them).
+    ``source_file`` holds the file's name.
     """
-    utf8, other = split_by_encoding(spark, path, glob)
-    if other:
-        enable_legacy_charsets(spark)
-    parts = []
-    for paths, enc in ((utf8, "UTF-8"), (other, fallback)):
-        if not paths:
-            continue
-        rd = spark.read.option("header", "true").option("sep", sep).option("encoding", enc).option("mode", "PERMISSIVE")
-        if schema is not None:
-            rd = rd.schema(schema)
-        df = rd.csv(paths)
-        parts.append(df.withColumn("source_file", F.col("_metadata.file_name")))
-    if not parts:
+    enable_legacy_charsets(spark)
+    df, names = _delimited(spark, path, glob, sep, fallback, None, lambda n: n)
+    if not names:
         raise FileNotFoundError(f"no CSV files under {path}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    cols = [F.col(f"`{c}`") for c in names]
+    if schema is not None:
+        cols = [c for c, _ in _typed(names, _struct(spark, schema))]
+    return df.select(*cols, _file_name().alias("source_file"))
+
+
+def _struct(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+
+
+def _typed(names: list[str], schema: T.StructType) -> list[tuple[Column, Column]]:
+    """(typed column, true where the cell does not parse) per field of the schema."""
+    out = []
+    for f in schema.fields:
+        if f.name not in names:
+            out.append((F.lit(None).cast(f.dataType).alias(f.name), F.lit(False)))
+            continue
+        c = F.col(f"`{f.name}`")
+        value = c if isinstance(f.dataType, T.StringType) else (
+            strict_double(c) if isinstance(f.dataType, T.DoubleType) else F.trim(c).try_cast(f.dataType))
+        out.append((value.alias(f.name), c.isNotNull() & (F.trim(c) != "") & value.isNull()))
     return out
 
 
 def scan_preamble(spark: SparkSession, path: str, marker: str = schemas.HEADER_MARKER, sep: str = "\t",
-                  glob: str | None = None, strict_names: bool = False,
-                  max_bytes: int = schemas.MAX_FILE_BYTES) -> DataFrame:
+                  glob: str | None = None, strict_names: bool = False, fallback: str = "GBK") -> DataFrame:
     """Delimited text whose real header is the first line containing ``marker``.
 
-    Lines before it are skipped; after it, blank lines and lines whose first
-    cell is not an integer sequence number (metadata lines) are dropped.  One
-    row per file is read whole (files are capped at 50 MB by admission), its
-    lines exploded and spread over tasks.  Columns: normalised header names
-    (strings), plus ``source_file`` and ``line_no``.  Files above ``max_bytes``
-    are refused with an error (the whole-file row must stay bounded).
+    Lines before it are skipped; a file without it is read with its first line
+    as header.  Every later line that is not blank is a row.  Columns:
+    normalised header names (texts), plus ``source_file``.  Files may be of any
+    size: no file is held whole and lines are not shuffled.
     """
-    listing = list_files(spark, path, glob)
-    big = listing.where(F.col("length") > F.lit(max_bytes)).select("path").limit(5).collect()
-    if big:
-        raise ValueError(f"files above {max_bytes} bytes cannot be read whole: {[b.path for b in big]}")
-    r = spark.read
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    files = r.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), "value")
-    lines = files.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", "^﻿", ""))
-    heads = (lines.where(F.col("line").contains(marker)).groupBy("source_file")
-             .agg(F.min_by("line", "line_no").alias("_header"), F.min("line_no").alias("_hpos")))
-    body = lines.join(heads, "source_file", "inner").where(F.col("line_no") > F.col("_hpos"))
-    cells = F.split(F.col("line"), sep)
-    body = body.withColumn("_cells", cells).where(F.trim(F.col("line")) != "")
-    body = body.where(F.trim(F.col("_cells")[0]).rlike(r"^[0-9]+$"))
-    # distinct headers: one per file layout (bounded by the number of files)
-    headers = [h._header for h in heads.select("_header").distinct().collect()]
-    names: list[str] = []
-    for h in headers:
-        for c in h.split(sep):
-            c = c.strip()
-            if c and c not in names:
-                names.append(c)
-    canon = canonical_names(names, strict=strict_names)
-    hdr = F.transform(F.split(F.col("_header"), sep), lambda c: F.trim(c))
-    cols = [F.trim(F.element_at(F.col("_cells"), F.array_position(hdr, n).cast("int"))).alias(cn)
-            for n, cn in zip(names, canon)]
-    return body.select("source_file", "line_no", *cols)
-
-
-def scan_batch(spark: SparkSession, path: str, accept: list[str] | None = None,
-               schema: T.StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
-    """S3: (rows of accepted CSV files tagged with file_name, rejected files with reason).
-
-    Batch loading accepts CSV only (JSON and workbooks are refused here).
-    With a typed ``schema``, rows that do not parse are malformed; a file
-    whose rows are all malformed is rejected, other malformed rows are
-    dropped.  Without a schema every column is read as text.
+    enable_legacy_charsets(spark)
+    df, names = _delimited(spark, path, glob, sep, fallback, marker,
+                              lambda n: canonical_names(n, strict=strict_names))
+    return df.select("source_file", *[F.trim(F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def scan_batch(spark: SparkSession, path: str, accept: str = ".csv", schema: T.StructType | str | None = None,
+               fallback: str = "GBK") -> tuple[DataFrame, DataFrame]:
+    """S3: (rows of the accepted files tagged with file_name, rejects).
+
+    Batch loading accepts names that end in ``accept`` (case-sensitive).  Every
+    file or line that is not loaded is one row of rejects: source_file,
+    file_name, line (NULL for a whole file), reason.  A line is rejected if it
+    has more cells than its header or a cell that does not parse as the
+    schema's type.  Without a schema every column is text.  Files without a
+    byte hold nothing to load and are not listed.
     """
-    accept = accept or ["csv"]
-    listing = list_files(spark, path)
-    csv_paths = [r.path for r in listing.where(F.col("extension").isin(*accept)).select("path").collect()]
-    rejected = listing.where(~F.col("extension").isin(*accept) | F.col("extension").isNull()).select(
-        "file_name", F.concat(F.lit("not accepted in batch: ."), F.coalesce("extension", F.lit(""))).alias("reason"))
-    if not csv_paths:
-        empty = spark.createDataFrame([], "file_name string")
-        return empty, rejected
-    rd = spark.read.option("header", "true").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt_record")
-    if schema is not None:
-        st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-        rd = rd.schema(T.StructType(list(st.fields) + [T.StructField("_corrupt_record", T.StringType())]))
-    rows = rd.csv(csv_paths).withColumn("file_name", F.col("_metadata.file_name"))
-    if schema is not None:
-        # parse once and keep the result: later plans may then use the corrupt-record column alone
-        rows = materialize(rows, "batch-parsed")
-    if "_corrupt_record" in rows.columns:
-        per = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("_n"),
-                                            F.count("_corrupt_record").alias("_bad"))
-        bad = per.where(F.col("_bad") == F.col("_n")).select("file_name", F.lit("malformed").alias("reason"))
-        rejected = rejected.unionByName(bad)
-        rows = rows.join(bad.select("file_name"), "file_name", "left_anti").where(
-            F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return rows, rejected
+    enable_legacy_charsets(spark)
+    listing = list_files(spark, path).select(F.col("path").alias("source_file"), "file_name")
+    wanted = F.col("file_name").endswith(accept)
+    refused = listing.where(~wanted).select("source_file", "file_name", F.lit(None).cast("string").alias("line"),
+                                            F.lit("unsupported type").alias("reason"))
+    if not listing.where(wanted).limit(1).count():
+        return spark.createDataFrame([], "file_name string"), refused
+    df, names = _delimited(spark, path, f"*{accept}", ",", fallback, None, lambda n: n)
+    typed = _typed(names, _struct(spark, schema)) if schema is not None else [
+        (F.col(f"`{c}`"), F.lit(False)) for c in names]
+    fields = [f.name for f in _struct(spark, schema).fields] if schema is not None else names
+    reason = F.coalesce(
+        F.when(F.size(F.array_compact(F.slice("_cells", F.col("_width") + 1, 1))) > 0, F.lit("too many cells")),
+        *[F.when(bad, F.lit(f"unparsable: {n}")) for n, (_, bad) in zip(fields, typed)])
+    # parsed once; rows and rejects both read the result
+    parsed = materialize(df.select(*[v for v, _ in typed], "source_file", _file_name().alias("file_name"),
+                                   F.col("line").alias("_line"), reason.alias("_reason")), "batch-parsed")
+    bad = parsed.where("_reason is not null").select("source_file", "file_name", F.col("_line").alias("line"),
+                                                     F.col("_reason").alias("reason"))
+    return parsed.where("_reason is null").drop("_line", "_reason", "source_file"), refused.unionByName(bad)
 
 
 def scan_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

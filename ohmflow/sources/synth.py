@@ -14,23 +14,37 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-__all__ = ["synth_readings"]
+__all__ = ["synth_readings", "normal_pair"]
 
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 
 
 def _num(v) -> Column:
     return v if isinstance(v, Column) else F.lit(float(v))
 
 
-def synth_readings(drivers: DataFrame, series_id: str, start, duration: int = 300, rate: int = 1,
-                   voltage_nominal=20.0, current_nominal=1.0, noise=0.05, seed: int = 42) -> DataFrame:
+def normal_pair(seed: int, *parts: Column) -> tuple[Column, Column]:
+    """Two standard normal values that depend on ``parts`` alone (Box-Muller on 32-bit slices of an
+    md5), so reruns, retries and any partitioning give the same numbers."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+
+    def uniform(at: int) -> Column:
+        return (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
+    radius, angle = F.sqrt(-2 * F.ln(uniform(1))), 2 * math.pi * uniform(9)
+    return radius * F.cos(angle), radius * F.sin(angle)
+
+
+def synth_readings(drivers: DataFrame, series_id: str, start, duration: int = schemas.SYNTH_POINTS_SECONDS,
+                   rate: int = 1, voltage_nominal=20.0, current_nominal=1.0, noise=0.05,
+                   seed: int = 42) -> DataFrame:
     """n = duration * rate points per series, t = linspace(0, duration, n) (end inclusive),
 
     V = Vn (1 + noise N(0,1) + 0.1 sin(2 pi 0.1 t)), I = In (1 + 0.5 sin(2 pi 0.05 t) + noise N(0,1)),
     P = V I, sequence 1..n, timestamps start + k / rate seconds (µs arithmetic, so
     any rate works), address 1, type '测试设备'.  Nominal values may be columns
-    of ``drivers``; ``start`` is explicit so that reruns are identical.
+    of ``drivers``; ``start`` is explicit and noise comes from a hash of (seed,
+    series, k), so reruns are identical.  Points are made in chunks of
+    ``CHUNK`` that are spread over tasks, so a long series never sits in one.
     """
     n = int(duration * rate)
     if n < 1:
@@ -38,25 +52,21 @@ def synth_readings(drivers: DataFrame, series_id: str, start, duration: int = 30
     step = float(duration) / (n - 1) if n > 1 else 0.0
     base = drivers.select(F.col(series_id).alias("series_id"), _num(voltage_nominal).alias("_vn"),
                           _num(current_nominal).alias("_in"))
-    if n > CHUNK:
-        # long series: explode chunk ids first and spread them, then the points of each chunk
-        nchunks = (n + CHUNK - 1) // CHUNK
-        base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(nchunks - 1))).alias("_c"))
-        base = base.repartition("series_id", "_c")
-        lo = F.col("_c") * F.lit(CHUNK)
-        pts = base.select("series_id", "_vn", "_in",
-                          F.explode(F.sequence(lo, F.least(lo + F.lit(CHUNK - 1), F.lit(n - 1)))).alias("_k"))
-    else:
-        pts = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
+    base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CHUNK))).alias("_c"))
+    base = base.repartition("series_id", "_c")
+    lo = F.col("_c").cast("long") * F.lit(CHUNK)
+    pts = base.select("series_id", "_vn", "_in",
+                      F.explode(F.sequence(lo, F.least(lo + F.lit(CHUNK - 1), F.lit(n - 1)))).alias("_k"))
     t = F.col("_k") * F.lit(step)
     if noise:
-        nv, ni = F.randn(seed) * F.lit(float(noise)), F.randn(seed + 1) * F.lit(float(noise))
+        nv, ni = (z * F.lit(float(noise)) for z in normal_pair(seed, F.col("series_id"), F.col("_k")))
     else:
         nv = ni = F.lit(0.0)
-    v = F.col("_vn") * (F.lit(1.0) + nv + F.lit(0.1) * F.sin(F.lit(2 * math.pi * 0.1) * t))
-    i = F.col("_in") * (F.lit(1.0) + F.lit(0.5) * F.sin(F.lit(2 * math.pi * 0.05) * t) + ni)
-    us = F.col("_k").cast("long") * F.lit(1_000_000) / F.lit(rate)
-    ts = F.timestamp_add("MICROSECOND", F.floor(us).cast("long"), F.lit(start).cast("timestamp_ntz"))
+    (va, vf), (ia, if_) = schemas.SYNTH_VOLTAGE_WAVE, schemas.SYNTH_CURRENT_WAVE
+    v = F.col("_vn") * (F.lit(1.0) + nv + F.lit(va) * F.sin(F.lit(2 * math.pi * vf) * t))
+    i = F.col("_in") * (F.lit(1.0) + F.lit(ia) * F.sin(F.lit(2 * math.pi * if_) * t) + ni)
+    ts = F.timestamp_add("MICROSECOND", F.expr(f"(_k * 1000000L) div {int(rate)}"),
+                         F.lit(start).cast("timestamp_ntz"))
     out = pts.select("series_id", (F.col("_k") + 1).cast("int").alias("sequence_number"), i.alias("current"),
                      v.alias("voltage"), ts.alias("timestamp"))
     return out.select("series_id", "sequence_number", "current", "voltage",

@@ -11,8 +11,10 @@ and a window's state is emitted and dropped once the watermark passes its
 end.  Rows are never dropped while newer than the watermark; a row older than
 the watermark of the previous micro-batch is dropped as late.
 
-With ``trigger(availableNow=True)`` the last window(s) within ``delay`` of
-the newest event are not emitted: the watermark never passes their end.
+A run that ends (``trigger(availableNow=True)``) leaves the windows within
+``delay`` of the newest event open.  ``write_closing_row`` adds one row far behind
+them to the folder that the stream reads, after everything else; it moves the
+watermark past all windows and is left out of the result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shapes import threshold_status
 
-__all__ = ["file_stream", "alarms", "tumbling_mean", "run_available_now", "event_time", "wall_clock"]
+__all__ = ["file_stream", "alarms", "tumbling_mean", "write_closing_row", "run_available_now", "event_time", "wall_clock"]
 
 def _epoch_ntz() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -51,20 +53,41 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", gl
 
 def alarms(stream: DataFrame, ts: str, dedup_keys: list[str], value: str, threshold: Column | float,
            delay: str = "1 hour") -> DataFrame:
-    """Drop duplicates within the watermark, keep readings above the threshold."""
+    """Keep readings above the threshold, then drop duplicates within the watermark.
+
+    Only alarms enter the state.  Copies of one reading have its value, so
+    the order of the two steps does not change the result."""
     th = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    s = stream.withColumn("_evt", event_time(F.col(ts))).withWatermark("_evt", delay)
-    s = s.dropDuplicatesWithinWatermark(dedup_keys)
-    s = s.withColumn("status", threshold_status(F.col(value), th))
-    return s.where(F.col("status") == "danger").drop("_evt")
+    s = stream.withColumn("status", threshold_status(F.col(value), th)).where(F.col("status") == "danger")
+    s = s.withColumn("_evt", event_time(F.col(ts))).withWatermark("_evt", delay)
+    return s.dropDuplicatesWithinWatermark(dedup_keys).drop("_evt")
+
+
+CLOSING = "__closing__"
+
+
+def write_closing_row(spark: SparkSession, path: str, schema: str, ts: str, key: str, newest: DataFrame,
+                      after: str = "36500 days") -> None:
+    """Append to the stream's folder one row with ``key`` = CLOSING, ``after`` later than the only
+    value of ``newest`` (a one-row frame with the newest time)."""
+    cols = spark.createDataFrame([], schema).schema
+    late = newest.select((F.col(newest.columns[0]).cast("timestamp_ntz") + F.expr(f"INTERVAL {after}")).alias("_t"))
+    late.select(*[
+        (F.col("_t") if f.name == ts else F.lit(CLOSING) if f.name == key else F.lit(None)).cast(f.dataType)
+        .alias(f.name) for f in cols.fields]).coalesce(1).write.mode("append").parquet(path)
 
 
 def tumbling_mean(stream: DataFrame, ts: str, keys: list[str], value: str, window: str = "1 hour",
                   delay: str = "10 minutes") -> DataFrame:
-    """Per key and tumbling window: count and mean; append mode."""
+    """Per key and tumbling window: count and mean; append mode.  The closing row is left out."""
     s = stream.withColumn("_evt", event_time(F.col(ts))).withWatermark("_evt", delay)
+    closing = F.lit(False)
+    for k in keys:
+        closing = closing | F.col(k).cast("string").eqNullSafe(CLOSING)
     agg = s.groupBy(F.window("_evt", window).alias("_w"), *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias(f"mean_{value}"))
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias(f"mean_{value}"), F.bool_or(closing).alias("_closing"))
+    # filtered by an aggregate: a filter on the key itself would be pushed below the watermark
+    agg = agg.where(~F.col("_closing"))
     return agg.select(*keys, wall_clock(F.col("_w.start")).alias("window_start"),
                       wall_clock(F.col("_w.end")).alias("window_end"), "n", f"mean_{value}")
 

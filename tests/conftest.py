@@ -13,9 +13,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ohmflow.session import build_session
-    s = build_session(master="local[4]", shuffle_partitions=4)
+    s = build_session(master="local[4]", shuffle_partitions=4,
+                      extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
     s.stop()
 

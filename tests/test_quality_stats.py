@@ -40,16 +40,17 @@ def test_rule_boundaries(spark, i):
 def test_report_lists_missing_columns(spark):
     df = spark.createDataFrame([("1", "2")], "`电流 (A)` string, x string")
     rep = quality.validation_report(df, strict_names=True).collect()
-    assert {r.rule for r in rep if r.rule.startswith("missing_")} == {"missing_current", "missing_voltage",
-                                                                       "missing_power"}
-    rep2 = quality.validation_report(df).collect()   # unit suffix stripped: current found
-    assert {r.rule for r in rep2 if r.rule.startswith("missing_")} == {"missing_voltage", "missing_power"}
+    assert [(r.rule, r.violations) for r in rep] == [("missing: current, voltage, power", 3)]
+    rep2 = quality.validation_report(df)             # unit suffix stripped: current found
+    assert [r.rule for r in rep2.collect() if r.rule.startswith("missing")] == ["missing: voltage, power"]
+    assert quality.validation_messages(rep2).collect()[0].messages == "缺少必需列: 电压, 功率"
 
 
 def test_alias_normalisation():
     assert canonical_names(["I", "V", "P", "i"]) == ["current", "voltage", "power", "i"]
     assert canonical_names(["电流 (A)", "电压 (V)", "功率 (W)", "时间戳"]) == ["current", "voltage", "power", "timestamp"]
     assert canonical_names(["电流 (A)"], strict=True) == ["电流 (A)"]
+    assert canonical_names(["current", "电流", "Current"]) == ["current_other", "current", "Current"]
 
 
 def test_strict_double(spark):
@@ -105,15 +106,14 @@ def test_statistics_edge_cases(spark):
     assert stats.signal_statistics(z).collect()[0].power_factor is None
 
 
-@pytest.mark.parametrize("method", ["sort", "hash", "list", "auto"])
-def test_quantiles_match_pandas(spark, method):
+def test_quantiles_match_pandas(spark):
     import numpy as np
     rng = np.random.default_rng(1)
     vals = rng.normal(size=501).round(3)
     keys = rng.integers(0, 4, size=501)
     df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, vals)], "k int, x double")
     got = {r.k: (r.x_q1, r.x_median, r.x_q3)
-           for r in stats.exact_quantiles(df, ["k"], ["x"], [0.25, 0.5, 0.75], method=method).collect()}
+           for r in stats.exact_quantiles(df, ["k"], ["x"], [0.25, 0.5, 0.75]).collect()}
     for k in range(4):
         sel = vals[keys == k]
         exp = np.quantile(sel, [0.25, 0.5, 0.75])
@@ -128,11 +128,9 @@ def test_column_profile_and_totals(spark):
     assert (t.row_count, t.column_count, t.null_cells) == (3, 3, 3)
 
 
-@pytest.mark.parametrize("strategy", ["plain", "blocked"])
-def test_sequence_numbers_both_paths(spark, strategy):
+def test_sequence_numbers(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 5), ("a", 2)], "k string, t int")
-    got = sorted((r.k, r.t, r.sequence_number) for r in quality.sequence_numbers(df, ["k"], ["t"],
-                                                                                  strategy=strategy).collect())
+    got = sorted((r.k, r.t, r.sequence_number) for r in quality.sequence_numbers(df, ["k"], ["t"]).collect())
     assert got == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 5, 1)]
 
 
@@ -151,8 +149,26 @@ def test_validation_messages_original_text(spark):
     assert got["e"] == (False, "列 '电流' 包含非数值数据; 电流值不能为负数; 功率值与电流电压计算值偏差过大")
 
 
-@pytest.mark.parametrize("method", ["list", "sort", "hash"])
-def test_quantiles_all_null_group(spark, method):
+def test_quantiles_all_null_group(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0), ("b", 3.0)], "k string, x double")
-    got = {r.k: r.x_median for r in stats.exact_quantiles(df, ["k"], ["x"], [0.5], method=method).collect()}
+    got = {r.k: r.x_median for r in stats.exact_quantiles(df, ["k"], ["x"], [0.5]).collect()}
     assert got.get("a") is None and got["b"] == 2.0
+
+
+def test_statistics_of_an_all_missing_group_and_equal_values(spark):
+    rows = [("a", None)] * 3 + [("b", 2.0)] * 50 + [("b", 4.0)] * 50 + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, current double")
+    got = {r.k: tuple(r)[1:] for r in stats.signal_statistics(df, keys=["k"]).collect()}
+    assert got["a"] == (None,) * 5
+    assert got["b"][:3] == (3.0, 4.0, 2.0) and got["b"][4] == 3.0 and approx(got["b"][3], (100 / 99) ** 0.5)
+    assert got[None] == (1.0, 1.0, 1.0, None, 1.0)
+
+
+def test_unique_violations_and_all_tables(spark):
+    from ohmflow import schemas
+    df = spark.createDataFrame([("s1",), ("s1",), (None,), (None,)], "device_serial string")
+    assert [tuple(r) for r in quality.unique_violations(df, "devices").collect()] == [
+        ("devices", "device_serial", "s1", 2)]
+    for name, schema in schemas.TABLES.items():
+        empty = spark.createDataFrame([], schema)
+        assert all(r.violations == 0 for r in quality.check_constraints(empty, name).collect())

@@ -48,11 +48,16 @@ def test_cascade_and_orphans(spark):
 
 
 def test_verdict_against_seed_standards(spark):
-    exp = spark.createDataFrame([(1, "dielectric"), (2, "dielectric"), (3, "abnormal"), (4, "leakage")],
-                                "id int, experiment_type string")
-    meas = spark.createDataFrame([(1, 4.0), (2, 6.0), (3, 1.0), (4, 3.5)], "id int, max_current double")
+    kinds = ["dielectric"] * 4 + ["leakage", "normal", "normal", "abnormal", "simulation"]
+    exp = spark.createDataFrame(list(enumerate(kinds, 1)), "id int, experiment_type string")
+    meas = spark.createDataFrame([
+        (1, "leakage_current", "4.0"), (1, "breakdown", "false"), (2, "leakage_current", "4"), (2, "breakdown", "true"),
+        (3, "leakage_current", "5"), (4, "leakage_current", "6"), (5, "leakage_25C", "3.5"), (5, "leakage_60C", "5.0"),
+        (6, "shutdown_time", "30"), (6, "function_test", "pass"), (7, "shutdown_time", "31"),
+        (7, "function_test", "pass"), (8, "protection_triggered", "true"), (8, "no_damage", "true"),
+        (8, "no_damage", "false")], "id int, measure string, value string")
     got = {r.id: r.verdict for r in relate.verdict(exp, meas, relate.standards_frame(spark)).collect()}
-    assert got == {1: "pass", 2: "fail", 3: None, 4: "pass"}
+    assert got == {1: "pass", 2: "fail", 3: None, 4: "fail", 5: "pass", 6: "pass", 7: "fail", 8: "fail", 9: None}
 
 
 def test_shapes(spark):
@@ -95,33 +100,144 @@ SAMPLE = ("序号\t电流 (A)\t电压 (V)\t功率 (W)\t时间戳\t设备地址\t
           "2\t0.26000\t20.68100\t5.37706\t2025/5/2\t1\t未知\n")
 
 
-def test_preamble_and_gbk_csv(spark):
-    root = local_path(scratch_path(spark, "t-files"))
-    os.makedirs(root + "/pre", exist_ok=True)
-    with open(root + "/pre/data.txt", "w", encoding="utf-8") as f:
-        f.write(SAMPLE)
-    got = fsrc.scan_preamble(spark, root + "/pre").orderBy("line_no").collect()
-    assert [(r.sequence_number, r.current, r.timestamp) for r in got] == [("1", "0.11000", "2025/5/2"),
-                                                                         ("2", "0.26000", "2025/5/2")]
-    with pytest.raises(ValueError):
-        fsrc.scan_preamble(spark, root + "/pre", max_bytes=10)
-    os.makedirs(root + "/csv", exist_ok=True)
-    with open(root + "/csv/u.csv", "w", encoding="utf-8") as f:
-        f.write("name,v\n正常,1\n")
-    with open(root + "/csv/g.csv", "wb") as f:
-        f.write("name,v\n退回,2\n".encode("gbk"))
-    got = sorted((r.name, r.v) for r in fsrc.scan_csv(spark, root + "/csv").collect())
-    assert got == [("正常", "1"), ("退回", "2")]
-
-
-def test_upsert_moves_stamp_only_on_change(spark):
+def put(root, name, text, encoding="utf-8"):
+    os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+    with open(f"{root}/{name}", "wb") as f:
+        f.write(text.encode(encoding))
+
+
+def test_preamble(spark):
+    root = local_path(scratch_path(spark, "t-pre"))
+    put(root, "data.txt", SAMPLE)
+    put(root, "gbk.txt", "记录\n\n" + SAMPLE.replace("0.11000", ""), "gbk")
+    put(root, "plain.txt", "I\tV\r\n\t5\r\n\r\n7\t\r\n")
+    got = sorted((r.source_file.rsplit("/", 1)[1], r.sequence_number or "", r.current or "", r.voltage or "")
+                 for r in fsrc.scan_preamble(spark, root).collect())
+    kept = [("数据信息", "记录时间: x", "设备地址: 1"), ("1", "0.11000", "20.35500"), ("2", "0.26000", "20.68100")]
+    want = [("data.txt", *k) for k in kept]
+    want += [("gbk.txt", a, "" if b == "0.11000" else b, c) for a, b, c in kept]
+    assert got == sorted(want + [("plain.txt", "", "", "5"), ("plain.txt", "", "7", "")])
+
+
+def test_csv_encodings_and_layouts(spark):
+    root = local_path(scratch_path(spark, "t-csv"))
+    put(root, "u.csv", "\ufeffname,v\n正常,1\n")
+    put(root, "g.csv", "v,name\n2,退回\n", "gbk")
+    put(root, "x/u.csv", 'w,name\n3,"a,b"\n')
+    put(root, "other.txt", "nothing,to,see\n")
+    got = sorted((r.name, r.v, r.w, r.source_file) for r in fsrc.scan_csv(spark, root).collect())
+    assert got == [("a,b", None, "3", "u.csv"), ("正常", "1", None, "u.csv"), ("退回", "2", None, "g.csv")]
+
+
+def test_upsert_stamps_every_hit(spark):
     t0 = dt.datetime(2024, 1, 1)
     base = spark.createDataFrame([(1, "normal", t0), (2, "normal", t0), (3, "retired", t0)],
                                  "id int, status string, updated_at timestamp_ntz")
     ch = spark.createDataFrame([(1, "maintenance"), (2, "normal"), (9, "retired")], "id int, status string")
     now = F.lit("2024-06-01").cast("timestamp_ntz")
+    t1 = dt.datetime(2024, 6, 1)
     got = {r.id: (r.status, r.updated_at) for r in writers.upsert(base, ch, "id", now).collect()}
-    assert got == {1: ("maintenance", dt.datetime(2024, 6, 1)), 2: ("normal", t0), 3: ("retired", t0)}
+    assert got == {1: ("maintenance", t1), 2: ("normal", t1), 3: ("retired", t0)}
+    twice = spark.createDataFrame([(1, "retired", 2), (1, None, 3), (1, "normal", 1)], "id int, status string, at int")
+    got = writers.upsert(base, twice, "id", now, order="at")
+    assert sorted((r.id, r.status) for r in got.collect()) == [(1, "retired"), (2, "normal"), (3, "retired")]
+    with pytest.raises(Exception, match="several changes"):
+        writers.upsert(base, twice.drop("at"), "id", now).collect()
+
+
+def test_json_keeps_null_columns(spark):
+    path = scratch_path(spark, "t-json")
+    writers.write_json(spark.createDataFrame([(1, None)], "id int, s string"), path)
+    assert [r.value for r in spark.read.text(path).collect()] == ['{"id":1,"s":null}']
+
+
+def test_row_ids_follow_the_natural_key(spark):
+    df = spark.createDataFrame([(None, "a", None), (None, "b", None), ("given", "c", "retired")],
+                               "id string, device_serial string, status string")
+    one, two = ({r.device_serial: (r.id, r.status) for r in writers.apply_defaults(df, "devices").collect()}
+                for _ in range(2))
+    assert one == two and one["c"] == ("given", "retired") and one["a"][1] == "normal"
+    assert one["a"][0] != one["b"][0] and len(one["a"][0]) == 36
+
+
+def test_home_cards_defaults(spark):
+    df = spark.createDataFrame([("n", None)], "experiment_name string, device_id string")
+    assert tuple(browse.home_cards(df).collect()[0]) == ("n", "", "", "", "", None)
+    assert browse.home_cards(df.drop("device_id")).collect()[0].device_id == "未知设备"
+
+
+def test_metric_cards_text_and_colour(spark):
+    df = spark.createDataFrame([("1", 1234.5), ("2", 1234.5), ("3", 1300.0), ("4", 1.0)], "p string, m double")
+    got = [(r.delta, r.delta_color, r.value_text, r.delta_text)
+           for r in shapes.metric_cards(df, "p", {"m": "kWh"}).orderBy("p").collect()]
+    assert got == [(None, "inverse", "1234.50 kWh", None), (0.0, "inverse", "1234.50 kWh", None),
+                   (65.5, "normal", "1300.00 kWh", "65.50 kWh"), (-1299.0, "inverse", "1.00 kWh", "-1299.00 kWh")]
+    text = spark.range(1).select(shapes.count_text(F.lit(1234567)).alias("t")).collect()[0].t
+    assert text == "1,234,567"
+
+
+def test_daily_tests_fill_empty_days(spark):
+    from ohmflow.operators import kpi
+    rows = [(dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 1),), (dt.datetime(2024, 1, 4),), (None,)]
+    got = sorted(((r.day, r.tests, r.change) for r in kpi.daily_tests(
+        spark.createDataFrame(rows, "created_at timestamp_ntz")).collect()), key=str)
+    d = dt.date
+    assert got == sorted([
+        (d(2024, 1, 1), 2, None), (d(2024, 1, 2), 0, -2), (d(2024, 1, 3), 0, 0), (d(2024, 1, 4), 1, 1),
+        (None, 1, None)], key=str)
+
+
+def test_checkpoint_folder_is_required_off_local(spark):
+    from ohmflow import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+    assert session.is_single_process("local[4]") and not session.is_single_process("local-cluster[2,1,1024]")
+
+
+def test_synth_noise_ignores_partitioning(spark):
+    drivers = spark.range(20).select(F.col("id").alias("sid"))
+    sums = set()
+    for n in (1, 4, 50):
+        out = synth_readings(drivers.repartition(n), "sid", "2024-01-01", noise=0.05)
+        r = out.agg(F.count(F.lit(1)), F.sum(F.round("voltage", 9)), F.stddev("voltage")).collect()[0]
+        sums.add((r[0], round(r[1], 6)))
+        assert 1.5 < r[2] < 2.0                     # 20 V * sqrt(0.05 ** 2 + 0.1 ** 2 / 2)
+    assert len(sums) == 1 and next(iter(sums))[0] == 6000
+
+
+def test_stream_over_unsorted_files_with_closing_row(spark):
+    """Rows of all times in every file, one file a batch: with a delay as long as the disorder nothing is
+    late, and the closing row lets every window out."""
+    root = local_path(scratch_path(spark, "t-close"))
+    schema = "ts timestamp_ntz, k string, value double"
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t + dt.timedelta(minutes=17 * i), "ab"[i % 2], float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, schema)
+    for part in range(3):
+        df.where(F.col("value") % 3 == part).coalesce(1).write.mode("append").parquet(root + "/in")
+        import time
+        time.sleep(1.1)
+    live.write_closing_row(spark, root + "/in", schema, "ts", "k", df.agg(F.max("ts")))
+    s = live.file_stream(spark, root + "/in", schema, max_files_per_trigger=1)
+    m = live.tumbling_mean(s, "ts", ["k"], "value", delay="3 days")
+    live.run_available_now(m, root + "/out", root + "/ckpt")
+    got = sorted((r.k, r.window_start, r.n) for r in spark.read.parquet(root + "/out").collect())
+    want = df.groupBy("k", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("w")).count()
+    assert got == sorted((r.k, r.w, r["count"]) for r in want.collect())
 
 
 def test_stream_drops_late_rows(spark):
@@ -166,19 +282,20 @@ def test_queries_stable_across_partitions(spark, name):
     assert a == b
 
 
-def test_batch_rejects_types_and_malformed(spark):
+def test_batch_reports_everything_not_loaded(spark):
     root = local_path(scratch_path(spark, "t-batch"))
-    os.makedirs(root, exist_ok=True)
-    with open(root + "/good.csv", "w") as f:
-        f.write("a,b\n1,2.5\n2,x\n")
-    with open(root + "/bad.csv", "w") as f:
-        f.write("a,b\nfoo,bar\nbaz,qux\n")
-    with open(root + "/r.json", "w") as f:
-        f.write('{"a": 1}\n')
+    put(root, "a/x.csv", "a,b\n1,2.5\n2,x\n3,4,5\n6\n")
+    put(root, "b/x.csv", "b,a\nfoo,bar\n7.5,8\n")
+    put(root, "r.json", '{"a": 1}\n')
+    put(root, "UP.CSV", "a,b\n1,1\n")
     rows, rej = fsrc.scan_batch(spark, root, schema="a int, b double")
-    assert sorted((r.a, r.b) for r in rows.collect()) == [(1, 2.5)]
-    assert sorted((r.file_name, r.reason) for r in rej.collect()) == [("bad.csv", "malformed"),
-                                                                      ("r.json", "not accepted in batch: .json")]
+    assert sorted(((r.a, r.b, r.file_name) for r in rows.collect()), key=repr) == [
+        (1, 2.5, "x.csv"), (6, None, "x.csv"), (8, 7.5, "x.csv")]
+    assert sorted(((r.source_file.split("t-batch")[1].split("/", 1)[1], r.line, r.reason)
+                   for r in rej.collect()), key=repr) == sorted([
+        ("a/x.csv", "2,x", "unparsable: b"), ("a/x.csv", "3,4,5", "too many cells"),
+        ("b/x.csv", "foo,bar", "unparsable: a"), ("r.json", None, "unsupported type"),
+        ("UP.CSV", None, "unsupported type")], key=repr)
 
 
 def test_stream_windows_ignore_session_zone(spark):

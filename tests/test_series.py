@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import approx
 from ohmflow.operators import series
-from ohmflow.operators.ordering import IDX, blocked, forward_fill, global_index, row_number_in_key
+from ohmflow.operators.ordering import IDX, blocked, global_index, ordered, row_number_in_key
 
 
 def frame(spark, values, key="a"):
@@ -18,9 +18,8 @@ def frame(spark, values, key="a"):
     return spark.createDataFrame(data, "key string, seq int, x double")
 
 
-def filtered(df, method, w, strategy="auto"):
-    out = series.filter_data(df, "x", method, w, keys=["key"], order=["seq"], strategy=strategy,
-                             block_rows=100)
+def filtered(df, method, w):
+    out = series.filter_data(df, "x", method, w, keys=["key"], order=["seq"])
     return [r.x_filtered for r in out.orderBy("key", "seq").collect()]
 
 
@@ -33,9 +32,8 @@ def filtered(df, method, w, strategy="auto"):
     ("exponential", 5, [1, None, 3, 4], [1, 1, 1.8571428571428572, 2.5714285714285716]),
     ("exponential", 5, [None, 1, 3], [None, 1, 1.6666666666666667]),
 ])
-@pytest.mark.parametrize("strategy", ["plain", "blocked"])
-def test_filters(spark, method, w, inp, exp, strategy):
-    got = filtered(frame(spark, inp), method, w, strategy)
+def test_filters(spark, method, w, inp, exp):
+    got = filtered(frame(spark, inp), method, w)
     assert all(approx(g, e) for g, e in zip(got, exp)), got
 
 
@@ -44,21 +42,19 @@ def test_unknown_filter_method(spark):
         series.filter_data(frame(spark, [1, 2]), "x", "kalman", 3, keys=["key"], order=["seq"])
 
 
-@pytest.mark.parametrize("strategy", ["plain", "blocked"])
-def test_filters_per_key_and_input_order(spark, strategy):
+def test_filters_per_key_and_input_order(spark):
     a = frame(spark, [1, 2, 6, 4], "a")
     b = frame(spark, [9, 1, 5, 7], "b")
     one = frame(spark, [7], "c")
     df = a.unionByName(b).unionByName(one).orderBy(F.rand(3))
-    got = series.filter_data(df, "x", "moving_average", 3, keys=["key"], order=["seq"], strategy=strategy)
+    got = series.filter_data(df, "x", "moving_average", 3, keys=["key"], order=["seq"])
     res = {(r.key, r.seq): r.x_filtered for r in got.collect()}
     assert [res[("a", i)] for i in range(1, 5)] == [1, 3, 4, 4]
     assert all(approx(g, e) for g, e in zip([res[("b", i)] for i in range(1, 5)], [9, 5, 13 / 3, 7]))
     assert res[("c", 1)] == 7
 
 
-@pytest.mark.parametrize("strategy", ["plain", "blocked"])
-def test_exponential_matches_pandas_with_gaps(spark, strategy):
+def test_exponential_matches_pandas_with_gaps(spark):
     pd = pytest.importorskip("pandas")
     import numpy as np
     rng = np.random.default_rng(7)
@@ -69,7 +65,7 @@ def test_exponential_matches_pandas_with_gaps(spark, strategy):
     exp = exp.fillna(pd.Series(x))
     df = spark.createDataFrame([("k", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)],
                                "key string, seq int, x double")
-    got = series.exponential(df, ["key"], ["seq"], "x", span=5, block_rows=100, strategy=strategy)
+    got = series.exponential(df, ["key"], ["seq"], "x", span=5)
     got = [r.x_filtered for r in got.orderBy("seq").collect()]
     for g, e in zip(got, exp):
         assert (g is None and np.isnan(e)) or approx(g, e, 1e-9)
@@ -102,7 +98,7 @@ def test_global_index_dense_under_one_hot_key(spark):
     # one key holds most rows; the index must still be dense and ordered
     df = spark.range(0, 5000).select(F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 7).alias("key"),
                                      F.col("id").alias("seq"))
-    ix = global_index(df, ["key", "seq"], num_buckets=6)
+    ix = global_index(df, ["key"], ["seq"])
     w = Window.orderBy("key", "seq")
     chk = ix.withColumn("rn", F.row_number().over(w) - 1).where(F.col("rn") != F.col(IDX))
     assert chk.count() == 0
@@ -111,41 +107,60 @@ def test_global_index_dense_under_one_hot_key(spark):
     assert rn.withColumn("m", F.row_number().over(w2)).where(F.col("m") != F.col("n")).count() == 0
 
 
-def test_global_index_binary_search_buckets(spark):
-    from ohmflow.operators import ordering
-    df = spark.range(0, 6000).select((F.col("id") % 5).alias("key"), (F.col("id") * 7919 % 6000).alias("seq"))
-    ix = global_index(df, ["key", "seq"], num_buckets=ordering.TREE_BUCKETS + 300)
-    w = Window.orderBy("key", "seq")
-    assert ix.withColumn("rn", F.row_number().over(w) - 1).where(F.col("rn") != F.col(IDX)).count() == 0
+@pytest.mark.parametrize("distinct", [1, 50])
+def test_ranges_stay_even_on_equal_values(spark, distinct):
+    """Neither one key nor a few order values make a large range."""
+    df = spark.range(0, 20_000).select(F.lit("k").alias("key"), (F.col("id") % distinct).alias("v"),
+                                       F.col("id").alias("other"))
+    sizes = [r["count"] for r in ordered(df, ["key"], ["v"]).frame.groupBy("_range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
 def test_blocked_window_equals_plain_window(spark):
     df = spark.range(0, 3000).select((F.col("id") % 3).alias("key"), F.col("id").alias("seq"),
                                      F.sin(F.col("id")).alias("x"))
-    ix = global_index(df, ["key", "seq"], num_buckets=5)
 
     def compute(frame, w):
         return frame.withColumn("m", F.avg("x").over(w.rowsBetween(-2, 3)))
-    got = blocked(ix, ["key"], 2, 3, compute, block_rows=17)
+    got = blocked(ordered(df, ["key"], ["seq"]), ["key"], 2, 3, compute)
     plain = df.withColumn("p", F.avg("x").over(Window.partitionBy("key").orderBy("seq").rowsBetween(-2, 3)))
     j = got.join(plain, ["key", "seq"])
     assert j.count() == 3000
     assert j.where(F.abs(F.col("m") - F.col("p")) > 1e-12).count() == 0
 
 
-def test_forward_fill_across_blocks(spark):
-    vals = [None, None, 1.0, None, None, None, None, 2.0, None, None]
-    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(vals)], "key string, seq int, v double")
-    ix = global_index(df, ["key", "seq"], num_buckets=3)
-    out = forward_fill(ix, ["key"], "v", "f", block_rows=3).orderBy("seq").collect()
-    assert [r.f for r in out] == [None, None, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 2.0, 2.0]
-
-
-@pytest.mark.parametrize("strategy", ["plain", "blocked"])
-def test_downsample_keeps_extremes(spark, strategy):
+@pytest.mark.parametrize("span,n,missing", [(100_000, 5000, 0.2), (7, 5000, 0.995), (1, 300, 0.5)])
+def test_exponential_any_span_and_long_gaps(spark, span, n, missing):
+    """Gaps over several blocks and spans far beyond the rows, against pandas."""
+    pd = pytest.importorskip("pandas")
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=n)
+    x[rng.random(n) < missing] = np.nan
+    exp = pd.Series(x).ewm(span=span, adjust=False).mean().fillna(pd.Series(x))
+    df = spark.createDataFrame([(i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "seq int, x double")
+    got = [r.x_filtered for r in series.exponential(df, [], ["seq"], "x", span=span).orderBy("seq").collect()]
+    assert all((g is None and np.isnan(e)) or approx(g, e, 1e-9) for g, e in zip(got, exp))
+
+
+def test_per_key_tables_never_shuffle_the_readings(spark):
+    """With Spark's own broadcasts off, the counted per-key table still is one."""
+    from ohmflow.operators import stats
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for out in (stats.anomaly_zscore(df, "value", ["event_type"]), stats.anomaly_iqr(df, "value", ["event_type"])):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_downsample_keeps_extremes(spark):
     df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([5, 1, 9, 3, 3, 8])],
                                "key string, seq int, x double").withColumn("ts", F.col("seq").cast("timestamp"))
-    out = series.downsample_minmax(df, ["key"], ["seq"], "ts", "x", buckets=2, strategy=strategy).orderBy("bucket").collect()
+    out = series.downsample_minmax(df, ["key"], ["seq"], "ts", "x", buckets=2).orderBy("bucket").collect()
     assert [(r.n_points, r.x_min, r.x_max) for r in out] == [(3, 1.0, 9.0), (3, 3.0, 8.0)]
 
 
@@ -155,15 +170,6 @@ def test_parse_timestamps(spark):
     assert got == [dt.datetime(2025, 5, 2), dt.datetime(2024, 1, 2, 3, 4, 5), None]
 
 
-def test_strategy_choice_measures_largest_key(spark):
-    from ohmflow.operators.ordering import choose
-    df = spark.range(0, 100).select((F.col("id") % 2).alias("k"))
-    assert choose(df, ["k"], limit=50) == "plain"
-    assert choose(df, ["k"], limit=49) == "blocked"
-    with pytest.raises(ValueError):
-        choose(df, ["k"], "fast")
-
-
 def test_resample_guard(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1.0), (dt.datetime(2024, 1, 2), 2.0)],
                                "timestamp timestamp_ntz, x double")
