@@ -7,8 +7,9 @@
 2. The compiled lexicon, a few MB bounded by ``LEXICON``, is written to the shared
    checkpoint folder and given to all executors as a Spark file; tasks
    memory-map it, so all workers of a node share its pages.
-3. Encoding walks the distinct pre-tokens of a slice of rows through the
-   automaton together, one byte of each per step (numpy).  Words outside the
+3. Pre-tokens are found for a slice of rows at once from runs of code point
+   kinds (numpy); its distinct pre-tokens walk through the automaton together,
+   one byte of each per step.  Words outside the
    lexicon are merged exactly by their ranks, in a heap for long ones, and
    remembered in a bounded memo.  Ids are then laid out per text.
 4. Decoding lays the bytes of the ids end to end and reads them as UTF-8.
@@ -27,9 +28,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections import Counter, defaultdict
+import re
+from collections import defaultdict
 from functools import lru_cache
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,12 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import textkit as tk
-from .frames import table
+from .frames import stored, table
 
-LEXICON = 100_000
+LEXICON = 400_000
 MEMO = 200_000
-#: fixed value: the pre-token pattern of byte-level BPE
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# the pre-token pattern of byte-level BPE that ``pretokens`` implements:
+# 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 
 
 def _byte_chars() -> dict[str, int]:
@@ -75,37 +77,59 @@ class Vocabulary:
         for c, b in chars.items():
             self.single[b] = ids[c]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # pair of ids -> rank and new id, each packed into one number
+        self.merges = {ids[a] << 32 | ids[b]: rank << 32 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        self.added_bytes = tuple(self.added)
         size = max([*ids.values(), *self.added.values()]) + 1
         text: list[bytes] = [b""] * size
         for token, i in ids.items():
             text[i] = bytes(chars[c] for c in token)
         for token, i in self.added.items():
-            text[i] = token.encode()
+            text[i] = token
         self.text = np.frombuffer(b"".join(text), dtype=np.uint8)
         self.text_at = tk.sums0(np.array([len(t) for t in text], dtype=np.int64))
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one pre-token: the pair of lowest rank first, the leftmost of equal ones."""
+        if len(word) > 64:
+            return self._merge_long(word)
+        get, none = self.merges.get, 1 << 62
+        ids = [self.single[b] for b in word]
+        rank = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while rank and (best := min(rank)) != none:
+            i = rank.index(best)
+            ids[i:i + 2] = [best & 0xFFFFFFFF]
+            del rank[i]
+            if i:
+                rank[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(rank):
+                rank[i] = get(ids[i] << 32 | ids[i + 1], none)
+        return ids
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap of pairs, so that the work stays n log n."""
         ids = [self.single[b] for b in word]
         n = len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        get = self.merges.get
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
+        heap: list[tuple[int, int, int, int]] = []
+
+        def push(i, j):
+            if (m := self.merges.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (m, i, ids[i], ids[j]))
+        for i in range(n - 1):
+            push(i, i + 1)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+                continue                                     # one of the two has been merged since
+            ids[i], alive[j], after[i] = m & 0xFFFFFFFF, False, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := get((new, ids[after[i]])):
-                    heapq.heappush(heap, (m[0], i, new, ids[after[i]], m[1]))
-            if before[i] >= 0 and (m := get((ids[before[i]], new))):
-                heapq.heappush(heap, (m[0], before[i], ids[before[i]], new, m[1]))
+                push(i, after[i])
+            if before[i] >= 0:
+                push(before[i], i)
         return [t for t, ok in zip(ids, alive) if ok]
 
 
@@ -199,55 +223,145 @@ def _mapped(name: str) -> Lexicon:
     return Lexicon(np.memmap(SparkFiles.get(name), dtype=np.int64, mode="r"))
 
 
-@lru_cache(maxsize=2)
-def _splitter(added: tuple[str, ...]):
-    """Finds added tokens (the longest at a place) or None; and the pre-token finder."""
-    special = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
-    return special, regex.compile(PATTERN).findall
+BLANK, LETTER, NUMBER, OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Kind of every code point, as the pre-token pattern tells them apart."""
+    every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "!" for i in range(0x110000))
+    out = np.full(0x110000, OTHER, dtype=np.uint8)
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
+        for m in regex.finditer(pattern, every):
+            out[m.start():m.end()] = kind
+    return out
 
 
-def pretokens(text: str, added: tuple[str, ...]) -> list[str]:
-    """Added tokens and pre-tokens of a text, in order."""
-    special, findall = _splitter(added)
-    if special is None or not special.search(text):
-        return findall(text)
-    out, at = [], 0
-    for m in special.finditer(text):
-        out += findall(text[at:m.start()])
-        out.append(m.group())
-        at = m.end()
-    return out + findall(text[at:])
+def pretokens(arr, added: tuple[bytes, ...]):
+    """Bytes of all rows, byte starts and ends of their pre-tokens in order, and each row's first one.
 
+    The pattern's alternatives, read over the runs of one kind of code point:
+    a run of letters, numbers or others is a token and takes in one plain space
+    before it; of a run of blanks before something else all but the last
+    character is a token, and the last one too unless it is that space; a
+    lone apostrophe that no space precedes takes the letters of a contraction
+    from the run behind it.  Added tokens cut the text before any of this.
+    """
+    data, offs = tk.utf8(arr)
+    raw = data.tobytes()
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:                               # rows of broken bytes, as Arrow's strings allow
+        rows = [raw[i:j].decode("utf-8", "replace") for i, j in zip(offs[:-1], offs[1:])]
+        return pretokens(pa.array(rows, pa.large_string()), added)
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    lead = np.append(np.flatnonzero(tk.LEAD[data]), len(data))            # byte place of every code point
+    row_at = np.searchsorted(lead, offs)
+    if not len(cp):
+        none = np.zeros(0, dtype=np.int64)
+        return data, none, none, np.zeros(len(offs), dtype=np.int64)
+    cuts, special = [row_at[:-1]], []
+    if added:
+        for m in _added_finder(added)(raw):
+            if np.searchsorted(offs, m.start(), "right") == np.searchsorted(offs, m.end(), "left"):
+                special.append((int(np.searchsorted(lead, m.start())), int(np.searchsorted(lead, m.end()))))
+        cuts += [np.array(special, dtype=np.int64).reshape(-1)]
+    cut = np.zeros(len(cp) + 1, dtype=bool)                  # a text, or what an added token leaves of it, begins
+    cut[np.concatenate(cuts)] = True
+    cut[-1] = True
+    kind = _kinds()[cp]
+    new = cut[:-1].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(new)
+    end = np.append(run[1:], len(cp))
+    k, size = kind[run], end - run
+    solid = k != BLANK
+    space = np.zeros(len(cp) + 1, dtype=bool)                # this code point follows a plain space in its text
+    space[1:] = cp == 0x20
+    space[:-1] &= ~cut[:-1]
+    start = np.zeros(len(cp), dtype=bool)
+    start[run[solid] - space[run[solid]]] = True
+    blank, blank_end, blank_size = run[~solid], end[~solid], size[~solid]
+    last = cut[blank_end]                                    # nothing behind it
+    start[blank[last]] = True
+    some = ~last & (blank_size > 1)
+    start[blank[some]] = True
+    start[blank_end[~last] - 1] = True                       # the last blank: a token, or the start of the next one
+    quote = (k == OTHER) & (size == 1) & (cp[run] == 0x27) & ~space[run] & ~cut[end]
+    quote[:-1] &= k[1:] == LETTER
+    quote[-1:] = False
+    q = run[quote]
+    if len(q):
+        one, room = cp[q + 1], size[1:][quote[:-1]]
+        two = np.where(room > 1, cp[np.minimum(q + 2, len(cp) - 1)], 0)
+        single = np.isin(one, [ord(c) for c in "stmd"])
+        double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        n = np.where(single, 1, np.where(double, 2, 0))
+        hit = n > 0
+        start[q[hit] + 1] = False
+        more = hit & (room > n)
+        start[q[more] + 1 + n[more]] = True
+    for a, b in special:
+        start[a + 1:b] = False
+    first = np.flatnonzero(start)
+    return data, lead[first], lead[np.append(first[1:], len(cp))], np.searchsorted(first, row_at)
+
+
+@lru_cache(maxsize=2)
+def _added_finder(added: tuple[bytes, ...]):
+    """Finds added tokens in bytes, the longest at a place."""
+    return re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))).finditer
 
-def _texts(batch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
 
+def _distinct(data, starts, ends):
+    """(distinct pre-tokens, their code for each pre-token), told apart by 64-bit hashes."""
+    _, at, code = np.unique(tk.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    return [raw[i:j] for i, j in zip(starts[at], ends[at])], code
 
-def _count(added: tuple[str, ...], most: int = 500_000):
+
+def _count(added: tuple[bytes, ...], most: int = 500_000):
     """(word, n), sent whenever the counter has grown to ``most`` words and at the end."""
     def emit(c):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())],
                                           names=["word", "n"])
 
     def run(batches):
-        c: Counter = Counter()
+        c: defaultdict = defaultdict(int)
         for batch in tk.chunked(batches, "text"):
-            for t in _texts(batch):
-                c.update(pretokens(t, added))
+            data, starts, ends, _ = pretokens(batch.column("text"), added)
+            words, code = _distinct(data, starts, ends)
+            for w, n in zip(words, np.bincount(code).tolist()):
+                c[w] += n
             if len(c) >= most:
                 yield emit(c)
-                c = Counter()
+                c = defaultdict(int)
         if c:
             yield emit(c)
     return run
 
 
 def frequent_words(docs: DataFrame, vocab: Vocabulary, size: int = LEXICON) -> dict[bytes, list[int]]:
-    """The most frequent pre-tokens with their ids (ties by word); at most 64 bytes long."""
-    words = (docs.select("text").where("text is not null").mapInArrow(_count(tuple(vocab.added)), "word string, n long")
-             .groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= 64)
-             .orderBy(F.desc("n"), "word").limit(size).select("word").collect())
-    return {w: vocab.merge(w) for w in (r.word.encode() for r in words if r.word not in vocab.added)}
+    """The most frequent pre-tokens, at most ``size``, with their ids.
+
+    Counts fall into bins of equal ratio; the rarest bin that still fits sets
+    the bound, so that only the chosen words leave the executors.
+    """
+    ratio = F.floor(F.log2("n") * 16).cast("int")
+    words = stored(docs.select("text").where("text is not null")
+                   .mapInArrow(_count(vocab.added_bytes), "word binary, n long")
+                   .groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= 64)
+                   .withColumn("bin", ratio), "bpe-words")
+    least, total = None, 0
+    for r in words.groupBy("bin").count().orderBy(F.desc("bin")).collect():        # some hundred bins
+        total += r["count"]
+        if total > size:
+            break
+        least = r.bin
+    if least is None:
+        return {}
+    chosen = [bytes(r.word) for r in words.where(F.col("bin") >= least).select("word").collect()]
+    return {w: vocab.merge(w) for w in chosen if w not in vocab.added_bytes}
 
 
 def publish(spark, lexicon: np.ndarray) -> str:
@@ -266,33 +380,27 @@ class Encoder:
     """Encodes slices of texts with a lexicon and, beyond it, exact merges."""
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
-        self.vocab, self.lexicon, self.added = vocab, lexicon, tuple(vocab.added)
+        self.vocab, self.lexicon = vocab, lexicon
         self.merge = lru_cache(maxsize=MEMO)(vocab.merge)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and row offsets."""
-        number: defaultdict = defaultdict(count().__next__)
-        words = [[number[w] for w in pretokens(t, self.added)] for t in texts]
-        first = tk.sums0(np.array([len(w) for w in words], dtype=np.int64))
-        code = np.fromiter((c for w in words for c in w), dtype=np.int64, count=int(first[-1]))
-        distinct = list(number)
-        encoded = [w.encode("utf-8", "replace") for w in distinct]
-        place = self.lexicon.find(encoded)
-        unseen: list[int] = []
-        start, size = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column end to end, and row offsets."""
+        data, starts, ends, first = pretokens(texts, self.vocab.added_bytes)
+        words, code = _distinct(data, starts, ends)
+        place = self.lexicon.find(words)
+        start, size = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
         known = place >= 0
         start[known] = self.lexicon.at[place[known]]
         size[known] = self.lexicon.at[place[known] + 1] - start[known]
-        base = len(self.lexicon.ids)
-        for i in np.flatnonzero(~known):
-            ids = [self.vocab.added[distinct[i]]] if distinct[i] in self.vocab.added else self.merge(encoded[i])
-            start[i], size[i] = base + len(unseen), len(ids)
-            unseen += ids
-        pool = np.concatenate([self.lexicon.ids, np.array(unseen, dtype=np.int64)])
+        other, added, merge = np.flatnonzero(~known), self.vocab.added, self.merge
+        ids = [[added[w]] if w in added else merge(w) for w in (words[i] for i in other.tolist())]
+        size[other] = list(map(len, ids))
+        start[other] = len(self.lexicon.ids) + tk.sums0(size[other])[:-1]
+        pool = np.concatenate([self.lexicon.ids, np.array(list(chain.from_iterable(ids)), dtype=np.int64)])
         n = size[code]
-        ends = tk.sums0(n)
-        ids = pool[np.repeat(start[code] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids.astype("<u4"), ends[first]
+        at = tk.sums0(n)
+        ids = pool[np.repeat(start[code] - at[:-1], n) + np.arange(at[-1])]
+        return ids.astype("<u4"), at[first]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
         at, text = self.vocab.text_at, self.vocab.text
@@ -303,11 +411,22 @@ class Encoder:
         return [flat[cut[i]:cut[i + 1]].decode("utf-8", "replace") for i in range(len(offs) - 1)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(vocab, name: str) -> Encoder:
+    """The worker's encoder for a lexicon; its memo serves later tasks too."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(vocab.value, _mapped(name))
+    return _encoders[name]
+
+
 def _encode(vocab, name: str, with_ids: bool):
     def run(batches):
-        encoder = Encoder(vocab.value, _mapped(name))
+        encoder = _encoder(vocab, name)
         for batch in tk.chunked(batches, "text"):
-            ids, offs = encoder.encode(_texts(batch))
+            ids, offs = encoder.encode(batch.column("text"))
             sha = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
             back = [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in encoder.decode(ids, offs)]
             cols = [batch.column("doc_id"), pa.array(np.diff(offs)), pa.array(sha, pa.string()),
