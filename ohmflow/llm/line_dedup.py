@@ -60,10 +60,11 @@ def removed_chunks(docs: DataFrame) -> DataFrame:
             .where(F.size("lines") > 1).withColumn("chunk", F.array_join("lines", "\n"))
             .where(F.rlike("chunk", F.lit(r"[^ \t-\r]"))))
     keyed = each.select("doc_id", "row", "k", F.xxhash64("chunk").alias("h"), "chunk")
-    seen = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # the small side of each join is written first: only then can Spark split a hot key's side
+    seen = stored(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "line-seen")
     again = stored(keyed.join(seen, "h", "left_semi"), "line-chunks")
     place = F.struct("doc_id", "row", "k")
-    first = again.groupBy("h", "chunk").agg(F.min(place).alias("first"))
+    first = stored(again.groupBy("h", "chunk").agg(F.min(place).alias("first")), "line-first")
     later = again.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "row").agg(F.collect_set("k").alias("gone"))
 
