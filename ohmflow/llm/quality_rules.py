@@ -158,7 +158,8 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     for i in range(steps):
         binned = stored(rows.join(params, "key").select(
             "key", "n", "x", F.least(F.log2(1 + _distance()) * 64, F.lit(6400.0)).cast("int").alias("bin")), "mcd-bins")
-        limit = binned.groupBy("key").agg(F.percentile("bin", F.lit(SUPPORT)).alias("limit"))
+        # written first: only then can Spark split the rows of a hot group in the join
+        limit = stored(binned.groupBy("key").agg(F.percentile("bin", F.lit(SUPPORT)).alias("limit")), "mcd-limit")
         near = binned.join(limit, "key").where("bin <= limit")
         sums = [F.sum(F.col("x")[i]) for i in range(_D)]
         cross = [F.sum((F.col("x")[i] * F.col("x")[j]).cast("decimal(30,0)")) for i in range(_D) for j in range(i, _D)]
