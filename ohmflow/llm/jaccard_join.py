@@ -17,9 +17,10 @@ copies: one of them, the smallest doc_id, stands for all.
    components.
 5. A bucket whose members now lie in several components is examined whole, in
    blocks of bounded size: pairs from different components go through the same
-   pruning and exact check, and a block reports only links that connect what it
-   has not yet connected.  So no link between different texts is lost to the
-   choice of step 2, and no task or table ever holds all pairs of a group.
+   pruning, those left (members with a partner) through the exact check, and a
+   block reports only links that connect what it has not yet connected.  So no
+   link between different texts is lost to the choice of step 2, and no task or
+   table ever holds all pairs of a group.
 
 Result, one row per document: class_id (smallest doc_id that links reach),
 n_links (reported links at the document's representative; inside a class they
@@ -47,7 +48,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 STEP = 16
-TOLERANCE = 1e-8
+TOLERANCE = 1e-6
 BLOCK = 512
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,10 +143,15 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col), dtype=np.uint32).reshape(len(col), BANDS * ROWS)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
+def similar(a: bytes, b: bytes, threshold: float) -> bool:
+    """Whether two ascending sets of hashes reach the threshold (exact)."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    same = len(np.intersect1d(x, y, assume_unique=True))
-    return same / (len(x) + len(y) - same)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < threshold * len(y) - 1e-9:
+        return False
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return same >= threshold * (len(x) + len(y) - same) - 1e-9
 
 
 def _prune(least: list[int]):
@@ -159,20 +165,45 @@ def _prune(least: list[int]):
 def _verify(threshold: float):
     def run(batches):
         for batch in batches:
-            ok = [jaccard(x.as_py(), y.as_py()) >= threshold
+            ok = [similar(x.as_py(), y.as_py(), threshold)
                   for x, y in zip(batch.column("sh_a"), batch.column("sh_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
+def _cross(pdf: pd.DataFrame, sig: np.ndarray, least: list[int]):
+    """Per member of the lower block, the members of other components that pruning leaves.
+
+    A pair that shares several buckets is left to the first of its bands.
+    """
+    comp, half, band = pdf["comp"].to_numpy(), pdf["blk"].to_numpy(), int(pdf["band"].iloc[0])
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    right = np.flatnonzero(half == hi)
+    for i in np.flatnonzero(half == lo):
+        others = right[(comp[right] != comp[i]) & ((lo != hi) | (right > i))]
+        if len(others):
+            shared = (sig[others] == sig[i]).reshape(len(others), BANDS, ROWS).all(axis=2)
+            others = others[shared.argmax(axis=1) == band]
+            others = others[survivors(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], least)]
+            if len(others):
+                yield i, others
+
+
+def _candidates(least: list[int]):
+    """Members of a pair of blocks with a partner that pruning leaves."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(pdf), dtype=bool)
+        for i, others in _cross(pdf, _matrix(pdf["sig"]), least):
+            keep[i] = True
+            keep[others] = True
+        return pdf.loc[keep, ["band", "bucket", "lo", "hi", "blk", "doc_id", "comp"]]
+    return run
+
+
 def _block(least: list[int], threshold: float):
-    """Connecting links between different components among the members of one pair of blocks."""
+    """Links that connect components among the members of a pair of blocks."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").reset_index(drop=True)
-        sig, comp, sets = _matrix(pdf["sig"]), pdf["comp"].to_numpy(), pdf["shingles"].to_numpy()
-        doc, half = pdf["doc_id"].to_numpy(), pdf["blk"].to_numpy()
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left, right = np.flatnonzero(half == lo), np.flatnonzero(half == hi)
+        comp, sets, doc = (pdf[c].to_numpy() for c in ("comp", "shingles", "doc_id"))
         label = {c: c for c in comp}
 
         def top(c):
@@ -181,10 +212,9 @@ def _block(least: list[int], threshold: float):
                 c = label[c]
             return c
         out = []
-        for i in left:
-            others = right[(comp[right] != comp[i]) & ((lo != hi) | (right > i))]
-            for j in others[survivors(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], least)]:
-                if top(comp[i]) != top(comp[j]) and jaccard(sets[i], sets[j]) >= threshold:
+        for i, others in _cross(pdf, _matrix(pdf["sig"]), least):
+            for j in others:
+                if top(comp[i]) != top(comp[j]) and similar(sets[i], sets[j], threshold):
                     label[top(comp[i])] = top(comp[j])
                     out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -197,17 +227,18 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGL
     least = least_matches(threshold, tolerance)
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     sigs = stored(texts.mapInArrow(_signatures(n), "doc_id long, set_a long, set_b long, sig binary"), "jac-sig")
-    copies = sigs.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"),
-                                                F.count_distinct("doc_id").alias("n_copies"))
+    copies = stored(sigs.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"),
+                                                       F.count_distinct("doc_id").alias("n_copies")), "jac-copies")
     members = stored(sigs.select("doc_id", "set_a", "set_b").join(copies, ["set_a", "set_b"])
                      .select("doc_id", "rep", "n_copies"), "jac-members")
     reps = sigs.select("doc_id", "sig").join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     width = 4 * ROWS
-    buckets = reps.select("doc_id", F.explode(F.expr(
+    buckets = reps.select("doc_id", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"))
-        .alias("bucket"))
-    hubs = (buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far"))
-            .where("hub < far").select("bucket", "hub"))
+        .alias("band", "bucket")).distinct()
+    # written first: only then can Spark split the members of a hot bucket in the join
+    hubs = stored(buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far"))
+                  .where("hub < far").select("bucket", "hub"), "jac-hubs")
     full = stored(buckets.join(hubs, "bucket"), "jac-buckets")
     nodes = full.select("doc_id").distinct()
     # the text and the signature of every document that shares a bucket, as its shingle set
@@ -223,16 +254,18 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGL
     comps = components(links)
 
     labelled = (full.join(comps, full.doc_id == comps.node, "left")
-                .select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))
-    mixed = (labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
-                                            F.count(F.lit(1)).alias("m")).where("x < y")
-             .select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+                .select("band", "bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))
+    mixed = stored(labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"),
+                                                  F.count(F.lit(1)).alias("m")).where("x < y")
+                   .select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "jac-mixed")
     block = (labelled.join(mixed, "bucket")
              .withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("bucket", "doc_id", "comp", "blk", F.least("blk", "other").alias("lo"),
-                     F.greatest("blk", "other").alias("hi")))
-    more = (block.join(sets, "doc_id").groupBy("bucket", "lo", "hi")
+             .select("band", "bucket", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
+                     "blk", "doc_id", "comp"))
+    some = stored(block.join(sets.select("doc_id", "sig"), "doc_id").groupBy("bucket", "lo", "hi")
+                  .applyInPandas(_candidates(least), block.schema), "jac-some")
+    more = (some.join(sets, "doc_id").groupBy("bucket", "lo", "hi")
             .applyInPandas(_block(least, threshold), "a long, b long").distinct())
     links = stored(links.unionByName(more).distinct(), "jac-links")
     return members, links, components(links)
