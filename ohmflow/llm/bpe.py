@@ -10,8 +10,8 @@
 3. Pre-tokens are found for a slice of rows at once from runs of code point
    kinds (numpy); its distinct pre-tokens walk through the automaton together,
    one byte of each per step.  Words outside the
-   lexicon are merged exactly by their ranks, in a heap for long ones, and
-   remembered in a bounded memo.  Ids are then laid out per text.
+   lexicon are merged exactly by their ranks, in a heap for long ones.  A
+   bounded pool keeps the ids of words met before; ids are laid out per text.
 4. Decoding lays the bytes of the ids end to end and reads them as UTF-8.
 
 The result is the tokenizers library's for a byte-level BPE without
@@ -45,7 +45,7 @@ from . import textkit as tk
 from .frames import stored, table
 
 LEXICON = 400_000
-MEMO = 200_000
+MEMO = 1_000_000
 # the pre-token pattern of byte-level BPE that ``pretokens`` implements:
 # 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 
@@ -313,31 +313,66 @@ def _added_finder(added: tuple[bytes, ...]):
     return re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))).finditer
 
 
-def _distinct(data, starts, ends):
-    """(distinct pre-tokens, their code for each pre-token), told apart by 64-bit hashes."""
-    _, at, code = np.unique(tk.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+class Seen:
+    """Numbers for 64-bit hashes in the order of their arrival, kept as two sorted arrays:
+    all and the latest, which join the others now and then."""
+
+    def __init__(self):
+        self.n = 0
+        self.parts = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)) for _ in range(2)]
+
+    def number(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each of the distinct ascending ``keys``; new ones get the next numbers, in their order."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        for have, code in self.parts:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                out = np.where(have[at] == keys, code[at], out)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self.n + np.arange(len(new))
+            self.n += len(new)
+            self.parts[1] = self._joined(self.parts[1], (keys[new], out[new]))
+            if len(self.parts[1][0]) > 1 << 16:
+                self.parts = [self._joined(*self.parts), (self.parts[1][0][:0], self.parts[1][1][:0])]
+        return out
+
+    @staticmethod
+    def _joined(a, b):
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")              # two sorted runs: one merge
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
+def _distinct(data, starts, ends, seen: Seen):
+    """(number of each pre-token, those that are new) with pre-tokens told apart by 64-bit hashes."""
+    keys, at, inverse = np.unique(tk.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    before = seen.n
+    number = seen.number(keys)
+    new = at[number >= before]
     raw = data.tobytes()
-    return [raw[i:j] for i, j in zip(starts[at], ends[at])], code
+    return number[inverse], [raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist())]
 
 
 def _count(added: tuple[bytes, ...], most: int = 500_000):
-    """(word, n), sent whenever the counter has grown to ``most`` words and at the end."""
-    def emit(c):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())],
-                                          names=["word", "n"])
+    """(word, n), sent whenever ``most`` words have been seen and at the end."""
+    def emit(words, counts):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], names=["word", "n"])
 
     def run(batches):
-        c: defaultdict = defaultdict(int)
+        seen, words, counts = Seen(), [], np.zeros(0, dtype=np.int64)
         for batch in tk.chunked(batches, "text"):
             data, starts, ends, _ = pretokens(batch.column("text"), added)
-            words, code = _distinct(data, starts, ends)
-            for w, n in zip(words, np.bincount(code).tolist()):
-                c[w] += n
-            if len(c) >= most:
-                yield emit(c)
-                c = defaultdict(int)
-        if c:
-            yield emit(c)
+            code, new = _distinct(data, starts, ends, seen)
+            words += new
+            now = np.bincount(code, minlength=seen.n)
+            now[:len(counts)] += counts
+            counts = now
+            if seen.n >= most:
+                yield emit(words, counts)
+                seen, words, counts = Seen(), [], np.zeros(0, dtype=np.int64)
+        if words:
+            yield emit(words, counts)
     return run
 
 
@@ -377,29 +412,55 @@ def publish(spark, lexicon: np.ndarray) -> str:
 
 
 class Encoder:
-    """Encodes slices of texts with a lexicon and, beyond it, exact merges."""
+    """Encodes slices of texts with a lexicon and, beyond it, exact merges.
+
+    Ids of the words met so far stay in one pool, which starts anew after
+    ``MEMO`` words.
+    """
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
         self.vocab, self.lexicon = vocab, lexicon
-        self.merge = lru_cache(maxsize=MEMO)(vocab.merge)
+        self._reset()
+
+    def _reset(self):
+        self.seen = Seen()
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pool, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def _learn(self, words: list[bytes]):
+        """Append the ids of new words to the pool."""
+        place = self.lexicon.find(words)
+        known = place >= 0
+        size = np.zeros(len(words), dtype=np.int64)
+        at = self.lexicon.at[place[known]]
+        size[known] = self.lexicon.at[place[known] + 1] - at
+        added, merge = self.vocab.added, self.vocab.merge
+        other = np.flatnonzero(~known)
+        merged = [[added[w]] if w in added else merge(w) for w in (words[i] for i in other.tolist())]
+        size[other] = list(map(len, merged))
+        ends = self.used + tk.sums0(size)
+        if ends[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), int(ends[-1])), dtype=np.uint32)])
+        for where, values in ((known, self.lexicon.ids), (~known, np.array(list(chain.from_iterable(merged)),
+                                                                          dtype=np.int64))):
+            n = size[where]
+            k = np.arange(n.sum()) - np.repeat(tk.sums0(n)[:-1], n)
+            source = np.repeat(at, n) + k if where is known else np.arange(len(values))
+            self.pool[np.repeat(ends[:-1][where], n) + k] = values[source]
+        self.used = int(ends[-1])
+        self.start, self.size = np.concatenate([self.start, ends[:-1]]), np.concatenate([self.size, size])
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow column end to end, and row offsets."""
+        if self.seen.n > MEMO:
+            self._reset()
         data, starts, ends, first = pretokens(texts, self.vocab.added_bytes)
-        words, code = _distinct(data, starts, ends)
-        place = self.lexicon.find(words)
-        start, size = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        known = place >= 0
-        start[known] = self.lexicon.at[place[known]]
-        size[known] = self.lexicon.at[place[known] + 1] - start[known]
-        other, added, merge = np.flatnonzero(~known), self.vocab.added, self.merge
-        ids = [[added[w]] if w in added else merge(w) for w in (words[i] for i in other.tolist())]
-        size[other] = list(map(len, ids))
-        start[other] = len(self.lexicon.ids) + tk.sums0(size[other])[:-1]
-        pool = np.concatenate([self.lexicon.ids, np.array(list(chain.from_iterable(ids)), dtype=np.int64)])
-        n = size[code]
+        code, new = _distinct(data, starts, ends, self.seen)
+        if new:
+            self._learn(new)
+        n = self.size[code]
         at = tk.sums0(n)
-        ids = pool[np.repeat(start[code] - at[:-1], n) + np.arange(at[-1])]
+        ids = self.pool[np.repeat(self.start[code] - at[:-1], n) + np.arange(at[-1])]
         return ids.astype("<u4"), at[first]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> list[str]:
