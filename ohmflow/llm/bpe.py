@@ -44,7 +44,7 @@ from ..session import scratch_path
 from . import textkit as tk
 from .frames import stored, table
 
-LEXICON = 400_000
+LEXICON = 200_000
 MEMO = 1_000_000
 # the pre-token pattern of byte-level BPE that ``pretokens`` implements:
 # 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+

@@ -20,7 +20,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
-    "op4_cotraining": cotraining.op4,
     "op5_url_rules": url_rules.ORACLE_SQL,
     "op9_secret_scan": secret_scan.ORACLE_SQL,
 }
