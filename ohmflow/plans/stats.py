@@ -99,11 +99,11 @@ SELECT {key}, ROUND(AVG({value}), 6) AS power_mean, ROUND(MAX({value}), 6) AS po
 FROM {tbl} GROUP BY {key}"""
 
 
-@query("signal_statistics_sorted", sql=_power_sql("user_id", "value", "events"))
+@query("signal_statistics_sorted", sql=_power_sql("event_type", "value", "events"))
 def q_signal_statistics_sorted(spark, d):
-    """A1 over many small groups of nearly unique values."""
-    e = table(spark, d, "events").select("user_id", F.col("value").alias("power"))
-    return rounded(stats.signal_statistics(e, keys=["user_id"]))
+    """A1 over a few groups of nearly unique values."""
+    e = table(spark, d, "events").select("event_type", F.col("value").alias("power"))
+    return rounded(stats.signal_statistics(e, keys=["event_type"]))
 
 
 @query("signal_statistics_quantity", sql=_power_sql("l_returnflag", "l_quantity", "lineitem"))
