@@ -12,8 +12,12 @@ from ..session import scratch_path
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: rows that Spark hands to Python at once; its default of 10,000 whole texts is 30 MB and more on either side
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and get texts in small batches.
 
     On a cluster whose nodes lack that folder, give the package by --py-files.
     """
@@ -21,6 +25,7 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
