@@ -509,6 +509,23 @@ def test_op10_chains_and_hot_buckets(spark):
     assert got == by_hand_10(rows)
 
 
+def test_op10_counts_every_link(spark, monkeypatch):
+    """n_links against all pairs: near copies in one bucket and in several blocks, small buckets, copies."""
+    importable(spark)
+    rows = [(5000 + k, " ".join(f"m{i}" if i != k else f"q{k}" for i in range(150))) for k in range(60)]
+    rows += [(100 + 10 * g + k, " ".join(f"g{g}x{i}" if i != k else f"q{k}" for i in range(80 + 20 * k)))
+             for g in range(9) for k in range(3)]
+    rows += [(9000 + k, rows[7 * k][1]) for k in range(4)]
+    sets = {d: frozenset(tuple(t.split()[p:p + 5]) for p in range(len(t.split()) - 4)) for d, t in rows}
+    texts = set(sets.values())
+    want = {d: sum(x != y and 5 * len(x & y) >= 4 * len(x | y) for y in texts) for d, x in sets.items()}
+    assert sum(n for d, n in want.items() if 5000 <= d < 9000) == 2 * 1770
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (jaccard_join.BLOCK, 16):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        assert {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(df).collect()} == want
+
+
 def test_op10_pruning_rule():
     least = jaccard_join.least_matches(0.8, jaccard_join.TOLERANCE)
     assert least == sorted(least) and least[0] > 0
