@@ -14,12 +14,22 @@ labels, and gives them to the other view as further examples.  At the end
 each view's margin is calibrated on the kept fifth, and the calibrated
 log-odds are added with the weights that fit that fifth best.
 
+Toxicity is a second target, learned from the labelled documents: words whose
+documents are labelled toxic far more often than others (``LEAST_Z`` standard
+deviations) are the features of a logistic regression.  No pseudo-labels are
+taken for it: metadata says nothing of it, so a view sure of nothing but the
+base rate would teach toxic documents as clean.
+
 Scoring covers every document and whole texts: the weights (a few MB, fixed by
 the numbers of hash buckets) are broadcast, features are built in numpy slice
 by slice.
 
 Defined results: null and empty texts have no words and are judged by what is
-left; documents are good if ``score`` is at least ``THRESHOLD``.  Without labels of
+left; documents are good if ``score`` is at least ``THRESHOLD`` and toxic if
+``toxic`` is at least 0.5.  ``clean_documents`` rejects the toxic ones too;
+``kept`` does with ``reject_toxic``, which the query op4 leaves off: its
+``kept`` is the verdict on quality.  Without toxic labels of both kinds
+``toxic`` is 0; a document labelled more than once is toxic if one label says so.  Without labels of
 both kinds nothing is rejected: score 1 for only good labels or none, else 0.5.
 Documents labelled more than once count as good only if all their labels say
 so; null labels are no labels.  Rows are scored one by one, so repeated rows
@@ -41,6 +51,7 @@ from .frames import table
 LABELLED, POOL = 3000, 3000
 ROUNDS, SHARE = 4, 0.1
 THRESHOLD = 0.5
+LEAST_Z, LEAST_DOCS = 5, 3
 WORDS, SHAPES, META = 1 << 15, 1 << 10, 1 << 12
 SHARES = ("n_symbols", "n_upper", "n_punct", "n_repeat_words", "n_dup_lines", "few")
 TEXT = WORDS + SHAPES + len(SHARES) + 1
@@ -91,6 +102,16 @@ def _meta_features(batch, counts) -> np.ndarray:
     return (tk.span_hash(data, offs[:-1], offs[1:]) % np.uint64(META)).astype(np.int64).reshape(-1, 5)
 
 
+def _words(arr) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 31-bit word hash), each word once per row, without case and punctuation."""
+    data, offs = tk.utf8(arr)
+    data = tk.LOWER[data]
+    starts, ends, first = tk.spans(data, offs, tk.ALNUM_LOWER)
+    word = (tk.span_hash(data, starts, ends) >> np.uint64(33)).astype(np.int64)
+    key = np.unique((tk.rows_of(first) << 31) | word)
+    return key >> 31, key & ((1 << 31) - 1)
+
+
 def _features(batch):
     counts = textstats.counts(batch.column("text"))
     return _text_features(batch.column("text"), counts), _meta_features(batch, counts)
@@ -105,10 +126,13 @@ def _collected(batches):
         offs = np.searchsorted(key, np.arange(batch.num_rows + 1) * TEXT)
         lists = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(x)) for x in (
             (key % TEXT).astype(np.int32), total.astype(np.float32))]
+        row, word = _words(batch.column("text"))
+        lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32()),
+                                              pa.array(word.astype(np.int32))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("quality"), *lists,
+            [batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), *lists,
              pa.FixedSizeListArray.from_arrays(pa.array(meta.reshape(-1).astype(np.int32)), 5).cast(
-                 pa.list_(pa.int32()))], names=["doc_id", "quality", "feature", "value", "meta"])
+                 pa.list_(pa.int32()))], names=["doc_id", "quality", "toxic", "feature", "value", "words", "meta"])
 
 
 class Rows:
@@ -182,8 +206,10 @@ def cotrain(views: list[Rows], label: np.ndarray, calib: np.ndarray, rounds: int
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The learning rows: bounded numbers of labelled and unlabelled documents."""
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
     marks = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
-             .agg(F.min((F.col("quality") > 0).cast("int")).alias("quality")))
+             .agg(F.min((F.col("quality") > 0).cast("int")).alias("quality"),
+                  F.max((toxic.cast("double") > 0).cast("int")).alias("toxic")))
     ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marks, "doc_id", "left")
     order = F.xxhash64("doc_id")
     parts = [ids.where(F.col("quality").isNotNull() if known else F.col("quality").isNull())
@@ -195,13 +221,55 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame):
-    """(weights of both views, combination), or a constant where labels are of one kind."""
+    """((weights of both views, combination), or a constant where labels are of one kind; toxic words or None)."""
     kind = dict(docs.dtypes)["doc_id"]
-    t = (_sample(docs, labels).select("doc_id", "quality", "lang", "source", "text").mapInArrow(
-        _collected, f"doc_id {kind}, quality int, feature array<int>, value array<float>, meta array<int>")
+    t = (_sample(docs, labels).select("doc_id", "quality", "toxic", "lang", "source", "text").mapInArrow(
+        _collected, f"doc_id {kind}, quality int, toxic int, feature array<int>, value array<float>, "
+        "words array<int>, meta array<int>")
         .dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().combine_chunks())
     label = t.column("quality").to_numpy(zero_copy_only=False).astype(float)
     known = label[~np.isnan(label)]
+    if not t.num_rows:
+        return 1.0, None
+    mark = t.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+    return _learn_quality(t, label, known), learn_toxic(t.column("words").chunk(0), mark)
+
+
+def learn_toxic(words: pa.ListArray, label: np.ndarray):
+    """(word hashes, their weights and the constant) by documents with a label (nan: none), or None."""
+    offs = words.offsets.to_numpy().astype(np.int64)
+    word = words.flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(label)), np.diff(offs))
+    known = ~np.isnan(label)
+    if not known.any() or label[known].min() == label[known].max():
+        return None
+    word, row = word[known[row]], row[known[row]]
+    rate = label[known].mean()
+    distinct, at = np.unique(word, return_inverse=True)
+    n, k = np.bincount(at), np.bincount(at, weights=label[row])
+    chosen = (k >= LEAST_DOCS) & (k - n * rate > LEAST_Z * np.sqrt(n * rate * (1 - rate)))
+    if not chosen.any():
+        return None
+    number = np.where(chosen, np.cumsum(chosen) - 1, -1)[at]
+    row, number = row[number >= 0], number[number >= 0]
+    size = int(chosen.sum())
+    order = np.argsort(np.concatenate([row, np.arange(len(label))]), kind="stable")
+    row = np.concatenate([row, np.arange(len(label))])[order]
+    number = np.concatenate([number, np.full(len(label), size)])[order]
+    x = Rows(np.searchsorted(row, np.arange(len(label) + 1)), number, np.ones(len(number)), size + 1)
+    return distinct[chosen], fit(x, np.where(known, label, 0.0), known.astype(float), steps=1000, l2=1e-5)
+
+
+def _toxic(model, arr) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(arr))
+    row, word = _words(arr)
+    at = np.minimum(np.searchsorted(model[0], word), len(model[0]) - 1)
+    ok = model[0][at] == word
+    return _sigmoid(np.bincount(row[ok], weights=model[1][at[ok]], minlength=len(arr)) + model[1][-1])
+
+
+def _learn_quality(t: pa.Table, label: np.ndarray, known: np.ndarray):
     if not len(known) or known.min() == known.max():
         return 0.5 if len(known) and not known.max() else 1.0
     col = {c: t.column(c).chunk(0) for c in ("feature", "value", "meta")}
@@ -225,9 +293,9 @@ def cotrain_small(views, label, known):
     return models, _calibrated(margins[known], label[known])
 
 
-def _scored(model, threshold: float):
+def _scored(model, threshold: float, reject_toxic: bool):
     def run(batches):
-        m = model.value
+        m, words = model.value
         for batch in tk.chunked(batches, "text"):
             if isinstance(m, float):
                 margins, score = np.zeros((batch.num_rows, 2)), np.full(batch.num_rows, m)
@@ -237,19 +305,22 @@ def _scored(model, threshold: float):
                     np.bincount(row, weights=m[0][0][feature] * value, minlength=batch.num_rows),
                     m[0][1][meta].sum(axis=1)])
                 score = _sigmoid(margins @ m[1][:-1] + m[1][-1])
+            toxic = _toxic(words, batch.column("text"))
+            kept = (score >= threshold) & ~((toxic >= 0.5) & reject_toxic)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score), pa.array(score >= threshold),
-                 *(pa.array(_sigmoid(margins[:, i])) for i in (0, 1))],
-                names=["doc_id", "score", "kept", "text_view", "meta_view"])
+                [batch.column("doc_id"), pa.array(score), pa.array(kept),
+                 *(pa.array(_sigmoid(margins[:, i])) for i in (0, 1)), pa.array(toxic)],
+                names=["doc_id", "score", "kept", "text_view", "meta_view", "toxic"])
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: score (0 to 1, calibrated), kept, and each view's own opinion."""
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+                    reject_toxic: bool = True) -> DataFrame:
+    """One row per document: score (0 to 1, calibrated), kept, each view's own opinion, and toxic (0 to 1)."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     rows = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text")
-    return rows.mapInArrow(_scored(model, threshold), f"doc_id {dict(docs.dtypes)['doc_id']}, score double, "
-                           "kept boolean, text_view double, meta_view double")
+    return rows.mapInArrow(_scored(model, threshold, reject_toxic), f"doc_id {dict(docs.dtypes)['doc_id']}, "
+                           "score double, kept boolean, text_view double, meta_view double, toxic double")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,7 +328,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches):
-        judged = _scored(model, threshold)
+        judged = _scored(model, threshold, True)
         for batch in tk.chunked(batches, "text"):
             ok = pa.concat_arrays([b.column("kept") for b in judged([batch])])
             yield batch.filter(ok)
@@ -265,4 +336,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), reject_toxic=False)

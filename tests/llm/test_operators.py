@@ -229,6 +229,21 @@ def test_op4_learns_the_labels(spark):
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.25
 
 
+def test_op4_learns_toxic(spark):
+    """Toxic documents that were not learned from are found and rejected, clean ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    importable(spark)
+    learned = {r.doc_id for r in cotraining._sample(docs, labels).where("quality is not null").select("doc_id").collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [r for r in cotraining.score_documents(docs, labels).collect() if r.doc_id in toxic]
+    rows = [r for r in rows if r.doc_id not in learned]
+    bad = [r.toxic >= 0.5 for r in rows if toxic[r.doc_id]]
+    clean = [r.toxic >= 0.5 for r in rows if not toxic[r.doc_id]]
+    print("recall", np.mean(bad), len(bad), "clean lost", np.mean(clean), len(clean))
+    assert len(bad) > 80 and np.mean(bad) >= 0.75 and np.mean(clean) <= 0.005
+    assert not any(r.kept and r.toxic >= 0.5 for r in rows)
+
+
 def test_op4_odd_and_empty(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (1, 0), (1, 1), (None, 0), (7, None), (999, 0)], "doc_id long, quality int")
     out = cotraining.score_documents(odd, labels)
