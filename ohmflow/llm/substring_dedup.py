@@ -30,7 +30,8 @@ ever gathers the occurrences of one phrase, and skewed joins are split.
 
 Defined results: null or empty text, or fewer than ``min_words`` words: nothing
 is removed.  Repeats inside one document alone are kept.  Equal doc_ids count
-as one document.  A row with null doc_id is neither earlier nor later than any
+as one document; rows with one doc_id are told apart by a hash of their text
+(``key``), so that each row's spans are its own, and equal rows stay equal.  A row with null doc_id is neither earlier nor later than any
 other: kept whole.  An empty table gives an empty result.  Other columns are
 ignored.  A window's identity is (anchor hash, window hash), 128 bits.
 """
@@ -80,7 +81,7 @@ def _runs(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(min_words: int, k: int):
-    """Phrases of each document: (doc_id, anchor, phrase, start word, windows)."""
+    """Phrases of each document: (doc_id, key, anchor, phrase, start word, windows)."""
     def run(batches):
         for batch in tk.chunked(batches, "text"):
             data, starts, ends, first = _words(batch.column("text"))
@@ -98,15 +99,15 @@ def _cut(min_words: int, k: int):
             phrase = tk.range_hash(words, begin, begin + count + min_words - 1, 2)
             row = rows[head]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(row)),
+                batch.column("doc_id").take(pa.array(row)), batch.column("key").take(pa.array(row)),
                 pa.array(gram[anchor[head]].view(np.int64)), pa.array(phrase.view(np.int64)),
                 pa.array((begin - first[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["doc_id", "anchor", "phrase", "pos", "n"])
+                names=["doc_id", "key", "anchor", "phrase", "pos", "n"])
     return run
 
 
 def _split(min_words: int):
-    """Windows of the phrases listed in ``todo`` (pos, n, anchor): (doc_id, anchor, win, pos, n equal ones)."""
+    """Windows of the phrases listed in ``todo`` (pos, n, anchor): (doc_id, key, anchor, win, pos, n equal ones)."""
     def run(batches):
         for batch in tk.chunked(batches, "text"):
             todo = batch.column("todo")
@@ -125,9 +126,10 @@ def _split(min_words: int):
             head, count = _runs(win, phrase)
             phrase, begin = phrase[head], begin[head]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(row[phrase])), pa.array(anchor[phrase]),
+                batch.column("doc_id").take(pa.array(row[phrase])), batch.column("key").take(pa.array(row[phrase])),
+                pa.array(anchor[phrase]),
                 pa.array(win[head].view(np.int64)), pa.array((begin - first[row[phrase]]).astype(np.int32)),
-                pa.array(count.astype(np.int32))], names=["doc_id", "anchor", "win", "pos", "n"])
+                pa.array(count.astype(np.int32))], names=["doc_id", "key", "anchor", "win", "pos", "n"])
     return run
 
 
@@ -156,9 +158,10 @@ def _remove(min_words: int, with_text: bool):
 
 
 def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
-    """Rows (doc_id, dup): dup lists (pos, n), n duplicate windows from word pos on."""
-    phrases = docs.where("doc_id is not null").mapInArrow(
-        _cut(min_words, k), "doc_id long, anchor long, phrase long, pos int, n int")
+    """Rows (doc_id, key, dup): dup lists (pos, n), n duplicate windows from word pos on."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where("doc_id is not null")
+    phrases = texts.mapInArrow(
+        _cut(min_words, k), "doc_id long, key long, anchor long, phrase long, pos int, n int")
     phrases = stored(phrases, "rlz-phrases")
     # the small side of each join below is written first: only then can Spark split a hot key's side
     shared = stored(phrases.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -170,21 +173,21 @@ def duplicate_spans(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
     index = stored(index.join(several, "anchor", "left"), "rlz-index")
     found = block.join(index, ["anchor", "phrase"]).where("first_doc < doc_id or several")
     whole = F.col("first_doc") < F.col("doc_id")
-    found = found.groupBy("doc_id").agg(
-        F.collect_list(F.when(whole, F.struct("pos", "n"))).alias("dup"),
-        F.collect_list(F.when(~whole, F.struct("pos", "n", "anchor"))).alias("todo"))
+    # sets: equal rows bring the same spans several times
+    found = found.groupBy("doc_id", "key").agg(
+        F.collect_set(F.when(whole, F.struct("pos", "n"))).alias("dup"),
+        F.collect_set(F.when(~whole, F.struct("pos", "n", "anchor"))).alias("todo"))
     found = stored(found, "rlz-factors")
-    texts = docs.select("doc_id", "text")
-    windows = (texts.join(found.where("size(todo) > 0").select("doc_id", "todo"), "doc_id", "left")
-               .mapInArrow(_split(min_words), "doc_id long, anchor long, win long, pos int, n int"))
+    windows = (texts.join(found.where("size(todo) > 0").select("doc_id", "key", "todo"), ["doc_id", "key"], "left")
+               .mapInArrow(_split(min_words), "doc_id long, key long, anchor long, win long, pos int, n int"))
     windows = stored(windows, "rlz-windows")
     earliest = stored(windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                       .where("lo < hi"), "rlz-earliest")
     partial = (windows.join(earliest, ["anchor", "win"]).where("doc_id > lo")
-               .groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("more")))
+               .groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "n")).alias("more")))
     empty = F.array().cast("array<struct<pos:int,n:int>>")
-    return (found.select("doc_id", "dup").join(partial, "doc_id", "full")
-            .select("doc_id", F.concat(F.coalesce("dup", empty), F.coalesce("more", empty)).alias("dup")))
+    return (found.select("doc_id", "key", "dup").join(partial, ["doc_id", "key"], "full")
+            .select("doc_id", "key", F.concat(F.coalesce("dup", empty), F.coalesce("more", empty)).alias("dup")))
 
 
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS,
@@ -192,7 +195,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR
     """One row per document: n_words, n_removed, kept_sha256 (and kept_text)."""
     dup = duplicate_spans(docs, min_words, k)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return (docs.select("doc_id", "text").join(dup, "doc_id", "left")
+    return (docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(dup, ["doc_id", "key"], "left")
             .mapInArrow(_remove(min_words, with_text), schema + (", kept_text string" if with_text else "")))
 
 

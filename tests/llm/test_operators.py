@@ -100,6 +100,16 @@ def test_op1_odd_and_empty(odd, none):
     assert substring_dedup.substring_dedup(none).collect() == []
 
 
+def test_op1_repeated_id_with_other_texts(spark):
+    """One doc_id on a long duplicate, a short text, a longer text and twice on the same one."""
+    importable(spark)
+    w = [f"v{i}" for i in range(200)]
+    rows = [(1, " ".join(w[:120])), (2, " ".join(["x"] * 70 + w[:120])), (2, "short text"), (2, " ".join(w[::-1])),
+            (2, " ".join(w[30:90])), (2, " ".join(w[30:90])), (3, " ".join(w[100:] + w[:80])), (4, "other short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert tuples(substring_dedup.substring_dedup(df)) == by_hand_1(rows)
+
+
 def test_op1_overlapping_sources(spark):
     """A passage whose windows come from two earlier documents, and one longer than any of them."""
     importable(spark)
