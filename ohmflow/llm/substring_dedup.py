@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by content-defined phrases and window hashes, in place of relative Lempel-Ziv parsing.
 
 The corpus itself is the reference.  It is cut into phrases by content, so that
 equal passages are cut alike wherever they stand: among the k-word anchors
@@ -7,7 +7,7 @@ window, and neighbouring windows with the same anchor form one phrase of up to
 2 * min_words - k words.  All phrases with one anchor are one reference block;
 together the blocks index every window of every document.
 
-Each phrase is factored against its block greedily, longest factor first:
+Each phrase is looked up in its block; no longest factor is sought:
 
 1. the whole phrase, if an earlier document holds it whole (an exact lookup of
    the phrase in the block);
