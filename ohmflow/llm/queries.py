@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bpe, cotraining, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, secret_scan,
-               substring_dedup, url_rules)
+from . import (bpe, cotraining, decontaminate, fill_middle, importance, jaccard_join, language_id, line_dedup,
+               quality_rules, secret_scan, substring_dedup, toxicity, url_rules)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -16,10 +16,15 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_jaccard_join": jaccard_join.op10,
+    "op11_fill_middle": fill_middle.op11,
+    "op12_toxicity": toxicity.op12,
+    "op13_importance": importance.op13,
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op5_url_rules": url_rules.ORACLE_SQL,
     "op9_secret_scan": secret_scan.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op13_importance": importance.ORACLE_SQL,
 }
