@@ -351,7 +351,7 @@ def _scored(model):
                 lexicon, w = model.value
                 words = Words(batch.column("text"))
                 row, arc, value = _features(words, lexicon)
-                z = np.bincount(row, weights=w[arc] * value, minlength=batch.num_rows)
+                z = np.bincount(row, weights=w[arc] * value, minlength=batch.num_rows).astype(float)
                 z += w[-2] * np.log1p(np.diff(words.first)) + w[-1]
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays(
