@@ -1,12 +1,14 @@
 """Ordered work without a task per key.
 
 ``ordered``
-    range-partitions the rows on (keys, order, a hash of the row), sorts the
-    ranges, writes them once and gives every row a dense 0-based index in
-    that order: its place in its range plus the sizes of the ranges before it
-    (a table of one row per range).  The hash lets a range end between rows
-    that tie in the order, so neither a hot key nor a repeated value makes a
-    large range; the number of ranges follows the number of rows.
+    range-partitions the rows on (keys, order, a hash of the row, the input
+    partition), sorts the ranges, writes them once and gives every row a dense
+    0-based index in that order: its place in its range plus the sizes of the
+    ranges before it (a table of one row per range).  The hash lets a range
+    end between rows that tie in the order, the input partition between
+    fully equal rows (which may change places), so a hot key, a repeated value
+    or a repeated row makes no range larger than what one input task holds of
+    it; the number of ranges follows the number of rows.
 
 ``blocked``
     cuts the index into equal blocks, copies the ``before`` last rows of each
@@ -15,8 +17,9 @@
     are dropped afterwards.
 
 ``attach``
-    joins a table of one row per key back to its rows: broadcast if its
-    counted rows are few, else a join whose hot keys Spark can split.
+    joins a table of one row per key back to its rows; the table is written
+    first, so Spark knows its size and broadcasts it below the session's
+    ``spark.sql.autoBroadcastJoinThreshold``, else splits the rows of hot keys.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, shuffle_partitions
 
@@ -34,7 +38,6 @@ IDX = "_g"
 BLK = "_blk"
 HOME = "_home"
 RANGE_ROWS = 1 << 20
-BROADCAST_ROWS = 100_000
 _IN_RANGE = (1 << 33) - 1         # monotonically_increasing_id: range number above, place in it below
 
 
@@ -62,8 +65,7 @@ def attach_one_row(left: DataFrame, one_row: DataFrame) -> DataFrame:
                        *[packed[c].alias(c) for c in one_row.columns])
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                 small: bool = False) -> DataFrame:
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL keys match each other (group semantics)."""
     if not keys:
         return attach_one_row(left, right)
@@ -73,30 +75,51 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     for i, k in enumerate(keys):
         c = left[k].eqNullSafe(ren[f"_rk_{i}"])
         cond = c if cond is None else cond & c
-    return left.join(F.broadcast(ren) if small else ren, cond, how).drop(*[f"_rk_{i}" for i in range(len(keys))])
+    return left.join(ren, cond, how).drop(*[f"_rk_{i}" for i in range(len(keys))])
 
 
 def attach(left: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """``left`` with the columns of ``per_key`` (one row per key; one row in all without keys).
 
-    The table is written first; its counted rows decide about the broadcast.
-    Beyond ``BROADCAST_ROWS`` it is an ordinary join of a stored table, so that
-    Spark can split the rows of a hot key.
+    The table is written first: its size is known to the join, which Spark
+    plans by it, and the hot keys of a join of stored tables can be split.
     """
     if not keys:
         return attach_one_row(left, per_key)
-    per_key = materialize(per_key, "per-key")
-    return join_on_keys(left, per_key, keys, how, small=per_key.count() <= BROADCAST_ROWS)
+    return join_on_keys(left, materialize(per_key, "per-key"), keys, how)
+
+
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t.fields)
+    return isinstance(t, T.MapType) or (isinstance(t, T.ArrayType) and _has_map(t.elementType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a row's content; a map counts by its sorted entries, maps inside other types not at all."""
+    parts = []
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, T.MapType) and not _has_map(t.keyType) and not _has_map(t.valueType):
+            parts.append(F.array_sort(F.map_entries(c)))
+        elif not _has_map(t):
+            parts.append(c)
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("long")
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], name: str = IDX) -> Ordered:
-    """Rows with a dense 0-based index in (keys, order); ties in ``order`` fall by the rows' hashes."""
+    """Rows with a dense 0-based index in (keys, order); ties in ``order`` fall by the rows' hashes.
+
+    The input partition only tells equal rows apart.  It is the same when a task
+    is run again, unlike a row's place in it, so a lost executor costs no row.
+    """
     by = list(dict.fromkeys([*keys, *order]))
     rows = df.count()
     ranges = max(shuffle_partitions(df.sparkSession), math.ceil(rows / RANGE_ROWS))
     placed = materialize(
-        df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(ranges, *by, "_tie")
-        .sortWithinPartitions(*by, "_tie").drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "ordered")
+        df.withColumns({"_tie": row_hash(df), "_part": F.spark_partition_id()})
+        .repartitionByRange(ranges, *by, "_tie", "_part").sortWithinPartitions(*by, "_tie")
+        .drop("_tie", "_part").withColumn("_at", F.monotonically_increasing_id()), "ordered")
     rng = F.shiftright("_at", 33).cast("int")
     sizes = placed.groupBy(rng.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import nan_to_null
+from .ordering import global_index, row_number_in_key
 
 __all__ = ["writers_only", "detail", "orphans", "cascade_delete", "standards_frame", "criteria", "verdict",
-           "breakdown_point", "deviation"]
+           "breakdown_point", "deviation", "numbered_deviation"]
 
 
 def writers_only(df: DataFrame, user_col: str, profiles: DataFrame, roles: list[str] | None = None,
@@ -77,13 +78,14 @@ def verdict(experiments: DataFrame, measured: DataFrame, standards: DataFrame, e
     e = experiments.select(F.col(exp_id).alias("_eid"), F.col(exp_type).alias("_etype"))
     # the fixed seed standards: four rows
     j = e.join(F.broadcast(criteria(standards)), F.col("_etype") == F.col("test_type"), "left")
-    m = measured.groupBy(F.col(exp_id).alias("_mid"), F.col("measure").alias("_name")).agg(
-        F.collect_set("value").alias("_values"))
+    number = F.col("value").try_cast("double")
+    m = measured.where(F.col("value").isNotNull()).groupBy(F.col(exp_id).alias("_mid"), F.col("measure").alias("_name")).agg(
+        F.max(number).alias("_most"), F.bool_or(number.isNull()).alias("_text"),
+        F.min("value").alias("_least"), F.max("value").alias("_last"))
     j = j.join(m, (F.col("_eid") == F.col("_mid")) & (F.col("measure") == F.col("_name")), "left")
-    ok = F.when(F.col("upper").isNotNull(),
-                F.forall("_values", lambda v: F.coalesce(v.try_cast("double") <= F.col("upper"), F.lit(False)))
-                ).otherwise(F.forall("_values", lambda v: v == F.col("wanted")))
-    ok = F.when(F.size("_values") > 0, ok)
+    ok = F.when(F.col("upper").isNotNull(), ~F.col("_text") & (F.col("_most") <= F.col("upper"))
+                ).otherwise((F.col("_least") == F.col("wanted")) & (F.col("_last") == F.col("wanted")))
+    ok = F.when(F.col("_text").isNotNull(), F.coalesce(ok, F.lit(False)))
     j = j.select("_eid", "_etype", "standard_code", "measure", ok.alias("_ok"))
     agg = j.groupBy("_eid", "_etype").agg(
         F.max("standard_code").alias("standard_code"), F.count("measure").alias("criteria"),
@@ -116,3 +118,22 @@ def deviation(measured: DataFrame, simulated: DataFrame, keys: list[str], value:
     d = F.abs(nan_to_null(F.col(value).cast("double")) - F.col("_sim"))
     return j.groupBy(group).agg(F.count(F.lit(1)).alias("n_points"), F.avg(d).alias("mean_abs_deviation"),
                                 F.max(d).alias("max_abs_deviation"))
+
+
+def numbered_deviation(measured: DataFrame, simulated: DataFrame, group: str, order: list[str],
+                       value: str) -> DataFrame:
+    """D7 with both sides paired by their place in ``order`` inside each ``group``.
+
+    Both sides are numbered by one range partitioning and meet in an aggregate
+    on (group, number); places that only one side has count nothing.
+    """
+    cols = [group, *order, value]
+    both = measured.select(*cols, F.lit(0).alias("_side")).unionByName(
+        simulated.select(*cols, F.lit(1).alias("_side")))
+    numbered = row_number_in_key(global_index(both, [group, "_side"], order), [group, "_side"], "_seq")
+    side = [F.struct(nan_to_null(F.col(value).cast("double")).alias("v")) for _ in range(2)]
+    pairs = numbered.groupBy(group, "_seq").agg(*[
+        F.max(F.when(F.col("_side") == i, side[i])).alias(f"_{i}") for i in range(2)])
+    d = F.abs(F.col("_0.v") - F.col("_1.v"))
+    return pairs.where("_0 is not null and _1 is not null").groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_points"), F.avg(d).alias("mean_abs_deviation"), F.max(d).alias("max_abs_deviation"))

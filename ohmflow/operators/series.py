@@ -158,58 +158,94 @@ def _composed(df: DataFrame, w: Window, rows: int) -> DataFrame:
     return df.drop("_pa", "_pb") if rows > 1 else df
 
 
+def _decay(alpha: float, distance: Column) -> Column:
+    return F.pow(F.lit(1.0 - alpha), distance.cast("double"))
+
+
+def _summed_up(parts: DataFrame, group: list[str], place: str) -> DataFrame:
+    """One row per group of consecutive parts: first valid value, its place and the last one's, and the
+    map from the first valid value to the value at the end (of composed parts)."""
+    return parts.groupBy(*group).agg(
+        F.min_by("_fx", "_fg").alias("_fx"), F.min("_fg").alias("_fg"), F.max("_lg").alias("_lg"),
+        F.max_by("_a", place).alias("_ea"), F.max_by("_b", place).alias("_eb"))
+
+
+def _level(parts: DataFrame, keys: list[str], alpha: float, size: int, most: int) -> DataFrame:
+    """Blocks of ``size`` parts: for each part, how the value that enters it (_pa y + _pb, y the block's
+    first valid value) and its own first valid value (_ia in + _ib) come about."""
+    parts = parts.withColumn("_up", F.floor(F.col(BLK) / F.lit(size)).cast("long"))
+    w = Window.partitionBy(*keys, "_up").orderBy(BLK)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_r", _decay(alpha, F.col("_fg") - F.last("_lg", ignorenulls=True).over(past)))
+    parts = parts.withColumn("_begun", F.count("_fg").over(past) > 0)
+    a, r = F.lit(alpha), F.col("_r")
+    parts = parts.withColumns({"_ia": r / (r + a), "_ib": a * F.col("_fx") / (r + a)})
+    first = F.col("_fg").isNotNull() & ~F.col("_begun")      # takes the block's first valid value itself
+    none = F.col("_fg").isNull()                             # nothing valid: what enters it leaves it
+    parts = parts.withColumns({
+        "_a": F.when(none, 1.0).when(first, F.col("_ea")).otherwise(F.col("_ea") * F.col("_ia")),
+        "_b": F.when(none, 0.0).when(first, F.col("_eb")).otherwise(F.col("_ea") * F.col("_ib") + F.col("_eb"))})
+    parts = _composed(parts.drop("_r"), w, min(size, most))
+    return parts.withColumns({"_pa": F.lag("_a").over(w), "_pb": F.lag("_b").over(w)})
+
+
 def exponential(df: DataFrame, keys: list[str], order: list[str], column: str, span: float = 5,
-                out: str | None = None) -> DataFrame:
+                out: str | None = None, block: int = SCAN_ROWS) -> DataFrame:
     """y0 = x0, y = ((1-a)^g y' + a x) / ((1-a)^g + a), a = 2/(span+1).
 
     g is the row distance to the previous valid value (1 when adjacent);
     missing rows carry the last y; leading missing rows stay missing.
 
     Every row is a map y -> A y + B of the value before it (missing rows: the
-    identity), and maps compose, so any span is exact: blocks of ``SCAN_ROWS``
-    rows are composed in log2 steps relative to their first valid value, then
-    the blocks of a key, one row each, in the same way, and each block's rows
-    apply their map to the value that enters it.
+    identity), and maps compose, so any span is exact.  A tree scan does it:
+    blocks of ``block`` rows are composed in log2 steps relative to their first
+    valid value, then blocks of ``block`` such blocks in the same way, until a
+    level has one block left; then back down, each block hands its parts the
+    value that enters them.  No window holds more than ``block`` rows, whatever
+    the length of a key; a level has one row for ``block`` rows of the one below.
     """
     out = out or f"{column}_filtered"
     alpha = 2.0 / (span + 1.0)
     rows = ordered(df.withColumn("_x", nan_to_null(F.col(column).cast("double"))), keys, order)
     g, x, a = F.col(IDX), F.col("_x"), F.lit(alpha)
 
-    def decay(distance: Column) -> Column:
-        return F.pow(F.lit(1.0 - alpha), distance.cast("double"))
-
     w = Window.partitionBy(*keys, BLK).orderBy(IDX)
     upto, past = (w.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
-    d = rows.frame.drop("_range").withColumn(BLK, F.floor(g / F.lit(SCAN_ROWS)).cast("long"))
+    d = rows.frame.drop("_range").withColumn(BLK, F.floor(g / F.lit(block)).cast("long"))
     d = d.withColumns({"_prev": F.last(F.when(x.isNotNull(), g), ignorenulls=True).over(past),
                        "_started": F.count("_x").over(upto) > 0})
-    r = decay(g - F.col("_prev"))
+    r = _decay(alpha, g - F.col("_prev"))
     own = x.isNotNull() & F.col("_prev").isNotNull()        # a block's first valid value is its y
     d = d.withColumns({"_a": F.when(own, r / (r + a)).otherwise(1.0), "_b": F.when(own, a * x / (r + a)).otherwise(0.0)})
-    d = materialize(_composed(d, w, SCAN_ROWS), "ewm-rows")
+    d = materialize(_composed(d, w, min(block, max(rows.rows, 1))).drop("_prev"), "ewm-rows")
 
     valid = F.when(x.isNotNull(), g)
-    b = d.groupBy(*keys, BLK).agg(
-        F.min_by("_x", valid).alias("_fx"), F.min(valid).alias("_fg"), F.max(valid).alias("_lg"),
-        F.max_by("_a", IDX).alias("_ea"), F.max_by("_b", IDX).alias("_eb")).where("_fg is not null")
-    wb = Window.partitionBy(*keys).orderBy(BLK)
-    b = b.withColumn("_r", decay(F.col("_fg") - F.lag("_lg").over(wb)))
-    enter_a = F.coalesce(F.col("_r") / (F.col("_r") + a), F.lit(0.0))
-    enter_b = F.coalesce(a * F.col("_fx") / (F.col("_r") + a), F.col("_fx"))
-    b = b.withColumns({"_ia": enter_a, "_ib": enter_b})
-    b = b.withColumns({"_a": F.col("_ea") * F.col("_ia"), "_b": F.col("_ea") * F.col("_ib") + F.col("_eb")})
-    b = _composed(b, wb, math.ceil(rows.rows / SCAN_ROWS) + 1)
-    b = b.withColumn("_before", F.lag("_b").over(wb))        # y at the end of the last block with a value
-    b = b.select(*keys, BLK, "_before", (F.col("_ia") * F.coalesce("_before", F.lit(0.0)) + F.col("_ib")).alias("_y1"),
-                 F.col("_b").alias("_end"))
-    # blocks without a value carry what entered them
-    blocks = d.select(*keys, BLK).distinct()
-    carry = F.last("_end", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
-    b = join_on_keys(blocks, b, [*keys, BLK], "left").select(*keys, BLK, "_y1", carry.alias("_in"))
-    y = F.when(F.col("_started"), F.col("_a") * F.col("_y1") + F.col("_b")).otherwise(F.col("_in"))
-    return (attach(d, b, [*keys, BLK]).withColumn(out, F.coalesce(y, x))
-            .drop("_x", "_prev", "_started", "_a", "_b", "_y1", "_in", BLK, IDX))
+    parts = _summed_up(d.select(*keys, BLK, IDX, F.col("_x").alias("_fx"), valid.alias("_fg"), valid.alias("_lg"),
+                                "_a", "_b"), [*keys, BLK], IDX)
+    levels, most = [], math.ceil(rows.rows / block)
+    while True:
+        levels.append(materialize(_level(parts, keys, alpha, block, most + 1), "ewm-level"))
+        most = math.ceil(most / block)
+        if most <= 1:
+            break
+        parts = _summed_up(levels[-1].withColumnRenamed(BLK, "_at"), [*keys, "_up"], "_at")
+        parts = parts.withColumnRenamed("_up", BLK)
+    # the last level's blocks begin their series: first valid value as it is, nothing enters
+    top = Window.partitionBy(*keys, "_up").orderBy(BLK).rowsBetween(Window.unboundedPreceding,
+                                                                   Window.unboundedFollowing)
+    level = levels.pop().withColumns({"_y": F.first("_fx", ignorenulls=True).over(top),
+                                      "_in": F.lit(None).cast("double")})
+    while True:
+        enters = F.when(F.col("_begun"), F.col("_pa") * F.col("_y") + F.col("_pb")).otherwise(F.col("_in"))
+        level = level.select(*keys, BLK, "_begun", "_ia", "_ib", "_y", enters.alias("_in"))
+        level = level.select(*keys, BLK, "_in", F.when(F.col("_begun"), F.col("_ia") * F.col("_in") + F.col("_ib"))
+                             .otherwise(F.col("_y")).alias("_y"))
+        if not levels:
+            break
+        level = attach(levels.pop(), level.withColumnRenamed(BLK, "_up"), [*keys, "_up"])
+    y = F.when(F.col("_started"), F.col("_a") * F.col("_y") + F.col("_b")).otherwise(F.col("_in"))
+    return (attach(d, level, [*keys, BLK]).withColumn(out, F.coalesce(y, x))
+            .drop("_x", "_started", "_a", "_b", "_y", "_in", BLK, IDX))
 
 
 def filter_data(df: DataFrame, column: str, method: str = "moving_average", window_size: int = 5,

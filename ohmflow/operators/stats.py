@@ -3,11 +3,13 @@
 Every function takes ``keys``: with ``keys=[]`` the whole frame is one group,
 which is the original behaviour; with keys each group gets its own answer.
 
-Exact quantiles (median, quartiles) come from value counts: equal values are
-counted map-side, the counts are range-partitioned in order (``ordering``), and
-a count per (group, range) tells which range holds a wanted rank, so only
-those ranges are looked at row by row.  No group is held in one task and no
-value list is built, whatever the number of rows or equal values.
+Exact quantiles (median, quartiles) are selected from bands.  The first pass
+gathers moments and a mergeable quantile sketch of bounded error per group;
+the sketch gives two values between which a wanted rank must lie.  The next pass
+counts the values below the band and gathers, as value counts, only those
+inside it.  A band that may still hold more than ``BAND_ROWS`` rows is narrowed by
+a sketch of its own values first.  So sketches and bands are all that is
+shuffled, and no group is ever held in one task, whatever its rows.
 """
 
 from __future__ import annotations
@@ -17,48 +19,104 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import nan_to_null
-from .ordering import attach, join_on_keys, ordered
+from ..session import materialize
+from .ordering import attach, join_on_keys
 
 SIGNALS = ["current", "voltage", "power"]
 APPROX_ACCURACY = 100_000
+#: quantiles taken from a sketch, and the sketch's accuracy (rank error at most 1 / SKETCH_ACCURACY, well below a grid step)
+GRID, SKETCH_ACCURACY = 200, 2000
+#: rows of a band that one task may sort
+BAND_ROWS = 1 << 20
 
 
 def _label(p: float) -> str:
     return {0.25: "q1", 0.5: "median", 0.75: "q3"}.get(p, f"p{int(round(p * 100)):02d}")
 
 
-def value_counts(df: DataFrame, keys: list[str], values: list[str]):
-    """Rows (keys, _v number of the column, _x value, _n count), ordered; NULL and NaN left out."""
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_v"), nan_to_null(F.col(v).cast("double")).alias("_x"))
-        for i, v in enumerate(values)])).alias("_s"))
-    counted = (long.select(*keys, "_s._v", "_s._x").where(F.col("_x").isNotNull())
-               .groupBy(*keys, "_v", "_x").agg(F.count(F.lit(1)).alias("_n")))
-    return ordered(counted, [*keys, "_v"], ["_x"], name="_place")
-
-
-def _picked(counts: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """(keys, _v, _p number of the probability, _q quantile) from ordered value counts."""
-    group = [*keys, "_v"]
-    in_range = counts.groupBy(*group, "_range").agg(F.sum("_n").alias("_m"))
-    every = Window.partitionBy(*group)                      # at most one row per range
-    before = F.coalesce(F.sum("_m").over(every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
-                        F.lit(0))
-    in_range = in_range.select("*", before.alias("_before"), F.sum("_m").over(every).alias("_total"))
-    want = []
-    for j, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        want += [F.struct(F.lit(j).alias("_p"), (pos - F.floor(pos)).alias("_frac"), F.lit(i).alias("_side"),
-                          at.cast("long").alias("_at")) for i, at in enumerate((F.floor(pos), F.ceil(pos)))]
-    wanted = in_range.select(*group, "_range", "_before", "_m", F.inline(F.array(*want)))
-    wanted = wanted.where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_m")))
-    near = join_on_keys(counts.select(*group, "_range", "_x", "_n"), wanted.drop("_m"), [*group, "_range"])
-    upto = Window.partitionBy(*group, "_p", "_side").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_cum", F.col("_before") + F.sum("_n").over(upto))
-    found = near.where("_cum > _at").groupBy(*group, "_p", "_side").agg(F.min("_x").alias("_x"),
-                                                                       F.max("_frac").alias("_frac"))
-    lo, hi = (F.max(F.when(F.col("_side") == i, F.col("_x"))) for i in (0, 1))
-    return found.groupBy(*group, "_p").agg((lo + (hi - lo) * F.max("_frac")).alias("_q"))
+def _x(c: str) -> Column:
+    return nan_to_null(F.col(c).cast("double"))
+
+
+def _grid(c: Column) -> Column:
+    return F.percentile_approx(c, [i / GRID for i in range(GRID + 1)], SKETCH_ACCURACY)
+
+
+def _edges(grid: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Values that enclose the ranks ``low`` to ``high`` (as shares of all), a grid step of slack on either side."""
+    i, j = F.floor(low * GRID).cast("int") - 2, F.ceil(high * GRID).cast("int") + 2
+    return (F.when(i >= 0, F.get(grid, i)).otherwise(F.lit(float("-inf"))),
+            F.when(j <= GRID, F.get(grid, j)).otherwise(F.lit(float("inf"))))
+
+
+def _bands(df: DataFrame, keys: list[str], values: list[str], probs: list[float], extra: list[Column]) -> DataFrame:
+    """One row per key: ``extra`` aggregates, and for each (value, probability) its band: an array of
+    (c number, n values, at0 and at1 wanted ranks, frac between them, lo, hi)."""
+    per = df.groupBy(*keys).agg(*[F.count(_x(v)).alias(f"_n{i}") for i, v in enumerate(values)],
+                                *[_grid(_x(v)).alias(f"_g{i}") for i, v in enumerate(values)], *extra)
+    bands = []
+    for i in range(len(values)):
+        n = F.col(f"_n{i}")
+        for p in probs:
+            pos = F.lit(float(p)) * (n - 1)
+            lo, hi = _edges(F.col(f"_g{i}"), F.try_divide(F.floor(pos), n), F.try_divide(F.ceil(pos) + 1, n))
+            bands.append(F.struct(F.lit(len(bands)).alias("c"), n.alias("n"), F.floor(pos).cast("long").alias("at0"),
+                                  F.ceil(pos).cast("long").alias("at1"), (pos - F.floor(pos)).alias("frac"),
+                                  lo.alias("lo"), hi.alias("hi")))
+    return materialize(per.withColumn("_b", F.array(*bands)).drop(
+        *[f"_{x}{i}" for i in range(len(values)) for x in "ng"]), "bands")
+
+
+def _up_to_bands(df: DataFrame, keys: list[str], values: list[str], probs: list[float], bands: DataFrame) -> DataFrame:
+    """(keys, band's fields, _x): every value up to the end of each of its column's bands; those below it as NULL."""
+    slim = join_on_keys(df.select(*keys, *values), bands.select(*keys, "_b"), keys)
+    rows = slim.select(*keys, F.inline(F.array(*[
+        F.struct(F.get("_b", F.lit(i * len(probs) + j)).alias("_band"), _x(v).alias("_x"))
+        for i, v in enumerate(values) for j in range(len(probs))]))).where(F.col("_x") <= F.col("_band.hi"))
+    return rows.select(*keys, "_band", F.when(F.col("_x") >= F.col("_band.lo"), F.col("_x")).alias("_x"))
+
+
+def _narrowed(df: DataFrame, keys: list[str], values: list[str], probs: list[float], bands: DataFrame) -> DataFrame:
+    """``bands`` with edges taken from sketches of the values inside them."""
+    rows = _up_to_bands(df, keys, values, probs, bands)
+    per = rows.groupBy(*keys, "_band").agg(F.count_if(F.col("_x").isNull()).alias("_below"),
+                                           F.count("_x").alias("_in"), _grid(F.col("_x")).alias("_g"))
+    b = F.col("_band")
+    lo, hi = _edges(F.col("_g"), F.try_divide(b.at0 - F.col("_below"), F.col("_in")),
+                    F.try_divide(b.at1 + 1 - F.col("_below"), F.col("_in")))
+    new = F.struct(b.c.alias("c"), b.n.alias("n"), b.at0.alias("at0"), b.at1.alias("at1"), b.frac.alias("frac"),
+                   F.greatest(lo, b.lo).alias("lo"), F.least(hi, b.hi).alias("hi"))
+    per = per.select(*keys, "_below", new.alias("_new")).groupBy(*keys).agg(F.collect_list("_new").alias("_news"))
+    # every band keeps its place; one without a value stays as it is
+    old = join_on_keys(bands, per, keys, "left")
+    found = F.transform("_b", lambda band: F.coalesce(
+        F.get(F.filter("_news", lambda x: x.c == band.c), F.lit(0)), band))
+    return materialize(old.withColumn("_b", found).drop("_news"), "bands")
+
+
+def _selected(df: DataFrame, keys: list[str], values: list[str], probs: list[float], extra: list[Column],
+              band_rows: int | None = None) -> DataFrame:
+    """One row per key: ``extra`` aggregates and ``_q{c}``, the quantile of each (value, probability)."""
+    bands = _bands(df, keys, values, probs, extra)
+    # one number: the largest group's values
+    most = bands.select(F.inline("_b")).agg(F.max("n")).collect()[0][0] or 0
+    share = 7 / GRID
+    most *= share
+    while most > (band_rows or BAND_ROWS):
+        bands = _narrowed(df, keys, values, probs, bands)
+        most *= share
+    counted = _up_to_bands(df, keys, values, probs, bands).groupBy(*keys, "_band", "_x").agg(
+        F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys, "_band").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    cum = counted.select(*keys, "_band", "_x", F.sum("_n").over(upto).alias("_cum"))
+    at = lambda w: F.min(F.when(F.col("_cum") > F.col(f"_band.{w}"), F.col("_x")))
+    found = cum.groupBy(*keys, "_band").agg(at("at0").alias("_lo"), at("at1").alias("_hi"))
+    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_band.frac"))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_band.c") == c, q)).alias(f"_q{c}")
+                                      for c in range(len(values) * len(probs))])
+    return join_on_keys(bands.drop("_b"), wide, keys, "left")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: list[float],
@@ -76,10 +134,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: li
         return df.groupBy(*keys).agg(*aggs)
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r} (exact, approx)")
-    picked = _picked(value_counts(df, keys, values).frame, keys, probs)
-    cols = [F.max(F.when((F.col("_v") == i) & (F.col("_p") == j), F.col("_q"))).alias(f"{v}_{_label(p)}")
-            for i, v in enumerate(values) for j, p in enumerate(probs)]
-    return picked.groupBy(*keys).agg(*cols)
+    got = _selected(df, keys, values, probs, [])
+    return got.select(*keys, *[F.col(f"_q{i * len(probs) + j}").alias(f"{v}_{_label(p)}")
+                               for i, v in enumerate(values) for j, p in enumerate(probs)])
 
 
 def signal_statistics(df: DataFrame, keys: list[str] | None = None, signals: list[str] | None = None) -> DataFrame:
@@ -88,38 +145,26 @@ def signal_statistics(df: DataFrame, keys: list[str] | None = None, signals: lis
     Signals absent from ``df`` are skipped.  ``total_energy`` = sum(power) * 0.001
     (the original's factor); ``power_factor`` = mean(P) / (mean(I) * mean(V)),
     NULL where the denominator is 0 and 0.0 when current or voltage is absent.
-    All figures come from one pass over the input: its value counts.  A group
-    without any value has no row there and gets NULLs from the groups' list.
+    The moments come with the sketches of the medians, in one pass.
     """
     keys = list(keys or [])
     present = [s for s in (signals or SIGNALS) if s in df.columns]
     if not present:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
-    # a column that is always there keeps groups whose signals are all missing
-    base = df.select(*keys, *present, F.lit(0.0).alias("_one"))
-    counts = value_counts(base, keys, [*present, "_one"]).frame
-    real = counts.where(F.col("_v") < len(present))
-    mean = real.groupBy(*keys, "_v").agg((F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("_mu"))
-    n, mu = F.col("_n"), F.col("_mu")
-    d = F.col("_x") - mu
-    aggs = attach(counts, mean, [*keys, "_v"]).groupBy(*keys, "_v").agg(
-        F.max(mu).alias("mean"), F.max("_x").alias("max"), F.min("_x").alias("min"),
-        F.sum(F.col("_x") * n).alias("sum"),
-        F.when(F.sum(n) > 1, F.sqrt(F.sum(d * d * n) / (F.sum(n) - 1))).alias("std"))
-    med = _picked(real, keys, [0.5]).select(*keys, "_v", F.col("_q").alias("median"))
-    per = join_on_keys(aggs, med, [*keys, "_v"], "left")
-
-    def of(s: str, what: str) -> Column:
-        return F.max(F.when(F.col("_v") == present.index(s), F.col(what)))
-    cols = [of(s, w).alias(f"{s}_{w}") for s in present for w in ("mean", "max", "min", "std", "median")]
+    aggs = [f(_x(s)).alias(f"{s}_{what}") for s in present
+            for what, f in (("mean", F.avg), ("max", F.max), ("min", F.min), ("std", F.stddev_samp))]
     if "power" in present:
-        cols.append((of("power", "sum") * F.lit(schemas.ENERGY_FACTOR)).alias("total_energy"))
+        aggs.append((F.sum(_x("power")) * F.lit(schemas.ENERGY_FACTOR)).alias("total_energy"))
+    out = _selected(df, keys, present, [0.5], aggs)
+    cols = [F.col(f"_q{i}").alias(f"{s}_median") if what == "median" else F.col(f"{s}_{what}")
+            for i, s in enumerate(present) for what in ("mean", "max", "min", "std", "median")]
+    if "power" in present:
+        cols.append(F.col("total_energy"))
         if "current" in present and "voltage" in present:
-            cols.append(F.try_divide(of("power", "mean"), of("current", "mean") * of("voltage", "mean"))
-                        .alias("power_factor"))
+            cols.append(F.try_divide("power_mean", F.col("current_mean") * F.col("voltage_mean")).alias("power_factor"))
         else:
             cols.append(F.lit(0.0).alias("power_factor"))
-    return per.groupBy(*keys).agg(*cols)
+    return out.select(*keys, *cols)
 
 
 def anomaly_iqr(df: DataFrame, column: str, keys: list[str] | None = None,

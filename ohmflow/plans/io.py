@@ -72,7 +72,7 @@ PREAMBLE_HEADER = ["序号", "电流 (A)", "电压 (V)", "功率 (W)", "时间
 _PREAMBLE_SQL = """
 SELECT l_orderkey AS order_key, l_partkey AS part_key, {seq} AS sequence_number, l_quantity AS current,
        l_extendedprice AS voltage, l_tax AS power, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS timestamp,
-       CAST(l_suppkey AS INTEGER) AS device_address, l_returnflag AS device_type
+       CAST(l_suppkey AS INTEGER) AS device_address, {kind} AS device_type
 FROM lineitem"""
 
 
@@ -109,7 +109,7 @@ def _preamble_typed(raw):
                         F.col("device_address").cast("int"), "device_type")
 
 
-@query("scan_preamble", sql=_PREAMBLE_SQL.format(seq="l_linenumber"))
+@query("scan_preamble", sql=_PREAMBLE_SQL.format(seq="l_linenumber", kind="l_returnflag"))
 def q_scan_preamble(spark, d):
     root = scratch_path(spark, "preamble")
     lines, cells = _preamble_lines(spark, d, F.col("l_linenumber"))
@@ -118,14 +118,17 @@ def q_scan_preamble(spark, d):
 
 
 @query("scan_preamble_mixed", sql=_PREAMBLE_SQL.format(
-    seq="CASE WHEN l_orderkey // 1000 % 3 <> 2 AND l_linenumber = 5 THEN NULL ELSE l_linenumber END"))
+    seq="CASE WHEN l_orderkey // 1000 % 3 <> 2 AND l_linenumber = 5 THEN NULL ELSE l_linenumber END",
+    kind="CASE WHEN l_orderkey // 1000 % 3 = 2 AND l_linenumber = 5 THEN '见序号5' ELSE l_returnflag END"))
 def q_scan_preamble_mixed(spark, d):
-    """S2 over UTF-8 files, GBK files and files without the marker (their first line is the header);
-    readings with an empty sequence number stay."""
+    """S2 over UTF-8 files, GBK files and files without the marker in their first lines (their first line
+    is the header, although later cells mention the marker); readings with an empty sequence number stay."""
     root = scratch_path(spark, "preamble-mixed")
     third = F.floor(F.col("l_orderkey") / 1000) % 3
     seq = F.when(~((third != 2) & (F.col("l_linenumber") == 5)), F.col("l_linenumber"))
     lines, cells = _preamble_lines(spark, d, seq)
+    mention = F.when((F.col("grp") % 3 == 2) & (F.col("c0") == "5") & (F.col("_o") == 3), F.lit("见序号5"))
+    lines = lines.withColumn("c6", F.coalesce(mention, "c6"))
     _write_lines(lines.where("grp % 3 = 0"), cells, f"{root}/utf8")
     _write_lines(lines.where("grp % 3 = 1"), cells, f"{root}/gbk", "GBK")
     plain = ["sequence_number", "I", "V", "P", "timestamp", "device_address", "device_type", "order_key", "part_key"]
@@ -160,6 +163,46 @@ def q_scan_csv_layouts(spark, d):
     return _csv_typed(fsrc.scan_csv(spark, root))
 
 
+REMARK_SQL = ("'say \"' || l_returnflag || '\", then' || chr(10) || CASE WHEN l_linenumber % 3 = 0 "
+              "THEN chr(10) || '\"\"' ELSE 'go, ' || l_suppkey END")
+
+
+@query("scan_csv_quoted", sql=f"""
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_shipdate::DATE AS ship_date, l_shipdate AS ship_time,
+       l_linestatus = 'O' AS is_open, {REMARK_SQL} AS remark, l_partkey FROM lineitem""")
+def q_scan_csv_quoted(spark, d):
+    """Types inferred from the cells, and quoted cells with separators, line breaks and quotes."""
+    li, root = table(spark, d, "lineitem"), scratch_path(spark, "quoted")
+    remark = F.concat(F.lit('say "'), "l_returnflag", F.lit('", then\n'), F.when(
+        F.col("l_linenumber") % 3 == 0, F.lit('\n""')).otherwise(F.concat(F.lit("go, "), F.col("l_suppkey").cast("string"))))
+    writers.write_csv(li.select("l_orderkey", "l_linenumber", "l_quantity", F.to_date("l_shipdate").alias("ship_date"),
+                                F.col("l_shipdate").cast("timestamp_ntz").alias("ship_time"),
+                                (F.col("l_linestatus") == "O").alias("is_open"), remark.alias("remark"), "l_partkey"), root)
+    return fsrc.scan_csv(spark, root).drop("source_file")
+
+
+@query("scan_quote_rejects", sql="""
+SELECT reason, COUNT(*) AS n FROM (
+    SELECT CASE WHEN l_linenumber = 7 THEN 'misplaced quote' ELSE 'unclosed quote' END AS reason FROM lineitem
+    WHERE l_linenumber >= 6) GROUP BY reason""")
+def q_scan_quote_rejects(spark, d):
+    """S3: records whose quotes do not fit are refused one by one, the others of their files loaded.
+
+    One file per item number: of the seventh items every cell has a stray quote in it; the sixth
+    items' first cell opens a quote that never ends."""
+    li, root = table(spark, d, "lineitem"), scratch_path(spark, "quotes")
+    n = F.col("l_linenumber")
+    line = F.concat(F.col("l_orderkey").cast("string"), F.lit(","), F.when(n == 7, F.lit('"a" b"c, "d""')).otherwise("l_returnflag"))
+    header = li.select("l_linenumber").distinct().select(n, F.lit(0).alias("_o"), F.lit("key,flag").alias("value"))
+    start = header.where(n == 6).select(n, F.lit(1).alias("_o"), F.lit('"never').alias("value"))
+    body = li.select(n, F.lit(2).alias("_o"), line.alias("value"))
+    every = header.unionByName(start).unionByName(body)
+    (every.repartition("l_linenumber").sortWithinPartitions("l_linenumber", "_o", "value").drop("_o")
+     .write.partitionBy("l_linenumber").text(root))
+    _, rejected = fsrc.scan_batch(spark, root, accept=".txt")
+    return rejected.where("line <> '\"never'").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 BATCH_SCHEMA = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
 BATCH_COLS = CSV_COLS[:5]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, relate
+from ..operators import relate
 from ..sources.tables import (READINGS_ORDER, devices_customer, experiments_orders, files_documents,
                               profiles_customer, readings_ivp, readings_lineitem, table)
 from . import roles
@@ -135,14 +135,11 @@ SELECT l.l_orderkey AS experiment_id, COUNT(*) AS n_points,
        ROUND(MAX(ABS(l.l_quantity - l.l_extendedprice / p.p_retailprice)), 6) AS max_abs_deviation
 FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey""")
 def q_deviation(spark, d):
-    # readings are paired by (experiment, sequence number); both runs number their rows in the same
-    # full order (line, part, supplier, quantity, price), so pairs are well defined
-    m = readings_lineitem(spark, d).select(*ROW_ID, "current", F.col("voltage").alias("price"))
-    s = readings_ivp(spark, d).select(*ROW_ID, "current", F.col("power").alias("price"),
-                                      F.try_divide(F.col("power"), F.col("voltage")).alias("sim"))
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "current", "price"]
-    measured = quality.sequence_numbers(m, ["experiment_id"], order).select("experiment_id", "sequence_number",
-                                                                            "current")
-    sim = quality.sequence_numbers(s, ["experiment_id"], order).select(
-        "experiment_id", "sequence_number", F.col("sim").alias("current"))
-    return rounded(relate.deviation(measured, sim, ["experiment_id", "sequence_number"], "current", "experiment_id"))
+    # readings are paired by (experiment, sequence number); both sides are numbered in the same full
+    # order (line, part, supplier, quantity, price), so pairs are well defined
+    m = readings_lineitem(spark, d).select("experiment_id", *READINGS_ORDER, F.col("current").alias("quantity"),
+                                           F.col("voltage").alias("price"), "current")
+    s = readings_ivp(spark, d).select("experiment_id", *READINGS_ORDER, F.col("current").alias("quantity"),
+                                      F.col("power").alias("price"),
+                                      F.try_divide(F.col("power"), F.col("voltage")).alias("current"))
+    return rounded(relate.numbered_deviation(m, s, "experiment_id", [*READINGS_ORDER, "quantity", "price"], "current"))

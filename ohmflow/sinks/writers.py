@@ -23,11 +23,12 @@ __all__ = ["write_csv", "write_json", "write_multi", "default_export_name", "app
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite") -> str:
-    """K1: header row, no index column, chosen encoding."""
+    """K1: header row, no index column, chosen encoding; quotes inside a cell are doubled."""
     if encoding.upper() not in ("UTF-8", "UTF8"):
         from ..session import enable_legacy_charsets
         enable_legacy_charsets(df.sparkSession)
-    df.write.mode(mode).options(**TS_OPTIONS).option("header", "true").option("encoding", encoding).csv(path)
+    (df.write.mode(mode).options(**TS_OPTIONS).option("header", "true").option("escape", '"')
+     .option("encoding", encoding).csv(path))
     return path
 
 

@@ -1,17 +1,27 @@
 """File sources: admission, encoding-aware CSV, preamble files, batch, JSON.
 
-Delimited files are read as raw lines, so large files are split over tasks;
-one aggregate per file decides its encoding and finds its header, and every
-line is then parsed by its own file's header.  Only the distinct header lines
-(at most ``MAX_LAYOUTS``) reach the driver, which needs their names.  Quoted cells
-may hold the separator but no line break.
+Delimited files are read as raw lines, so large files are split over tasks.
+A first pass gives one row per split: its first line, number of lines and of
+quotes, whether it is UTF-8, and its first line with the header marker.  From
+these (a prefix sum over each file's splits) follow the file's encoding, its
+header, and whether a split begins inside a quoted cell.
+
+A second pass reads the records by their own file's header.  Where no line of
+a split has an odd number of quotes, every line is a record.  The lines of other
+splits get their state from a running count of quotes, and lines inside a
+quoted cell join the record before them, across splits too (lost line ends
+come back as ``\\n``).  A record whose quotes do not fit, or that never ends, is
+refused, never torn.
+
+The driver sees the distinct header lines, whose names it needs, and two counts.
 """
 
 from __future__ import annotations
 
 import csv
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +29,10 @@ from .. import schemas
 from ..functions.columns import canonical_names, strict_double
 from ..session import enable_legacy_charsets, materialize
 
-__all__ = ["list_files", "admit_files", "scan_csv", "scan_preamble", "scan_batch", "scan_json"]
+__all__ = ["list_files", "admit_files", "scan_csv", "column_types", "scan_preamble", "scan_batch", "scan_json"]
 
-MAX_LAYOUTS = 1000
+#: the header marker counts in a file's first line and this many after it
+MARKER_LINES = 5
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -55,67 +66,144 @@ def _text(c: Column, utf8: Column, fallback: str) -> Column:
 
 
 def _raw_lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    """Every line of every file with its file and its place there.
-
-    The text source keeps a line's bytes as they are and splits large files;
-    places compare in file order (start of the split, then row of the task).
-    """
+    """Every line of every file: source_file, block (start of its split), n (rises with the lines of a
+    split), raw.  The text source keeps a line's bytes as they are."""
     r = spark.read.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.text(path).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("n")).alias("pos"),
-        F.col("value").alias("raw"))
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), F.col("value").alias("raw"))
+
+
+def _quotes(raw: Column) -> Column:
+    return F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit('"'), F.lit("")))
+
+
+def _has_cell(line: Column, sep: str, marker: str) -> Column:
+    """True if a cell of the line is the marker (spaces and quotes around it do not count)."""
+    bare = F.transform(F.split(line, re.escape(sep)), lambda c: F.regexp_replace(c, r'^[\s"\ufeff]+|[\s"]+$', ""))
+    return F.array_contains(bare, marker)
 
 
-def _cells(line: Column, width: int, sep: str) -> Column:
-    """The delimited cells of a line as an array of ``width`` texts (missing ones NULL)."""
-    names = [f"c{i}" for i in range(width)]
-    row = F.from_csv(line, ", ".join(f"{n} string" for n in names), {"sep": sep})
-    return F.array(*[row[n] for n in names])
+def _splits(raw: DataFrame, sep: str, fallback: str, marker: str | None) -> DataFrame:
+    """One row per split: n0, lines, quotes, odd lines, utf8, first line, first line with the marker as a
+    cell (read as UTF-8 and as ``fallback``), and from the splits before it: lines and quotes."""
+    here = F.struct("n", "raw")
+
+    def marked(encoding: str, text: Column) -> Column:
+        if not marker:
+            return F.lit(None).cast("struct<n:long,raw:string>")
+        seen = F.contains(F.col("raw").cast("binary"), F.lit(marker.encode(encoding)))
+        return F.min(F.when(F.when(seen, _has_cell(text, sep, marker)), here))
+    q = _quotes(F.col("raw"))
+    per = raw.groupBy("source_file", "block").agg(
+        F.min("n").alias("n0"), F.count(F.lit(1)).alias("lines"), F.sum(q).alias("quotes"),
+        F.count_if(q % 2 == 1).alias("odd"), F.bool_and(F.is_valid_utf8("raw")).alias("utf8"),
+        F.min(here).alias("first"), marked("utf-8", F.col("raw")).alias("m_utf8"),
+        marked(fallback, F.decode(F.col("raw").cast("binary"), fallback)).alias("m_other"))
+    past = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(per.select("*", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_before")
+                                         for c in ("lines", "quotes")]), "splits")
+
+
+def _headers(splits: DataFrame, fallback: str) -> DataFrame:
+    """One row per file: utf8, place (block, n) and text of its header line, total of its quotes.
+
+    The header is the first line with the marker if that is among the first
+    1 + MARKER_LINES lines, else the first line.
+    """
+    def line(c: str) -> Column:
+        at = F.col("lines_before") + F.col(f"{c}.n") - F.col("n0")
+        return F.struct("block", F.col(f"{c}.n").alias("n"), F.col(f"{c}.raw").alias("raw"), at.alias("at"))
+    per = splits.groupBy(F.col("source_file").alias("_f")).agg(
+        F.bool_and("utf8").alias("utf8"), F.sum("quotes").alias("_quotes"), F.min(line("first")).alias("first"),
+        *[F.min(F.when(F.col(c).isNotNull(), line(c))).alias(c) for c in ("m_utf8", "m_other")])
+    m = F.when(F.col("utf8"), F.col("m_utf8")).otherwise(F.col("m_other"))
+    h = F.when(m["at"] <= MARKER_LINES, m).otherwise(F.col("first"))
+    per = per.select("_f", "utf8", "_quotes", h.alias("h"))
+    return per.select("_f", "utf8", "_quotes", F.struct("h.block", "h.n").alias("_hpos"),
+                      F.regexp_replace(_text(F.col("h.raw"), F.col("utf8"), fallback), "^\ufeff", "").alias("_header"))
+
+
+def _records(raw: DataFrame, splits: DataFrame, spark: SparkSession) -> DataFrame:
+    """(source_file, pos, raw, open): whole records; ``open`` ones are the lines of one that never ends."""
+    inside = F.col("quotes_before") % 2
+    torn = splits.where((F.col("odd") > 0) | (inside == 1)).select(
+        "source_file", "block", inside.alias("start"))
+    pos = F.struct("block", "n").alias("pos")
+    if not torn.limit(1).count():
+        return raw.select("source_file", pos, "raw", F.lit(False).alias("open"))
+    torn = materialize(torn, "torn-splits")
+    whole = raw.join(torn.select("source_file", "block"), ["source_file", "block"], "left_anti").select(
+        "source_file", pos, "raw", F.lit(False).alias("open"))
+    in_split = Window.partitionBy("source_file", "block").orderBy("n")
+    before = F.coalesce(F.sum(_quotes(F.col("raw"))).over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = raw.join(torn, ["source_file", "block"]).withColumn("_begins", (F.col("start") + before) % 2 == 0)
+    own = F.last(F.when(F.col("_begins"), pos), ignorenulls=True).over(in_split.rowsBetween(Window.unboundedPreceding, 0))
+    lines = materialize(lines.select("source_file", "block", "n", "raw", own.alias("own")), "torn-lines")
+    # the record that runs into a split: the last that begins in a split before it (one row per split)
+    last = lines.groupBy("source_file", "block").agg(F.max("own").alias("_last"))
+    past = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("source_file", "block", F.last("_last", ignorenulls=True).over(past).alias("carry"))
+    odd = (splits.groupBy("source_file").agg((F.sum("quotes") % 2).alias("_odd")).where("_odd = 1")
+           .join(last.groupBy("source_file").agg(F.max("_last").alias("_end")), "source_file"))
+    lines = (lines.join(carry, ["source_file", "block"]).join(odd.drop("_odd"), "source_file", "left")
+             .withColumn("rec", F.coalesce("own", "carry")))
+    endless = F.coalesce(F.col("rec") == F.col("_end"), F.lit(False))
+    joined = lines.where(~endless).groupBy("source_file", "rec").agg(
+        F.array_sort(F.collect_list(F.struct("block", "n", "raw"))).alias("_l"))
+    joined = joined.select("source_file", F.col("rec").alias("pos"), F.array_join("_l.raw", "\n").alias("raw"),
+                           F.lit(False).alias("open"))
+    left = lines.where(endless).select("source_file", pos, "raw", F.lit(True).alias("open"))
+    return whole.unionByName(joined).unionByName(left)
+
+
+def _misquoted(line: Column, sep: str) -> Column:
+    """True for a record with a line break outside its quoted cells, or a cell whose quote does not end."""
+    s = re.escape(sep)
+    bare = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), rf'(^|{s})[ ]*"[^"]*+"', "$1")
+    return F.contains(line, F.lit('"')) & (F.contains(bare, F.lit("\n")) | bare.rlike(rf'(^|{s})[ ]*"'))
 
 
 def _delimited(spark: SparkSession, path: str, glob: str | None, sep: str, fallback: str,
                marker: str | None, rename) -> tuple[DataFrame, list[str]]:
-    """(source_file, line, cells, one column per name) and the names, after ``rename`` of each header.
+    """(source_file, line, _extra, _torn, one column per name) and the names, after ``rename`` of each header.
 
-    Each file is decoded and read by its own header: the first line with
-    ``marker`` (the first line of all where no line has it).  Lines up to the
-    header and blank lines are left out; nothing else is.
+    Each file is decoded and read by its own header (``_headers``).  Records up
+    to the header and blank ones are left out.  ``_extra``: it has more cells than
+    its header; ``_torn``: why it is no whole record, NULL for one that is.
     """
     raw = _raw_lines(spark, path, glob)
-    here = F.struct("pos", "raw")
-    seen = F.contains(F.col("raw").cast("binary"), F.lit((marker or "").encode("utf-8")))
-    other = F.contains(F.col("raw").cast("binary"), F.lit((marker or "").encode(fallback)))
-    files = raw.groupBy("source_file").agg(
-        F.bool_and(F.is_valid_utf8("raw")).alias("utf8"), F.min(here).alias("first"),
-        F.min(F.when(seen, here)).alias("m_utf8"), F.min(F.when(other, here)).alias("m_other"))
-    found = F.coalesce(F.when(F.col("utf8"), F.col("m_utf8")).otherwise(F.col("m_other")), "first")
-    files = files.select("source_file", "utf8", found.alias("h"))
-    header = F.regexp_replace(_text(F.col("h.raw"), F.col("utf8"), fallback), "^\ufeff", "")
-    files = files.select(F.col("source_file").alias("_f"), "utf8", F.col("h.pos").alias("_hpos"),
-                         header.alias("_header"))
+    splits = _splits(raw, sep, fallback, marker)
+    files = materialize(_headers(splits, fallback), "file-headers")
     # one row per layout, not per file
-    layouts = sorted(r[0] for r in files.select("_header").distinct().limit(MAX_LAYOUTS + 1).collect())
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header lines")
+    layouts = sorted(r[0] for r in files.select("_header").distinct().collect())
     heads = [rename([c.strip() for c in next(csv.reader([h], delimiter=sep), [])]) for h in layouts]
     width = max(map(len, heads), default=1)
     names = list(dict.fromkeys(c for head in heads for c in head if c))
-    known = spark.createDataFrame(list(zip(layouts, heads)), "_layout string, _head array<string>")
-    # at most MAX_LAYOUTS rows
+    places = [[head.index(c) if c in head else -1 for c in names] for head in heads]
+    known = spark.createDataFrame(list(zip(layouts, places, map(len, heads))),
+                                  "_layout string, _at array<int>, _width int")
     files = files.join(F.broadcast(known), F.col("_header") == F.col("_layout")).select(
-        "_f", "utf8", "_hpos", "_head")
-    body = raw.join(files, F.col("source_file") == F.col("_f")).where(F.col("pos") > F.col("_hpos"))
+        "_f", "utf8", "_hpos", *(["_at", "_width"] if len(heads) > 1 else []))
+    body = _records(raw, splits, spark).join(files, F.col("source_file") == F.col("_f"))
     line = _text(F.col("raw"), F.col("utf8"), fallback)
-    body = body.select("source_file", line.alias("line"), "_head")
-    body = body.where(F.trim(F.regexp_replace("line", sep, " ")) != "").select(
-        "*", _cells(F.col("line"), width + 1, sep).alias("_cells"))
-    out = [F.try_element_at("_cells", F.nullif(F.array_position("_head", c).cast("int"), F.lit(0))).alias(c)
-           for c in names]
-    return body.select("source_file", "line", "_cells", F.size("_head").alias("_width"), *out), names
+    body = body.where(F.col("pos") > F.col("_hpos")).drop("_f", "pos", "_hpos").withColumn("line", line)
+    body = body.where(F.trim(F.replace("line", F.lit(sep), F.lit(" "))) != "")
+    torn = F.when(F.col("open"), F.lit("unclosed quote")).when(_misquoted(F.col("line"), sep), F.lit("misplaced quote"))
+    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width + 1)),
+                       {"sep": sep, "escape": '"', "multiLine": "true", "maxColumns": str(max(20480, width + 2))})
+    body = body.select("*", torn.alias("_torn"), cells.alias("_c"))
+    if len(heads) <= 1:                                      # cells by fixed place
+        out = [F.col(f"_c.c{i}").alias(c) for c, i in zip(names, places[0] if places else [])]
+        extra = F.col(f"_c.c{width}").isNotNull()
+    else:
+        body = body.withColumn("_cells", F.array(*[F.col(f"_c.c{i}") for i in range(width + 1)]))
+        out = [F.when(F.get("_at", F.lit(j)) >= 0, F.get("_cells", F.get("_at", F.lit(j)))).alias(c)
+               for j, c in enumerate(names)]
+        extra = F.get("_cells", F.col("_width")).isNotNull()
+    return body.select("source_file", "line", extra.alias("_extra"), "_torn", *out), names
 
 
 def _file_name(path: str | Column = "source_file") -> Column:
@@ -123,24 +211,67 @@ def _file_name(path: str | Column = "source_file") -> Column:
 
 
 def scan_csv(spark: SparkSession, path: str, glob: str | None = "*.csv", fallback: str = "GBK",
-             sep: str = ",", schema: T.StructType | str | None = None) -> DataFrame:
+             sep: str = ",", schema: T.StructType | str | None = None, infer: bool = True) -> DataFrame:
     """CSV with header; files that are not UTF-8 are read as ``fallback``.
 
     Columns are matched by name, whatever their order in each file; a column
-    that a file lacks is NULL there.  Without a schema every column is text;
-    with one, cells that do not parse are NULL (``scan_batch`` reports them).
+    that a file lacks is NULL there.  Without a schema each column takes the
+    narrowest type that all its cells have (``column_types``; one more pass), or
+    stays text with ``infer=False``; with a schema, cells that do not parse are
+    NULL (``scan_batch`` reports them).  Quoted cells may hold separators, line
+    breaks and doubled quotes; a record that is torn raises when it is read.
     ``source_file`` holds the file's name.
     """
     enable_legacy_charsets(spark)
     df, names = _delimited(spark, path, glob, sep, fallback, None, lambda n: n)
     if not names:
         raise FileNotFoundError(f"no CSV files under {path}")
+    df = _whole(df)
+    if schema is None and infer:
+        schema = column_types(df, names)
     cols = [F.col(f"`{c}`") for c in names]
     if schema is not None:
         cols = [c for c, _ in _typed(names, _struct(spark, schema))]
     return df.select(*cols, _file_name().alias("source_file"))
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """The records; one that is torn raises."""
+    why = F.concat(F.col("_torn"), F.lit(" in "), F.col("source_file"), F.lit(": "), F.substring("line", 1, 200))
+    return df.where(F.when(F.col("_torn").isNull(), F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
+
+
+# narrowest first: (type, test of a trimmed cell that is not empty)
+_LATTICE: list[tuple[T.DataType, object]] = [
+    (T.BooleanType(), lambda c: F.lower(c).isin("true", "false")),
+    (T.LongType(), lambda c: c.rlike("^-?(0|[1-9][0-9]*)$") & c.try_cast("long").isNotNull()),
+    (T.DoubleType(), lambda c: ~c.rlike(r"^(\+|-?0[0-9])") & strict_double(c).isNotNull()),
+    (T.DateType(), lambda c: c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$") & c.try_cast("date").isNotNull()),
+    (T.TimestampNTZType(), lambda c: c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:.*)?$")
+     & c.try_cast("timestamp_ntz").isNotNull()),
+]
+
+
+def column_types(df: DataFrame, names: list[str]) -> T.StructType:
+    """The narrowest type of each text column: boolean, long, double, date, timestamp, else text.
+
+    A long fits a double column and a date a timestamp column; a plus sign or a
+    leading zero (007) makes a text.  Empty cells fit all, and a column without
+    any other is text.  One partial aggregate of a
+    few flags per column.
+    """
+    def flags(c: str) -> Column:
+        x = F.trim(F.col(f"`{c}`"))
+        x = F.when(x != "", x)
+        return F.struct(F.count(x).alias("n"), *[F.coalesce(F.bool_and(F.when(x.isNotNull(), test(x))), F.lit(True))
+                                                 .alias(f"t{i}") for i, (_, test) in enumerate(_LATTICE)])
+    got = df.agg(*[flags(c).alias(f"f{j}") for j, c in enumerate(names)]).collect()[0]      # one row
+
+    def kind(f) -> T.DataType:
+        return next((t for i, (t, _) in enumerate(_LATTICE) if f[f"t{i}"]), T.StringType()) if f["n"] else T.StringType()
+    return T.StructType([T.StructField(c, kind(f)) for c, f in zip(names, got)])
+
+
 def _struct(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
     return spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
 
@@ -161,17 +292,19 @@ def _typed(names: list[str], schema: T.StructType) -> list[tuple[Column, Column]
 
 def scan_preamble(spark: SparkSession, path: str, marker: str = schemas.HEADER_MARKER, sep: str = "\t",
                   glob: str | None = None, strict_names: bool = False, fallback: str = "GBK") -> DataFrame:
-    """Delimited text whose real header is the first line containing ``marker``.
-
-    Lines before it are skipped; a file without it is read with its first line
-    as header.  Every later line that is not blank is a row.  Columns:
-    normalised header names (texts), plus ``source_file``.  Files may be of any
-    size: no file is held whole and lines are not shuffled.
+    """Delimited text whose real header is the first line that has ``marker`` as a cell.
+
+    It counts in the first line and the MARKER_LINES lines after it; lines
+    before it are skipped.  A file without it there is read with its first line
+    as header, whatever later cells say.  Every later record that is not blank
+    is a row; one that is torn raises.  Columns: normalised header names
+    (texts), plus ``source_file``.  Files may be of any size: no file is held
+    whole, and lines are shuffled only where quoted cells run over several.
     """
     enable_legacy_charsets(spark)
     df, names = _delimited(spark, path, glob, sep, fallback, marker,
-                              lambda n: canonical_names(n, strict=strict_names))
-    return df.select("source_file", *[F.trim(F.col(f"`{c}`")).alias(c) for c in names])
+                           lambda n: canonical_names(n, strict=strict_names))
+    return _whole(df).select("source_file", *[F.trim(F.col(f"`{c}`")).alias(c) for c in names])
 
 
 def scan_batch(spark: SparkSession, path: str, accept: str = ".csv", schema: T.StructType | str | None = None,
@@ -179,10 +312,10 @@ def scan_batch(spark: SparkSession, path: str, accept: str = ".csv", schema: T.S
     """S3: (rows of the accepted files tagged with file_name, rejects).
 
     Batch loading accepts names that end in ``accept`` (case-sensitive).  Every
-    file or line that is not loaded is one row of rejects: source_file,
-    file_name, line (NULL for a whole file), reason.  A line is rejected if it
-    has more cells than its header or a cell that does not parse as the
-    schema's type.  Without a schema every column is text.  Files without a
+    file or record that is not loaded is one row of rejects: source_file,
+    file_name, line (NULL for a whole file), reason.  A record is rejected if it
+    has more cells than its header, a cell that does not parse as the schema's
+    type, or quotes that do not fit; of one that never ends, each line is.  Without a schema every column is text.  Files without a
     byte hold nothing to load and are not listed.
     """
     enable_legacy_charsets(spark)
@@ -197,7 +330,7 @@ def scan_batch(spark: SparkSession, path: str, accept: str = ".csv", schema: T.S
         (F.col(f"`{c}`"), F.lit(False)) for c in names]
     fields = [f.name for f in _struct(spark, schema).fields] if schema is not None else names
     reason = F.coalesce(
-        F.when(F.size(F.array_compact(F.slice("_cells", F.col("_width") + 1, 1))) > 0, F.lit("too many cells")),
+        F.col("_torn"), F.when(F.col("_extra"), F.lit("too many cells")),
         *[F.when(bad, F.lit(f"unparsable: {n}")) for n, (_, bad) in zip(fields, typed)])
     # parsed once; rows and rejects both read the result
     parsed = materialize(df.select(*[v for v, _ in typed], "source_file", _file_name().alias("file_name"),

@@ -120,6 +120,35 @@ def test_quantiles_match_pandas(spark):
         assert all(approx(g, e, 1e-12) for g, e in zip(got[k], exp))
 
 
+@pytest.mark.parametrize("band_rows", [None, 20, 1])
+def test_quantiles_from_narrowed_bands(spark, band_rows):
+    """Several narrowing passes, ties that fill a band, infinite values, groups of all sizes."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    cols = {"a": rng.normal(size=20_000), "b": np.repeat([1.0, 2.0, 3.0], 4000), "c": rng.normal(size=7).round(1),
+            "d": np.array([4.0]), "e": np.concatenate([rng.lognormal(size=999), [np.inf, -np.inf]])}
+    df = spark.createDataFrame([(k, float(v), None) for k, x in cols.items() for v in x] + [("f", None, None)],
+                               "k string, x double, y double").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    got = {r[0]: r for r in stats._selected(df, ["k"], ["x", "y"], probs, [], band_rows).collect()}
+    for k, x in cols.items():
+        want = [x.min(), *np.quantile(x, probs[1:-1]), x.max()]
+        assert [got[k][f"_q{i}"] for i in range(6)] == pytest.approx(want, abs=1e-12)
+        assert got[k]["_q6"] is None
+    assert got["f"]["_q3"] is None
+    whole = stats._selected(df.select("x"), [], ["x"], [0.5], [], band_rows).collect()[0]["_q0"]
+    assert whole == pytest.approx(np.median(np.concatenate(list(cols.values()))))
+
+
+def test_quantiles_shuffle_sketches_and_bands_only(spark):
+    """The rows exchanged for the selection are the band's few values, not the column's."""
+    df = spark.range(0, 50_000, 1, 4).select((F.col("id") % 2).alias("k"), F.rand(1).alias("x"))
+    bands = stats._bands(df, ["k"], ["x"], [0.5], [])
+    rows = stats._up_to_bands(df, ["k"], ["x"], [0.5], bands)
+    inside = rows.where("_x is not null").count()
+    assert 0 < inside <= 50_000 * 7 / stats.GRID
+
+
 def test_column_profile_and_totals(spark):
     df = spark.createDataFrame([(1, "a", float("nan")), (1, None, 2.0), (None, "b", 2.0)], "a int, b string, c double")
     prof = {r.column_name: (r.non_null_count, r.distinct_count, r.null_count) for r in stats.column_profile(df).collect()}

@@ -126,7 +126,74 @@ def test_csv_encodings_and_layouts(spark):
     put(root, "x/u.csv", 'w,name\n3,"a,b"\n')
     put(root, "other.txt", "nothing,to,see\n")
     got = sorted((r.name, r.v, r.w, r.source_file) for r in fsrc.scan_csv(spark, root).collect())
-    assert got == [("a,b", None, "3", "u.csv"), ("正常", "1", None, "u.csv"), ("退回", "2", None, "g.csv")]
+    assert got == [("a,b", None, 3, "u.csv"), ("正常", 1, None, "u.csv"), ("退回", 2, None, "g.csv")]
+
+
+def test_preamble_marker_counts_in_the_first_lines_only(spark):
+    root = local_path(scratch_path(spark, "t-gate"))
+    body = "".join(f"{i}\t{i / 2}\t{'见序号5' if i == 31 else 'ok'}\n" for i in range(1, 41))
+    put(root, "late.txt", "no\tI\tremark\n" + body)
+    put(root, "cell.txt", "no\tI\tremark\n" + body.replace("见序号5", "序号"))
+    put(root, "sixth.txt", "a\nb\nc\nd\ne\n序号\tI\tremark\n" + body)
+    put(root, "seventh.txt", "no\tI\tremark\nb\nc\nd\ne\nf\n序号\tI\tremark\n" + body)
+    got = fsrc.scan_preamble(spark, root)
+    n = {r[0].rsplit("/", 1)[1]: r[1] for r in got.groupBy("source_file").count().collect()}
+    assert n == {"late.txt": 40, "cell.txt": 40, "sixth.txt": 40, "seventh.txt": 46}
+    assert got.where("remark = '见序号5'").count() == 3 and got.where("sequence_number = '31'").count() == 1
+
+
+QUOTED = [("1", "x\ny", "a,b"), ("2", 'say ""hi""\n\n, then ""go""', ""), ("3", "plain", "z"),
+          ("4", "\n" * 40 + "end", "tail, with\nbreak"), ("5", "last", "q")]
+
+
+@pytest.mark.parametrize("split", ["134217728", "100"])
+def test_csv_quoted_records_over_lines_and_splits(spark, split):
+    """Line breaks, separators and doubled quotes round-trip, wherever a split begins."""
+    root = local_path(scratch_path(spark, "t-quoted"))
+    lines = "".join(f'{a},"{b}","{c}"\n' if a != "3" else f"{a},{b},{c}\n" for a, b, c in QUOTED)
+    put(root, "a.csv", "k,b,c\n" + lines * 3)
+    put(root, "b.csv", "k,b,c\n" + "".join(f"{i},v{i},w\n" for i in range(200)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = [(r.k, r.b, r.c) for r in fsrc.scan_csv(spark, root, infer=False).where("source_file = 'a.csv'").collect()]
+        assert fsrc.scan_csv(spark, root).where("source_file = 'b.csv'").count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(a, b.replace('""', '"'), c or None) for a, b, c in QUOTED] * 3
+    assert sorted((a, b, c or None) for a, b, c in got) == sorted(want, key=lambda r: (r[0], r[1], r[2] or ""))
+
+
+def test_torn_records_are_rejected_or_raise(spark):
+    root = local_path(scratch_path(spark, "t-torn"))
+    put(root, "open.csv", 'k,b\n1,ok\n2,"fine\nhere"\n3,"never ends\n4,x\n5,y\n')
+    put(root, "stray.csv", 'k,b\n1,5" pipe\n2,x\n3,6" pipe\n4,y\n')
+    put(root, "mid.csv", 'k,b\n1,5" by 6"\n')
+    rows, rejects = fsrc.scan_batch(spark, root, schema="k int, b string")
+    assert sorted(((r.k, r.b, r.file_name) for r in rows.collect())) == [
+        (1, '5" by 6"', "mid.csv"), (1, "ok", "open.csv"), (2, "fine\nhere", "open.csv"), (4, "y", "stray.csv")]
+    assert sorted((r.file_name, r.reason, r.line) for r in rejects.collect()) == [
+        ("open.csv", "unclosed quote", '3,"never ends'), ("open.csv", "unclosed quote", "4,x"),
+        ("open.csv", "unclosed quote", "5,y"), ("stray.csv", "misplaced quote", '1,5" pipe\n2,x\n3,6" pipe')]
+    for name in ("open.csv", "stray.csv"):
+        with pytest.raises(Exception, match="quote"):
+            fsrc.scan_csv(spark, root, glob=name, infer=False).collect()
+
+
+def test_csv_types_are_those_that_duckdb_finds(spark):
+    import duckdb
+    root = local_path(scratch_path(spark, "t-types"))
+    put(root, "t.csv", "i,neg,d,mix,flag,day,time,text,none,big,half,zip,plus\n"
+        "1,-5,1.5,1,true,2024-01-31,2024-01-31 10:00:00,a,,9223372036854775807,,007,+1\n"
+        "2,7,2e3,2.25,false,2024-02-01,2024-02-01 11:30:15.25,1,,1,,1,2\n"
+        "0,0,-0.5,3,TRUE,2023-12-31,2024-02-01 00:00:00,,,2,4,22,3\n")
+    got = fsrc.scan_csv(spark, root).drop("source_file")
+    con = duckdb.connect()
+    rel = con.sql(f"SELECT * FROM read_csv('{root}/t.csv')")
+    names = {"bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+             "string": "VARCHAR"}
+    assert {c: names[t] for c, t in got.dtypes} == dict(zip(rel.columns, map(str, rel.types)))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rel.fetchall()))
 
 
 def test_upsert_stamps_every_hit(spark):

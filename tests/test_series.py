@@ -116,6 +116,42 @@ def test_ranges_stay_even_on_equal_values(spark, distinct):
     assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
+def test_ranges_stay_even_on_equal_rows(spark):
+    """400,000 equal rows are spread over all ranges and still get every index once."""
+    df = spark.range(0, 400_000, 1, 16).select(F.lit("k").alias("key"), F.lit(1.0).alias("v"))
+    got = ordered(df, ["key"], ["v"])
+    sizes = [r["count"] for r in got.frame.groupBy("_range").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    r = got.frame.agg(F.countDistinct(IDX), F.min(IDX), F.max(IDX)).collect()[0]
+    assert tuple(r) == (400_000, 0, 399_999)
+
+
+def test_map_columns_can_be_ordered(spark):
+    df = spark.createDataFrame([(i % 3, {"a": i, "b": 2}, [{"c": i}]) for i in range(9)],
+                               "k int, m map<string,int>, l array<map<string,int>>")
+    assert sorted(r[IDX] for r in global_index(df, [], ["k"]).collect()) == list(range(9))
+
+
+@pytest.mark.parametrize("block,keyed", [(4, False), (4, True), (7, False)])
+def test_exponential_over_several_levels(spark, block, keyed):
+    """Blocks of few rows force three and more levels; long gaps empty whole blocks and blocks of blocks."""
+    pd = pytest.importorskip("pandas")
+    import numpy as np
+    rng = np.random.default_rng(11)
+    n = 500
+    x = rng.normal(size=n)
+    x[rng.random(n) < 0.4] = np.nan
+    x[:9], x[100:190], x[300:420] = np.nan, np.nan, np.nan
+    key = np.sort(rng.integers(0, 3, n)) if keyed else np.zeros(n, dtype=int)
+    exp = pd.Series(x).groupby(key).transform(lambda s: s.ewm(span=5, adjust=False).mean()).fillna(pd.Series(x))
+    df = spark.createDataFrame([(int(k), i, None if np.isnan(v) else float(v)) for i, (k, v) in enumerate(zip(key, x))],
+                               "k int, seq int, x double")
+    got = series.exponential(df, ["k"] if keyed else [], ["seq"], "x", span=5, block=block)
+    got = [r.x_filtered for r in got.orderBy("seq").collect()]
+    assert len(got) == n
+    assert all((g is None and np.isnan(e)) or approx(g, e, 1e-9) for g, e in zip(got, exp))
+
+
 def test_blocked_window_equals_plain_window(spark):
     df = spark.range(0, 3000).select((F.col("id") % 3).alias("key"), F.col("id").alias("seq"),
                                      F.sin(F.col("id")).alias("x"))
@@ -144,17 +180,21 @@ def test_exponential_any_span_and_long_gaps(spark, span, n, missing):
 
 
 def test_per_key_tables_never_shuffle_the_readings(spark):
-    """With Spark's own broadcasts off, the counted per-key table still is one."""
+    """A written per-key table below the session's threshold is broadcast; above it the join is split."""
     from ohmflow.operators import stats
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        for out in (stats.anomaly_zscore(df, "value", ["event_type"]), stats.anomaly_iqr(df, "value", ["event_type"])):
-            plan = out._jdf.queryExecution().executedPlan().toString()
-            assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for f in (stats.anomaly_zscore, stats.anomaly_iqr):
+        out = f(df, "value", ["event_type"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            other = f(df, "value", ["event_type"])
+            assert "SortMergeJoin" in other._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, other.collect())) == sorted(map(str, out.collect()))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_downsample_keeps_extremes(spark):
