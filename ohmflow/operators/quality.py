@@ -16,6 +16,7 @@ from ..functions.columns import missing_required, normalize_columns, strict_doub
 from .ordering import IDX, global_index, row_number_in_key
 
 __all__ = ["normalize_columns", "coerce_numeric", "power_mismatch", "rule_counters", "validation_report",
+           "validation_summary",
            "validation_messages",
            "range_violations", "drop_empty_rows", "shape_records", "filter_eq", "check_constraints",
            "duplicate_keys", "unique_violations", "sequence_numbers"]
@@ -64,20 +65,37 @@ def validation_report(df: DataFrame, keys: list[str] | None = None, strict_names
     required columns are one rule, ``missing: <names>``, whose violations are
     their number (a schema fact, known on the driver).
     """
-    keys = list(keys or [])
+    wide, rules = _rule_row(df, list(keys or []), strict_names)
+    entries = F.array(*[F.struct(F.lit(i + 1).alias("rule_no"), F.lit(name).alias("rule"),
+                                 F.col(f"_r{i}").cast("long").alias("violations"))
+                        for i, (name, _) in enumerate(rules)])
+    # valid is decided on the wide per-key row, before unpivoting: no window, no sort
+    return wide.select(*(keys or []), F.inline(entries), _all_zero(rules).alias("valid"))
+
+
+def _rule_row(df: DataFrame, keys: list[str], strict_names: bool):
+    """One row per key with the violations of each rule in ``_r<i>``, and the rules."""
     norm = normalize_columns(df, strict=strict_names)
     missing = missing_required(norm.columns)
     coerced = coerce_numeric(norm)
     rules = ([(_missing_rule(missing), F.lit(len(missing)).cast("long"))] if missing else []) + rule_counters(coerced)
-    wide = coerced.groupBy(*keys).agg(*[expr.alias(f"_r{i}") for i, (_, expr) in enumerate(rules)])
+    return coerced.groupBy(*keys).agg(*[expr.alias(f"_r{i}") for i, (_, expr) in enumerate(rules)]), rules
+
+
+def _all_zero(rules) -> Column:
     total = F.lit(0).cast("long")
     for i in range(len(rules)):
         total = total + F.col(f"_r{i}").cast("long")
-    entries = F.array(*[F.struct(F.lit(i + 1).alias("rule_no"), F.lit(name).alias("rule"),
-                                 F.col(f"_r{i}").cast("long").alias("violations"))
-                        for i, (name, _) in enumerate(rules)])
-    # valid is decided on the wide per-key row, before unpivoting: no window, no sort
-    return wide.select(*keys, F.inline(entries), (total == 0).alias("valid"))
+    return total == 0
+
+
+def validation_summary(df: DataFrame, keys: list[str] | None = None, strict_names: bool = False) -> DataFrame:
+    """P6 in its original shape, from the data: per key valid, and the messages of violated rules in report
+    order, joined by '; '.  One aggregate: the messages are put together on each key's row of counters."""
+    keys = list(keys or [])
+    wide, rules = _rule_row(df, keys, strict_names)
+    said = F.concat_ws("; ", *[F.when(F.col(f"_r{i}") > 0, F.lit(_message(name))) for i, (name, _) in enumerate(rules)])
+    return wide.select(*keys, _all_zero(rules).alias("valid"), said.alias("messages"))
 
 
 def _missing_rule(names) -> str:

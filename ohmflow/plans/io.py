@@ -15,8 +15,9 @@ from ..operators import quality
 from ..session import enable_legacy_charsets, scratch_path
 from ..sinks import writers
 from ..sources import files as fsrc
-from ..sources.synth import synth_readings
+from ..sources.synth import PLACE, PRIME, ROUNDS, synth_readings
 from ..sources.tables import devices_customer, readings_lineitem, table
+from ..streaming import live
 from . import roles
 from .registry import query, rounded
 
@@ -245,10 +246,16 @@ def q_scan_rejects(spark, d):
     return rejected.select(F.element_at(F.split("source_file", "/"), -2).alias("folder"), "line", "reason")
 
 
-_NOISE_SQL = """radius AS (SELECT c_custkey, c_nationkey, k, md5(concat_ws(':', 42, c_custkey, k)) AS h
-               FROM customer, range(0, 300) r(k)),
-u AS (SELECT *, (CAST(('0x' || substr(h, 1, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u1,
-             (CAST(('0x' || substr(h, 9, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u2 FROM radius),
+_NOISE_SQL = f"""a AS (SELECT c_custkey, c_nationkey, k,
+       {42 * PLACE[0] % PRIME} + c_custkey % {PRIME} * {PLACE[1]} + k % {PRIME} * {PLACE[2]} AS place
+       FROM customer, range(0, 300) r(k)),
+m0 AS (SELECT *, place % {PRIME} AS x FROM a),
+m1 AS (SELECT * EXCLUDE (x), (x * x + x * {ROUNDS[0]} + {ROUNDS[0]}) % {PRIME} AS x FROM m0),
+m2 AS (SELECT * EXCLUDE (x), (x * x + x * {ROUNDS[1]} + {ROUNDS[1]}) % {PRIME} AS x1 FROM m1),
+m3 AS (SELECT *, (x1 + place + {PLACE[2]}) % {PRIME} AS x FROM m2),
+m4 AS (SELECT * EXCLUDE (x), (x * x + x * {ROUNDS[0]} + {ROUNDS[0]}) % {PRIME} AS x FROM m3),
+u AS (SELECT c_custkey, c_nationkey, k, (x1 + 0.5::DOUBLE) / {PRIME} AS u1,
+             ((x * x + x * {ROUNDS[1]} + {ROUNDS[1]}) % {PRIME} + 0.5::DOUBLE) / {PRIME} AS u2 FROM m4),
 z AS (SELECT c_custkey, c_nationkey, k, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) AS zv,
              sqrt(-2 * ln(u1)) * sin(2 * pi() * u2) AS zi, k * 300.0 / 299 AS t FROM u)"""
 
@@ -404,3 +411,30 @@ def q_history_export(spark, d):
     path = writers.write_csv(h.select("event_id", "ts", "user_id", "event_type", "value"), scratch_path(spark, "hist"))
     return (spark.read.option("header", "true")
             .schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double").csv(path))
+
+
+@query("upsert_partitions", sql="""
+SELECT event_id, ts, user_id, event_type, CASE WHEN event_type = 'click' AND event_id % 97 = 5 THEN -1.0 ELSE value END AS value,
+       props FROM events""")
+def q_upsert_partitions(spark, d):
+    """K6 on a stored table: only the partitions that hold a changed row are written again."""
+    path = scratch_path(spark, "upsert-partitions")
+    events = table(spark, d, "events")
+    events.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(path)
+    hit = events.where((F.col("event_type") == "click") & (F.col("event_id") % 97 == 5))
+    changes = hit.select("event_id", F.lit(-1.0).alias("value"))
+    writers.upsert_partitions(spark, path, changes, "event_id", ["kind"], now=F.lit(None), stamp=None)
+    return spark.read.parquet(path).drop("kind")
+
+
+@query("ingest_new_files", sql="SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_ingest_new_files(spark, d):
+    """K4/S3: each file is appended once, however often the job runs; a file that comes later is added."""
+    root = scratch_path(spark, "ingest")
+    events = table(spark, d, "events")
+    first = F.col("event_id") % 3 != 0
+    for part in (first, None, ~first):                       # the second run finds nothing new
+        if part is not None:
+            events.where(part).write.mode("append").parquet(f"{root}/in")
+        live.ingest_new_files(spark, f"{root}/in", EVENTS_SCHEMA, f"{root}/out", f"{root}/ckpt", ts="ts")
+    return spark.read.parquet(f"{root}/out").select("event_id", "ts", "user_id", "event_type", "value", "props")

@@ -184,7 +184,7 @@ SELECT experiment_id, BOOL_AND(valid) AS valid,
 FROM v JOIN m ON v.rule = m.rule GROUP BY experiment_id""")
 def q_validation_messages(spark, d):
     r = readings_dirty(spark, d).select(*KEY, "current", "voltage", "power")
-    return quality.validation_messages(quality.validation_report(r, keys=KEY), keys=KEY)
+    return quality.validation_summary(r, keys=KEY)
 
 
 @query("validation_missing", sql=f"""
@@ -196,7 +196,7 @@ FROM lineitem GROUP BY l_orderkey""")
 def q_validation_missing(spark, d):
     """Two of the three required columns are absent: one message names both."""
     r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("experiment_id"), F.col("l_quantity").alias("I"))
-    return quality.validation_messages(quality.validation_report(r, keys=KEY), keys=KEY)
+    return quality.validation_summary(r, keys=KEY)
 
 
 @query("sequence_number_blocked", sql="""

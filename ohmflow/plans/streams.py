@@ -34,12 +34,22 @@ WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
 SELECT event_type, window_start, window_start + INTERVAL 1 HOUR AS window_end, n, ROUND(mean_value, 6) AS mean_value
 FROM w""")
 def q_stream_resample(spark, d):
-    """D9 over the whole table: a closing row lets the last windows out."""
+    """D9 over the whole table: the stream's closed windows and a batch pass for those still open."""
     root = scratch_path(spark, "resample")
-    events = table(spark, d, "events")
-    events.write.parquet(f"{root}/in")
-    live.write_closing_row(spark, f"{root}/in", EVENTS_SCHEMA, "ts", "event_type", events.agg(F.max("ts")))
-    s = live.file_stream(spark, f"{root}/in", EVENTS_SCHEMA).select("ts", "event_type", "value")
+    s = _events_stream(spark, d).select("ts", "event_type", "value")
     m = live.tumbling_mean(s, "ts", ["event_type"], "value", window="1 hour", delay="10 minutes")
-    live.run_available_now(m, f"{root}/out", f"{root}/ckpt")
-    return rounded(spark.read.parquet(f"{root}/out"))
+    mark = live.run_available_now(m, f"{root}/out", f"{root}/ckpt")
+    events = table(spark, d, "events").select("ts", "event_type", "value")
+    return rounded(live.windows_so_far(spark, events, f"{root}/out", "ts", ["event_type"], "value", "1 hour", mark))
+
+
+@query("device_state", sql="""
+WITH n AS (SELECT user_id, MAX((ts, event_id, value)) AS x FROM events GROUP BY user_id)
+SELECT user_id, x[1] AS ts, x[2] AS event_id, x[3] AS value, CASE WHEN x[3] > 250 THEN 'danger' ELSE 'success' END AS status
+FROM n""")
+def q_device_state(spark, d):
+    """Newest reading and status per device, kept up to date by the stream."""
+    root = scratch_path(spark, "device-state")
+    s = _events_stream(spark, d).select("user_id", "ts", "event_id", "value")
+    live.run_updates(live.device_state(s, "user_id", "ts", "event_id", "value", 250.0), f"{root}/out", f"{root}/ckpt")
+    return live.current_state(spark, f"{root}/out", "user_id")

@@ -3,13 +3,14 @@
 Writes go to a caller-given path (on a cluster: shared storage).  Appends
 lay readings out by day with rows sorted by experiment and time inside each
 file, so range and experiment filters skip row groups.  Updates without a
-table format are a left join of changes onto the base, written to a new
-path (the caller swaps paths).
+table format are a left join of changes onto the base: ``upsert`` returns the new
+rows (the caller writes them), ``upsert_partitions`` rewrites the touched
+partitions of a stored table in place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -19,7 +20,7 @@ TS_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 __all__ = ["write_csv", "write_json", "write_multi", "default_export_name", "append_readings", "apply_defaults",
-           "append_rows", "upsert", "row_id", "export_name", "column_widths"]
+           "append_rows", "upsert", "upsert_partitions", "row_id", "export_name", "column_widths"]
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite") -> str:
@@ -82,18 +83,21 @@ def write_multi(frames: dict[str, DataFrame], root: str | None = None, fmt: str
 
 
 def append_readings(df: DataFrame, path: str, ts: str = "timestamp", key: str = "experiment_id",
-                    period: str = "month") -> str:
+                    period: str = "month", lookup: tuple[str, ...] = ()) -> str:
     """K4 / K7: append partitioned by ``reading_{period}`` (first day of the
     month or the day itself), rows sorted by (key, ts) inside each file so
     that experiment and time filters skip row groups.  The shuffle is a range
     partitioning on (period, key, ts): a busy month or a hot experiment is
-    cut into many tasks, and files hold non-overlapping (key, ts) ranges."""
+    cut into many tasks, and files hold non-overlapping (key, ts) ranges.
+    ``lookup`` columns get Parquet bloom filters, so that a search for one of
+    their values skips the row groups without it."""
     col = f"reading_{period}"
     part = F.trunc(F.to_date(ts), "month") if period == "month" else F.to_date(ts)
     (df.withColumn(col, part)
        .repartitionByRange(col, key, ts)
        .sortWithinPartitions(col, key, ts)
-       .write.mode("append").partitionBy(col).parquet(path))
+       .write.mode("append").options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup})
+       .partitionBy(col).parquet(path))
     return path
 
 
@@ -159,3 +163,37 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, now: Column,
         else:
             out.append(F.col(c))
     return j.select(*out)
+
+
+def upsert_partitions(spark: SparkSession, path: str, changes: DataFrame, key: str, partitions: list[str],
+                      now: Column, stamp: str | None = "updated_at", order: str | None = None) -> int:
+    """K6 on a stored, partitioned Parquet table: only partitions with a changed row are written again.
+
+    A semi-join on the ids finds them (only ids and partition columns are read);
+    their new rows go to the shared scratch folder first, then replace the
+    partitions by dynamic overwrite.  All other files stay as they are.  A job
+    that is lost between the two steps is simply run again: an update sets
+    values, so doing it twice changes nothing.  Returns the number of partitions.
+    """
+    from ..session import materialize
+    base = spark.read.parquet(path)
+    changes = materialize(changes, "changes")
+    ids = changes.select(F.col(key).alias("_ck")).distinct()
+    touched = materialize(base.join(ids, F.col(key) == F.col("_ck"), "left_semi").select(*partitions).distinct(),
+                          "touched-partitions")
+    values = touched.collect()                               # one row per partition folder
+    if not values:
+        return 0
+
+    def among(rows) -> Column:                               # a filter on literals prunes the folders
+        out = F.lit(False)
+        for r in rows:
+            same = F.lit(True)
+            for c in partitions:
+                same = same & F.col(c).eqNullSafe(F.lit(r[c]))
+            out = out | same
+        return out
+    new = materialize(upsert(base.where(among(values)), changes, key, now, stamp, order), "upserted")
+    (new.select(*base.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partitions).parquet(path))
+    return len(values)

@@ -23,14 +23,29 @@ def _num(v) -> Column:
     return v if isinstance(v, Column) else F.lit(float(v))
 
 
-def normal_pair(seed: int, *parts: Column) -> tuple[Column, Column]:
-    """Two standard normal values that depend on ``parts`` alone (Box-Muller on 32-bit slices of an
-    md5), so reruns, retries and any partitioning give the same numbers."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-
-    def uniform(at: int) -> Column:
-        return (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
-    radius, angle = F.sqrt(-2 * F.ln(uniform(1))), 2 * math.pi * uniform(9)
+#: a prime below 2**31, so that a product of two residues fits a long
+PRIME = (1 << 31) - 1
+#: factors of the seed, the series and the point, and of the two mixing rounds
+PLACE, ROUNDS = (1_000_003, 7_919, 104_729), (48_271, 69_621)
+
+
+def _mixed(x: Column) -> Column:
+    """A residue whose neighbours have little in common: quadratic maps modulo PRIME."""
+    for c in ROUNDS:
+        x = (x * (x + F.lit(c)) + F.lit(c)) % F.lit(PRIME)
+    return x
+
+
+def normal_pair(seed: int, series: Column, point: Column) -> tuple[Column, Column]:
+    """Two standard normal values that depend on the arguments alone (Box-Muller on two residues mixed
+    from them in long arithmetic), so reruns, retries and any partitioning give the same numbers."""
+    a, b, c = PLACE
+    at = (F.lit(seed % PRIME * a % PRIME).cast("long") + F.pmod(series.cast("long"), F.lit(PRIME)) * F.lit(b)
+          + F.pmod(point.cast("long"), F.lit(PRIME)) * F.lit(c))
+    first = _mixed(at % F.lit(PRIME))
+    second = _mixed((first + at + F.lit(c)) % F.lit(PRIME))
+    u1, u2 = ((x + F.lit(0.5)) / F.lit(float(PRIME)) for x in (first, second))
+    radius, angle = F.sqrt(-2 * F.ln(u1)), 2 * math.pi * u2
     return radius * F.cos(angle), radius * F.sin(angle)
 
 
@@ -42,8 +57,8 @@ def synth_readings(drivers: DataFrame, series_id: str, start, duration: int = sc
     V = Vn (1 + noise N(0,1) + 0.1 sin(2 pi 0.1 t)), I = In (1 + 0.5 sin(2 pi 0.05 t) + noise N(0,1)),
     P = V I, sequence 1..n, timestamps start + k / rate seconds (µs arithmetic, so
     any rate works), address 1, type '测试设备'.  Nominal values may be columns
-    of ``drivers``; ``start`` is explicit and noise comes from a hash of (seed,
-    series, k), so reruns are identical.  Points are made in chunks of
+    of ``drivers``; ``start`` is explicit and noise is mixed from (seed, series, k;
+    an id that is no number by its hash), so reruns are identical.  Points are made in chunks of
     ``CHUNK`` that are spread over tasks, so a long series never sits in one.
     """
     n = int(duration * rate)
@@ -59,7 +74,9 @@ def synth_readings(drivers: DataFrame, series_id: str, start, duration: int = sc
                       F.explode(F.sequence(lo, F.least(lo + F.lit(CHUNK - 1), F.lit(n - 1)))).alias("_k"))
     t = F.col("_k") * F.lit(step)
     if noise:
-        nv, ni = (z * F.lit(float(noise)) for z in normal_pair(seed, F.col("series_id"), F.col("_k")))
+        number = dict(drivers.dtypes)[series_id] in ("tinyint", "smallint", "int", "bigint")
+        sid = F.col("series_id") if number else F.xxhash64("series_id")
+        nv, ni = (z * F.lit(float(noise)) for z in normal_pair(seed, sid, F.col("_k")))
     else:
         nv = ni = F.lit(0.0)
     (va, vf), (ia, if_) = schemas.SYNTH_VOLTAGE_WAVE, schemas.SYNTH_CURRENT_WAVE

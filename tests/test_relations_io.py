@@ -286,25 +286,104 @@ def test_synth_noise_ignores_partitioning(spark):
     assert len(sums) == 1 and next(iter(sums))[0] == 6000
 
 
-def test_stream_over_unsorted_files_with_closing_row(spark):
-    """Rows of all times in every file, one file a batch: with a delay as long as the disorder nothing is
-    late, and the closing row lets every window out."""
-    root = local_path(scratch_path(spark, "t-close"))
+def _stream_run(spark, root, schema, delay, per_trigger=None):
+    s = live.file_stream(spark, root + "/in", schema, max_files_per_trigger=per_trigger)
+    m = live.tumbling_mean(s, "ts", ["k"], "value", delay=delay)
+    mark = live.run_available_now(m, root + "/out", root + "/ckpt")
+    got = live.windows_so_far(spark, spark.read.schema(schema).parquet(root + "/in"), root + "/out", "ts", ["k"], "value",
+                              watermark=mark)
+    return sorted((r.k, r.window_start, r.n, round(r.mean_value, 9)) for r in got.collect())
+
+
+def _hourly(df):
+    want = df.groupBy("k", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
+    return sorted((r.k, r.w, r.n, round(r.m, 9)) for r in want.collect())
+
+
+@pytest.mark.parametrize("delay", ["3 days", "10 minutes"])
+def test_stream_goes_on_after_its_end(spark, delay):
+    """Run, add files, run again, run once more on nothing new: all windows there once each time; neither
+    the source nor the checkpoint has a row that was not in the data."""
+    root = local_path(scratch_path(spark, "t-resume"))
     schema = "ts timestamp_ntz, k string, value double"
     t = dt.datetime(2024, 1, 1)
     rows = [(t + dt.timedelta(minutes=17 * i), "ab"[i % 2], float(i)) for i in range(120)]
-    df = spark.createDataFrame(rows, schema)
+    first, second = (spark.createDataFrame(x, schema) for x in (rows[:70], rows[70:]))
+    first.coalesce(1).write.mode("append").parquet(root + "/in")
+    assert _stream_run(spark, root, schema, delay) == _hourly(first)
+    second.coalesce(1).write.mode("append").parquet(root + "/in")
+    whole = _hourly(first.unionByName(second))
+    assert _stream_run(spark, root, schema, delay) == whole
+    assert _stream_run(spark, root, schema, delay) == whole
+    assert spark.read.parquet(root + "/in").count() == 120
+
+
+def test_stream_over_unsorted_files(spark):
+    """Rows of all times in every file, one file a batch: with a delay as long as the disorder nothing is late."""
+    import time
+    root = local_path(scratch_path(spark, "t-unsorted"))
+    schema = "ts timestamp_ntz, k string, value double"
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t + dt.timedelta(minutes=17 * i), "ab"[i % 2], float(i)) for i in range(120)], schema)
     for part in range(3):
         df.where(F.col("value") % 3 == part).coalesce(1).write.mode("append").parquet(root + "/in")
-        import time
         time.sleep(1.1)
-    live.write_closing_row(spark, root + "/in", schema, "ts", "k", df.agg(F.max("ts")))
-    s = live.file_stream(spark, root + "/in", schema, max_files_per_trigger=1)
-    m = live.tumbling_mean(s, "ts", ["k"], "value", delay="3 days")
-    live.run_available_now(m, root + "/out", root + "/ckpt")
-    got = sorted((r.k, r.window_start, r.n) for r in spark.read.parquet(root + "/out").collect())
-    want = df.groupBy("k", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("w")).count()
-    assert got == sorted((r.k, r.w, r["count"]) for r in want.collect())
+    assert _stream_run(spark, root, schema, "3 days", 1) == _hourly(df)
+
+
+def test_device_state_survives_a_replayed_batch(spark):
+    root = local_path(scratch_path(spark, "t-state"))
+    schema = "dev string, ts timestamp_ntz, id long, value double"
+    t = dt.datetime(2024, 1, 1)
+    one = spark.createDataFrame([("a", t, 1, 5.0), ("a", t, 2, 300.0), ("b", t, 3, 1.0)], schema)
+    two = spark.createDataFrame([("b", t - dt.timedelta(days=1), 4, 400.0), ("a", t + dt.timedelta(days=1), 5, 7.0)], schema)
+    state = lambda: sorted((r.dev, r.id, r.value, r.status) for r in
+                           live.current_state(spark, root + "/out", "dev").collect())
+    for batch in (one, two):
+        batch.coalesce(1).write.mode("append").parquet(root + "/in")
+        s = live.file_stream(spark, root + "/in", schema)
+        live.run_updates(live.device_state(s, "dev", "ts", "id", "value", 250.0), root + "/out", root + "/ckpt")
+    want = [("a", 5, 7.0, "success"), ("b", 3, 1.0, "success")]
+    assert state() == want
+    batches = sorted(os.listdir(root + "/out"))
+    last = spark.read.parquet(f"{root}/out/{batches[-1]}").collect()
+    live.write_updates(spark.createDataFrame(last), int(batches[-1].split("=")[1]), root + "/out")
+    assert state() == want and sorted(os.listdir(root + "/out")) == batches
+
+
+def test_ingest_takes_each_file_once(spark):
+    root = local_path(scratch_path(spark, "t-ingest"))
+    schema = "id long, timestamp timestamp_ntz"
+    t = dt.datetime(2024, 1, 31)
+    rows = lambda a, b: spark.createDataFrame(
+        [(i, t + dt.timedelta(days=i)) for i in range(a, b)], schema).coalesce(1)
+    n = []
+    for a, b in ((0, 5), (None, None), (5, 8)):
+        if a is not None:
+            rows(a, b).write.mode("append").parquet(root + "/in")
+        live.ingest_new_files(spark, root + "/in", schema, root + "/out", root + "/ckpt")
+        n.append(spark.read.parquet(root + "/out").count())
+    assert n == [5, 5, 8]
+    assert {d for d in os.listdir(root + "/out") if "=" in d} == {"reading_month=2024-01-01", "reading_month=2024-02-01"}
+
+
+def test_upsert_leaves_other_partitions_files_alone(spark):
+    path = local_path(scratch_path(spark, "t-upsert"))
+    df = spark.createDataFrame([(i, f"k{i % 4}", float(i), None) for i in range(40)],
+                               "id int, kind string, v double, updated_at timestamp_ntz")
+    df.write.partitionBy("kind").parquet(path)
+    files = lambda: {(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    changes = spark.createDataFrame([(5, -1.0), (9, None), (999, 7.0)], "id int, v double")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    want = sorted(map(repr, writers.upsert(df, changes, "id", now).select("id", "kind", "v", "updated_at").collect()))
+    assert writers.upsert_partitions(spark, path, changes, "id", ["kind"], now) == 1
+    got = spark.read.parquet(path).select("id", "kind", "v", "updated_at")
+    assert sorted(map(repr, got.collect())) == want
+    kept = {x for x in before if not x[0].endswith("kind=k1")}
+    assert kept <= files() and not (before - kept) & files()
+    assert writers.upsert_partitions(spark, path, changes.where("id = 999"), "id", ["kind"], now) == 0
 
 
 def test_stream_drops_late_rows(spark):
