@@ -5,14 +5,23 @@ characters a word starts and ends with) and a few shares (repeats, symbols,
 capitals).  View 2 reads the page's metadata: language, source, length and line
 layout, as hashed one-of-many features.  Each view is a logistic regression.
 
-Learning takes at most ``LABELLED`` labelled and ``POOL`` unlabelled documents,
-those with the smallest hashes of their ids (documented bounds; the rows are
-the same for any partitioning).  A fifth of the labelled ones is kept for
-calibration.  In each of ``ROUNDS`` rounds either view labels the pool
-documents it is surest of, ``SHARE`` of the pool in the proportion of the
-labels, and gives them to the other view as further examples.  At the end
-each view's margin is calibrated on the kept fifth, and the calibrated
-log-odds are added with the weights that fit that fifth best.
+Learning takes at most ``LABELLED`` labelled documents, those with the smallest
+hashes of their ids (a documented bound; the rows are the same for any
+partitioning), a fifth of which is kept for calibration, and all other
+documents as they are, unlabelled.  The features of those are packed once into
+the shared folder; every pass over them is a Spark job that sends histograms or
+gradients, never rows.  A view is first fitted to the labelled documents.  Then,
+in each of ``ROUNDS`` rounds,
+
+    either view scores all unlabelled documents into ``BINS`` bins of its margin;
+    the bins it is surest of, up to ``SHARE`` times the round's number of the
+    documents, in the proportion of the labels, are pseudo-labels for the other;
+    ``STEPS`` steps of Adagrad follow, on the mean gradient of the labelled
+    documents (in the driver) plus ``PSEUDO`` times the mean gradient of the
+    pseudo-labelled ones (summed by Spark).
+
+At the end each view's margin is calibrated on the kept fifth, and the
+calibrated log-odds are added with the weights that fit that fifth best.
 
 Toxicity is a second target, learned from the labelled documents: words whose
 documents are labelled toxic far more often than others (``LEAST_Z`` standard
@@ -46,10 +55,12 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from . import textstats
-from .frames import table
+from .frames import stored, table
 
-LABELLED, POOL = 3000, 3000
-ROUNDS, SHARE = 4, 0.1
+LABELLED = 3000
+ROUNDS, SHARE, STEPS, PSEUDO = 3, 0.1, 3, 0.5
+#: bins of a margin, over [-REACH, REACH]; what lies beyond is in the outer ones
+BINS, REACH = 4096, 16.0
 THRESHOLD = 0.5
 LEAST_Z, LEAST_DOCS = 5, 3
 WORDS, SHAPES, META = 1 << 15, 1 << 10, 1 << 12
@@ -135,33 +146,95 @@ def _collected(batches):
                  pa.list_(pa.int32()))], names=["doc_id", "quality", "toxic", "feature", "value", "words", "meta"])
 
 
+def _packed(batches):
+    """One row per document: text features as (u2 bucket, u4 count) and 4-byte shares, metadata buckets as u2."""
+    width = WORDS + SHAPES
+    for batch in tk.chunked(batches, "text"):
+        counts = textstats.counts(batch.column("text"))
+        (row, feature, value), meta = _text_features(batch.column("text"), counts), _meta_features(batch, counts)
+        n = batch.num_rows
+        own = feature < width
+        key, count = np.unique(row[own] * width + feature[own], return_counts=True)
+        offs = np.searchsorted(key, np.arange(n + 1) * width)
+        shares = np.column_stack([1.0 / np.maximum(counts["n_words"], 1), value[~own].reshape(n, -1)])
+
+        def blobs(values, ends):
+            return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)),
+                                                          pa.py_buffer(np.ascontiguousarray(values))])
+        at = np.arange(n + 1)
+        yield pa.RecordBatch.from_arrays([
+            blobs((key % width).astype("<u2"), offs * 2), blobs(count.astype("<u4"), offs * 4),
+            blobs(shares.astype("<f4"), at * 4 * shares.shape[1]), blobs(meta.astype("<u2"), at * 2 * meta.shape[1])],
+            names=["feature", "count", "shares", "meta"])
+
+
+def _blob(arr, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column end to end, and each row's first one."""
+    arr = arr.cast(pa.large_binary())
+    offs = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset:arr.offset + len(arr) + 1]
+    size = np.dtype(kind).itemsize
+    data = arr.buffers()[2]
+    flat = np.frombuffer(data, dtype=np.uint8)[offs[0]:offs[-1]].view(kind) if data is not None else np.zeros(0, dtype=kind)
+    return flat, (offs - offs[0]) // size
+
+
+def _unpacked(batch) -> list[Rows]:
+    """The two views of packed rows."""
+    n = batch.num_rows
+    feature, offs = _blob(batch.column("feature"), "<u2")
+    count, _ = _blob(batch.column("count"), "<u4")
+    shares = _blob(batch.column("shares"), "<f4")[0].reshape(n, -1).astype(float)
+    row = np.repeat(np.arange(n), np.diff(offs))
+    extra = shares.shape[1] - 1
+    text = Rows(offs, feature.astype(np.int64), count * shares[row, 0], TEXT, row)
+    text.dense = shares[:, 1:], WORDS + SHAPES, WORDS + SHAPES + extra
+    meta, offs = _blob(batch.column("meta"), "<u2")
+    return [text, Rows(offs, meta.astype(np.int64), np.ones(len(meta)), META)]
+
+
 class Rows:
-    """Sparse rows, multiplied with a weight vector."""
+    """Sparse rows, multiplied with a weight vector; ``dense`` columns, if any, stand beside them."""
 
-    def __init__(self, offs, feature, value, width):
+    def __init__(self, offs, feature, value, width, row=None):
         self.offs, self.feature, self.value, self.width = offs, feature, value, width
-        self.row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        self.row = np.repeat(np.arange(len(offs) - 1), np.diff(offs)) if row is None else row
+        self.dense = None
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.feature] * self.value, minlength=len(self.offs) - 1)
+        out = np.bincount(self.row, weights=w[self.feature] * self.value, minlength=len(self.offs) - 1)
+        return out if self.dense is None else out + self.dense[0] @ w[self.dense[1]:self.dense[2]]
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.feature, weights=g[self.row] * self.value, minlength=self.width)
+        out = np.bincount(self.feature, weights=g[self.row] * self.value, minlength=self.width).astype(float)
+        if self.dense is not None:
+            out[self.dense[1]:self.dense[2]] += self.dense[0].T @ g
+        return out
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Learner:
+    """Logistic regression by Adagrad; keeps its state between fits."""
+
+    def __init__(self, x: Rows, y: np.ndarray, weight: np.ndarray, rate: float = 0.5, l2: float = 1e-4):
+        self.x, self.y, self.weight, self.rate, self.l2 = x, y, weight / max(weight.sum(), 1e-12), rate, l2
+        self.w, self.seen = np.zeros(x.width), np.full(x.width, 1e-8)
+
+    def step(self, other: np.ndarray | float = 0.0) -> None:
+        """One step on the gradient of its own rows plus ``other``."""
+        g = self.x.back((_sigmoid(self.x.dot(self.w)) - self.y) * self.weight) + other + self.l2 * self.w
+        self.seen += g * g
+        self.w = self.w - self.rate * g / np.sqrt(self.seen)
+
+
 def fit(x: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.5, l2: float = 1e-4):
-    """Logistic regression by Adagrad on all rows at once; rows of weight 0 take no part."""
-    w, seen = np.zeros(x.width), np.full(x.width, 1e-8)
-    weight = weight / max(weight.sum(), 1e-12)
+    """Weights after ``steps`` steps on all rows at once; rows of weight 0 take no part."""
+    learner = Learner(x, y, weight, rate, l2)
     for _ in range(steps):
-        g = x.back((_sigmoid(x.dot(w)) - y) * weight) + l2 * w
-        seen += g * g
-        w -= rate * g / np.sqrt(seen)
-    return w
+        learner.step()
+    return learner.w
 
 
 def _calibrated(margins: np.ndarray, y: np.ndarray, steps: int = 500) -> np.ndarray:
@@ -177,62 +250,122 @@ def _calibrated(margins: np.ndarray, y: np.ndarray, steps: int = 500) -> np.ndar
     return w
 
 
-def cotrain(views: list[Rows], label: np.ndarray, calib: np.ndarray, rounds: int = ROUNDS, share: float = SHARE):
-    """(weights of each view, weights of the combination); label is nan for the pool."""
-    train = ~np.isnan(label) & ~calib
-    pool = np.isnan(label)
-    rate = label[train].mean()
-    targets = [np.where(train, label, 0.0) for _ in views]
-    weights = [train.astype(float) for _ in views]
-    models = [fit(v, t, w) for v, t, w in zip(views, targets, weights)]
-    for _ in range(rounds if pool.any() else 0):
-        margin = [v.dot(m) for v, m in zip(views, models)]
-        for me, other in ((0, 1), (1, 0)):
-            free = np.flatnonzero(pool & (weights[other] == 0))
-            if not len(free):
-                continue
-            order = free[np.argsort(margin[me][free], kind="stable")]
-            take = max(2, int(share * pool.sum()))
-            low, high = int(round(take * (1 - rate))), int(round(take * rate))
-            low, high = order[:low], order[len(order) - min(high, max(0, len(order) - low)):]
-            # only what the view itself puts on that side
-            low, high = low[margin[me][low] < 0], high[margin[me][high] > 0]
-            targets[other][low], targets[other][high] = 0.0, 1.0
-            weights[other][low] = weights[other][high] = 0.5
-        models = [fit(v, t, w) for v, t, w in zip(views, targets, weights)]
+def bins_of(margin: np.ndarray) -> np.ndarray:
+    return np.clip((margin + REACH) * (BINS / (2 * REACH)), 0, BINS - 1).astype(np.int64)
+
+
+def sure_bins(histogram: np.ndarray, share: float, rate: float) -> tuple[int, int]:
+    """(last bin of sure negatives, first bin of sure positives): whole bins from either end, until they
+    hold their part of ``share`` of all rows, never beyond the middle."""
+    n, half = histogram.sum(), BINS // 2
+    low = int(np.searchsorted(np.cumsum(histogram), share * n * (1 - rate)))
+    high = int(np.searchsorted(np.cumsum(histogram[::-1]), share * n * rate))
+    return min(low, half - 1), max(BINS - 1 - high, half)
+
+
+def pool_histograms(rows, models) -> np.ndarray:
+    """Per view, the rows in each bin of its margin."""
+    return np.stack([np.bincount(bins_of(v.dot(m)), minlength=BINS) for v, m in zip(rows, models)])
+
+
+def pool_gradients(rows, judges, sure, models) -> list[np.ndarray]:
+    """Per view: sum of the gradients at ``models`` over the rows that the other view's judge is sure of,
+    and, last, their number."""
+    out = []
+    for me in (0, 1):
+        at = bins_of(rows[1 - me].dot(judges[1 - me]))
+        label = np.where(at >= sure[1 - me][1], 1.0, 0.0)
+        chosen = (at <= sure[1 - me][0]) | (at >= sure[1 - me][1])
+        g = np.where(chosen, _sigmoid(rows[me].dot(models[me])) - label, 0.0)
+        out.append(np.append(rows[me].back(g), chosen.sum()))
+    return out
+
+
+class Pool:
+    """The packed unlabelled documents; every method is one Spark pass that returns sums."""
+
+    def __init__(self, packed: DataFrame):
+        self.packed = packed
+
+    def _summed(self, model, work, size: int) -> np.ndarray:
+        """``work(model, views)`` of every batch, added up: a vector of ``size``, sent as its non-zero cells."""
+        shared = self.packed.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            total = np.zeros(size)
+            for batch in batches:
+                if batch.num_rows:
+                    total += work(shared.value, _unpacked(batch))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "v"])
+        got = self.packed.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(size)
+        out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+        shared.unpersist()
+        return out
+
+    def histograms(self, models) -> np.ndarray:
+        return self._summed(models, lambda m, rows: pool_histograms(rows, m).reshape(-1), 2 * BINS).reshape(2, BINS)
+
+    def gradients(self, judges, sure, models) -> list[np.ndarray]:
+        sums = self._summed((judges, sure, models), lambda m, rows: np.concatenate(pool_gradients(rows, *m)),
+                            TEXT + META + 2)
+        return [sums[:TEXT + 1], sums[TEXT + 1:]]
+
+
+def cotrain(views: list[Rows], label: np.ndarray, calib: np.ndarray, pool, rounds: int = ROUNDS, share: float = SHARE):
+    """(weights of each view, weights of the combination); ``pool`` has the unlabelled documents."""
+    train = (~calib).astype(float)
+    rate = label[~calib].mean()
+    learners = [Learner(v, label, train) for v in views]
+    for learner in learners:
+        for _ in range(60):
+            learner.step()
+    for r in range(1, rounds + 1):
+        judges = [x.w for x in learners]
+        histograms = pool.histograms(judges)
+        if not histograms.sum():
+            break
+        sure = [sure_bins(h, share * r, rate) for h in histograms]
+        for _ in range(STEPS):
+            sums = pool.gradients(judges, sure, [x.w for x in learners])
+            for learner, g in zip(learners, sums):
+                learner.step(PSEUDO * g[:-1] / max(g[-1], 1.0))
+    models = [x.w for x in learners]
     margins = np.column_stack([v.dot(m) for v, m in zip(views, models)])
     return models, _calibrated(margins[calib], label[calib])
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The learning rows: bounded numbers of labelled and unlabelled documents."""
+    """(doc_id, quality, toxic) of the labelled documents to learn from, at most LABELLED."""
     toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
     marks = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
              .agg(F.min((F.col("quality") > 0).cast("int")).alias("quality"),
                   F.max((toxic.cast("double") > 0).cast("int")).alias("toxic")))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marks, "doc_id", "left")
-    order = F.xxhash64("doc_id")
-    parts = [ids.where(F.col("quality").isNotNull() if known else F.col("quality").isNull())
-             .orderBy(order, "doc_id").limit(n) for known, n in ((True, LABELLED), (False, POOL))]
-    # bounded by LABELLED + POOL rows
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    return docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text").join(
-        chosen, "doc_id")
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marks, "doc_id")
+    return stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "learned")
 
 
 def learn(docs: DataFrame, labels: DataFrame):
     """((weights of both views, combination), or a constant where labels are of one kind; toxic words or None)."""
     kind = dict(docs.dtypes)["doc_id"]
-    t = (_sample(docs, labels).select("doc_id", "quality", "toxic", "lang", "source", "text").mapInArrow(
+    chosen = F.broadcast(_sample(docs, labels))              # bounded by LABELLED rows
+    rows = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), "text")
+    t = (rows.join(chosen, "doc_id").select("doc_id", "quality", "toxic", "lang", "source", "text").mapInArrow(
         _collected, f"doc_id {kind}, quality int, toxic int, feature array<int>, value array<float>, "
         "words array<int>, meta array<int>")
         .dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().combine_chunks())
     label = t.column("quality").to_numpy(zero_copy_only=False).astype(float)
-    known = label[~np.isnan(label)]
     if not t.num_rows:
         return 1.0, None
     mark = t.column("toxic").to_numpy(zero_copy_only=False).astype(float)
-    return _learn_quality(t, label, known), learn_toxic(t.column("words").chunk(0), mark)
+    others = rows.where("doc_id is not null").join(chosen, "doc_id", "left_anti").select("lang", "source", "text")
+    return _learn_quality(t, label, others), learn_toxic(t.column("words").chunk(0), mark)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The features of documents (lang, source, text), written to the shared folder."""
+    return stored(docs.mapInArrow(_packed, "feature binary, count binary, shares binary, meta binary"), "packed")
 
 
 def learn_toxic(words: pa.ListArray, label: np.ndarray):
@@ -269,9 +402,9 @@ def _toxic(model, arr) -> np.ndarray:
     return _sigmoid(np.bincount(row[ok], weights=model[1][at[ok]], minlength=len(arr)) + model[1][-1])
 
 
-def _learn_quality(t: pa.Table, label: np.ndarray, known: np.ndarray):
-    if not len(known) or known.min() == known.max():
-        return 0.5 if len(known) and not known.max() else 1.0
+def _learn_quality(t: pa.Table, label: np.ndarray, others: DataFrame):
+    if label.min() == label.max():
+        return 0.5 if not label.max() else 1.0
     col = {c: t.column(c).chunk(0) for c in ("feature", "value", "meta")}
     offs = col["feature"].offsets.to_numpy().astype(np.int64)
     text = Rows(offs - offs[0], col["feature"].flatten().to_numpy(), col["value"].flatten().to_numpy(), TEXT)
@@ -281,9 +414,9 @@ def _learn_quality(t: pa.Table, label: np.ndarray, known: np.ndarray):
     for kind in (0.0, 1.0):                                  # every fifth of either kind
         calib[np.flatnonzero(label == kind)[::5]] = True
     if any(not ((label == k) & ~calib).any() for k in (0.0, 1.0)):
-        calib[:] = ~np.isnan(label)                          # too few labels to keep any back
+        calib[:] = True                                      # too few labels to keep any back
         return cotrain_small(views, label, calib)
-    return cotrain(views, label, calib)
+    return cotrain(views, label, calib, Pool(packed(others)))
 
 
 def cotrain_small(views, label, known):
