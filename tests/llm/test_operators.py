@@ -509,6 +509,39 @@ def test_op8_longest_match(spark):
     assert {r.doc_id: r.longest_match for r in decontaminate.report(docs, bench).collect()} == {1: 35, 2: 60}
 
 
+def test_op8_equal_words_in_bounded_memory():
+    """1,000 equal words against 20,000 of the same: each occurrence once, not once per place."""
+    import tracemalloc
+    h, first = decontaminate._words(pa.array(["same " * 20_000, "other words here", "same"]))
+    item, _ = decontaminate._words(pa.array(["same " * 1000]))
+    tracemalloc.start()
+    index = decontaminate.TestIndex([(7, item)])
+    start, group, window = index.search(h, first)
+    row = np.searchsorted(first, start, side="right") - 1
+    longest = decontaminate._longest(index, start, group, window, row, 3)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    assert sorted(start.tolist()) == list(range(19_991)) and longest.tolist() == [1000, 0, 0]
+
+
+def test_op8_windows_of_different_items_do_not_unite(spark):
+    importable(spark)
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "b c d e f g h i j k"), (3, "x"), (4, "y")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y")], "doc_id long, text string")
+    got = {r.doc_id: (r.longest_match, r.n_hit, r.n_items) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (10, 11, 2), 2: (1, 2, 2)}
+
+
+def test_op8_one_text_under_many_ids(spark):
+    """A text that makes up nearly all items is indexed once; its ids are joined afterwards."""
+    importable(spark)
+    bench = spark.range(3000).select(F.col("id").alias("item_id"), F.when(F.col("id") > 2, PASSAGE).otherwise("x y").alias("text"))
+    docs = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, "q"), (None, "x y")], "doc_id long, text string")
+    assert tuples(decontaminate.report(docs, bench), 6) == by_hand_8(
+        [tuple(r) for r in docs.collect()], [tuple(r) for r in bench.collect()])
+
+
 # ---- op9
 
 def test_op9_odd_and_empty(spark, none):
