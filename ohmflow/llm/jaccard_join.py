@@ -48,7 +48,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK = 512
+#: a block of a bucket has so many members, or so many bytes of shingles, on average
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 SMALL = 8
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,8 +100,8 @@ def _signatures(n: int):
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(has)),
                 *(pa.array(_set_hash(value, offs, has, c)) for c in (1, 2)),
-                _packed(sig.reshape(-1), np.arange(len(has) + 1) * len(_SEEDS))],
-                names=["doc_id", "set_a", "set_b", "sig"])
+                _packed(sig.reshape(-1), np.arange(len(has) + 1) * len(_SEEDS)), pa.array(8 * np.diff(offs)[has])],
+                names=["doc_id", "set_a", "set_b", "sig", "bytes"])
     return run
 
 
@@ -264,25 +265,26 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGL
     """(members: doc_id, rep, key, n_copies), (degrees: rep, key, n_links), (components: node, comp)."""
     least = least_matches(threshold, tolerance)
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    sigs = stored(texts.mapInArrow(_signatures(n), "doc_id long, set_a long, set_b long, sig binary"), "jac-sig")
+    sigs = stored(texts.mapInArrow(_signatures(n), "doc_id long, set_a long, set_b long, sig binary, bytes long"), "jac-sig")
     copies = stored(sigs.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"),
                                                        F.count_distinct("doc_id").alias("n_copies")), "jac-copies")
     members = stored(sigs.select("doc_id", "set_a", "set_b").join(copies, ["set_a", "set_b"])
                      .select("doc_id", "rep", F.col("set_a").alias("key"), "n_copies"), "jac-members")
     # a text of a document is known by its set's hash, which need only differ inside the document
-    reps = (sigs.select("doc_id", F.col("set_a").alias("key"), "sig")
+    reps = (sigs.select("doc_id", F.col("set_a").alias("key"), "sig", "bytes")
             .join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
             .dropDuplicates(["doc_id", "key"]))
     width = 4 * ROWS
-    buckets = reps.select("doc_id", "key", F.posexplode(F.expr(
+    buckets = reps.select("doc_id", "key", "bytes", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))"))
         .alias("band", "bucket"))
     # written first: only then can Spark split the members of a hot bucket in the join
-    sizes = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jac-sizes")
-    full = stored(buckets.join(sizes, "bucket"), "jac-buckets")
+    sizes = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+                   .where("m > 1"), "jac-sizes")
+    full = stored(buckets.drop("bytes").join(sizes, "bucket"), "jac-buckets")
     nodes = full.select("doc_id", "key").distinct()
     # the text and the signature of every document that shares a bucket, as its shingle set
-    sets = stored(texts.join(reps.join(nodes, ["doc_id", "key"], "left_semi"), "doc_id")
+    sets = stored(texts.join(reps.drop("bytes").join(nodes, ["doc_id", "key"], "left_semi"), "doc_id")
                   .mapInArrow(_sets(n), "doc_id long, key long, sig binary, shingles binary"), "jac-sets")
 
     pairs = (full.where(f"m <= {SMALL}").groupBy("band", "bucket")
@@ -303,7 +305,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGL
                                      F.col("shingles").alias(f"sh_{side}")), [side, f"key_{side}"])
     links = stored(left.mapInArrow(_verify(threshold), ends).distinct(), "jac-links")
 
-    block = (full.where(f"m > {SMALL}").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    block = (full.where(f"m > {SMALL}").withColumn("blocks", F.ceil(F.greatest(
+        F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
              .withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
              .withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")}).select(*_MEMBER))

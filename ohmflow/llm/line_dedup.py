@@ -88,9 +88,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         F.when(touched, F.size("_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long").alias("n_removed"))
 
 
-def clean_documents(docs: DataFrame) -> DataFrame:
-    """The documents with repeated chunks removed; columns as they came, ``n_chars`` follows the text."""
+def clean_documents(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """The documents with repeated chunks removed; columns as they came, ``n_chars`` follows the text.
+
+    With ``drop_emptied`` a document that had a word and lost all its words is no row any more.
+    """
     kinds = dict(docs.dtypes)
+    word = F.lit(r"[^ \t-\r]")
 
     def column(c: str):
         if c == "text":
@@ -98,7 +102,10 @@ def clean_documents(docs: DataFrame) -> DataFrame:
         if c == "n_chars":
             return F.length("text").cast(kinds[c]).alias(c)
         return F.col("row").getField(c).alias(c)
-    return line_dedup(docs).select(*[column(c) for c in docs.columns])
+    out = line_dedup(docs)
+    if drop_emptied:                                         # only chunks with a word are removed
+        out = out.where((F.col("n_removed") == 0) | F.rlike("text", word))
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 Every document becomes a vector of six transformed statistics (``FEATURES``).
 For each (language, source), each language and the whole corpus the location
-and scatter of the densest ``SUPPORT`` of the vectors are estimated: start at
-medians and quartile ranges, then concentration steps, each of which keeps
-the share of rows with the smallest Mahalanobis distances and re-estimates
-from them; every step lowers the determinant.  A document is judged by the
+and scatter of the densest ``SUPPORT`` of the vectors are estimated from three
+starts (medians with quartile ranges, means with covariances, medians with
+covariances): concentration steps keep the share of rows with the smallest
+Mahalanobis distances and re-estimate from them, until the determinant falls by
+no more than ``LEAST_FALL`` (of its logarithm; at most ``MOST_STEPS`` steps), and the
+start that ends with the least determinant gives the estimate.  A document is judged by the
 narrowest group with at least ``LEAST`` documents and rejected if its squared
 distance exceeds ``CUTOFF``.  Scatter has a floor per feature (``FLOOR``), so a
 statistic that hardly varies does not reject for a trifle.
@@ -41,7 +43,7 @@ from .frames import stored, table
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 SUPPORT = 0.75
-STEPS = 3
+MOST_STEPS, LEAST_FALL = 20, 1e-3
 LEAST = 50
 CUTOFF = 50.0
 SCALE = 1000
@@ -124,14 +126,29 @@ def precision(cov: np.ndarray) -> np.ndarray:
     return np.linalg.inv(corr * np.outer(scale, scale))
 
 
+def _moments(r, h: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean, and precision of the scatter, from sums over ``h`` rows."""
+    m = np.asarray(r.s, dtype=float) / h / SCALE
+    second = np.zeros((_D, _D))
+    second[np.triu_indices(_D)] = np.asarray(r.ss, dtype=float) / h / SCALE ** 2
+    second = np.triu(second) + np.triu(second, 1).T
+    return m, precision(factor * (second - np.outer(m, m)))
+
+
+_COLUMNS = ["key", "start", "n", "mean", "prec", "det"]
+_PARAMS = "key string, start int, n long, mean array<double>, prec array<double>, det double"
+
+
 def _start(frames):
     for pdf in frames:
         rows = []
         for r in pdf.itertuples(index=False):
             q = np.asarray(r.q, dtype=float).reshape(_D, 3) / SCALE
             sd = np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR)
-            rows.append((r.key, r.n, list(q[:, 1]), list(np.diag(1 / sd ** 2).reshape(-1))))
-        yield pd.DataFrame(rows, columns=["key", "n", "mean", "prec"])
+            m, prec = _moments(r, r.n, 1.0)
+            for i, (mean, p) in enumerate(((q[:, 1], np.diag(1 / sd ** 2)), (m, prec), (q[:, 1], prec))):
+                rows.append((r.key, i, r.n, list(mean), list(p.reshape(-1)), np.inf))
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _step(frames):
@@ -139,34 +156,44 @@ def _step(frames):
     for pdf in frames:
         rows = []
         for r in pdf.itertuples(index=False):
-            m = np.asarray(r.s, dtype=float) / r.h / SCALE
-            second = np.zeros((_D, _D))
-            second[np.triu_indices(_D)] = np.asarray(r.ss, dtype=float) / r.h / SCALE ** 2
-            second = np.triu(second) + np.triu(second, 1).T
-            rows.append((r.key, r.n, list(m), list(precision(factor * (second - np.outer(m, m))).reshape(-1))))
-        yield pd.DataFrame(rows, columns=["key", "n", "mean", "prec"])
-
-
-_PARAMS = "key string, n long, mean array<double>, prec array<double>"
+            m, prec = _moments(r, r.h, factor)
+            rows.append((r.key, r.start, r.n, list(m), list(prec.reshape(-1)), -np.linalg.slogdet(prec)[1]))
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame) -> DataFrame:
     """MCD estimates: key, n, mean, prec.  ``rows``: rid, level, key, x."""
     q = F.flatten(F.array(*[F.percentile(F.col("x")[i], F.array(*map(F.lit, (0.25, 0.5, 0.75)))) for i in range(_D)]))
-    params = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-                    .mapInPandas(_start, _PARAMS), "mcd-start")
-    for i in range(steps):
-        binned = stored(rows.join(params, "key").select(
-            "key", "n", "x", F.least(F.log2(1 + _distance()) * 64, F.lit(6400.0)).cast("int").alias("bin")), "mcd-bins")
+    s = F.array(*[F.sum(F.col("x")[i]) for i in range(_D)])
+    ss = F.array(*[F.sum((F.col("x")[i] * F.col("x")[j]).cast("decimal(30,0)")).cast("double")
+                   for i in range(_D) for j in range(i, _D)])
+    now = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), s.alias("s"), ss.alias("ss"))
+                 .mapInPandas(_start, _PARAMS), "mcd-start")
+    done = []
+    for _ in range(MOST_STEPS):
+        binned = stored(rows.join(now, "key").select(
+            "key", "start", "n", "x", F.least(F.log2(1 + _distance()) * 64, F.lit(6400.0)).cast("int").alias("bin")),
+            "mcd-bins")
         # written first: only then can Spark split the rows of a hot group in the join
-        limit = stored(binned.groupBy("key").agg(F.percentile("bin", F.lit(SUPPORT)).alias("limit")), "mcd-limit")
-        near = binned.join(limit, "key").where("bin <= limit")
-        sums = [F.sum(F.col("x")[i]) for i in range(_D)]
-        cross = [F.sum((F.col("x")[i] * F.col("x")[j]).cast("decimal(30,0)")) for i in range(_D) for j in range(i, _D)]
-        params = stored(near.groupBy("key").agg(
-            F.max("n").alias("n"), F.count(F.lit(1)).alias("h"), F.array(*sums).alias("s"),
-            F.array(*[c.cast("double") for c in cross]).alias("ss")).mapInPandas(_step, _PARAMS), "mcd-step")
-    return params
+        limit = stored(binned.groupBy("key", "start").agg(F.percentile("bin", F.lit(SUPPORT)).alias("limit")), "mcd-limit")
+        near = binned.join(limit, ["key", "start"]).where("bin <= limit")
+        new = stored(near.groupBy("key", "start").agg(
+            F.max("n").alias("n"), F.count(F.lit(1)).alias("h"), s.alias("s"), ss.alias("ss"))
+            .mapInPandas(_step, _PARAMS), "mcd-step")
+        both = new.join(now.select("key", "start", F.col("det").alias("was")), ["key", "start"])
+        falls = F.col("det") < F.col("was") - LEAST_FALL
+        done.append(now.join(both.where(~falls).select("key", "start"), ["key", "start"], "left_semi"))
+        now = stored(both.where(falls).select(*_COLUMNS), "mcd-going")
+        if not now.limit(1).count():
+            break
+    else:
+        done.append(now)
+    ends = done[0]
+    for d in done[1:]:
+        ends = ends.unionByName(d)
+    # equal determinants (to nine digits): the first start
+    best = F.min_by(F.struct("n", "mean", "prec"), F.struct(F.round("det", 9), "start")).alias("e")
+    return stored(ends.groupBy("key").agg(best).select("key", "e.*"), "mcd")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -55,6 +55,23 @@ EXTRA = (
 )
 
 
+#: a class of at most so many characters counts as that many alternatives
+SMALL_CLASS = 8
+
+
+def _members(items) -> list[str]:
+    """The characters of a class, or more than SMALL_CLASS if it is negated, a category or a wide range."""
+    out = []
+    for op, arg in items:
+        if str(op) == "LITERAL":
+            out.append(chr(arg))
+        elif str(op) == "RANGE" and arg[1] - arg[0] < SMALL_CLASS:
+            out += map(chr, range(arg[0], arg[1] + 1))
+        else:
+            return ["\0"] * (SMALL_CLASS + 1)
+    return sorted(set(out))
+
+
 def _runs(items) -> list[list[str]]:
     """Alternatives of a parsed regex, each the list of literal runs that any match of it contains.
 
@@ -72,6 +89,8 @@ def _runs(items) -> list[list[str]]:
         elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
             least = _runs(arg[2])
             parts = [r * min(arg[0], 8) + "\0" for r in least] if len(least) == 1 else [r + "\0" for r in least]
+        elif name == "IN" and len(few := _members(arg)) <= SMALL_CLASS:
+            parts = few or ["\0"]
         elif name == "AT":
             parts = [""]
         else:                                                # classes, optional parts, anything else
@@ -93,9 +112,10 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """(doc_id, gram): the index, restricted to the trigrams asked for."""
-    low = F.lower("text")
-    held = F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])
-    return docs.select("doc_id", F.explode(F.array_compact(held)).alias("gram"))
+    # an explode of one value settles it: each text is lower-cased once, not once per trigram
+    low = docs.select("doc_id", F.explode(F.array(F.lower("text"))).alias("low"))
+    held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])
+    return low.select("doc_id", F.explode(F.array_compact(held)).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules) -> DataFrame:

@@ -117,10 +117,48 @@ def test_op1_overlapping_sources(spark):
     rows = [(1, " ".join(w[:90])), (2, " ".join(w[60:150])), (3, " ".join(["x"] + w[:150] + ["y"])),
             (4, " ".join(w[:200])), (5, " ".join(w[::-1]))]
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True)
-    assert tuples(got.drop("kept_text")) == by_hand_1(rows)
+    assert tuples(got.drop("kept_text", "factors")) == by_hand_1(rows)
     assert {r.doc_id: r.kept_text for r in got.collect()}[3] == "x y"
 
 
+def check_factors(rows, got):
+    """Factors lie in earlier documents word by word, do not go on where they end, and cover what is removed."""
+    texts = collections.defaultdict(list)
+    for d, t in rows:
+        texts[d].append(WORD.findall(t or ""))
+    n = 0
+    for r in got:
+        gone, last = set(), None
+        for f in r.factors:
+            assert f.words >= 50 and f.source < r.doc_id
+            gone |= set(range(f.start, f.start + f.words))
+            own = next(w for w in texts[r.doc_id] if len(w) == r.n_words)
+            for i in range(f.words - 49):
+                at = f.source_start + i * f.step
+                assert any(w[at:at + 50] == own[f.start + i:f.start + i + 50] for w in texts[f.source])
+            goes_on = last and last.step == f.step == 1 and (
+                f.source, f.start, f.source_start) == (last.source, last.start + last.words - 49, last.source_start + last.words - 49)
+            assert not goes_on
+            last, n = f, n + 1
+        assert len(gone) == r.n_removed
+    return n
+
+
+def test_op1_factors(spark, odd):
+    importable(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert check_factors([(r.doc_id, r.text) for r in docs.collect()],
+                         substring_dedup.substring_dedup(docs, with_text=True).collect()) > 5
+    w = [f"v{i}" for i in range(300)]
+    rows = [(1, " ".join(w[:120])), (2, " ".join(w[100:220])), (3, " ".join(["x"] + w[:220] + ["y"] + w[:60])),
+            (4, " ".join(["s"] * 90)), (5, " ".join(["s"] * 400))]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert check_factors(rows, got) >= 4
+    third = next(r for r in got if r.doc_id == 3)
+    assert [(f.start, f.words, f.source, f.source_start) for f in third.factors] == [
+        (1, 120, 1, 0), (101, 120, 2, 0), (222, 60, 1, 0)]
+
+
 # ---- op2
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -225,6 +263,61 @@ def test_op3_estimates_ignore_partitioning(spark, odd):
     assert one == many
 
 
+def numpy_mcd(x: np.ndarray):
+    """(location, precision) of one group's integer vectors: all starts, steps until no determinant falls."""
+    q = quality_rules
+    v = x.astype(float) / q.SCALE
+    lo, mid, hi = (np.percentile(x, p, axis=0) / q.SCALE for p in (25, 50, 75))
+    spread = np.diag(1 / np.maximum((hi - lo) / 1.349, q.FLOOR) ** 2)
+    cov = v.T @ v / len(v) - np.outer(v.mean(axis=0), v.mean(axis=0))
+    best = None
+    for mean, prec in ((mid, spread), (v.mean(axis=0), q.precision(cov)), (mid, q.precision(cov))):
+        det = np.inf
+        for _ in range(q.MOST_STEPS):
+            d = np.einsum("ij,jk,ik->i", v - mean, prec, v - mean)
+            bins = np.minimum(np.log2(1 + d) * 64, 6400).astype(int)
+            near = v[bins <= np.percentile(bins, 100 * q.SUPPORT)]
+            m = near.mean(axis=0)
+            scatter = q.consistency(q.SUPPORT) * (near.T @ near / len(near) - np.outer(m, m))
+            p = q.precision(scatter)
+            new = -np.linalg.slogdet(p)[1]
+            if not new < det - q.LEAST_FALL:
+                break
+            mean, prec, det = m, p, new
+        if best is None or det < best[0] - 1e-9:
+            best = det, mean, prec
+    return best[1:]
+
+
+def test_op3_verdicts_equal_a_numpy_version(spark):
+    importable(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality_rules.measured(docs).collect()
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    groups = collections.defaultdict(list)
+    keys = lambda r: [("s", r.lang, r.source), ("l", r.lang), ("all",)]
+    langs = {r.doc_id: r for r in docs.select("doc_id", "lang", "source").collect()}
+    for r in rows:
+        if not r.base_failed:
+            for k in keys(langs[r.doc_id]):
+                groups[k].append(r.x)
+    made, judged = {}, 0
+    for r in rows:
+        if r.base_failed:
+            assert got[r.doc_id].distance is None and not got[r.doc_id].kept
+            continue
+        k = next(k for k in keys(langs[r.doc_id]) if len(groups[k]) >= quality_rules.LEAST)
+        if k not in made:
+            made[k] = numpy_mcd(np.array(groups[k]))
+        d = np.array(r.x) / quality_rules.SCALE - made[k][0]
+        distance = d @ made[k][1] @ d
+        assert got[r.doc_id].distance == pytest.approx(distance, rel=1e-3, abs=1e-3)
+        if abs(distance - quality_rules.CUTOFF) > 0.1:
+            assert got[r.doc_id].kept == (distance <= quality_rules.CUTOFF)
+        judged += 1
+    assert judged > 500 and len(made) >= 4
+
+
 # ---- op4
 
 class PlainPool:
@@ -442,6 +535,51 @@ def test_op7_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in df)
 
 
+def test_op7_matches_brute_force(spark):
+    """Counts, probabilities and scores of the whole method, gram by gram."""
+    importable(spark)
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    lower = language_id._lower_letters()
+
+    def grams(text):
+        cp = [int(lower[ord(c)]) if ord(c) <= 0xFFFF else (ord(c.lower()) if c.isalpha() and len(c.lower()) == 1
+                                                           else ord(c) if c.isalpha() else 0) for c in text or ""]
+        out = []
+        for n in language_id.SIZES:
+            for i in range(len(cp) - n + 1):
+                part = cp[i:i + n]
+                if any(part):
+                    h = n
+                    for c in part:
+                        h = (h * 0x100000001B3 + c) % 2**64
+                    h ^= h >> 30
+                    h = h * 0xBF58476D1CE4E5B9 % 2**64
+                    h ^= h >> 27
+                    h = h * 0x94D049BB133111EB % 2**64
+                    out.append((h ^ h >> 31) >> 50)
+        return out
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    counts, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for d, t, lang in docs:
+        if lang is not None and not held(d):
+            counts[lang].update(grams(t))
+            n_docs[lang] += 1
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + language_id.ALPHA * language_id.BUCKETS for x in langs}
+    got = {r.doc_id: r for r in run(spark, "op7_language_id").collect()}
+    for d, t, _ in docs[::4]:
+        g = collections.Counter(grams(t))
+        z = np.array([np.log(n_docs[x] / sum(n_docs.values())) + sum(
+            n * np.log((counts[x][b] + language_id.ALPHA) / total[x]) for b, n in g.items()) for x in langs])
+        best = int(np.argmax(z))
+        assert got[d].held_out == held(d)
+        if any(map(str.isalpha, t or "")):
+            assert got[d].lang_pred == langs[best]
+            assert got[d].score == pytest.approx(1 / np.exp(z - z.max()).sum(), abs=1e-3)
+        else:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+
+
 def test_op7_odd_and_empty(odd, none):
     got = language_id.identify(odd).collect()
     assert len(got) == len(odd_rows())
@@ -571,7 +709,12 @@ def test_op9_trigram_queries():
     assert q(r"AKIA[A-Z0-9]{14,}") == [frozenset({"aki", "kia"})]
     assert sorted(map(sorted, q(r"(token|api_?key)x*"))) == [["api", "key"], ["ken", "oke", "tok"]]
     assert q(r"(ab|token)c") == sorted([frozenset({"abc"}), frozenset({"tok", "oke", "ken", "enc"})], key=sorted)
-    assert q(r"(ab|token)[cd]") == []
+    assert sorted(map(sorted, q(r"(ab|token)[cd]"))) == [
+        ["abc"], ["abd"], ["enc", "ken", "oke", "tok"], ["end", "ken", "oke", "tok"]]
+    assert q(r"ab[a-z]") == [] and q(r"ab[^a]") == [] and q(r"ab\d") == []
+    by_kind = {r.kind: q(r.regex) for r in (*secret_scan.BASE, *secret_scan.EXTRA)}
+    assert len(by_kind["hosting"]) == 5 and frozenset({"ghp", "hp_"}) in by_kind["hosting"]
+    assert [k for k, clauses in by_kind.items() if not clauses] == ["hex"]
 
 
 # ---- op10
@@ -614,6 +757,18 @@ def test_op10_odd_and_empty(odd, none):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) | {None}
 
 
+def test_op10_blocks_follow_their_bytes(spark, monkeypatch):
+    """Long near copies get more and smaller blocks; every link is still found."""
+    importable(spark)
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1:])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect()}
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 20_000)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect()}
+    assert got == want == {i: (0, 59) for i in range(60)}
+
+
 def test_op10_chains_and_hot_buckets(spark):
     """A chain in which neighbours are similar and the ends are not, among many that share half their words."""
     importable(spark)
