@@ -4,6 +4,9 @@ A stage takes all rows its predecessor kept and returns the columns of
 ``documents``; the last one returns the tokenizer's result.  ``run`` writes each
 stage's rows to the shared checkpoint folder and reads them again.
 
+A document that loses all its words to line dedup is a copy of what earlier
+ones keep, and goes.
+
 Defined results: rows with null doc_id, null or empty text pass the stages
 unless the quality classifier rejects them; repeated rows are one document for
 the near-duplicate stage if they share a doc_id; other columns stay.  An empty
@@ -23,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.clean_documents(docs)
+    return line_dedup.clean_documents(docs, drop_emptied=True)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
