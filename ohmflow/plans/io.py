@@ -329,6 +329,18 @@ def q_append_readings(spark, d):
                        "reading_month")
 
 
+@query("lookup_readings", sql="WITH " + roles.READINGS_LI + """
+SELECT md5(CAST(experiment_id AS VARCHAR)) AS experiment_code, l_linenumber, l_partkey, l_suppkey, current, timestamp
+FROM rl WHERE md5(CAST(experiment_id AS VARCHAR)) = md5('42')""")
+def q_lookup_readings(spark, d):
+    """Q2/Q5: readings of one code, which is not the sort order; its bloom filters leave most row groups unread."""
+    r = readings_lineitem(spark, d).withColumn("experiment_code", F.md5(F.col("experiment_id").cast("string")))
+    cols = ["experiment_code", "l_linenumber", "l_partkey", "l_suppkey", "current", "timestamp"]
+    path = writers.append_readings(r.select(*cols), scratch_path(spark, "lookup"), key="l_linenumber",
+                                   lookup=("experiment_code",))
+    return spark.read.parquet(path).where(F.col("experiment_code") == F.md5(F.lit("42"))).select(*cols)
+
+
 @query("append_defaults", sql="WITH " + roles.DEVICES + """,
 h AS (SELECT *, md5('devices' || chr(31) || device_serial) AS m FROM devices)
 SELECT CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE concat_ws('-', substr(m, 1, 8), substr(m, 9, 4),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import shapes, stats
+from ..operators import profile, shapes, stats
+from ..session import scratch_path
 from ..sources.tables import readings_ivp, series_events, table
 from .registry import query, rounded
 
@@ -81,6 +82,26 @@ def q_column_profile(spark, d):
     return stats.column_profile(table(spark, d, "lineitem"))
 
 
+@query("column_profile_stored", sql=" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, COUNT({c}) AS non_null_count, "
+    f"COUNT(*) - COUNT({c}) AS null_count, true AS estimate_within_4_sigma FROM lineitem"
+    for i, (c, t) in enumerate(LINEITEM_TYPES)))
+def q_column_profile_stored(spark, d):
+    """A6 from stored sketches of files that arrive in two loads; the estimates beside the exact counts."""
+    li, root = table(spark, d, "lineitem"), scratch_path(spark, "profile")
+    for early in (True, False):
+        part = li.where(F.coalesce(F.col("l_linenumber") <= 3, F.lit(False)) == early)
+        part.write.mode("append").parquet(f"{root}/files")
+        profile.refresh_profile(spark, f"{root}/files", f"{root}/store")
+    got = profile.stored_profile(spark, f"{root}/store")
+    exact = stats.column_profile(li).select("position", F.col("distinct_count").alias("exact"))
+    off = F.abs(F.col("distinct_count") - F.col("exact"))
+    close = off <= F.ceil(F.col("exact") * 4 * profile.relative_error())
+    # both sides have one row per column
+    return got.join(F.broadcast(exact), "position").select(
+        "position", "column_name", "dtype", "non_null_count", "null_count", close.alias("estimate_within_4_sigma"))
+
+
 @query("frame_totals", sql="SELECT COUNT(*) AS row_count, 11 AS column_count, CAST("
        + " + ".join(f"(COUNT(*) - COUNT({c}))" for c, _ in LINEITEM_TYPES)
        + " AS BIGINT) AS null_cells, format('{:,}', COUNT(*)) AS row_count_text FROM lineitem")

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -66,10 +69,45 @@ def is_single_process(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("ohmflow_scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never reused)."""
+    """A fresh folder under the shared checkpoint folder (never reused).
+
+    The innermost ``scratch_scope`` of the caller owns it; outside of one it stays.
+    """
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/ohmflow-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/ohmflow-{name}-{uuid.uuid4().hex[:12]}"
+    owned = _scope.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove the scratch folders made inside the block when it ends, after an error too.
+
+    Operators return lazy results that read these folders, so write the result
+    (to a folder of your own) inside the block.  The block's value is the list of its
+    folders; one taken off the list stays.  A block inside another removes its
+    own folders only, and threads started inside own theirs.
+    """
+    owned: list[str] = []
+    token = _scope.set(owned)
+    try:
+        yield owned
+    finally:
+        _scope.reset(token)
+        for path in owned:
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system Spark reads it from; a missing one is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def enable_legacy_charsets(spark: SparkSession) -> None:

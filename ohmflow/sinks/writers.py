@@ -90,13 +90,17 @@ def append_readings(df: DataFrame, path: str, ts: str = "timestamp", key: str =
     partitioning on (period, key, ts): a busy month or a hot experiment is
     cut into many tasks, and files hold non-overlapping (key, ts) ranges.
     ``lookup`` columns get Parquet bloom filters, so that a search for one of
-    their values skips the row groups without it."""
+    their values skips the row groups without it; each filter has the size its
+    row group's number of values asks for (a fixed one would be 1 MB)."""
     col = f"reading_{period}"
     part = F.trunc(F.to_date(ts), "month") if period == "month" else F.to_date(ts)
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup}
+    if lookup:
+        blooms["parquet.bloom.filter.adaptive.enabled"] = "true"
     (df.withColumn(col, part)
        .repartitionByRange(col, key, ts)
        .sortWithinPartitions(col, key, ts)
-       .write.mode("append").options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup})
+       .write.mode("append").options(**blooms)
        .partitionBy(col).parquet(path))
     return path
 
