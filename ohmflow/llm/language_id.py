@@ -3,13 +3,17 @@
 Learning counts, for every language, how often each hashed n-gram (1 to 3 code
 points of the lower-cased text, everything that is no letter counting as one
 blank) stands in its documents: each task counts its partition into one vector
-per language and sends the non-zero cells, Spark adds them up.  The matrix of
-log probabilities has one row per language and ``BUCKETS`` columns; languages
-are counted first, and more than ``MAX_LANGS`` of them are refused, so the
-broadcast never exceeds MAX_LANGS * BUCKETS * 4 bytes (16 MB).
+per language (sent on before they are more than ``BLOCK_LANGS``) and sends the
+non-zero cells, Spark adds them up.  The matrix of log probabilities has one row
+per language and ``BUCKETS`` columns.  It is broadcast in blocks of
+``BLOCK_LANGS`` languages in alphabetical order, each of at most
+BLOCK_LANGS * BUCKETS * 4 bytes (16 MB), one after the other; so any number of
+languages is learned, and up to 256 take one pass.
 
 Prediction scores whole texts in numpy inside the tasks: a slice of rows gives
-its n-gram buckets, the matrix is gathered at them and summed per row.
+its n-gram buckets, the matrix is gathered at them and summed per row.  A block
+gives each row its best language, that one's log score and the log of the sum
+over the block; of several blocks Spark takes the best and adds the sums.
 
 Learned rows: ``lang`` known and crc32(doc_id as text) mod 5 not 0; the other
 fifth is held out.  A prediction reads the text alone.
@@ -22,19 +26,20 @@ learned and judged one by one; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .frames import table
+from .frames import stored, table
 
 BUCKETS = 1 << 14
 SIZES = (1, 2, 3)
-MAX_LANGS = 256
+BLOCK_LANGS = 256
 ALPHA = 0.5
 UNKNOWN = "und"
 
@@ -93,19 +98,7 @@ def _texts(batch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def _count(batches):
-    """(lang, bucket, n), and the number of documents in bucket -1, once per task."""
-    total: dict[str, np.ndarray] = {}
-    for batch in tk.chunked(batches, "text"):
-        langs, codes = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str),
-                                 return_inverse=True)
-        bucket, row, _ = grams(_texts(batch))
-        cells = np.bincount(codes[row] * BUCKETS + bucket, minlength=len(langs) * BUCKETS).reshape(len(langs), BUCKETS)
-        docs = np.bincount(codes, minlength=len(langs))
-        for i, lang in enumerate(langs):
-            v = total.setdefault(str(lang), np.zeros(BUCKETS + 1, dtype=np.int64))
-            v[:-1] += cells[i]
-            v[-1] += docs[i]
+def _cells(total: dict[str, np.ndarray]):
     for lang, v in total.items():
         at = np.flatnonzero(v)
         yield pa.RecordBatch.from_arrays([
@@ -113,58 +106,108 @@ def _count(batches):
             names=["lang", "bucket", "n"])
 
 
+def _counting(block: int):
+    def run(batches):
+        """(lang, bucket, n), and the number of documents in bucket -1; a language may come several times."""
+        total: dict[str, np.ndarray] = {}
+        for batch in tk.chunked(batches, "text"):
+            langs, codes = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str),
+                                     return_inverse=True)
+            bucket, row, _ = grams(_texts(batch))
+            codes_at = codes[row]
+            docs = np.bincount(codes, minlength=len(langs))
+            order = np.argsort(codes_at, kind="stable")
+            ends = tk.sums0(np.bincount(codes_at, minlength=len(langs)))
+            for i, lang in enumerate(langs):
+                if len(total) >= block and str(lang) not in total:
+                    yield from _cells(total)
+                    total = {}
+                v = total.setdefault(str(lang), np.zeros(BUCKETS + 1, dtype=np.int64))
+                v[:-1] += np.bincount(bucket[order[ends[i]:ends[i + 1]]], minlength=BUCKETS)
+                v[-1] += docs[i]
+        yield from _cells(total)
+    return run
+
+
 def held_out() -> Column:
     """True for the fifth of the documents that is not learned from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log priors, log probabilities) from the learned rows."""
+def learn(docs: DataFrame, block: int = BLOCK_LANGS) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(languages, log priors, log probabilities) from the learned rows, at most ``block`` languages at a time."""
     seen = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull()).select("lang", "text")
-    n = seen.select("lang").distinct().limit(MAX_LANGS + 1).count()
-    if n > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    cells = (seen.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket")
-             .agg(F.sum("n").alias("n")).toArrow())
-    if not cells.num_rows:
-        return [], np.zeros(0), np.zeros((0, BUCKETS), dtype=np.float32)
-    langs, code = np.unique(np.array(cells.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
-    bucket, count = cells.column("bucket").to_numpy(), cells.column("n").to_numpy().astype(float)
-    docs_of = np.zeros(len(langs))
-    docs_of[code[bucket < 0]] = count[bucket < 0]
-    m = np.full((len(langs), BUCKETS), ALPHA)
-    real = bucket >= 0
-    m[code[real], bucket[real]] += count[real]
-    return ([str(x) for x in langs], np.log(docs_of / docs_of.sum()),
-            np.log(m / m.sum(axis=1, keepdims=True)).astype(np.float32))
-
-
-def _predict(model):
+    cells = stored(seen.mapInArrow(_counting(block), "lang string, bucket int, n long").groupBy("lang", "bucket")
+                   .agg(F.sum("n").alias("n")), "language-cells")
+    # one row per language, numbered in order
+    place = F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / F.lit(block)).cast("int")
+    names = stored(cells.where("bucket = -1").select("lang", "n").withColumn("block", place), "languages")
+    n_docs, blocks = names.agg(F.sum("n"), F.max("block")).collect()[0]
+    for i in range(0 if blocks is None else blocks + 1):
+        part = cells.join(names.where(F.col("block") == i).select("lang"), "lang", "left_semi").toArrow()
+        langs, code = np.unique(np.array(part.column("lang").to_pylist(), dtype=object).astype(str),
+                                return_inverse=True)
+        bucket, count = part.column("bucket").to_numpy(), part.column("n").to_numpy().astype(float)
+        docs_of = np.zeros(len(langs))
+        docs_of[code[bucket < 0]] = count[bucket < 0]
+        m = np.full((len(langs), BUCKETS), ALPHA)
+        real = bucket >= 0
+        m[code[real], bucket[real]] += count[real]
+        yield ([str(x) for x in langs], np.log(docs_of / n_docs),
+               np.log(m / m.sum(axis=1, keepdims=True)).astype(np.float32))
+
+
+def _best(model):
     def run(batches):
         langs, prior, matrix = model.value
         for batch in tk.chunked(batches, "text"):
             bucket, row, has = grams(_texts(batch))
             n = batch.num_rows
-            if langs:
-                score = np.stack([np.bincount(row, weights=m[bucket], minlength=n) for m in matrix], axis=1) + prior
-                best = score.argmax(axis=1)
-                p = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
-                pred = [langs[b] if h else UNKNOWN for b, h in zip(best, has)]
-                p = np.where(has, p, 0.0)
-            else:
-                pred, p = [UNKNOWN] * n, np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"),
-                                              pa.array(pred, pa.string()), pa.array(p)],
-                                             names=["doc_id", "held_out", "lang_pred", "score"])
+            score = np.stack([np.bincount(row, weights=m[bucket], minlength=n) for m in matrix], axis=1) + prior
+            best, top = score.argmax(axis=1), score.max(axis=1)
+            total = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"],
+                pa.array([langs[b] if h else None for b, h in zip(best, has)], pa.string()),
+                pa.array(top), pa.array(total)],
+                names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "top", "total"])
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, block: int = BLOCK_LANGS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs))
-    return (docs.select("doc_id", held_out().alias("held_out"), "text")
-            .mapInArrow(_predict(model), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, "
-                                         "lang_pred string, score double"))
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, "
+    judged = "lang_pred string, top double, total double"
+    model, following = None, []
+    for model_of_block in learn(docs, block):
+        if model is None:
+            model = model_of_block
+            continue
+        if not following:                          # rows get a number that every block finds again
+            rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "language-rows")
+        shared = sc.broadcast(model_of_block)
+        following.append(stored(rows.select("row", "text").mapInArrow(_best(shared), "row long, " + judged),
+                                "language-block"))
+        shared.destroy()
+    if model is None:
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    first = rows.mapInArrow(_best(sc.broadcast(model)), kind + ("row long, " if following else "") + judged)
+    if following:
+        rest = [x.withColumns({"doc_id": F.lit(None).cast(dict(docs.dtypes)["doc_id"]),
+                               "held_out": F.lit(None).cast("boolean")}) for x in following]
+        each = reduce(DataFrame.unionByName, rest, first)
+        top = each.groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+            F.min_by("lang_pred", F.struct(-F.col("top"), F.col("lang_pred"))).alias("lang_pred"),
+            F.max("top").alias("top"), F.collect_list("total").alias("totals"))
+        m = F.array_max("totals")
+        first = top.withColumn("total", m + F.log(F.aggregate(
+            "totals", F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
+    known = F.col("lang_pred").isNotNull()
+    return first.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"),
+                        F.when(known, F.exp(F.col("top") - F.col("total"))).otherwise(0.0).alias("score"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

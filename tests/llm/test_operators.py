@@ -580,6 +580,21 @@ def test_op7_matches_brute_force(spark):
             assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
 
 
+def test_op7_blocks_of_languages(spark, odd, none):
+    """One language at a time, or three, gives what all of them at once give."""
+    importable(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    twenty = docs.where("lang is not null").withColumn("lang", F.concat("lang", F.crc32("text") % 4))
+    for df in (docs, twenty, odd):
+        want = sorted(map(str, ((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6))
+                                for r in language_id.identify(df).collect())))
+        for block in (1, 3):
+            got = sorted(map(str, ((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6))
+                                   for r in language_id.identify(df, block=block).collect())))
+            assert got == want
+    assert language_id.identify(none, block=1).collect() == []
+
+
 def test_op7_odd_and_empty(odd, none):
     got = language_id.identify(odd).collect()
     assert len(got) == len(odd_rows())
