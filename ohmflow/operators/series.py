@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, parse_timestamp
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
 from .ordering import BLK, IDX, attach, blocked, global_index, join_on_keys, ordered, row_number_in_key
 
 US = 1_000_000
@@ -93,7 +93,8 @@ def resample_mean(df: DataFrame, ts: str = "timestamp", freq: str | int | float
     nchunks = F.floor((F.col("_b1") - F.col("_b0")) / F.lit(SPINE_CHUNK)).cast("long")
     chunks = sp.select(*keys, "_origin", "_b0", "_b1",
                        F.explode(F.sequence(F.lit(0).cast("long"), nchunks)).alias("_c"))
-    chunks = chunks.repartition(*keys, "_c") if keys else chunks.repartition("_c")
+    # by number: without one, adaptive execution merges partitions by the bytes they have before the second explode
+    chunks = chunks.repartition(shuffle_partitions(df.sparkSession), *keys, "_c")
     lo = F.col("_b0") + F.col("_c") * F.lit(SPINE_CHUNK)
     hi = F.least(F.col("_b1"), lo + F.lit(SPINE_CHUNK - 1))
     spine = chunks.select(*keys, "_origin", F.explode(F.sequence(lo, hi)).alias("_bin"))

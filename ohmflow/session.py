@@ -136,9 +136,10 @@ def materialize(df, name: str = "stage"):
 
     Cuts the lineage (a lost executor re-reads the files instead of
     recomputing the plan) and lets several branches of a plan share one
-    columnar copy instead of recomputing their common input.
+    columnar copy instead of recomputing their common input.  The schema is
+    known, so no job reads it back from the files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import shuffle_partitions
 
 __all__ = ["synth_readings", "normal_pair"]
 
@@ -68,7 +69,8 @@ def synth_readings(drivers: DataFrame, series_id: str, start, duration: int = sc
     base = drivers.select(F.col(series_id).alias("series_id"), _num(voltage_nominal).alias("_vn"),
                           _num(current_nominal).alias("_in"))
     base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CHUNK))).alias("_c"))
-    base = base.repartition("series_id", "_c")
+    # by number: without one, adaptive execution merges partitions by the bytes they have before the points are made
+    base = base.repartition(shuffle_partitions(drivers.sparkSession), "series_id", "_c")
     lo = F.col("_c").cast("long") * F.lit(CHUNK)
     pts = base.select("series_id", "_vn", "_in",
                       F.explode(F.sequence(lo, F.least(lo + F.lit(CHUNK - 1), F.lit(n - 1)))).alias("_k"))
