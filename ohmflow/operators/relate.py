@@ -72,28 +72,33 @@ def verdict(experiments: DataFrame, measured: DataFrame, standards: DataFrame, e
     criterion holds if measure x is at most its limit, any other if the measure
     equals it.  One criterion that does not hold: fail; else one whose measure
     is missing, or no criterion at all: NULL (pending); else pass.  A measure
-    given several times counts with its worst outcome.  The criteria are the
-    fixed seed's, at most two a type.
+    given several times counts with its worst outcome; an experiment given
+    several times (same id and type) is one.  The criteria are the fixed seed's,
+    at most two a type, so measures are judged where they lie and only the
+    outcomes are grouped.
     """
-    e = experiments.select(F.col(exp_id).alias("_eid"), F.col(exp_type).alias("_etype"))
+    c = criteria(standards)
+    per_type = c.groupBy(F.col("test_type").alias("_ctype")).agg(
+        F.max("standard_code").alias("standard_code"), F.count("measure").alias("_criteria"))
     # the fixed seed standards: four rows
-    j = e.join(F.broadcast(criteria(standards)), F.col("_etype") == F.col("test_type"), "left")
-    number = F.col("value").try_cast("double")
-    m = measured.where(F.col("value").isNotNull()).groupBy(F.col(exp_id).alias("_mid"), F.col("measure").alias("_name")).agg(
-        F.max(number).alias("_most"), F.bool_or(number.isNull()).alias("_text"),
-        F.min("value").alias("_least"), F.max("value").alias("_last"))
-    j = j.join(m, (F.col("_eid") == F.col("_mid")) & (F.col("measure") == F.col("_name")), "left")
-    ok = F.when(F.col("upper").isNotNull(), ~F.col("_text") & (F.col("_most") <= F.col("upper"))
-                ).otherwise((F.col("_least") == F.col("wanted")) & (F.col("_last") == F.col("wanted")))
-    ok = F.when(F.col("_text").isNotNull(), F.coalesce(ok, F.lit(False)))
-    j = j.select("_eid", "_etype", "standard_code", "measure", ok.alias("_ok"))
-    agg = j.groupBy("_eid", "_etype").agg(
-        F.max("standard_code").alias("standard_code"), F.count("measure").alias("criteria"),
-        F.count("_ok").alias("criteria_checked"), F.bool_and("_ok").alias("_all"))
+    judged = measured.where(F.col("value").isNotNull()).select(
+        F.col(exp_id).alias("_mid"), F.col("measure").alias("_name"), "value").join(
+        F.broadcast(c), F.col("_name") == F.col("measure"))
+    holds = F.when(F.col("upper").isNotNull(), F.col("value").try_cast("double") <= F.col("upper")
+                   ).otherwise(F.col("value") == F.col("wanted"))
+    met = (judged.groupBy("_mid", "test_type", "standard_code", "measure", "upper", "wanted")
+           .agg(F.bool_and(F.coalesce(holds, F.lit(False))).alias("_ok"))
+           .groupBy("_mid", F.col("test_type").alias("_mtype"))
+           .agg(F.count("_ok").alias("_checked"), F.bool_and("_ok").alias("_all")))
+    e = experiments.select(F.col(exp_id).alias("_eid"), F.col(exp_type).alias("_etype")).distinct()
+    j = e.join(F.broadcast(per_type), F.col("_etype") == F.col("_ctype"), "left").join(
+        met, (F.col("_eid") == F.col("_mid")) & (F.col("_etype") == F.col("_mtype")), "left")
+    count = F.coalesce(F.col("_criteria"), F.lit(0)).alias("criteria")
+    checked = F.coalesce(F.col("_checked"), F.lit(0)).alias("criteria_checked")
     result = (F.when(~F.col("_all"), F.lit("fail"))
-              .when((F.col("criteria") > 0) & (F.col("criteria") == F.col("criteria_checked")), F.lit("pass")))
-    return agg.select(F.col("_eid").alias(exp_id), F.col("_etype").alias(exp_type), "standard_code", "criteria",
-                      "criteria_checked", result.alias("verdict"))
+              .when(F.col("_criteria") == F.col("_checked"), F.lit("pass")))
+    return j.select(F.col("_eid").alias(exp_id), F.col("_etype").alias(exp_type), "standard_code", count, checked,
+                    result.alias("verdict"))
 
 
 def breakdown_point(df: DataFrame, key: str, order: list[str], column: str, limit: float) -> DataFrame:
