@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from ohmflow.operators import browse, relate, shapes
+from ohmflow.operators import browse, relate, series, shapes
 from ohmflow.session import local_path, scratch_path
 from ohmflow.sinks import writers
 from ohmflow.sources import files as fsrc
@@ -55,8 +55,12 @@ def test_verdict_against_seed_standards(spark):
         (3, "leakage_current", "5"), (4, "leakage_current", "6"), (5, "leakage_25C", "3.5"), (5, "leakage_60C", "5.0"),
         (6, "shutdown_time", "30"), (6, "function_test", "pass"), (7, "shutdown_time", "31"),
         (7, "function_test", "pass"), (8, "protection_triggered", "true"), (8, "no_damage", "true"),
-        (8, "no_damage", "false")], "id int, measure string, value string")
-    got = {r.id: r.verdict for r in relate.verdict(exp, meas, relate.standards_frame(spark)).collect()}
+        (8, "no_damage", "false"), (1, "unasked", "9"), (2, None, "1"), (3, "breakdown", None)],
+        "id int, measure string, value string")
+    out = relate.verdict(exp.unionByName(exp), meas, relate.standards_frame(spark)).collect()     # repeated rows are one
+    assert len(out) == len(kinds)
+    assert {r.id: (r.criteria, r.criteria_checked) for r in out if r.id in (1, 3, 9)} == {1: (2, 2), 3: (2, 1), 9: (0, 0)}
+    got = {r.id: r.verdict for r in out}
     assert got == {1: "pass", 2: "fail", 3: None, 4: "fail", 5: "pass", 6: "pass", 7: "fail", 8: "fail", 9: None}
 
 
@@ -286,6 +290,18 @@ def test_synth_noise_ignores_partitioning(spark):
     assert len(sums) == 1 and next(iter(sums))[0] == 6000
 
 
+def test_points_and_bins_are_spread(spark):
+    """Few small rows make many: adaptive execution must not merge their partitions by the bytes before."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = synth_readings(spark.range(200).select(F.col("id").alias("sid")), "sid", "2024-01-01")
+    assert out.select(F.spark_partition_id()).distinct().count() == n
+    ends = spark.sql("select id as k, timestampadd(HOUR, id % 2 * 20, timestamp_ntz '2024-01-01') as ts, 1.0D as v "
+                     "from range(200)").withColumn("k", F.col("k") - F.col("k") % 2)
+    bins = series.resample_mean(ends, "ts", "1S", keys=["k"], values=["v"])
+    assert bins.count() == 100 * (20 * 3600 + 1)
+    assert "REPARTITION_BY_NUM" in bins._jdf.queryExecution().toString()
+
+
 def _stream_run(spark, root, schema, delay, per_trigger=None):
     s = live.file_stream(spark, root + "/in", schema, max_files_per_trigger=per_trigger)
     m = live.tumbling_mean(s, "ts", ["k"], "value", delay=delay)
