@@ -126,37 +126,128 @@ def _headers(splits: DataFrame, fallback: str) -> DataFrame:
                       F.regexp_replace(_text(F.col("h.raw"), F.col("utf8"), fallback), "^\ufeff", "").alias("_header"))
 
 
+def _split_readers():
+    """Functions for ``mapInArrow`` over the lines of torn splits (a split's lines follow each other in one task).
+
+    ``last_begins``: per split its last line that begins a record.  ``joiner(edges)``: the whole records inside
+    the splits, or what each split holds of records that run into it (``n`` NULL) or on past its end (``n`` of
+    their first line).  Nested, so that workers need not import this package.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def by_split(batch):
+        """A batch in slices of one split each, with the split."""
+        rows = batch.num_rows
+        differ = np.zeros(max(rows - 1, 0), bool)
+        for c in ("source_file", "block") if rows else ():
+            v = batch[c]
+            differ |= pc.not_equal(v.slice(1), v.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), rows] if rows else []
+        for i, j in zip(cuts, cuts[1:]):
+            part = batch.slice(i, j - i)
+            yield (part["source_file"][0].as_py(), part["block"][0].as_py()), part
+
+    def stepped(part, inside):
+        """The lines of a slice that begin a record, and whether a quoted cell is open after it."""
+        odd = part["odd"].to_numpy()
+        state = inside + np.cumsum(odd)
+        return np.flatnonzero((state - odd) % 2 == 0), int(state[-1]) % 2
+
+    def rows(split, **columns):
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_pydict({"source_file": pa.repeat(pa.scalar(split[0], pa.string()), size),
+                                           "block": pa.repeat(pa.scalar(split[1], pa.int64()), size), **columns})
+
+    def last_begins(batches):
+        split, inside, last = None, 0, None
+        for batch in batches:
+            for at, part in by_split(batch):
+                if at != split:
+                    if split:
+                        yield rows(split, last=pa.array([last], pa.int64()))
+                    split, inside, last = at, part["start"][0].as_py(), None
+                begins, inside = stepped(part, inside)
+                last = part["n"][int(begins[-1])].as_py() if begins.size else last
+        if split:
+            yield rows(split, last=pa.array([last], pa.int64()))
+
+    def joiner(edges):
+        def one(split, n, lines):
+            return rows(split, n=pa.array([n], pa.int64()), raw=pa.array([b"\n".join(lines)], pa.binary()))
+
+        def join(batches):
+            # the record that was begun last in the split (n None: before the split), and its lines so far
+            split, inside, n, lines = None, 0, None, []
+            for batch in batches:
+                for at, part in by_split(batch):
+                    if at != split:
+                        if lines and edges == (inside == 1 or n is None):
+                            yield one(split, n, lines)
+                        split, inside, n, lines = at, part["start"][0].as_py(), None, []
+                    begins, inside = stepped(part, inside)
+                    raw = part["raw"]
+                    lines += raw.slice(0, int(begins[0]) if begins.size else len(raw)).to_pylist()
+                    if not begins.size:
+                        continue
+                    if lines and edges == (n is None):
+                        yield one(split, n, lines)
+                    if begins.size > 1 and not edges:
+                        first, end = int(begins[0]), int(begins[-1])
+                        each = pa.ListArray.from_arrays(pa.array(begins - first, pa.int32()),
+                                                        raw.slice(first, end - first).cast(pa.binary()))
+                        yield rows(split, n=part["n"].take(pa.array(begins[:-1])), raw=pc.binary_join(each, b"\n"))
+                    n, lines = part["n"][int(begins[-1])].as_py(), raw.slice(int(begins[-1])).to_pylist()
+            if lines and edges == (inside == 1 or n is None):
+                yield one(split, n, lines)
+        return join
+    return last_begins, joiner
+
+
 def _records(raw: DataFrame, splits: DataFrame, spark: SparkSession) -> DataFrame:
-    """(source_file, pos, raw, open): whole records; ``open`` ones are the lines of one that never ends."""
+    """(source_file, pos, raw, open): whole records; ``open`` ones are the lines of one that never ends.
+
+    A split's lines are read in their order by one task, which joins the records
+    inside it; only the two edges of a split meet in a shuffle.
+    """
     inside = F.col("quotes_before") % 2
     torn = splits.where((F.col("odd") > 0) | (inside == 1)).select(
-        "source_file", "block", inside.alias("start"))
+        "source_file", "block", inside.cast("int").alias("start"), ((inside + F.col("quotes")) % 2).alias("leaves"))
     pos = F.struct("block", "n").alias("pos")
     if not torn.limit(1).count():
         return raw.select("source_file", pos, "raw", F.lit(False).alias("open"))
     torn = materialize(torn, "torn-splits")
-    whole = raw.join(torn.select("source_file", "block"), ["source_file", "block"], "left_anti").select(
+    last_begins, joiner = _split_readers()
+    split = ["source_file", "block"]
+    odd = (_quotes(F.col("raw")) % 2).cast("int").alias("odd")
+    # broadcasts of one row per split: the lines stay in the order of their split
+    whole = raw.join(F.broadcast(torn.select(*split)), split, "left_anti").select(
         "source_file", pos, "raw", F.lit(False).alias("open"))
-    in_split = Window.partitionBy("source_file", "block").orderBy("n")
-    before = F.coalesce(F.sum(_quotes(F.col("raw"))).over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = raw.join(torn, ["source_file", "block"]).withColumn("_begins", (F.col("start") + before) % 2 == 0)
-    own = F.last(F.when(F.col("_begins"), pos), ignorenulls=True).over(in_split.rowsBetween(Window.unboundedPreceding, 0))
-    lines = materialize(lines.select("source_file", "block", "n", "raw", own.alias("own")), "torn-lines")
+    last = materialize(raw.join(F.broadcast(torn.drop("leaves")), split).select(*split, "n", "start", odd).mapInArrow(
+        last_begins, "source_file string, block long, last long"), "last-begins")
     # the record that runs into a split: the last that begins in a split before it (one row per split)
-    last = lines.groupBy("source_file", "block").agg(F.max("own").alias("_last"))
     past = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select("source_file", "block", F.last("_last", ignorenulls=True).over(past).alias("carry"))
-    odd = (splits.groupBy("source_file").agg((F.sum("quotes") % 2).alias("_odd")).where("_odd = 1")
-           .join(last.groupBy("source_file").agg(F.max("_last").alias("_end")), "source_file"))
-    lines = (lines.join(carry, ["source_file", "block"]).join(odd.drop("_odd"), "source_file", "left")
-             .withColumn("rec", F.coalesce("own", "carry")))
-    endless = F.coalesce(F.col("rec") == F.col("_end"), F.lit(False))
-    joined = lines.where(~endless).groupBy("source_file", "rec").agg(
-        F.array_sort(F.collect_list(F.struct("block", "n", "raw"))).alias("_l"))
+    own = F.when(F.col("last").isNotNull(), F.struct("block", F.col("last").alias("n")))
+    ends = (splits.groupBy("source_file").agg((F.sum("quotes") % 2).alias("_odd")).where("_odd = 1")
+            .join(last.groupBy("source_file").agg(F.max(own).alias("_end")), "source_file").drop("_odd"))
+    known = materialize(torn.join(last.select(*split, F.last(own, ignorenulls=True).over(past).alias("carry")), split)
+                        .join(ends, "source_file", "left"), "torn-records")
+    endless = F.coalesce(F.struct("block", "n") >= F.col("_end"), F.lit(False))
+    lines = raw.join(F.broadcast(known.select(*split, "start", "leaves", "_end")), split)
+    left = lines.where(endless).select("source_file", pos, "raw", F.lit(True).alias("open"))
+    lines = lines.where(~endless)
+    parts = "source_file string, block long, n long, raw binary"
+    line = [*split, "n", "start", odd, F.col("raw").cast("binary").alias("raw")]
+    inner = lines.select(*line).mapInArrow(joiner(False), parts).select(
+        "source_file", pos, F.col("raw").cast("string").alias("raw"), F.lit(False).alias("open"))
+    edges = materialize(lines.where("start = 1 or leaves = 1").select(*line).mapInArrow(joiner(True), parts), "torn-edges")
+    rec = F.coalesce(F.when(F.col("n").isNotNull(), F.struct("block", "n")), F.col("carry"))
+    joined = (edges.join(F.broadcast(known.select(*split, "carry")), split).groupBy("source_file", rec.alias("rec"))
+              .agg(F.array_sort(F.collect_list(F.struct("block", F.col("raw").cast("string").alias("raw")))).alias("_l")))
     joined = joined.select("source_file", F.col("rec").alias("pos"), F.array_join("_l.raw", "\n").alias("raw"),
                            F.lit(False).alias("open"))
-    left = lines.where(endless).select("source_file", pos, "raw", F.lit(True).alias("open"))
-    return whole.unionByName(joined).unionByName(left)
+    return whole.unionByName(inner).unionByName(joined).unionByName(left)
 
 
 def _misquoted(line: Column, sep: str) -> Column:
@@ -185,8 +276,10 @@ def _delimited(spark: SparkSession, path: str, glob: str | None, sep: str, fallb
     places = [[head.index(c) if c in head else -1 for c in names] for head in heads]
     known = spark.createDataFrame(list(zip(layouts, places, map(len, heads))),
                                   "_layout string, _at array<int>, _width int")
-    files = files.join(F.broadcast(known), F.col("_header") == F.col("_layout")).select(
-        "_f", "utf8", "_hpos", *(["_at", "_width"] if len(heads) > 1 else []))
+    # one row per file, of a size that Spark knows: small ones are broadcast, no line is shuffled for them
+    files = files.select("_f", "utf8", "_hpos") if len(heads) <= 1 else materialize(
+        files.join(F.broadcast(known), F.col("_header") == F.col("_layout")).select(
+            "_f", "utf8", "_hpos", "_at", "_width"), "file-layouts")
     body = _records(raw, splits, spark).join(files, F.col("source_file") == F.col("_f"))
     line = _text(F.col("raw"), F.col("utf8"), fallback)
     body = body.where(F.col("pos") > F.col("_hpos")).drop("_f", "pos", "_hpos").withColumn("line", line)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from ohmflow.operators import browse, relate, series, shapes
-from ohmflow.session import local_path, scratch_path
+from ohmflow.session import local_path, scratch_path, scratch_scope
 from ohmflow.sinks import writers
 from ohmflow.sources import files as fsrc
 from ohmflow.sources.synth import synth_readings
@@ -168,6 +168,25 @@ def test_csv_quoted_records_over_lines_and_splits(spark, split):
     assert sorted((a, b, c or None) for a, b, c in got) == sorted(want, key=lambda r: (r[0], r[1], r[2] or ""))
 
 
+def test_quoted_records_are_joined_where_they_lie(spark):
+    """Of lines in quoted cells only the edges of splits are stored or shuffled; records may run over Arrow batches."""
+    root = local_path(scratch_path(spark, "t-edges"))
+    put(root, "a.csv", "k,b\n" + "".join(f'{i},"x\n""{i}\n"\n' for i in range(2000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(old, ("5000", "7")):
+            spark.conf.set(k, v)
+        with scratch_scope(spark) as folders:
+            got = sorted((r.k, r.b) for r in fsrc.scan_csv(spark, root).collect())
+            kept = sum(spark.read.parquet(f).count() for f in folders if "-torn-" in f)
+            splits = sum(spark.read.parquet(f).count() for f in folders if "-splits-" in f)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(i, f'x\n"{i}\n') for i in range(2000)]
+    assert splits > 3 and kept <= 4 * splits
+
+
 def test_torn_records_are_rejected_or_raise(spark):
     root = local_path(scratch_path(spark, "t-torn"))
     put(root, "open.csv", 'k,b\n1,ok\n2,"fine\nhere"\n3,"never ends\n4,x\n5,y\n')
