@@ -9,11 +9,15 @@ skewed partitions otherwise.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import nan_to_null
+from ..session import shuffle_partitions
 from .ordering import global_index, row_number_in_key
 
 __all__ = ["writers_only", "detail", "orphans", "cascade_delete", "standards_frame", "criteria", "verdict",
@@ -34,16 +38,34 @@ def detail(child: DataFrame, parent: DataFrame, fk: str, pk: str, prefix: str =
     return child.join(p, F.col(fk) == F.col(prefix + pk), "left")
 
 
+#: parents beyond which their keys are a table of hashes, and children are not sorted
+HASHED_PARENTS = 1 << 20
+
+
+def _without(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
+    """Child rows whose FK is no parent's.
+
+    Many parents: each task holds its share of their keys in a table of hashes,
+    about HASHED_PARENTS at most, and the children stream past it, however many
+    they are (a sort would hold them all).  Few: left to AQE, which broadcasts them.
+    """
+    keys = parent.select(F.col(pk).alias("_pk"))
+    shares = math.ceil(keys.count() / HASHED_PARENTS)
+    if shares > shuffle_partitions(child.sparkSession):
+        keys = keys.repartition(shares, "_pk")
+    if shares > 1:
+        keys = keys.hint("shuffle_hash")
+    return child.join(keys, F.col(fk) == F.col("_pk"), "left_anti")
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Child rows whose non-null FK has no parent (what the FK would refuse)."""
-    keys = parent.select(F.col(pk).alias("_pk"))
-    return child.where(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("_pk"), "left_anti")
+    return _without(child.where(F.col(fk).isNotNull()), parent, fk, pk)
 
 
 def cascade_delete(child: DataFrame, deleted_parents: DataFrame, fk: str, pk: str) -> DataFrame:
     """Children remaining after their parents are deleted (ON DELETE CASCADE)."""
-    gone = deleted_parents.select(F.col(pk).alias("_pk"))
-    return child.join(gone, F.col(fk) == F.col("_pk"), "left_anti")
+    return _without(child, deleted_parents, fk, pk)
 
 
 def standards_frame(spark: SparkSession) -> DataFrame:

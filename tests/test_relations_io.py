@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
 import os
 
 import pytest
@@ -47,6 +49,39 @@ def test_cascade_and_orphans(spark):
     assert sorted((r.experiment_id or 0, r.seq) for r in left.collect()) == [(0, 1), (2, 1), (3, 1)]
 
 
+def test_many_parents_are_hashed_not_sorted(spark, monkeypatch):
+    """Children stream past their parents' keys; repeated and null keys change nothing."""
+    kids = spark.createDataFrame([(i, None if i % 7 == 0 else i % 90) for i in range(500)], "id long, fk long")
+    parents = spark.createDataFrame([(i % 80,) for i in range(200)] + [(None,)], "pk long")
+    want = sorted(i for i in range(500) if i % 7 and i % 90 >= 80)
+    for most in (relate.HASHED_PARENTS, 100, 5):            # broadcast, hashed, hashed in more shares
+        monkeypatch.setattr(relate, "HASHED_PARENTS", most)
+        out = relate.orphans(kids, parents, "fk", "pk")
+        assert sorted(r.id for r in out.collect()) == want
+        left = relate.cascade_delete(kids, parents, "fk", "pk")
+        assert left.count() == len(want) + sum(i % 7 == 0 for i in range(500))
+        plan = plan_text(out)
+        assert most > 200 or ("ShuffledHashJoin" in plan and "SortMergeJoin" not in plan)
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def plan_text(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_verdict_groups_experiments_once(spark):
+    """One group per experiment, of flags alone: no group per measure, no sort for a minimum of texts."""
+    from ohmflow.plans import relate as plans
+    exp = spark.createDataFrame([("a", "leakage")], "id string, experiment_type string")
+    meas = spark.createDataFrame([("a", "leakage_25C", "1")], "id string, measure string, value string")
+    plan = plan_text(relate.verdict(exp, meas, relate.standards_frame(spark)))
+    assert "keys=[id" in plan and "measure" not in "".join(x for x in plan.split("keys=[")[1:] if x.startswith("_mid"))
+    assert "upper" not in plan and "SortAggregate" not in plan_text(plans._measures(spark, SF_SMALL))
+
+
 def test_verdict_against_seed_standards(spark):
     kinds = ["dielectric"] * 4 + ["leakage", "normal", "normal", "abnormal", "simulation"]
     exp = spark.createDataFrame(list(enumerate(kinds, 1)), "id int, experiment_type string")
