@@ -97,9 +97,11 @@ def _splits(raw: DataFrame, sep: str, fallback: str, marker: str | None) -> Data
         seen = F.contains(F.col("raw").cast("binary"), F.lit(marker.encode(encoding)))
         return F.min(F.when(F.when(seen, _has_cell(text, sep, marker)), here))
     q = _quotes(F.col("raw"))
+    # collect_set (two values at most) makes Spark aggregate in a map of splits; with minima of texts alone it
+    # would sort all lines of a task first
     per = raw.groupBy("source_file", "block").agg(
         F.min("n").alias("n0"), F.count(F.lit(1)).alias("lines"), F.sum(q).alias("quotes"),
-        F.count_if(q % 2 == 1).alias("odd"), F.bool_and(F.is_valid_utf8("raw")).alias("utf8"),
+        F.count_if(q % 2 == 1).alias("odd"), (~F.array_contains(F.collect_set(F.is_valid_utf8("raw")), False)).alias("utf8"),
         F.min(here).alias("first"), marked("utf-8", F.col("raw")).alias("m_utf8"),
         marked(fallback, F.decode(F.col("raw").cast("binary"), fallback)).alias("m_other"))
     past = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, rows
 from ohmflow.operators import browse, relate, series, shapes
 from ohmflow.session import local_path, scratch_path, scratch_scope
 from ohmflow.sinks import writers
@@ -222,6 +222,38 @@ def test_quoted_records_are_joined_where_they_lie(spark):
     assert splits > 3 and kept <= 4 * splits
 
 
+def test_lines_are_neither_sorted_nor_shuffled(spark, monkeypatch):
+    """Splits are summed up in a map, and files of several layouts join their lines without a shuffle of these."""
+    root = local_path(scratch_path(spark, "t-layouts"))
+    for i, head in enumerate(("a,b", "b,a", "a,c")):
+        put(root, f"{i}.csv", f"{head}\n" + "x,y\n" * 50)
+    plans, store = {}, fsrc.materialize
+    monkeypatch.setattr(fsrc, "materialize", lambda df, name="stage": (plans.update({name: plan_text(df)}), store(df, name))[1])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+        out = fsrc.scan_csv(spark, root, infer=False)
+        assert "SortMergeJoin" not in plan_text(out) and "Exchange hash" not in plan_text(out)
+        assert {(r.a, r.b, r.c): r["count"] for r in out.groupBy("a", "b", "c").count().collect()} == {
+            ("x", "y", None): 50, ("y", "x", None): 50, ("x", None, "y"): 50}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ObjectHashAggregate" in plans["splits"] and " SortAggregate" not in plans["splits"]
+
+
+def test_quote_rejects_in_files_of_bounded_length(spark, monkeypatch):
+    """However many lines an item number has, a file (and the task that sorts it) holds about QUOTE_LINES of them."""
+    from ohmflow.plans import io as plans
+    want = rows(plans.q_scan_quote_rejects(spark, SF_SMALL))
+    monkeypatch.setattr(plans, "QUOTE_LINES", 100)
+    with scratch_scope(spark) as folders:
+        got = rows(plans.q_scan_quote_rejects(spark, SF_SMALL))
+        top = next(f for f in folders if "-quotes-" in f)
+        longest = spark.read.option("recursiveFileLookup", "true").text(top).groupBy(F.input_file_name()).count()
+        most = longest.agg(F.max("count")).collect()[0][0]
+    assert got == want and most < 300
+
+
 def test_torn_records_are_rejected_or_raise(spark):
     root = local_path(scratch_path(spark, "t-torn"))
     put(root, "open.csv", 'k,b\n1,ok\n2,"fine\nhere"\n3,"never ends\n4,x\n5,y\n')
