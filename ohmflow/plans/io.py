@@ -8,11 +8,13 @@ reads back, so the oracle compares the round trip with the table itself.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import strict_double
 from ..operators import quality
-from ..session import enable_legacy_charsets, scratch_path
+from ..session import enable_legacy_charsets, scratch_path, shuffle_partitions
 from ..sinks import writers
 from ..sources import files as fsrc
 from ..sources.synth import PLACE, PRIME, ROUNDS, synth_readings
@@ -182,6 +184,10 @@ def q_scan_csv_quoted(spark, d):
     return fsrc.scan_csv(spark, root).drop("source_file")
 
 
+#: lines of a file with quotes that do not fit
+QUOTE_LINES = 1 << 20
+
+
 @query("scan_quote_rejects", sql="""
 SELECT reason, COUNT(*) AS n FROM (
     SELECT CASE WHEN l_linenumber = 7 THEN 'misplaced quote' ELSE 'unclosed quote' END AS reason FROM lineitem
@@ -189,17 +195,22 @@ SELECT reason, COUNT(*) AS n FROM (
 def q_scan_quote_rejects(spark, d):
     """S3: records whose quotes do not fit are refused one by one, the others of their files loaded.
 
-    One file per item number: of the seventh items every cell has a stray quote in it; the sixth
-    items' first cell opens a quote that never ends."""
+    One file per item number and million lines: of the seventh items every cell has a stray quote in
+    it; the sixth items' first cell opens a quote that never ends."""
     li, root = table(spark, d, "lineitem"), scratch_path(spark, "quotes")
-    n = F.col("l_linenumber")
+    n, many = F.col("l_linenumber"), li.groupBy("l_linenumber").count()
+    files = many.select(F.max("count")).collect()[0][0] or 0             # lines of the longest
+    files = math.ceil(files / QUOTE_LINES) or 1
+    li = li.withColumn("part", F.pmod(F.xxhash64("l_orderkey", "l_partkey"), F.lit(files)))
     line = F.concat(F.col("l_orderkey").cast("string"), F.lit(","), F.when(n == 7, F.lit('"a" b"c, "d""')).otherwise("l_returnflag"))
-    header = li.select("l_linenumber").distinct().select(n, F.lit(0).alias("_o"), F.lit("key,flag").alias("value"))
-    start = header.where(n == 6).select(n, F.lit(1).alias("_o"), F.lit('"never').alias("value"))
-    body = li.select(n, F.lit(2).alias("_o"), line.alias("value"))
+    header = li.select("l_linenumber", "part").distinct().select(
+        n, "part", F.lit(0).alias("_o"), F.lit("key,flag").alias("value"))
+    start = header.where(n == 6).select(n, "part", F.lit(1).alias("_o"), F.lit('"never').alias("value"))
+    body = li.select(n, "part", F.lit(2).alias("_o"), line.alias("value"))
     every = header.unionByName(start).unionByName(body)
-    (every.repartition("l_linenumber").sortWithinPartitions("l_linenumber", "_o", "value").drop("_o")
-     .write.partitionBy("l_linenumber").text(root))
+    (every.repartition(max(shuffle_partitions(spark), 7 * files), "l_linenumber", "part")
+     .sortWithinPartitions("l_linenumber", "part", "_o", "value").drop("_o")
+     .write.partitionBy("l_linenumber", "part").text(root))
     _, rejected = fsrc.scan_batch(spark, root, accept=".txt")
     return rejected.where("line <> '\"never'").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
