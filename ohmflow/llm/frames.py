@@ -44,6 +44,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: ``maybe_in`` gives each key so many bits, in slots of the size that ``bitmap_construct_agg`` has; it
+#: broadcasts 32 MB of slots at most, and with more keys lets more other rows pass
+BITS_PER_KEY, SLOT_BITS, MOST_SLOTS = 32, 32768, 8192
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` and the boolean ``name``: false only where ``key``, a 64-bit hash, is not in the column ``key`` of ``keys``.
+
+    A broadcast bitmap of the hashes, so no row of ``df`` is shuffled.  ``keys`` is read
+    twice and should be stored.  At 32 bits a key 3 % of the other rows are true as
+    well; whoever asks has to look again.
+    """
+    slots = min(MOST_SLOTS, keys.count() * BITS_PER_KEY // SLOT_BITS + 1)
+    place = [F.expr(f"pmod(`{key}`, {slots * SLOT_BITS}L) div {SLOT_BITS}").alias("_slot"),
+             F.expr(f"pmod(`{key}`, {slots * SLOT_BITS}L) % {SLOT_BITS}").alias("_bit")]
+    bits = (keys.select(*place).repartition("_slot").groupBy("_slot")
+            .agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    byte = "cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    return (df.select("*", *place).join(F.broadcast(bits), "_slot", "left")
+            .withColumn(name, F.expr(f"coalesce(getbit({byte}, cast(_bit % 8 as int)) = 1, false)"))
+            .drop("_slot", "_bit", "_bits"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``links``: (node, comp), comp the smallest node.
 

@@ -12,6 +12,11 @@ byte by byte: they are grouped by (hash, text), so different chunks with one
 hash never meet.  Counts and first places are combined before the shuffle; the
 chunks of one group are never gathered.
 
+Texts of other chunks, and documents that lose no chunk, are never shuffled:
+broadcast bitmaps of bounded size (``frames.maybe_in``) tell them apart where
+they are read.  A text of a repeated hash is shuffled once, to be compared;
+where all texts of a hash are equal, places are then joined by hash alone.
+
 Defined results: null text stays null and has no lines; a text whose chunks are
 all removed becomes empty; repeats inside one document are removed too; single
 lines are never removed.  Rows with null doc_id come first; rows with one
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stored, table
+from .frames import maybe_in, stored, table
 
 MODULUS = 3
 BASE = 31
@@ -53,20 +58,33 @@ def _cut(df: DataFrame) -> DataFrame:
                                          e - if(k = 0, 0, _ends[greatest(k - 1, 0)])))"""))
 
 
+def _hash(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
 def removed_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, row, gone): numbers of the chunks to remove from each document; row is the text's hash."""
     each = (_cut(docs.select("doc_id", "text").where("text is not null"))
             .select("doc_id", F.xxhash64("text").alias("row"), F.posexplode("_chunks").alias("k", "lines"))
             .where(F.size("lines") > 1).withColumn("chunk", F.array_join("lines", "\n"))
             .where(F.rlike("chunk", F.lit(r"[^ \t-\r]"))))
-    keyed = each.select("doc_id", "row", "k", F.xxhash64("chunk").alias("h"), "chunk")
+    keyed = each.select("doc_id", "row", "k", _hash("chunk").alias("h"), "chunk")
     # the small side of each join is written first: only then can Spark split a hot key's side
     seen = stored(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "line-seen")
-    again = stored(keyed.join(seen, "h", "left_semi"), "line-chunks")
+    # the few chunks that stand once and still pass are first, and stay
+    again = stored(maybe_in(keyed, "h", seen, "maybe").where("maybe").drop("maybe"), "line-chunks")
     place = F.struct("doc_id", "row", "k")
-    first = stored(again.groupBy("h", "chunk").agg(F.min(place).alias("first")), "line-first")
-    later = again.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "row").agg(F.collect_set("k").alias("gone"))
+    first = again.groupBy("h", "chunk").agg(F.min(place).alias("first"))
+    hashes = stored(first.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")),
+                    "line-first")
+    where, later = again.select("doc_id", "row", "k", "h"), ~place.eqNullSafe(F.col("first"))
+    gone = where.join(hashes.where("texts = 1"), "h").where(later).select("doc_id", "row", "k")
+    mixed = hashes.where("texts > 1").select("h")
+    if not mixed.isEmpty():                                  # different texts with one hash
+        several = stored(again.join(mixed, "h", "left_semi"), "line-mixed")
+        first = stored(several.groupBy("h", "chunk").agg(F.min(place).alias("first")), "line-first")
+        gone = gone.unionByName(several.join(first, ["h", "chunk"]).where(later).select("doc_id", "row", "k"))
+    return stored(gone.groupBy("doc_id", "row").agg(F.collect_set("k").alias("gone")), "line-gone")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -75,17 +93,23 @@ def line_dedup(docs: DataFrame) -> DataFrame:
                                        F.col("gone").alias("_gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        "text", F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"))
-    both = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
+    rows = maybe_in(rows.withColumn("_h", _hash("_doc", "_key")), "_h",
+                    gone.select(_hash("_id", "_row").alias("_h")), "_maybe").drop("_h")
+
+    def counted(df: DataFrame, lines: Column, text: Column, removed: Column) -> DataFrame:
+        lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.coalesce(lines, F.lit(0)))
+        return df.select("row", text.alias("text"), lines.cast("long").alias("n_lines"),
+                         removed.cast("long").alias("n_removed"))
+    whole = counted(rows.where("not _maybe"), F.size(F.split("text", "\n", -1)), F.col("text"), F.lit(0))
+    both = (rows.where("_maybe").drop("_maybe")
+            .join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left"))
     kept = _settled(_cut(both), "_kept", F.expr("""
         flatten(transform(filter(transform(_chunks, (c, k) -> struct(k as k, c as c)),
                                  x -> not array_contains(_gone, x.k)), x -> x.c))"""))
-    lines = F.coalesce(F.size("_lines"), F.lit(0))
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).cast("long")
     touched = F.col("_gone").isNotNull()
-    return kept.select(
-        "row", F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text"),
-        lines.alias("n_lines"),
-        F.when(touched, F.size("_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long").alias("n_removed"))
+    return whole.unionByName(counted(
+        kept, F.size("_lines"), F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col("text")),
+        F.when(touched, F.size("_lines") - F.size("_kept")).otherwise(F.lit(0))))
 
 
 def clean_documents(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:

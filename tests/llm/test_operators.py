@@ -13,8 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ohmflow.llm import (bpe, cotraining, decontaminate, jaccard_join, language_id, line_dedup, queries, quality_rules,
-                         secret_scan, substring_dedup, url_rules)
+from ohmflow.llm import (bpe, cotraining, decontaminate, frames, jaccard_join, language_id, line_dedup, queries,
+                         quality_rules, secret_scan, substring_dedup, url_rules)
 from ohmflow.llm.frames import importable
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +223,67 @@ def test_op2_is_shift_resistant(spark):
     assert left[:3] == ["new one", "new two", "new three"] and len(left) < 40
 
 
+def passages():
+    """300 documents of their own lines; 40 of them hold one of four passages as well."""
+    own = [[f"line {i} of document {d}" for i in range(12)] for d in range(300)]
+    return [(d, "\n".join(x + [f"shared {d % 4} {i}" for i in range(12)] * (d < 40))) for d, x in enumerate(own)]
+
+
+def test_op2_texts_without_repeats_are_not_shuffled(spark, monkeypatch):
+    """Without broadcast joins too, only hashes, repeated chunks and the documents that hold them are shuffled."""
+    importable(spark)
+    docs = spark.createDataFrame(passages(), "doc_id long, text string")
+    plans, tables, store = {}, {}, line_dedup.stored
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        tables[name] = store(df, name)
+        return tables[name]
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = line_dedup.clean_documents(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id: r.text for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == dict(zip([d for d, _ in passages()], by_hand_2(passages())))
+    assert sum(got[d] != t for d, t in passages()) == 36
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+?)#", plans["line-chunks"])
+    assert dealt and set(dealt) == {"_slot"}
+    assert "Union" in plan and plan.count("SortMergeJoin") == 1
+    assert "getbit" in plan[plan.index("SortMergeJoin"):]        # its documents are told apart before they are dealt
+    chunks = tables["line-chunks"]
+    assert chunks.where("chunk like '%shared%'").count() and chunks.where("chunk not like '%shared%'").count() < 100
+    assert "chunk" not in tables["line-first"].columns and tables["line-gone"].count() == 36
+
+
+def test_op2_different_chunks_with_one_hash(spark, monkeypatch):
+    """Where hashes clash, bytes decide."""
+    importable(spark)
+    monkeypatch.setattr(line_dedup, "_hash", lambda *c: F.xxhash64(*c) % 2)
+    out = line_dedup.clean_documents(spark.createDataFrame(passages(), "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == dict(zip([d for d, _ in passages()], by_hand_2(passages())))
+
+
+@pytest.mark.parametrize("most", [frames.MOST_SLOTS, 1])
+def test_maybe_in_misses_no_key(spark, monkeypatch, most):
+    """All keys are found, whatever their number; a full bitmap lets more others pass, an empty one none."""
+    monkeypatch.setattr(frames, "MOST_SLOTS", most)
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"), F.lit(1).alias("x"))
+    keys = rows.where("id % 4 = 0").select("h")
+    out = frames.maybe_in(rows, "h", keys.union(keys.limit(10)), "_there")
+    assert out.columns == ["id", "h", "x", "_there"]
+    got = dict(out.groupBy((F.col("id") % 4 == 0).alias("key"), "_there").count().select(
+        F.struct("key", "_there"), "count").collect())
+    assert got.get((True, True)) == 5000 and (True, False) not in got
+    assert got[(False, True)] < (750 if most > 1 else 2700) and got[(False, True)] + got[(False, False)] == 15_000
+    assert not frames.maybe_in(rows, "h", keys.limit(0), "_there").where("_there").count()
+    null = rows.limit(2).select(F.lit(None).cast("long").alias("h"))
+    assert frames.maybe_in(null, "h", keys, "_there").where("not _there").count() == 2
+
+
 # ---- op3
 
 def by_hand_3(text):
