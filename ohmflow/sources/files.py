@@ -2,9 +2,11 @@
 
 Delimited files are read as raw lines, so large files are split over tasks.
 A first pass gives one row per split: its first line, number of lines and of
-quotes, whether it is UTF-8, and its first line with the header marker.  From
-these (a prefix sum over each file's splits) follow the file's encoding, its
-header, and whether a split begins inside a quoted cell.
+quotes, whether it is UTF-8, its first line with the header marker, and its
+first and last line with an odd number of quotes.  From these (a prefix sum over
+each file's splits) follow the file's encoding, its header, whether a split
+begins inside a quoted cell, and which of its lines belong to records that run
+over its edges.
 
 A second pass reads the records by their own file's header.  Where no line of
 a split has an odd number of quotes, every line is a record.  The lines of other
@@ -13,13 +15,14 @@ quoted cell join the record before them, across splits too (lost line ends
 come back as ``\\n``).  A record whose quotes do not fit, or that never ends, is
 refused, never torn.
 
-The driver sees the distinct header lines, whose names it needs, and two counts.
+The driver sees the distinct header lines, whose names it needs, and three counts.
 """
 
 from __future__ import annotations
 
 import csv
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,8 +90,10 @@ def _has_cell(line: Column, sep: str, marker: str) -> Column:
 
 
 def _splits(raw: DataFrame, sep: str, fallback: str, marker: str | None) -> DataFrame:
-    """One row per split: n0, lines, quotes, odd lines, utf8, first line, first line with the marker as a
-    cell (read as UTF-8 and as ``fallback``), and from the splits before it: lines and quotes."""
+    """One row per split: n0, lines, quotes, first and last line with an odd number of quotes, utf8, first
+    line, first line with the marker as a cell (read as UTF-8 and as ``fallback``), and from the splits before
+    it: lines, quotes and the last odd line (there begins a record that runs into the split).  ``endless``:
+    where the record begins that never ends, the last odd line of a file with an odd number of quotes."""
     here = F.struct("n", "raw")
 
     def marked(encoding: str, text: Column) -> Column:
@@ -97,16 +102,22 @@ def _splits(raw: DataFrame, sep: str, fallback: str, marker: str | None) -> Data
         seen = F.contains(F.col("raw").cast("binary"), F.lit(marker.encode(encoding)))
         return F.min(F.when(F.when(seen, _has_cell(text, sep, marker)), here))
     q = _quotes(F.col("raw"))
+    odd = F.when(q % 2 == 1, F.col("n"))
     # collect_set (two values at most) makes Spark aggregate in a map of splits; with minima of texts alone it
     # would sort all lines of a task first
     per = raw.groupBy("source_file", "block").agg(
         F.min("n").alias("n0"), F.count(F.lit(1)).alias("lines"), F.sum(q).alias("quotes"),
-        F.count_if(q % 2 == 1).alias("odd"), (~F.array_contains(F.collect_set(F.is_valid_utf8("raw")), False)).alias("utf8"),
+        F.min(odd).alias("odd_first"), F.max(odd).alias("odd_last"),
+        (~F.array_contains(F.collect_set(F.is_valid_utf8("raw")), False)).alias("utf8"),
         F.min(here).alias("first"), marked("utf-8", F.col("raw")).alias("m_utf8"),
         marked(fallback, F.decode(F.col("raw").cast("binary"), fallback)).alias("m_other"))
-    past = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(per.select("*", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_before")
-                                         for c in ("lines", "quotes")]), "splits")
+    whole = Window.partitionBy("source_file")
+    past = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("odd_last").isNotNull(), F.struct("block", F.col("odd_last").alias("n")))
+    return materialize(per.select(
+        "*", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_before") for c in ("lines", "quotes")],
+        F.last(own, ignorenulls=True).over(past).alias("runs_in"),
+        F.when(F.sum("quotes").over(whole) % 2 == 1, F.max(own).over(whole)).alias("endless")), "splits")
 
 
 def _headers(splits: DataFrame, fallback: str) -> DataFrame:
@@ -128,135 +139,128 @@ def _headers(splits: DataFrame, fallback: str) -> DataFrame:
                       F.regexp_replace(_text(F.col("h.raw"), F.col("utf8"), fallback), "^\ufeff", "").alias("_header"))
 
 
-def _split_readers():
-    """Functions for ``mapInArrow`` over the lines of torn splits (a split's lines follow each other in one task).
+def _joiners():
+    """Functions for ``mapInArrow`` over the lines of torn splits, which come in their order.
 
-    ``last_begins``: per split its last line that begins a record.  ``joiner(edges)``: the whole records inside
-    the splits, or what each split holds of records that run into it (``n`` NULL) or on past its end (``n`` of
-    their first line).  Nested, so that workers need not import this package.
+    ``inner``: the records inside the splits; ``edges``: per split what it holds of the record that runs into it
+    (``n`` NULL) or on past its end.  Nested, so that workers need not import this package.
     """
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    def by_split(batch):
-        """A batch in slices of one split each, with the split."""
-        rows = batch.num_rows
-        differ = np.zeros(max(rows - 1, 0), bool)
-        for c in ("source_file", "block") if rows else ():
-            v = batch[c]
-            differ |= pc.not_equal(v.slice(1), v.slice(0, rows - 1)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(differ) + 1).tolist(), rows] if rows else []
-        for i, j in zip(cuts, cuts[1:]):
-            part = batch.slice(i, j - i)
-            yield (part["source_file"][0].as_py(), part["block"][0].as_py()), part
-
-    def stepped(part, inside):
-        """The lines of a slice that begin a record, and whether a quoted cell is open after it."""
-        odd = part["odd"].to_numpy()
-        state = inside + np.cumsum(odd)
-        return np.flatnonzero((state - odd) % 2 == 0), int(state[-1]) % 2
-
-    def rows(split, **columns):
-        size = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_pydict({"source_file": pa.repeat(pa.scalar(split[0], pa.string()), size),
-                                           "block": pa.repeat(pa.scalar(split[1], pa.int64()), size), **columns})
-
-    def last_begins(batches):
-        split, inside, last = None, 0, None
+    def rows(n0, n, raw):
+        return pa.RecordBatch.from_arrays([pa.array(n0, pa.int64()), pa.array(n, pa.int64()), raw.cast(pa.binary())],
+                                          ["n0", "n", "raw"])
+
+    def one(n0, n, lines):
+        return rows([n0], [n], pa.array([b"\n".join(lines)], pa.binary()))
+
+    def inner(batches):
+        # the record that was begun last, and its lines so far; no record runs from one split into the next
+        at, lines = None, []
+        for batch in batches:
+            raw = batch["raw"]
+            if not len(raw):
+                continue
+            odd = pc.count_substring(raw, '"').to_numpy() % 2
+            after = (np.cumsum(odd) + bool(lines)) % 2
+            begins = np.flatnonzero(after == odd)
+            head = int(begins[0]) if begins.size else len(raw)
+            lines += raw.slice(0, head).to_pylist()
+            if not begins.size:
+                if lines and not after[-1]:
+                    yield one(*at, lines)
+                    at, lines = None, []
+                continue
+            if lines:
+                yield one(*at, lines)
+                at, lines = None, []
+            if after[-1]:
+                last = int(begins[-1])
+                at, lines = (batch["n0"][last].as_py(), batch["n"][last].as_py()), raw.slice(last).to_pylist()
+                begins, ends = begins[:-1], last
+            else:
+                ends = len(raw)
+            if begins.size:
+                places = pa.array(np.append(begins, ends) - head, pa.int32())
+                each = pa.ListArray.from_arrays(places, raw.slice(head, ends - head))
+                begins = pa.array(begins)
+                yield rows(batch["n0"].take(begins), batch["n"].take(begins), pc.binary_join(each, b"\n"))
+
+    def edges(batches):
+        at, lines = None, []
         for batch in batches:
-            for at, part in by_split(batch):
-                if at != split:
-                    if split:
-                        yield rows(split, last=pa.array([last], pa.int64()))
-                    split, inside, last = at, part["start"][0].as_py(), None
-                begins, inside = stepped(part, inside)
-                last = part["n"][int(begins[-1])].as_py() if begins.size else last
-        if split:
-            yield rows(split, last=pa.array([last], pa.int64()))
-
-    def joiner(edges):
-        def one(split, n, lines):
-            return rows(split, n=pa.array([n], pa.int64()), raw=pa.array([b"\n".join(lines)], pa.binary()))
-
-        def join(batches):
-            # the record that was begun last in the split (n None: before the split), and its lines so far
-            split, inside, n, lines = None, 0, None, []
-            for batch in batches:
-                for at, part in by_split(batch):
-                    if at != split:
-                        if lines and edges == (inside == 1 or n is None):
-                            yield one(split, n, lines)
-                        split, inside, n, lines = at, part["start"][0].as_py(), None, []
-                    begins, inside = stepped(part, inside)
-                    raw = part["raw"]
-                    lines += raw.slice(0, int(begins[0]) if begins.size else len(raw)).to_pylist()
-                    if not begins.size:
-                        continue
-                    if lines and edges == (n is None):
-                        yield one(split, n, lines)
-                    if begins.size > 1 and not edges:
-                        first, end = int(begins[0]), int(begins[-1])
-                        each = pa.ListArray.from_arrays(pa.array(begins - first, pa.int32()),
-                                                        raw.slice(first, end - first).cast(pa.binary()))
-                        yield rows(split, n=part["n"].take(pa.array(begins[:-1])), raw=pc.binary_join(each, b"\n"))
-                    n, lines = part["n"][int(begins[-1])].as_py(), raw.slice(int(begins[-1])).to_pylist()
-            if lines and edges == (inside == 1 or n is None):
-                yield one(split, n, lines)
-        return join
-    return last_begins, joiner
-
-
-def _records(raw: DataFrame, splits: DataFrame, spark: SparkSession) -> DataFrame:
+            n0, n = batch["n0"].to_numpy(), batch["n"].fill_null(-1).to_numpy()
+            cuts = np.flatnonzero((np.diff(n0) != 0) | (np.diff(n) != 0)) + 1
+            cuts = [0, *cuts.tolist(), len(n)] if len(n) else []
+            for i, j in zip(cuts, cuts[1:]):
+                here = (int(n0[i]), int(n[i]) if n[i] >= 0 else None)
+                if here != at:
+                    if lines:
+                        yield one(*at, lines)
+                    at, lines = here, []
+                lines += batch["raw"].slice(i, j - i).to_pylist()
+        if lines:
+            yield one(*at, lines)
+    return inner, edges
+
+
+def _records(raw: DataFrame, splits: DataFrame) -> DataFrame:
     """(source_file, pos, raw, open): whole records; ``open`` ones are the lines of one that never ends.
 
     A split's lines are read in their order by one task, which joins the records
-    inside it; only the two edges of a split meet in a shuffle.
+    inside it; only the two edges of a split meet in a shuffle.  Lines of splits
+    without odd lines pass as they are where they are most of all, since that
+    takes a scan of its own.
     """
     inside = F.col("quotes_before") % 2
-    torn = splits.where((F.col("odd") > 0) | (inside == 1)).select(
-        "source_file", "block", inside.cast("int").alias("start"), ((inside + F.col("quotes")) % 2).alias("leaves"))
+    torn = F.col("odd_last").isNotNull() | (inside == 1)
     pos = F.struct("block", "n").alias("pos")
-    if not torn.limit(1).count():
+    some = splits.agg(F.sum(F.when(torn, F.col("lines"))).alias("torn"), F.sum(F.when(~torn, F.col("lines"))).alias("whole"),
+                      F.count("endless").alias("endless")).collect()[0]
+    if not some["torn"]:
         return raw.select("source_file", pos, "raw", F.lit(False).alias("open"))
-    torn = materialize(torn, "torn-splits")
-    last_begins, joiner = _split_readers()
+    inner, joined_edges = _joiners()
     split = ["source_file", "block"]
-    odd = (_quotes(F.col("raw")) % 2).cast("int").alias("odd")
+    parts = []
+    if (some["whole"] or 0) > some["torn"]:
+        parts.append(raw.join(F.broadcast(splits.where(torn).select(*split)), split, "left_anti").select(
+            "source_file", pos, "raw", F.lit(False).alias("open")))
+        splits = splits.where(torn)
     # broadcasts of one row per split: the lines stay in the order of their split
-    whole = raw.join(F.broadcast(torn.select(*split)), split, "left_anti").select(
-        "source_file", pos, "raw", F.lit(False).alias("open"))
-    last = materialize(raw.join(F.broadcast(torn.drop("leaves")), split).select(*split, "n", "start", odd).mapInArrow(
-        last_begins, "source_file string, block long, last long"), "last-begins")
-    # the record that runs into a split: the last that begins in a split before it (one row per split)
-    past = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.when(F.col("last").isNotNull(), F.struct("block", F.col("last").alias("n")))
-    ends = (splits.groupBy("source_file").agg((F.sum("quotes") % 2).alias("_odd")).where("_odd = 1")
-            .join(last.groupBy("source_file").agg(F.max(own).alias("_end")), "source_file").drop("_odd"))
-    known = materialize(torn.join(last.select(*split, F.last(own, ignorenulls=True).over(past).alias("carry")), split)
-                        .join(ends, "source_file", "left"), "torn-records")
-    endless = F.coalesce(F.struct("block", "n") >= F.col("_end"), F.lit(False))
-    lines = raw.join(F.broadcast(known.select(*split, "start", "leaves", "_end")), split)
-    left = lines.where(endless).select("source_file", pos, "raw", F.lit(True).alias("open"))
-    lines = lines.where(~endless)
-    parts = "source_file string, block long, n long, raw binary"
-    line = [*split, "n", "start", odd, F.col("raw").cast("binary").alias("raw")]
-    inner = lines.select(*line).mapInArrow(joiner(False), parts).select(
-        "source_file", pos, F.col("raw").cast("string").alias("raw"), F.lit(False).alias("open"))
-    edges = materialize(lines.where("start = 1 or leaves = 1").select(*line).mapInArrow(joiner(True), parts), "torn-edges")
-    rec = F.coalesce(F.when(F.col("n").isNotNull(), F.struct("block", "n")), F.col("carry"))
-    joined = (edges.join(F.broadcast(known.select(*split, "carry")), split).groupBy("source_file", rec.alias("rec"))
+    known = F.broadcast(splits.select(
+        *split, "n0", "odd_first", "odd_last", "endless", (inside == 1).alias("entered"),
+        ((inside + F.col("quotes")) % 2 == 1).alias("left")))
+    lines = raw.join(known, split)
+    if some["endless"]:
+        never = F.coalesce(F.struct("block", "n") >= F.col("endless"), F.lit(False))
+        parts.append(lines.where(never).select("source_file", pos, "raw", F.lit(True).alias("open")))
+        lines = lines.where(~never)
+    begun = F.col("left") & F.coalesce(F.col("n") >= F.col("odd_last"), F.lit(False))
+    edge = begun | (F.col("entered") & F.coalesce(F.col("n") <= F.col("odd_first"), F.lit(True)))
+    bytes_ = F.col("raw").cast("binary").alias("raw")
+    fields = "n0 long, n long, raw binary"
+    places = F.broadcast(splits.select("n0", *split, "runs_in"))
+    parts.append(lines.where(~edge).select("n0", "n", bytes_).mapInArrow(inner, fields).join(places, "n0").select(
+        "source_file", pos, F.col("raw").cast("string").alias("raw"), F.lit(False).alias("open")))
+    edges = materialize(lines.where(edge).select("n0", F.when(begun, F.col("odd_last")).alias("n"), bytes_).mapInArrow(
+        joined_edges, fields), "torn-edges")
+    rec = F.coalesce(F.when(F.col("n").isNotNull(), F.struct("block", "n")), F.col("runs_in"))
+    joined = (edges.join(places, "n0").groupBy("source_file", rec.alias("pos"))
               .agg(F.array_sort(F.collect_list(F.struct("block", F.col("raw").cast("string").alias("raw")))).alias("_l")))
-    joined = joined.select("source_file", F.col("rec").alias("pos"), F.array_join("_l.raw", "\n").alias("raw"),
-                           F.lit(False).alias("open"))
-    return whole.unionByName(inner).unionByName(joined).unionByName(left)
+    parts.append(joined.select("source_file", "pos", F.array_join("_l.raw", "\n").alias("raw"), F.lit(False).alias("open")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _misquoted(line: Column, sep: str) -> Column:
     """True for a record with a line break outside its quoted cells, or a cell whose quote does not end."""
     s = re.escape(sep)
+    # most records need one look: cells without a quote or line break, or quoted as a whole (no group loops back)
+    plain = F.lit(False) if len(sep) != 1 else line.rlike(
+        rf'^(?:"[^"]*+(?:""[^"]*+)*+"|[^"\n{s}]*+)(?:{s}(?:"[^"]*+(?:""[^"]*+)*+"|[^"\n{s}]*+))*+\z')
     bare = F.regexp_replace(F.replace(line, F.lit('""'), F.lit("")), rf'(^|{s})[ ]*"[^"]*+"', "$1")
-    return F.contains(line, F.lit('"')) & (F.contains(bare, F.lit("\n")) | bare.rlike(rf'(^|{s})[ ]*"'))
+    return F.contains(line, F.lit('"')) & ~plain & (F.contains(bare, F.lit("\n")) | bare.rlike(rf'(^|{s})[ ]*"'))
 
 
 def _delimited(spark: SparkSession, path: str, glob: str | None, sep: str, fallback: str,
@@ -282,7 +286,7 @@ def _delimited(spark: SparkSession, path: str, glob: str | None, sep: str, fallb
     files = files.select("_f", "utf8", "_hpos") if len(heads) <= 1 else materialize(
         files.join(F.broadcast(known), F.col("_header") == F.col("_layout")).select(
             "_f", "utf8", "_hpos", "_at", "_width"), "file-layouts")
-    body = _records(raw, splits, spark).join(files, F.col("source_file") == F.col("_f"))
+    body = _records(raw, splits).join(files, F.col("source_file") == F.col("_f"))
     line = _text(F.col("raw"), F.col("utf8"), fallback)
     body = body.where(F.col("pos") > F.col("_hpos")).drop("_f", "pos", "_hpos").withColumn("line", line)
     body = body.where(F.trim(F.replace("line", F.lit(sep), F.lit(" "))) != "")
@@ -311,7 +315,7 @@ def scan_csv(spark: SparkSession, path: str, glob: str | None = "*.csv", fallbac
 
     Columns are matched by name, whatever their order in each file; a column
     that a file lacks is NULL there.  Without a schema each column takes the
-    narrowest type that all its cells have (``column_types``; one more pass), or
+    narrowest type that all its cells have (``column_types``; the cells are stored for it), or
     stays text with ``infer=False``; with a schema, cells that do not parse are
     NULL (``scan_batch`` reports them).  Quoted cells may hold separators, line
     breaks and doubled quotes; a record that is torn raises when it is read.
@@ -323,6 +327,9 @@ def scan_csv(spark: SparkSession, path: str, glob: str | None = "*.csv", fallbac
         raise FileNotFoundError(f"no CSV files under {path}")
     df = _whole(df)
     if schema is None and infer:
+        # read and cut into cells once; types and rows both come from the result
+        cells = materialize(df.select("source_file", *[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(names)]), "csv-cells")
+        df = cells.toDF("source_file", *names)
         schema = column_types(df, names)
     cols = [F.col(f"`{c}`") for c in names]
     if schema is not None:
@@ -336,15 +343,35 @@ def _whole(df: DataFrame) -> DataFrame:
     return df.where(F.when(F.col("_torn").isNull(), F.lit(True)).otherwise(F.raise_error(why).cast("boolean")))
 
 
-# narrowest first: (type, test of a trimmed cell that is not empty)
-_LATTICE: list[tuple[T.DataType, object]] = [
-    (T.BooleanType(), lambda c: F.lower(c).isin("true", "false")),
-    (T.LongType(), lambda c: c.rlike("^-?(0|[1-9][0-9]*)$") & c.try_cast("long").isNotNull()),
-    (T.DoubleType(), lambda c: ~c.rlike(r"^(\+|-?0[0-9])") & strict_double(c).isNotNull()),
-    (T.DateType(), lambda c: c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$") & c.try_cast("date").isNotNull()),
-    (T.TimestampNTZType(), lambda c: c.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:.*)?$")
-     & c.try_cast("timestamp_ntz").isNotNull()),
-]
+#: types of cells, narrowest first
+_LATTICE: list[T.DataType] = [T.BooleanType(), T.LongType(), T.DoubleType(), T.DateType(), T.TimestampNTZType()]
+
+#: whatever casts to a double, and little else
+_LIKE_A_DOUBLE = (r"(?i)^[\x00-\x20]*[+-]?(?:nan|inf|infinity|0x[0-9a-f.]+p[+-]?[0-9]+|"
+                  r"(?:[0-9]++\.?[0-9]*+|\.[0-9]++)(?:e[+-]?[0-9]++)?)[fd]?[\x00-\x20]*$")
+
+
+def _fits(x: Column) -> Column:
+    """Places in _LATTICE of the types that a trimmed cell has, as bits; NULL for an empty cell.
+
+    A cast that fails costs an exception, so only cells that look like a type are cast to it.
+    """
+    boolean, long, double, date, stamp = (1 << i for i in range(len(_LATTICE)))
+    first = F.ascii(x)
+    numeric = (first <= 32) | first.between(48, 57) | first.isin(*[ord(c) for c in "+-.iInN"])
+
+    def bit(test: Column, value: int) -> Column:
+        return F.when(test, F.lit(value)).otherwise(F.lit(0))
+    day = (F.substring(x, 5, 1) == "-") & x.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:.*)?$")
+    decimal = numeric & x.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$")
+    any_double = numeric & x.rlike(_LIKE_A_DOUBLE)
+    return F.when(x != "", F.when(
+        day, bit(~F.contains(x, F.lit(":")) & x.try_cast("date").isNotNull(), date)
+        + bit(x.try_cast("timestamp_ntz").isNotNull(), stamp)).when(
+        decimal, F.lit(double) + bit(~F.contains(x, F.lit(".")) & (
+            (F.length(x) <= 18) | x.try_cast("long").isNotNull()), long)).when(
+        any_double, bit(~x.rlike(r"^(\+|-?0[0-9])") & strict_double(x).isNotNull(), double)).otherwise(
+        bit(F.lower(x).isin("true", "false"), boolean)))
 
 
 def column_types(df: DataFrame, names: list[str]) -> T.StructType:
@@ -352,19 +379,16 @@ def column_types(df: DataFrame, names: list[str]) -> T.StructType:
 
     A long fits a double column and a date a timestamp column; a plus sign or a
     leading zero (007) makes a text.  Empty cells fit all, and a column without
-    any other is text.  One partial aggregate of a
-    few flags per column.
+    any other is text.  One partial aggregate of a number per column; a row per
+    cell, since code for all columns of a row at once is too long for the JVM to compile.
     """
-    def flags(c: str) -> Column:
-        x = F.trim(F.col(f"`{c}`"))
-        x = F.when(x != "", x)
-        return F.struct(F.count(x).alias("n"), *[F.coalesce(F.bool_and(F.when(x.isNotNull(), test(x))), F.lit(True))
-                                                 .alias(f"t{i}") for i, (_, test) in enumerate(_LATTICE)])
-    got = df.agg(*[flags(c).alias(f"f{j}") for j, c in enumerate(names)]).collect()[0]      # one row
-
-    def kind(f) -> T.DataType:
-        return next((t for i, (t, _) in enumerate(_LATTICE) if f[f"t{i}"]), T.StringType()) if f["n"] else T.StringType()
-    return T.StructType([T.StructField(c, kind(f)) for c, f in zip(names, got)])
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in names])).alias("j", "c"))
+    fits = cells.select("j", F.trim("c").alias("x")).select("j", _fits(F.col("x")).alias("fits"))
+    got = dict(fits.groupBy("j").agg(F.bit_and("fits")).collect())      # one row per column
+
+    def kind(fits: int | None) -> T.DataType:
+        return next((t for i, t in enumerate(_LATTICE) if (fits or 0) >> i & 1), T.StringType())
+    return T.StructType([T.StructField(c, kind(got.get(j))) for j, c in enumerate(names)])
 
 
 def _struct(spark: SparkSession, schema: T.StructType | str) -> T.StructType:

@@ -222,6 +222,44 @@ def test_quoted_records_are_joined_where_they_lie(spark):
     assert splits > 3 and kept <= 4 * splits
 
 
+@pytest.mark.parametrize("plain", [3, 5000])
+def test_quoted_lines_are_scanned_once_for_the_rows(spark, monkeypatch, plain):
+    """Lines of quoted cells are found without a pass of their own, cut into cells in one scan and read back for
+    types and rows; splits without such lines take another scan only where they hold most lines."""
+    root = local_path(scratch_path(spark, "t-once"))
+    put(root, "a.csv", "k,b\n" + "".join(f'{i},"x\n""{i}\n"\n' for i in range(200)))
+    put(root, "b.csv", "k,b\n" + "".join(f"{i},y\n" for i in range(1000, 1000 + plain)))
+    plans, store = {}, fsrc.materialize
+    monkeypatch.setattr(fsrc, "materialize", lambda df, name="stage": (plans.update({name: plan_text(df)}), store(df, name))[1])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        out = fsrc.scan_csv(spark, root)
+        got = sorted((r.k, r.b) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, f'x\n"{i}\n') for i in range(200)] + [(i, "y") for i in range(1000, 1000 + plain)]
+    scans = {name: text.count("FileScan text") for name, text in plans.items()}
+    assert "FileScan text" not in plan_text(out)
+    assert {n: k for n, k in scans.items() if k} == {"splits": 1, "torn-edges": 1, "csv-cells": 2 if plain > 1000 else 1}
+    assert "MapInArrow" in plans["csv-cells"]
+
+
+def test_types_of_odd_cells(spark):
+    """Cells are cast only to types that they look like, and none is missed for it."""
+    cells = {"long": ["0", "-0", "12\n", "-9223372036854775808"], "double": ["9223372036854775808", "1.5", ".5", "5.", "1e5",
+             "inf", "-Infinity", "0x1p3", "\t1.5", "17.0\n", "9" * 400], "string": ["007", "+5", "1d", "nan", "1e", "infd", "--5",
+             "2020-02-30", "2020-01-01x", "2020-01-01T", "2020-01-01 25:00", "say", "1,5", "true\n"], "boolean": ["true", "FALSE"],
+             "date": ["2020-01-01", "2020-1-1"], "timestamp_ntz": ["2020-01-01 10:00", "2020-01-01T10:00:00.5"]}
+    odd = [(kind, c) for kind, values in cells.items() for c in values]
+    df = spark.createDataFrame([(f" {c} ",) * 2 for _, c in odd], "a string, b string").select(
+        *[F.when(F.col("a") == f" {c} ", F.col("a")).alias(f"c{j}") for j, (_, c) in enumerate(odd)],
+        F.lit(" ").alias("blank"), F.lit(None).cast("string").alias("none"))
+    got = fsrc.column_types(df, df.columns)
+    want = [(kind, c) for kind, c in odd] + [("string", "blank"), ("string", "none")]
+    assert [(f.dataType.simpleString().replace("bigint", "long"), c) for f, (_, c) in zip(got, want)] == want
+
+
 def test_lines_are_neither_sorted_nor_shuffled(spark, monkeypatch):
     """Splits are summed up in a map, and files of several layouts join their lines without a shuffle of these."""
     root = local_path(scratch_path(spark, "t-layouts"))
